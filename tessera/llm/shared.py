@@ -79,3 +79,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+
+
+def appended(df: DataFrame, keep: list[str], text: str, make, added: str) -> DataFrame:
+    """The columns `keep` of df and those of the schema string `added`, which make() gives for each run of texts.
+
+    make() is called once in each task and gives a function from an Arrow array of texts (and the run's rows) to Arrow
+    arrays, one value a row. Columns in `keep` whose names are in `added` are replaced.
+    """
+    new = df.sparkSession.createDataFrame([], added).schema
+    keep = [c for c in keep if c not in new.names]
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
+    kept = df.select(*[F.col(f"`{c}`") for c in keep]).schema
+    names = [*keep, *new.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = make()
+        for batch in slices(batches, "_text"):
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *one(batch.column("_text"), batch)], names)
+
+    return rows.mapInArrow(run, type(kept)([*kept.fields, *new.fields]))
