@@ -1,7 +1,7 @@
 """All queries of the corpus operators, and their SQL where SQL can express them."""
 
-from tessera.llm import decontamination, language, packing, quality, sharding
+from tessera.llm import decontamination, language, packing, quality, secrets, sharding
 
-MODULES = (packing, language, sharding, decontamination, quality)
+MODULES = (packing, language, sharding, decontamination, quality, secrets)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
