@@ -31,7 +31,9 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 LIMIT = 2048
 #: Words that a worker keeps between batches.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 1_500_000
+#: Text that is split and encoded at a time.
+TEXT_BYTES = 10 << 20
 #: Stands between words that are encoded in one go; words that hold it are encoded alone.
 MARK = "\x00"
 
@@ -43,38 +45,55 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Words:
-    """Ids of words by a tokenizer that treats them one by one; keeps those seen, up to CACHE_WORDS."""
+    """Ids of words by a tokenizer that treats them one by one; keeps those seen, up to CACHE_WORDS, in flat arrays."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.one = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-        self.mark = self.one.encode(MARK, add_special_tokens=False).ids
+        self.mark = self.encode(MARK)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, text: str) -> list[int]:
         return self.one.encode(text, add_special_tokens=False).ids
 
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if MARK not in w]
-        if len(self.mark) == 1:
-            ids = np.array(self.encode(f" {MARK} ".join(plain)), np.uint32)
-            cuts = np.flatnonzero(ids == self.mark[0])
-            if len(cuts) == max(len(plain) - 1, 0):  # else the mark's id stood for something else too
-                edges = np.concatenate([[-1], cuts, [len(ids)]])
-                self.known.update((w, ids[edges[k] + 1 : edges[k + 1]].copy()) for k, w in enumerate(plain))
-                plain = []
-        for w in plain + [w for w in words if MARK in w]:
-            self.known[w] = np.array(self.encode(w), np.uint32)
-
-    def of(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
+    def learn(self, words: pa.Array) -> None:
+        """Adds the words: those without the mark encoded in one go, cut at the mark's id; others alone."""
+        marked = pc.match_substring(words, MARK)
+        plain, rest = words.filter(pc.invert(marked)).to_pylist(), words.filter(marked).to_pylist()
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        if plain and len(self.mark) == 1:
+            got = np.array(self.encode(f" {MARK} ".join(plain)), np.uint32)
+            real = got != self.mark[0]
+            cuts = np.flatnonzero(~real)
+            if len(cuts) == len(plain) - 1:  # else the mark's id stood for something else too
+                ids.append(got[real])
+                sizes.append(np.diff(np.concatenate([[-1], cuts, [len(got)]])) - 1)
+                words, plain = pa.array(plain + rest, pa.large_string()), []
+        alone = [self.encode(w) for w in (plain + rest)]
+        ids += [np.array(x, np.uint32) for x in alone]
+        sizes.append(np.array([len(x) for x in alone], np.int64))
+        if plain:
+            words = pa.array(plain + rest, pa.large_string())
+        new = np.concatenate(sizes)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(new) - new])
+        self.sizes = np.concatenate([self.sizes, new])
+        self.ids = np.concatenate([self.ids, *ids])
+        self.known = pa.concat_arrays([self.known, words])
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        """Places of the words among the known ones."""
+        new = words.filter(pc.is_null(pc.index_in(words, self.known)))
+        if len(new) and len(self.known) + len(new) > CACHE_WORDS:
+            self.forget()
             new = words
         for k in range(0, len(new), 50_000):
-            self.learn(new[k : k + 50_000])
-        return [self.known[w] for w in words]
+            self.learn(new.slice(k, 50_000))
+        return pc.index_in(words, self.known).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def kept_words(path: str) -> Words:
@@ -89,12 +108,11 @@ def token_ids(texts: pa.Array, words: Words, end_id: int) -> tuple[np.ndarray, n
     """Ids of all texts one after another, each ended by end_id, and the tokens of each text."""
     split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
     coded = split.flatten().dictionary_encode()
-    by_word = words.of(coded.dictionary.to_pylist())
-    by_word.append(np.array([end_id], np.uint32))
-    sizes = np.fromiter(map(len, by_word), np.int64, len(by_word))
-    flat, begins = np.concatenate(by_word), np.cumsum(sizes) - sizes
+    places = words.of(coded.dictionary)
+    flat = np.concatenate([words.ids, [end_id]]).astype(np.uint32)
+    begins, sizes = np.append(words.starts[places], len(words.ids)), np.append(words.sizes[places], 1)
     edges = split.offsets.to_numpy() - split.offsets[0].as_py()
-    which = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), edges[1:], len(by_word) - 1)
+    which = np.insert(coded.indices.to_numpy(zero_copy_only=False), edges[1:], len(places))
     n = sizes[which]
     ids = flat[np.repeat(begins[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
     total = np.concatenate([[0], np.cumsum(n)])
@@ -115,7 +133,7 @@ def binary_lengths(tokens: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarr
 def cutter(key: str, text: str, path: str, end_id: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, number = kept_words(path), TaskContext.get().partitionId() << 36
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, TEXT_BYTES):
             ids, tokens = token_ids(batch.column(text), words, end_id)
             doc, length = binary_lengths(tokens, limit)
             ends = np.cumsum(length)
