@@ -1,7 +1,7 @@
 """All queries of the corpus operators, and their SQL where SQL can express them."""
 
-from tessera.llm import decontamination, html, language, packing, quality, secrets, sharding, urls
+from tessera.llm import decontamination, html, jaccard, language, packing, quality, secrets, sharding, urls
 
-MODULES = (packing, html, language, sharding, decontamination, quality, secrets, urls)
+MODULES = (jaccard, packing, html, language, sharding, decontamination, quality, secrets, urls)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
