@@ -52,12 +52,12 @@ def divergence(p: Column, q: Column) -> Column:
 def jensen_shannon(hist: DataFrame, piece: list[str], side: str, sides: tuple[str, str]) -> DataFrame:
     """piece, jsd between both sides' histograms. One empty side gives half of ln 2."""
     of = lambda s: F.sum(F.when(F.col(side) == s, F.col("n")).otherwise(0))
-    bins = hist.groupBy(*piece, "bin").agg(of(sides[0]).alias("a"), of(sides[1]).alias("b"))
-    totals = hist.groupBy(*piece).agg(of(sides[0]).alias("sa"), of(sides[1]).alias("sb"))
-    rows = bins.join(totals, piece)
+    bins = hist.groupBy(*piece, "bin").agg(of(sides[0]).alias("_a"), of(sides[1]).alias("_b"))
+    totals = hist.groupBy(*piece).agg(of(sides[0]).alias("_sa"), of(sides[1]).alias("_sb"))
     share = lambda x, s: F.when(F.col(s) > 0, F.col(x) / F.col(s)).otherwise(0.0)
-    rows = rows.withColumn("p", share("a", "sa")).withColumn("q", share("b", "sb")).withColumn("m", (F.col("p") + F.col("q")) / 2)
-    return rows.groupBy(*piece).agg(F.sum((divergence(F.col("p"), F.col("m")) + divergence(F.col("q"), F.col("m"))) / 2).alias("jsd"))
+    rows = bins.join(totals, piece).withColumn("_p", share("_a", "_sa")).withColumn("_q", share("_b", "_sb"))
+    mid = (F.col("_p") + F.col("_q")) / 2
+    return rows.groupBy(*piece).agg(F.sum((divergence(F.col("_p"), mid) + divergence(F.col("_q"), mid)) / 2).alias("jsd"))
 
 
 def dense(hist: DataFrame, keys: list[str], bins: int) -> DataFrame:

@@ -21,8 +21,8 @@ def listing(spark: SparkSession, path: str, pattern: str = "*", recursive: bool
 
 def texts(spark: SparkSession, path: str, pattern: str = "*.json", recursive: bool = True) -> DataFrame:
     """path, text of whole files."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def documents(files: DataFrame) -> DataFrame:
