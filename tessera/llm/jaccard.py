@@ -12,6 +12,7 @@ As the result is components, pairs that are connected already need no comparison
    compared, and components of the links are the first labels. Copies by the thousand become one label by as many
    comparisons as there are copies.
 2. Join: the whole prefix index, in groups of equal prefix, size and label; only pairs of different labels pass.
+   Bitmaps of whole sets leave out pairs that surely differ too much, before any text is fetched.
 
 The order: the most common shingles are found by counting all documents' shingles, in each task, and adding up what
 repeats there; HEAVY of them at most (a bound of the broadcast, not of the data) go last by count, all others by hash.
@@ -43,8 +44,10 @@ SHINGLE = 5
 PERCENT = 75
 #: Common shingles with a place of their own in the order; counts that repeat so often in COUNTED shingles of a task.
 HEAVY = 1 << 16
-REPEATS = 8
-COUNTED = 4 << 20
+REPEATS = 2
+COUNTED = 2 << 20
+#: Bits of a set's bitmap.
+BITS = 1024
 #: Prefix shingles by which documents meet in the pilot.
 PILOT = 3
 #: Rows that one task of the index, and pairs that one stream of comparisons takes.
@@ -115,8 +118,8 @@ def signer(size: int):
     return sign
 
 
-def ordered(own: list[np.ndarray], heavy: np.ndarray, counts: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The prefix of each set: shingles that are not heavy by hash, then heavy ones by count."""
+def ordered(own: list[np.ndarray], heavy: np.ndarray, counts: np.ndarray, percent: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The prefix of each set: shingles that are not heavy by hash, then heavy ones by count; and how many are not heavy."""
     n = np.array([len(s) for s in own], np.int64)
     flat = np.concatenate([np.zeros(0, W.U), *own])
     rank = np.zeros(len(flat), np.int64)
@@ -126,15 +129,24 @@ def ordered(own: list[np.ndarray], heavy: np.ndarray, counts: np.ndarray, percen
         maybe = np.flatnonzero(bits[(flat & W.U(0xFFFFF)).astype(np.int64)])
         at = np.minimum(np.searchsorted(heavy, flat[maybe]), len(heavy) - 1)
         rank[maybe] = np.where(heavy[at] == flat[maybe], counts[at], 0)
-    lengths, out, start = prefix_length(n, percent), [], 0
+    lengths, out, start, rare = prefix_length(n, percent), [], 0, []
     for s, k, p in zip(own, n.tolist(), lengths.tolist()):
         r = rank[start : start + k]
         start += k
         out.append((s if not r.any() else s[np.lexsort((s, r))])[:p] if k else s)
-    return out
+        rare.append(min(k - np.count_nonzero(r), len(out[-1])))
+    return out, np.array(rare, np.int64)
+
+
+def bitmaps(own: list[np.ndarray]) -> np.ndarray:
+    """A row of BITS bits for each set: every shingle turns one bit over. Bits that differ are at most as many as shingles."""
+    owner = np.repeat(np.arange(len(own)), [len(s) for s in own])
+    flat = np.concatenate([np.zeros(0, W.U), *own])
+    turns = np.bincount(owner * BITS + (flat >> W.U(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=len(own) * BITS)
+    return np.packbits((turns & 1).astype(np.uint8)).view("<i8").reshape(len(own), BITS // 64)
 
 
-PREFIXED = "doc long, n long, gkey long, prefix array<long>, pilot array<long>"
+PREFIXED = "doc long, n long, gkey long, prefix array<long>, rare long, pilot array<long>, bits array<long>"
 
 
 def prefixer(size: int, percent: int, heavy: np.ndarray, counts: np.ndarray):
@@ -142,7 +154,7 @@ def prefixer(size: int, percent: int, heavy: np.ndarray, counts: np.ndarray):
         for batch in slices(batches, "text"):
             own = sets(batch.column("text"), size)
             n = np.array([len(s) for s in own], np.int64)
-            firsts = ordered(own, heavy, counts, percent)
+            firsts, rare = ordered(own, heavy, counts, percent)
             p = np.array([len(f) for f in firsts], np.int64)
             edges, flat = np.concatenate([[0], np.cumsum(p)]), np.concatenate([np.zeros(0, W.U), *firsts])
             place = np.arange(len(flat)) - np.repeat(edges[:-1], p)
@@ -154,8 +166,11 @@ def prefixer(size: int, percent: int, heavy: np.ndarray, counts: np.ndarray):
             q = np.concatenate([[0], np.cumsum([len(x) for x in pilots])])
             as_list = lambda values, e: pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(values.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(n), pa.array(gkey.view(np.int64)), as_list(flat, edges), as_list(np.concatenate([np.zeros(0, W.U), *pilots]), q)],
-                ["doc", "n", "gkey", "prefix", "pilot"],
+                [
+                    batch.column("doc"), pa.array(n), pa.array(gkey.view(np.int64)), as_list(flat, edges), pa.array(rare),
+                    as_list(np.concatenate([np.zeros(0, W.U), *pilots]), q), as_list(bitmaps(own).reshape(-1), np.arange(len(n) + 1) * (BITS // 64)),
+                ],
+                ["doc", "n", "gkey", "prefix", "rare", "pilot", "bits"],
             )
 
     return prefix
@@ -211,13 +226,13 @@ ENTRY = "token long, g long, n long, at long, label long"
 
 
 def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The index: a row for each prefix shingle of a group."""
+    """The index: a row for each shingle in `part` of a group's prefix, of which it starts at `first`."""
     for batch in batches:
-        lists = batch.column("prefix")
+        lists = batch.column("part")
         flat = lists.flatten()
         n = np.diff(lists.offsets.to_numpy())
         rows = pa.array(np.repeat(np.arange(len(n)), n))
-        at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(batch.column("first").to_numpy(), n)
         yield pa.RecordBatch.from_arrays([flat, batch.column("doc").take(rows), batch.column("n").take(rows), pa.array(at), batch.column("label").take(rows)], ["token", "g", "n", "at", "label"])
 
 
@@ -276,7 +291,18 @@ def common_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least(x("g"), y("g")).alias("a"), F.greatest(x("g"), y("g")).alias("b"))
 
 
-def join_pairs(prefixes: DataFrame, labels: DataFrame, heavy: list[int], percent: int) -> DataFrame:
+def not_apart(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps differ in no more bits than sets that link may differ in shingles."""
+    own = written(prefixes.select("doc", "n", "bits"), "bits")
+    for side in ("a", "b"):
+        mine = own.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+        pairs = pairs.join(small_side(mine, 16 + BITS // 8), side)
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    sizes = F.col("n_a") + F.col("n_b")
+    return pairs.where((sizes - differ) * (100 + percent) >= 2 * percent * sizes).select("a", "b")
+
+
+def join_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of documents with different labels whose prefixes allow a link."""
     spark = prefixes.sparkSession
     labelled = prefixes.drop("pilot").join(small_side(labels, 32).select(F.col("u").alias("doc"), F.col("v").alias("label")), "doc", "left")
@@ -287,15 +313,12 @@ def join_pairs(prefixes: DataFrame, labels: DataFrame, heavy: list[int], percent
     joined = written(joined, "members")
     hidden = small_side(joined.where("g != doc").select("doc"), 16)
     total = prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    index = labelled.join(hidden, "doc", "left_anti").select("doc", "n", "label", "prefix").mapInArrow(entries, ENTRY)
+    index = labelled.join(hidden, "doc", "left_anti")
     n = partitions(spark, total, INDEX_ROWS)
-    if heavy:
-        common = F.broadcast(spark.createDataFrame([(t,) for t in heavy], "token long"))  # HEAVY rows at most
-        index = index.join(common.withColumn("common", F.lit(True)), "token", "left")
-        rare = index.where("common is null").drop("common").repartition(n, "token").mapInArrow(crosser(percent), "a long, b long")
-        pairs = rare.union(common_pairs(written(index.where("common").drop("common"), "common"), percent))
-    else:
-        pairs = index.repartition(n, "token").mapInArrow(crosser(percent), "a long, b long")
+    rare, common = F.slice("prefix", 1, F.col("rare").cast("int")), F.slice("prefix", F.col("rare").cast("int") + 1, F.size("prefix"))
+    part = lambda c, first: index.select("doc", "n", "label", c.alias("part"), first.alias("first")).where("size(part) > 0").mapInArrow(entries, ENTRY)
+    pairs = part(rare, F.lit(0).cast("long")).repartition(n, "token").mapInArrow(crosser(percent), "a long, b long")
+    pairs = pairs.union(common_pairs(written(part(common, F.col("rare")), "common"), percent))
     pairs = written(pairs.distinct(), "groups")
     one, two = joined.select(F.col("g").alias("a"), F.col("doc").alias("a2")), joined.select(F.col("g").alias("b"), F.col("doc").alias("b2"))
     pairs = pairs.join(small_side(one, 32), "a", "left").join(small_side(two, 32), "b", "left")
@@ -321,7 +344,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     prefixes = written(prefixes.join(small_side(reps, 16), "doc", "left_semi").dropDuplicates(["doc", "gkey", "n"]), "prefixes")
     first = written(linked(written(pilot_pairs(prefixes, percent), "pairs"), source, size, percent), "links")
     labels = smallest(first)
-    pairs = written(join_pairs(prefixes, labels, heavy.view(np.int64).tolist(), percent), "pairs")
+    pairs = written(not_apart(join_pairs(prefixes, labels, percent), prefixes, percent), "pairs")
     second = linked(pairs, source, size, percent)
     found = smallest(labels.unionByName(second))
 

@@ -82,7 +82,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters:
     up, down = powers(len(data) + 1)
     sums = np.empty(len(data) + 1, U)
     sums[0] = 0
-    np.cumsum((letters[data].astype(U) + U(1)) * up[: len(data)], out=sums[1:])
+    own = letters[data].astype(U)
+    own += U(1)
+    own *= up[: len(data)]
+    np.cumsum(own, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
 
 
