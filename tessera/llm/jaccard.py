@@ -3,8 +3,8 @@
 A document's set holds the hashes of its distinct word shingles. Equal sets are one class with one representative. In
 one global order of shingles - common ones last - two sets that link share a shingle among the first
 n - ceil(percent n) + 1 of each, so an index of these prefixes finds every link. Documents with identical prefixes and
-size are collapsed into one group; group pairs pass a size and a position filter; those that pass are expanded to their
-members, whose whole sets are compared.
+size are collapsed into one group; group pairs pass filters by size, by the number of shared shingles and by place; those
+that pass are expanded to their members, whose whole sets are compared.
 
 As the result is components, pairs that are connected already need no comparison. So the prefixes are used twice:
 
@@ -226,23 +226,47 @@ ENTRY = "token long, g long, n long, at long, label long"
 
 
 def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The index: a row for each shingle in `part` of a group's prefix, of which it starts at `first`."""
+    """The index: a row for each shingle in `part` of a group's prefix.
+
+    at: for common shingles (`first` is set) the place in the prefix, for others the number of common ones after them.
+    """
     for batch in batches:
         lists = batch.column("part")
         flat = lists.flatten()
         n = np.diff(lists.offsets.to_numpy())
         rows = pa.array(np.repeat(np.arange(len(n)), n))
-        at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(batch.column("first").to_numpy(), n)
+        if batch.column("first").null_count:
+            at = np.repeat(batch.column("after").to_numpy(), n)
+        else:
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(batch.column("first").to_numpy(), n)
         yield pa.RecordBatch.from_arrays([flat, batch.column("doc").take(rows), batch.column("n").take(rows), pa.array(at), batch.column("label").take(rows)], ["token", "g", "n", "at", "label"])
 
 
+PAIRED = "a long, b long, lack long, k long"
+
+
 def crosser(percent: int):
+    def counted(found: list[np.ndarray]) -> np.ndarray:
+        pairs = np.concatenate([np.zeros((4, 0), np.int64), *found], axis=1)
+        order = np.lexsort((pairs[1], pairs[0]))
+        pairs = pairs[:, order]
+        new = np.ones(pairs.shape[1], bool)
+        new[1:] = (pairs[0, 1:] != pairs[0, :-1]) | (pairs[1, 1:] != pairs[1, :-1])
+        at = np.flatnonzero(new)
+        return np.stack([pairs[0, at], pairs[1, at], pairs[2, at], np.add.reduceat(pairs[3], at)]) if len(at) else pairs
+
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of groups with different labels that share a shingle and pass the size and position filters."""
-        cols = [[b.column(c).to_numpy(zero_copy_only=False) for b in batches_] for batches_ in [list(batches)] for c in ("token", "g", "n", "at", "label")]
-        token, g, n, at, label = (np.concatenate([np.zeros(0, np.int64), *c]) for c in cols)
+        """Pairs of groups with different labels and fitting sizes that share shingles: how many (k), how many they lack.
+
+        In prefixes of sets that link at least needed(a, b) - ceil(percent of the larger) + 1 shingles are shared: what
+        follows the prefix that ends first is no longer than ceil(percent of its set) - 1. Of these, common shingles
+        are not counted here and are taken as shared; `lack` is what is left.
+        """
+        held_batches = list(batches)
+        token, g, n, after, label = (np.concatenate([np.zeros(0, np.int64), *[b.column(c).to_numpy(zero_copy_only=False) for b in held_batches]]) for c in ("token", "g", "n", "at", "label"))
+        del held_batches
         order = np.lexsort((label, token))
-        token, g, n, at, label = token[order], g[order], n[order], at[order], label[order]
+        token, g, n, after, label = token[order], g[order], n[order], after[order], label[order]
         new = np.ones(len(token), bool)
         new[1:] = token[1:] != token[:-1]
         begin = np.flatnonzero(new)
@@ -250,6 +274,7 @@ def crosser(percent: int):
         mixed = label[end - 1] != label[begin] if len(begin) else np.zeros(0, bool)
         found: list[np.ndarray] = []
         held = 0
+        rows = lambda x: pa.RecordBatch.from_arrays([pa.array(c) for c in x], ["a", "b", "lack", "k"])
         for low, high in zip(begin[mixed].tolist(), end[mixed].tolist()):
             own = label[low:high]
             cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
@@ -259,25 +284,27 @@ def crosser(percent: int):
                 i = low + int(k)
                 other = np.arange(low, high)
                 other = other[(own != own[k]) & ((own == main) | (other > i))]
-                fit = 100 * np.minimum(n[i], n[other]) >= percent * np.maximum(n[i], n[other])
-                fit &= 1 + np.minimum(n[i] - at[i], n[other] - at[other]) - 1 >= needed(n[i], n[other], percent)
-                if fit.any():
-                    b = g[other[fit]]
-                    found.append(np.stack([np.minimum(g[i], b), np.maximum(g[i], b)]))
+                other = other[100 * np.minimum(n[i], n[other]) >= percent * np.maximum(n[i], n[other])]
+                if len(other):
+                    b = g[other]
+                    lack = needed(n[i], n[other], percent) + (-percent * np.maximum(n[i], n[other])) // 100 + 1 - np.minimum(after[i], after[other])
+                    found.append(np.stack([np.minimum(g[i], b), np.maximum(g[i], b), lack, np.ones(len(b), np.int64)]))
                     held += len(b)
             if held > 500_000:
-                found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+                found = [counted(found)]
                 if (held := found[0].shape[1]) > 250_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0][0]), pa.array(found[0][1])], ["a", "b"])
+                    yield rows(found[0])
                     found, held = [], 0
-        pairs = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        yield rows(counted(found))
 
     return cross
 
 
 def common_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """As crosser(), for heavy shingles: rows outside a shingle's main label against all others, salted."""
+    """Pairs as crosser() gives, for heavy shingles: rows outside a shingle's main label against all others, salted.
+
+    Here a pair passes by the places of the shingle in both prefixes: were it the first shared one, enough could follow.
+    """
     by_label = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     mains = by_label.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", "k").alias("main"), F.sum("k").alias("k")).where("labels > 1")
     mains = F.broadcast(mains.select("token", "main", (F.col("k") / 5000).cast("long").alias("salts")))  # HEAVY rows at most
@@ -288,7 +315,8 @@ def common_pairs(rows: DataFrame, percent: int) -> DataFrame:
     fits = (100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))) & (F.least(x("n") - x("at"), y("n") - y("at")) * (100 + percent) >= percent * (x("n") + y("n")))
     apart = (x("label") != y("label")) & ((y("label") == y("main")) | (x("g") < y("g")))
     pairs = left.join(right, (x("token") == y("token")) & (x("salt") == y("salt")) & apart & fits)
-    return pairs.select(F.least(x("g"), y("g")).alias("a"), F.greatest(x("g"), y("g")).alias("b"))
+    zero = F.lit(0).cast("long")
+    return pairs.select(F.least(x("g"), y("g")).alias("a"), F.greatest(x("g"), y("g")).alias("b"), zero.alias("lack"), zero.alias("k")).distinct()
 
 
 def not_apart(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
@@ -316,10 +344,12 @@ def join_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFram
     index = labelled.join(hidden, "doc", "left_anti")
     n = partitions(spark, total, INDEX_ROWS)
     rare, common = F.slice("prefix", 1, F.col("rare").cast("int")), F.slice("prefix", F.col("rare").cast("int") + 1, F.size("prefix"))
-    part = lambda c, first: index.select("doc", "n", "label", c.alias("part"), first.alias("first")).where("size(part) > 0").mapInArrow(entries, ENTRY)
-    pairs = part(rare, F.lit(0).cast("long")).repartition(n, "token").mapInArrow(crosser(percent), "a long, b long")
+    after = (F.size("prefix") - F.col("rare")).cast("long").alias("after")
+    part = lambda c, first: index.select("doc", "n", "label", c.alias("part"), first.cast("long").alias("first"), after).where("size(part) > 0").mapInArrow(entries, ENTRY)
+    pairs = part(rare, F.lit(None)).repartition(n, "token").mapInArrow(crosser(percent), PAIRED)
     pairs = pairs.union(common_pairs(written(part(common, F.col("rare")), "common"), percent))
-    pairs = written(pairs.distinct(), "groups")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("k").alias("k"), F.min("lack").alias("lack")).where("k >= lack").select("a", "b")
+    pairs = written(pairs, "groups")
     one, two = joined.select(F.col("g").alias("a"), F.col("doc").alias("a2")), joined.select(F.col("g").alias("b"), F.col("doc").alias("b2"))
     pairs = pairs.join(small_side(one, 32), "a", "left").join(small_side(two, 32), "b", "left")
     return pairs.select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"))
@@ -341,7 +371,12 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
 
     reps = classes.select(F.col("rep").alias("doc"))
     prefixes = source.where("doc is not null").mapInArrow(prefixer(size, percent, heavy, counts), PREFIXED).where("n > 0")
-    prefixes = written(prefixes.join(small_side(reps, 16), "doc", "left_semi").dropDuplicates(["doc", "gkey", "n"]), "prefixes")
+    prefixes = prefixes.join(small_side(reps, 16), "doc", "left_semi")
+    repeated = written(own.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc"), "repeated")
+    if not repeated.isEmpty():  # rows that share a key: the same row again, or another text
+        again = prefixes.join(small_side(repeated, 16), "doc", "left_semi").dropDuplicates(["doc", "gkey", "n"])
+        prefixes = prefixes.join(small_side(repeated, 16), "doc", "left_anti").unionByName(again)
+    prefixes = written(prefixes, "prefixes")
     first = written(linked(written(pilot_pairs(prefixes, percent), "pairs"), source, size, percent), "links")
     labels = smallest(first)
     pairs = written(not_apart(join_pairs(prefixes, labels, percent), prefixes, percent), "pairs")
