@@ -15,7 +15,7 @@ As the result is components, pairs that are connected already need no comparison
    Bitmaps of whole sets leave out pairs that surely differ too much, before any text is fetched.
 
 The order: the most common shingles are found by counting all documents' shingles, in each task, and adding up what
-repeats there; HEAVY of them at most (a bound of the broadcast, not of the data) go last by count, all others by hash.
+repeats there; the HEAVY most common at most (a bound of the broadcast: 16 MB) go last by count, all others by hash.
 Any order gives the same links. Rows of a common shingle that all have one label are dropped before the shuffle; the rest
 meet salted: documents outside the shingle's main label against all others.
 
@@ -43,7 +43,7 @@ from tessera.llm.shared import partitions, shared_dir, slices, small_side, table
 SHINGLE = 5
 PERCENT = 75
 #: Common shingles with a place of their own in the order; counts that repeat so often in COUNTED shingles of a task.
-HEAVY = 1 << 16
+HEAVY = 1 << 20
 REPEATS = 2
 COUNTED = 2 << 20
 #: Bits of a set's bitmap.
@@ -118,15 +118,20 @@ def signer(size: int):
     return sign
 
 
-def ordered(own: list[np.ndarray], heavy: np.ndarray, counts: np.ndarray, percent: int) -> tuple[list[np.ndarray], np.ndarray]:
+def sieve(heavy: np.ndarray) -> np.ndarray:
+    """Whether any heavy shingle has these low bits: most others are told apart so."""
+    bits = np.zeros(1 << 23, bool)
+    bits[(heavy & W.U(len(bits) - 1)).astype(np.int64)] = True
+    return bits
+
+
+def ordered(own: list[np.ndarray], heavy: np.ndarray, counts: np.ndarray, bits: np.ndarray, percent: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The prefix of each set: shingles that are not heavy by hash, then heavy ones by count; and how many are not heavy."""
     n = np.array([len(s) for s in own], np.int64)
     flat = np.concatenate([np.zeros(0, W.U), *own])
     rank = np.zeros(len(flat), np.int64)
     if len(heavy):
-        bits = np.zeros(1 << 20, bool)
-        bits[(heavy & W.U(0xFFFFF)).astype(np.int64)] = True
-        maybe = np.flatnonzero(bits[(flat & W.U(0xFFFFF)).astype(np.int64)])
+        maybe = np.flatnonzero(bits[(flat & W.U(len(bits) - 1)).astype(np.int64)])
         at = np.minimum(np.searchsorted(heavy, flat[maybe]), len(heavy) - 1)
         rank[maybe] = np.where(heavy[at] == flat[maybe], counts[at], 0)
     lengths, out, start, rare = prefix_length(n, percent), [], 0, []
@@ -146,15 +151,34 @@ def bitmaps(own: list[np.ndarray]) -> np.ndarray:
     return np.packbits((turns & 1).astype(np.uint8)).view("<i8").reshape(len(own), BITS // 64)
 
 
+def heaviest(signs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that repeat, sorted, and their counts: all above the least count that leaves at most HEAVY."""
+    times = signs.where("n is null").groupBy("token").agg(F.sum("times").alias("times"))
+    times = written(times, "times")
+    most, left = None, HEAVY
+    for r in times.groupBy(F.least("times", F.lit(10_000)).alias("t")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("t")).collect():  # 10,000 rows at most
+        left -= r.k
+        if left < 0:
+            break
+        most = r.t
+    if most is None:
+        return np.zeros(0, W.U), np.zeros(0, np.int64)
+    got = times.where(F.col("times") >= most).toArrow()
+    token, n = got.column("token").to_numpy().view(W.U), got.column("times").to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
 PREFIXED = "doc long, n long, gkey long, prefix array<long>, rare long, pilot array<long>, bits array<long>"
 
 
 def prefixer(size: int, percent: int, heavy: np.ndarray, counts: np.ndarray):
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sieve(heavy)
         for batch in slices(batches, "text"):
             own = sets(batch.column("text"), size)
             n = np.array([len(s) for s in own], np.int64)
-            firsts, rare = ordered(own, heavy, counts, percent)
+            firsts, rare = ordered(own, heavy, counts, bits, percent)
             p = np.array([len(f) for f in firsts], np.int64)
             edges, flat = np.concatenate([[0], np.cumsum(p)]), np.concatenate([np.zeros(0, W.U), *firsts])
             place = np.arange(len(flat)) - np.repeat(edges[:-1], p)
@@ -349,7 +373,7 @@ def join_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFram
     pairs = part(rare, F.lit(None)).repartition(n, "token").mapInArrow(crosser(percent), PAIRED)
     pairs = pairs.union(common_pairs(written(part(common, F.col("rare")), "common"), percent))
     pairs = pairs.groupBy("a", "b").agg(F.sum("k").alias("k"), F.min("lack").alias("lack")).where("k >= lack").select("a", "b")
-    pairs = written(pairs, "groups")
+    pairs = written(pairs, "groups", large=True)
     one, two = joined.select(F.col("g").alias("a"), F.col("doc").alias("a2")), joined.select(F.col("g").alias("b"), F.col("doc").alias("b2"))
     pairs = pairs.join(small_side(one, 32), "a", "left").join(small_side(two, 32), "b", "left")
     return pairs.select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"))
@@ -365,9 +389,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     classes = own.where("n > 0 and doc is not null").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("k"))
     classes = written(classes, "classes")
     copied = classes.where("k > 1").select("k1", "k2", "n", "rep")
-    top = signs.where("n is null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(HEAVY).collect()
-    top = sorted((np.uint64(r.token & 0xFFFFFFFFFFFFFFFF), r.times) for r in top)
-    heavy, counts = np.array([t for t, _ in top], W.U), np.array([c for _, c in top], np.int64)
+    heavy, counts = heaviest(signs)
 
     reps = classes.select(F.col("rep").alias("doc"))
     prefixes = source.where("doc is not null").mapInArrow(prefixer(size, percent, heavy, counts), PREFIXED).where("n > 0")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -35,12 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to.get().rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: the lineage is cut and no executor holds the only copy."""
+def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: the lineage is cut and no executor holds the only copy.
+
+    large: the shuffles behind it are large, and are dropped at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    release(spark)
+    if large:
+        release(spark)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
@@ -48,9 +53,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of jobs that are over: it does so when their plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner drop the shuffle files of jobs that are over: it does so when their plans are collected,
+
+    which takes a second collection after the last job's end has been told to all listeners.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def drop_written(df: DataFrame) -> None:
@@ -87,6 +97,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+        pa.default_memory_pool().release_unused()
 
 
 def appended(df: DataFrame, keep: list[str], text: str, make, added: str) -> DataFrame:
