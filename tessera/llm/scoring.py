@@ -7,7 +7,7 @@ an unseen one UNSEEN / N'.
 
 Relationally: (1) the documents of a block (a run of rows) are exploded to n-grams and counted in their task; (2) counts
 meet in tables partitioned by hash, where they are added up; (3) each block's n-grams are joined to their sums, of which
-those seen at least twice go back; (4) the block's documents look theirs up and sum up by document. An n-gram is at most
+those seen at least twice go back; (4) the block's documents, in compressed bundles, look theirs up and sum up by document. An n-gram is at most
 one entry for each block, however common it is, so no key is hot; what moves grows with the input. Rows carry many
 n-grams at once: those of one block and hash range, as sorted 64-bit hashes, packed.
 
@@ -183,30 +183,45 @@ def score(texts: pa.Array, tokens: np.ndarray, totals: np.ndarray, order: int, c
     return [pa.array(n), pa.array(sums, mask=n == 0), pa.array(W.sums_by((used < longest).astype(np.int64), before))]
 
 
+HELD_DOCS = "block long, second boolean, part long, tokens binary, counts binary"
+
+
+def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of a block in compressed bundles, as less goes through the shuffle so."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in slices(batches, "text"):
+        blocks = batch.column("block").to_numpy(zero_copy_only=False)
+        order = np.argsort(blocks, kind="stable")
+        cuts = np.flatnonzero(np.append(True, blocks[order][1:] != blocks[order][:-1])).tolist()
+        for low, high in zip(cuts, [*cuts[1:], len(blocks)]):
+            own = batch.take(pa.array(order[low:high])) if len(cuts) > 1 else batch
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=options) as out:
+                out.write_batch(own)
+            data = sink.getvalue().to_pybytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(blocks[order[low]])]), pa.array([True]), pa.array([0]), pa.array([data], pa.binary()), pa.nulls(1, pa.binary())], ["block", "second", "part", "tokens", "counts"]
+            )
+
+
 def scorer(keep: list[str], order: int, corpus: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by block: first its answers by range, then its documents."""
         block, parts = None, []
         tokens = totals = np.zeros(0, W.U)
-        for batch in slices(batches, "text"):
-            blocks = batch.column("block").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])).tolist()
-            for low, high in zip(cuts, [*cuts[1:], len(blocks)]):
-                own = batch.slice(low, high - low)
-                if blocks[low] != block:
-                    block, parts = blocks[low], []
+        for batch in batches:
+            for now, second, data, counts in zip(*(batch.column(c) for c in ("block", "second", "tokens", "counts"))):
+                if now.as_py() != block:
+                    block, parts = now.as_py(), []
                     tokens = totals = np.zeros(0, W.U)
-                answers = own.column("second").to_numpy(zero_copy_only=False).argmax() if any(own.column("second").to_pylist()) else own.num_rows
-                for t, c in zip(own.column("tokens").slice(0, answers).to_pylist(), own.column("counts").slice(0, answers).to_pylist()):
-                    parts.append((unpacked(t), np.diff(unpacked(c), prepend=W.U(0))))
-                docs = own.slice(answers)
-                if not docs.num_rows:
+                if not second.as_py():
+                    parts.append((unpacked(data.as_py()), np.diff(unpacked(counts.as_py()), prepend=W.U(0))))
                     continue
                 if parts:
-                    tokens, first = np.unique(np.concatenate([tokens, *[t for t, _ in parts]]), return_index=True)
-                    totals = np.concatenate([totals, *[c for _, c in parts]])[first]
-                    parts = []
-                yield pa.RecordBatch.from_arrays([*[docs.column(c) for c in keep], *score(docs.column("text"), tokens, totals, order, corpus)], [*keep, "n_words", "log_score", "n_backoff"])
+                    tokens, first = np.unique(np.concatenate([t for t, _ in parts]), return_index=True)
+                    totals, parts = np.concatenate([c for _, c in parts])[first], []
+                for docs in pa.ipc.open_stream(data.as_buffer()):
+                    yield pa.RecordBatch.from_arrays([*[docs.column(c) for c in keep], *score(docs.column("text"), tokens, totals, order, corpus)], [*keep, "n_words", "log_score", "n_backoff"])
 
     return run
 
@@ -227,11 +242,10 @@ def stupid_backoff(docs: DataFrame, keep: list[str], key: str = "doc_id", text:
     bits = max(6, int(np.ceil(np.log2(max(1, rows / RANGE_ROWS)))))
     asked = source.select("text", "block").mapInArrow(counter(order, 64 - bits), COUNTED)
     n = partitions(spark, 1 << bits, 4)
-    answers = written(asked.repartition(n, "part").sortWithinPartitions("part").mapInArrow(summed, COUNTED), "answers")
+    answers = written(asked.repartition(n, "part").sortWithinPartitions("part").mapInArrow(summed, COUNTED), "answers", large=True)
     corpus = answers.where("part = -1").agg(F.sum("n")).first()[0] or 0
-    second = source.withColumn("second", F.lit(True)).withColumn("part", F.lit(0).cast("long")).withColumn("tokens", F.lit(None).cast("binary")).withColumn("counts", F.lit(None).cast("binary"))
-    first = answers.where("part >= 0").drop("n").withColumn("second", F.lit(False)).withColumn("text", F.lit(None).cast("string"))
-    both = second.unionByName(first, allowMissingColumns=True)
+    first = answers.where("part >= 0").select("block", F.lit(False).alias("second"), "part", "tokens", "counts")
+    both = source.mapInArrow(bundled, HELD_DOCS).union(first)
     schema = source.select(*held).schema.add("n_words", "long").add("log_score", "double").add("n_backoff", "long")
     n = partitions(spark, rows, BLOCK_ROWS // 2)
     out = both.repartition(n, "block").sortWithinPartitions("block", "second", "part").mapInArrow(scorer(held, order, corpus), schema)
