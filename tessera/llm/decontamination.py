@@ -172,4 +172,16 @@ def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_wu_manber": op7_wu_manber}
-SQL: dict[str, str] = {}
+
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL: dict[str, str] = {
+    "op7_wu_manber": f"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, {WORDS} AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, {WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, m, array_to_string(w[k:k + m - 1], ' ') AS win FROM (SELECT item, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
+dw AS (SELECT id, k, m, array_to_string(w[k:k + m - 1], ' ') AS win FROM (SELECT id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, (SELECT DISTINCT m FROM iw) WHERE len(w) >= m)),
+hit AS (SELECT id, k, m, item FROM dw JOIN iw USING (m, win)),
+words AS (SELECT id, count(DISTINCT k) AS n_hit FROM (SELECT id, unnest(range(k, k + m)) AS k FROM hit) GROUP BY 1),
+found AS (SELECT id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hit GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (id) LEFT JOIN found USING (id)"""
+}

@@ -135,4 +135,18 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_line_frequency": op9_line_frequency}
-SQL: dict[str, str] = {}
+
+SQL: dict[str, str] = {
+    "op9_line_frequency": rf"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+win AS (SELECT id, k, array_to_string(w[k:k + 2], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) > 2)),
+rep AS (SELECT id, count(DISTINCT k) AS n FROM (SELECT id, unnest(range(k, k + 3)) AS k FROM win WHERE true QUALIFY count(*) OVER (PARTITION BY id, g) > 1) GROUP BY 1),
+l AS (SELECT id, source, array_to_string(lines, chr(10)) AS body, unnest(lines) AS line FROM d),
+n AS (SELECT id, source, body, array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'), '[^\x20\x09-\x0D]+'), ' ') AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l),
+hosts AS (SELECT source, greatest({MIN_TEXTS}, count(DISTINCT array_to_string(lines, chr(10))) * {SHARE}::DOUBLE) AS most FROM d GROUP BY 1),
+often AS (SELECT n.source, line FROM n JOIN hosts h ON n.source IS NOT DISTINCT FROM h.source GROUP BY n.source, line, most HAVING count(DISTINCT body) > most),
+lost AS (SELECT id, sum(words)::BIGINT AS removed FROM n JOIN often o ON n.source IS NOT DISTINCT FROM o.source AND n.line = o.line GROUP BY 1),
+b AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(removed, 0) AS removed_words FROM d LEFT JOIN rep USING (id) LEFT JOIN lost USING (id))
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND removed_words <= {DEPLETED}::DOUBLE * n_words AS kept FROM b"""
+}

@@ -255,8 +255,21 @@ def stupid_backoff(docs: DataFrame, keep: list[str], key: str = "doc_id", text:
 def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     run = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK_ROWS))
-    return stupid_backoff(docs, ["doc_id"], block=run)
+    return stupid_backoff(docs, ["doc_id"], block=run).withColumn("log_score", F.round("log_score", 4))
 
 
 QUERIES = {"op8_stupid_backoff": op8_stupid_backoff}
-SQL: dict[str, str] = {}
+
+SQL: dict[str, str] = {
+    "op8_stupid_backoff": rf"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT id, w[k] AS w, CASE WHEN k > 1 THEN w[k - 1] END AS u FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+one AS (SELECT w, sum(n) AS total FROM (SELECT id, w, count(*) AS n FROM t GROUP BY 1, 2) GROUP BY 1), own1 AS (SELECT id, w, count(*) AS n FROM t GROUP BY 1, 2),
+own2 AS (SELECT id, u, w, count(*) AS n FROM t WHERE u IS NOT NULL GROUP BY 1, 2, 3), two AS (SELECT u, w, sum(n) AS total FROM own2 GROUP BY 1, 2),
+lens AS (SELECT id, len(w) AS n, (SELECT count(*) FROM t) AS corpus FROM d),
+s AS (SELECT t.id, u IS NOT NULL AS inner_word, n, corpus, (SELECT total FROM one WHERE one.w = t.w) - (SELECT n FROM own1 WHERE own1.id = t.id AND own1.w = t.w) AS c,
+  coalesce((SELECT total FROM one WHERE one.w = t.u) - (SELECT n FROM own1 WHERE own1.id = t.id AND own1.w = t.u), 0) AS cu,
+  coalesce((SELECT total FROM two WHERE two.u = t.u AND two.w = t.w) - (SELECT n FROM own2 WHERE own2.id = t.id AND own2.u = t.u AND own2.w = t.w), 0) AS cb FROM t JOIN lens ON lens.id = t.id),
+v AS (SELECT id, CASE WHEN cb > 0 AND cu > 0 THEN ln(cb / cu) ELSE ln((CASE WHEN c > 0 THEN c ELSE {UNSEEN} END)::DOUBLE / greatest(corpus - n, 1)) + CASE WHEN inner_word THEN ln({BACKOFF}::DOUBLE) ELSE 0 END END AS x,
+  inner_word AND NOT (cb > 0 AND cu > 0) AS back FROM s)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(sum(x), 4) AS log_score, coalesce(sum(back::INT), 0)::BIGINT AS n_backoff FROM d LEFT JOIN v USING (id) GROUP BY id, doc_id, w"""
+}
