@@ -36,7 +36,8 @@ def statistics_grid(rows: DataFrame, key: str, kind: str, kinds: list[str], valu
     """One row a key with columns `<kind>-<statistic>`."""
     got = describe(rows.where(F.col(kind).isin(kinds)), [key, kind], value)
     wide = got.groupBy(key).pivot(kind, kinds).agg(*[F.first(s).alias(s) for s in stats])
-    return wide.select(key, *[F.col(f"`{k}_{s}`").alias(f"{k}-{s}") for k in kinds for s in stats])
+    of = lambda k, s: k if len(stats) == 1 else f"{k}_{s}"
+    return wide.select(key, *[F.col(f"`{of(k, s)}`").alias(f"{k}-{s}") for k in kinds for s in stats])
 
 
 def text_grid(rows: DataFrame, row: str, label: str, labels: list[str], text: str) -> DataFrame:
