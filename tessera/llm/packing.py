@@ -31,9 +31,9 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 LIMIT = 2048
 #: Words that a worker keeps between batches.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 800_000
 #: Text that is split and encoded at a time.
-TEXT_BYTES = 10 << 20
+TEXT_BYTES = 5 << 20
 #: Stands between words that are encoded in one go; words that hold it are encoded alone.
 MARK = "\x00"
 
@@ -52,12 +52,16 @@ class Words:
 
         self.one = Tokenizer.from_file(path)
         self.mark = self.encode(MARK)
-        self.forget()
-
-    def forget(self) -> None:
         self.known = pa.array([], pa.large_string())
         self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def keep(self, places: np.ndarray) -> None:
+        """Forgets all words but those at the places."""
+        n = self.sizes[places]
+        begins = np.cumsum(n) - n
+        self.ids = self.ids[np.repeat(self.starts[places] - begins, n) + np.arange(int(n.sum()))]
+        self.known, self.starts, self.sizes = self.known.take(pa.array(places)), begins, n
+
     def encode(self, text: str) -> list[int]:
         return self.one.encode(text, add_special_tokens=False).ids
 
@@ -88,9 +92,8 @@ class Words:
     def of(self, words: pa.Array) -> np.ndarray:
         """Places of the words among the known ones."""
         new = words.filter(pc.is_null(pc.index_in(words, self.known)))
-        if len(new) and len(self.known) + len(new) > CACHE_WORDS:
-            self.forget()
-            new = words
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.keep(pc.drop_null(pc.index_in(words, self.known)).to_numpy())
         for k in range(0, len(new), 50_000):
             self.learn(new.slice(k, 50_000))
         return pc.index_in(words, self.known).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -114,7 +117,9 @@ def token_ids(texts: pa.Array, words: Words, end_id: int) -> tuple[np.ndarray, n
     edges = split.offsets.to_numpy() - split.offsets[0].as_py()
     which = np.insert(coded.indices.to_numpy(zero_copy_only=False), edges[1:], len(places))
     n = sizes[which]
-    ids = flat[np.repeat(begins[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    at = np.repeat(begins[which] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    ids = flat[at]
     total = np.concatenate([[0], np.cumsum(n)])
     ends = edges[1:] + np.arange(1, len(edges))
     return ids, np.diff(np.concatenate([[0], total[ends]]))
