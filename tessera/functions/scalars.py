@@ -98,6 +98,12 @@ def stem(name: Column) -> Column:
     return F.when(base.rlike(r"(?i)\.midi?"), F.regexp_replace(base, r"(?i)\.midi?.*$", "")).otherwise(F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""))
 
 
+def run_folder(key: Column) -> Column:
+    """interval_I_gen_frame_G/rest of a key intervalI_genG_rest; other keys as they are."""
+    pattern = r"^interval(\d+)_gen(\d+)_(.*)$"
+    return F.when(key.rlike(pattern), F.regexp_replace(key, pattern, "interval_$1_gen_frame_$2/$3")).otherwise(key)
+
+
 def report_id(name: Column) -> Column:
     """The tokens before the token `prompt`, six at most."""
     parts = F.split(name, "_")

@@ -391,6 +391,17 @@ def path_parameters(spark, d):
     return V.run_names(spark, d).select("k", S.run_parameters(F.col("name")).alias("x")).select("k", "x.*")
 
 
+@query(
+    r"""SELECT k, CASE WHEN regexp_matches(name, 'interval[_-]?\d+') AND regexp_matches(name, 'gen[_-]?frame[_-]?\d+') THEN regexp_extract(name, 'interval[_-]?(\d+)', 1)::BIGINT END AS interval,
+  nullif(regexp_extract(name, '(?i)^.*gen[_-]?frame[_-]?(\d+)', 1), '')::BIGINT AS frames, regexp_replace(replace(name, '-', '_'), '^interval(\d+)_gen(\d+)_(.*)$', 'interval_\1_gen_frame_\2/\3') AS folder FROM names""",
+    V.RUN_NAMES,
+)
+def path_key_strict(spark, d):
+    n = F.col("name")
+    rows = V.run_names(spark, d).select("k", S.strict_interval_gen(n, F.lit("")).alias("x"), S.nearest_frames(n).alias("frames"), S.run_folder(F.translate(n, "-", "_")).alias("folder"))
+    return rounded(rows.select("k", "x.interval", "frames", "folder"))
+
+
 @query(
     r"""SELECT k, coalesce(nullif(right(regexp_replace(regexp_replace(regexp_replace(replace(name, '..', '_'), '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 200), ''), 'batch_run') AS file_name,
   CASE WHEN regexp_matches(b, '(?i)\.midi?') THEN regexp_replace(b, '(?i)\.midi?.*$', '') ELSE regexp_replace(b, '(.)\.[^.]*$', '\1') END AS stem,

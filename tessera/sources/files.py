@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import at_path, first_key, last_parts, nearest_frames
+from tessera.functions.scalars import at_path, first_key, last_parts, nearest_frames, number, report_id
 
 CHORDS = "s0 double, s1 double, label string"
 PHRASES = "accompaniment_path string, events array<struct<time: double, duration: double>>"
@@ -101,6 +101,28 @@ def run_config(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim(F.get(parts, F.lit(0))).alias("label"), F.trim(F.get(parts, F.lit(1))).alias("path")).where("label != '' and path != ''")
 
 
+def child_folders(listed: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """name of the folders right below root that hold files, without those that start with `offline`."""
+    tail = F.regexp_extract(path, r"^(?:file:/*)?/*\Q" + root.strip("/") + r"\E/([^/]+)/", 1)
+    return listed.select(tail.alias("name")).where("name != '' and not startswith(name, 'offline')").distinct().orderBy("name")
+
+
+def prompt_folders(listed: DataFrame, inner: tuple[str, str], path: str = "path") -> DataFrame:
+    """folder, prompt of folders promptN that hold files in both inner folders."""
+    rows = listed.select(F.regexp_extract(path, r"^(.*/prompt[0-9]+)/[^/]+/", 1).alias("folder"), F.regexp_extract(path, r"/prompt[0-9]+/([^/]+)/", 1).alias("inner"))
+    sides = [rows.where(F.col("inner") == x).select("folder").distinct() for x in inner]
+    both = sides[0].join(sides[1], "folder", "left_semi")
+    return both.select("folder", F.regexp_extract("folder", r"/prompt([0-9]+)$", 1).cast("int").alias("prompt"))
+
+
+def collected(docs: DataFrame) -> DataFrame:
+    """id, filename and the three numbers of each entry of `collected`, null where missing."""
+    body = docs.select(F.try_variant_get("doc", "$.collected", "variant").alias("b")).where("b is not null")
+    rows = body.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("b").outer()))
+    name = at_path(F.col("value"), "filename", "string")
+    return rows.select(report_id(name).alias("id"), name.alias("filename"), *[number(at_path(F.col("value"), k)).alias(k) for k in ("global_hit_rate", "global_avg_backup", "ISR_w")])
+
+
 def report(spark: SparkSession, path: str) -> DataFrame:
     """A report's CSV: header row, all texts."""
     return spark.read.option("header", True).csv(path)

@@ -137,6 +137,8 @@ def test_names(spark):
     assert S.header(["Prompt", "ISR_w"], "isr w") == "ISR_w" and S.header(["abc"], "x") is None
     frames = df.limit(1).select(S.nearest_frames(F.lit("a/gen_frame_3/b_gen-frame-5/c"))).first()[0]
     assert frames == 5
+    folders = df.limit(1).select(S.run_folder(F.lit("interval2_gen5_prompt1_x")).alias("a"), S.run_folder(F.lit("offline_1")).alias("b")).first()
+    assert tuple(folders) == ("interval_2_gen_frame_5/prompt1_x", "offline_1")
     assert df.limit(1).select(S.report_id(F.lit("a_b_c_prompt3_x"))).first()[0] == "a_b_c"
 
 
@@ -184,7 +186,7 @@ TEXT = """Accompaniment:
       mean: 0.25
   Chord Accuracy:
       mean: 0.75
-  Prompt PolyDis:
+  Prompt Latents:
     txt mean distance:
       mean: 3.5
       max: 9
@@ -199,7 +201,7 @@ def test_printed_summaries(spark):
     assert [(r.p, r.metric, r.q1, r.max) for r in blocks] == [(1, "Pitch JSD", 0.15, 0.4)]
     assert {r.p: r.frechet for r in reshape.frechet_line(df, ["p"], "t").collect()} == {1: 12.5, 2: None, 3: None}
     assert {r.ratio: r.mean for r in reshape.ratio_means(df, ["p"], "t").collect()} == {"consonant ratio": 0.5, "unsupported ratio": 0.25}
-    got = reshape.section_means(df, ["p"], "t", {"Prompt PolyDis": "continuation"}, "txt mean distance").collect()
+    got = reshape.section_means(df, ["p"], "t", {"Prompt Latents": "continuation"}, "txt mean distance").collect()
     assert [(r.p, r.section, r.mean) for r in got] == [(1, "continuation", 3.5)]
 
 

@@ -123,3 +123,14 @@ def test_likelihood_grid_of_files(spark, tmp_path):
     write(tmp_path / "x.nll.json", {"f": {"avg_nll": 1.0, "total_nll": 2, "total_tokens": 2}})
     docs = files.documents(files.texts(spark, str(tmp_path), "*.nll.json"))
     assert likelihood.run_means(likelihood.records(docs, ["path"]), ["path"]).first().weighted_ave_nll == 1.0
+
+
+def test_folders(spark, tmp_path):
+    for p in ("prompt3/gen/a", "prompt3/gt/b", "prompt4/gen/c", "offline_x/gen/d", "k/e"):
+        write(tmp_path / p, "x")
+    listed = files.listing(spark, str(tmp_path))
+    assert [r.name for r in files.child_folders(listed, str(tmp_path)).collect()] == ["k", "prompt3", "prompt4"]
+    assert [(r.folder.rsplit("/", 1)[1], r.prompt) for r in files.prompt_folders(listed, ("gen", "gt")).collect()] == [("prompt3", 3)]
+    doc = '{"collected": [{"filename": "a_b_prompt2_x", "ISR_w": 0.5, "global_hit_rate": "nan"}, 3]}'
+    docs = spark.createDataFrame([(doc,)], "text string").withColumn("doc", F.try_parse_json("text"))
+    assert [tuple(r) for r in files.collected(docs).where("filename is not null").collect()] == [("a_b", "a_b_prompt2_x", None, None, 0.5)]
