@@ -540,3 +540,42 @@ def beat_chords(spark, d):
     beats = beats.withColumn("b0", F.col("beat") * 0.5).withColumn("b1", F.col("b0") + 0.5)
     out = vectors.beat_chords(notes, beats, ["piece_id"])
     return rounded(out.select("piece_id", "beat", "root", "bass", F.aggregate("chroma", F.lit(0), lambda a, x: a + x).alias("n_classes")))
+
+
+@query("SELECT run, 'Pitch JSD' AS metric, round(x / 4, 4) AS min, round(x / 2, 4) AS q1, round(x, 4) AS median, round(x + 1, 4) AS q3, round(x + 2, 4) AS max FROM printed", V.PRINTED)
+def printed_divergences(spark, d):
+    return rounded(reshape.divergence_blocks(V.printed(spark, d), ["run"], "text"), 4)
+
+
+@query("SELECT run, CASE WHEN run % 5 > 0 THEN round(x * 8, 4) END AS frechet FROM printed", V.PRINTED)
+def printed_frechet(spark, d):
+    return rounded(reshape.frechet_line(V.printed(spark, d), ["run"], "text"), 4)
+
+
+@query("SELECT run, 'consonant ratio' AS ratio, round(x / 2, 4) AS mean FROM printed UNION ALL SELECT run, 'unsupported ratio', round(x / 8, 4) FROM printed", V.PRINTED)
+def printed_ratios(spark, d):
+    return rounded(reshape.ratio_means(V.printed(spark, d), ["run"], "text"), 4)
+
+
+@query("SELECT run, 'continuation' AS section, round(x + 3, 4) AS mean FROM printed", V.PRINTED)
+def printed_section_means(spark, d):
+    return rounded(reshape.section_means(V.printed(spark, d), ["run"], "text", {"Prompt Latents": "continuation"}, "txt mean distance"), 4)
+
+
+@query("SELECT name, row_number() OVER (ORDER BY regexp_extract(lower(name), '^[a-z]+'), regexp_extract(name, '[0-9]+')::INT, name) AS place FROM (SELECT (CASE WHEN n_nationkey % 2 = 0 THEN 'Run' ELSE 'gen' END) || (n_nationkey * 7 % 31)::VARCHAR AS name FROM nation)")
+def natural_order(spark, d):
+    from pyspark.sql import Window
+
+    k = F.col("n_nationkey")
+    rows = V.table(spark, d, "nation").select(F.concat(F.when(k % 2 == 0, "Run").otherwise("gen"), (k * 7 % 31).cast("string")).alias("name"))
+    return rounded(rows.select("name", F.row_number().over(Window.orderBy(S.natural_key(F.col("name")), "name")).alias("place")))
+
+
+@query("SELECT run, epoch(start)::BIGINT AS start, n, round(hit_rate, 6) AS hit_rate FROM (SELECT user_id % 20 AS run, date_trunc('day', ts) AS start, count(*) AS n, avg((event_type <> 'error')::INT) AS hit_rate FROM events GROUP BY 1, 2)")
+def tick_windows(spark, d):
+    from tessera.streaming.ticks import windowed
+
+    e = V.table(spark, d, "events")
+    rows = e.select(F.col("ts"), (F.col("user_id") % 20).alias("run"), (F.col("event_type") != "error").alias("is_hit"), F.lit(1.0).alias("backup_level"))
+    out = rounded(windowed(rows, ["run"], window="1 day"))
+    return out.select("run", F.col("start").cast("long").alias("start"), "n", "hit_rate")

@@ -94,3 +94,21 @@ RUN_NAMES = """names AS (SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN '
   WHEN 3 THEN 'gen_' || (c_custkey % 9)::VARCHAR || '..x__y'
   WHEN 4 THEN 'a/interval_' || (c_custkey % 12)::VARCHAR || '_gen_frame_' || (c_custkey % 9)::VARCHAR || '/prompt_' || (c_custkey % 9)::VARCHAR || '_gen_' || (c_custkey % 12)::VARCHAR || '/out.mid.mid'
   ELSE 'offline_' || (c_custkey % 9)::VARCHAR || '.MIDI' END AS name FROM customer)"""
+
+
+def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries as a run prints them, with numbers of suppliers."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run"), (F.col("s_suppkey") % 64 / 64).alias("x"))
+    number = lambda c: F.format_string("%.4f", c)
+    x = F.col("x")
+    five = [F.concat(F.lit(f"    {k}: "), number(v)) for k, v in (("mean", x), ("min", x / 4), ("q1", x / 2), ("median", x), ("q3", x + 1), ("max", x + 2))]
+    frechet = F.when(F.col("run") % 5 == 0, "n/a").otherwise(number(x * 8))
+    ratios = [y for k, v in (("consonant", x / 2), ("unsupported", x / 8)) for y in (F.lit(f"    {k} ratio:"), F.concat(F.lit("      mean: "), number(v)))]
+    text = F.concat_ws(
+        "\n", F.lit("Accompaniment:"), F.lit("  Pitch JSD:"), *five, F.lit("  Onset JSD:"), F.lit("    min: n/a"), F.concat(F.lit("  Frechet Music Distance: "), frechet), F.lit("  Harmonicity:"), *ratios,
+        F.lit("  Chord Accuracy:"), F.lit("      mean: 9.0"), F.lit("  Prompt Latents:"), F.lit("    txt mean distance:"), F.concat(F.lit("      mean: "), number(x + 3)), F.lit("      max: 9"), F.lit("    chd mean distance:"), F.lit("      mean: 1"),
+    )
+    return s.select("run", text.alias("text"))
+
+
+PRINTED = "printed AS (SELECT s_suppkey AS run, s_suppkey % 64 / 64.0::DOUBLE AS x FROM supplier)"
