@@ -33,7 +33,7 @@ LIMIT = 2048
 #: Words that a worker keeps between batches.
 CACHE_WORDS = 800_000
 #: Text that is split and encoded at a time.
-TEXT_BYTES = 5 << 20
+TEXT_BYTES = 4 << 20
 #: Stands between words that are encoded in one go; words that hold it are encoded alone.
 MARK = "\x00"
 
@@ -91,12 +91,19 @@ class Words:
 
     def of(self, words: pa.Array) -> np.ndarray:
         """Places of the words among the known ones."""
-        new = words.filter(pc.is_null(pc.index_in(words, self.known)))
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.keep(pc.drop_null(pc.index_in(words, self.known)).to_numpy())
+        found = pc.index_in(words, self.known)
+        known, places = pc.is_valid(found).to_numpy(zero_copy_only=False), found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(~known)
+        if len(self.known) + len(missing) > CACHE_WORDS:
+            self.keep(places[known])
+            places[known] = np.arange(len(self.known))
+        new = words.take(pa.array(missing))
+        order = np.argsort(pc.match_substring(new, MARK).to_numpy(zero_copy_only=False), kind="stable")  # as learn() takes them
+        places[missing[order]] = len(self.known) + np.arange(len(missing))
+        new = new.take(pa.array(order))
         for k in range(0, len(new), 50_000):
             self.learn(new.slice(k, 50_000))
-        return pc.index_in(words, self.known).to_numpy(zero_copy_only=False).astype(np.int64)
+        return places
 
 
 def kept_words(path: str) -> Words:
