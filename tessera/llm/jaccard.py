@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words as W
 from tessera.llm.components import smallest
-from tessera.llm.shared import partitions, shared_dir, slices, small_side, table, written
+from tessera.llm.shared import drop_written, partitions, shared_dir, slices, small_side, table, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -329,8 +329,9 @@ def common_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     Here a pair passes by the places of the shingle in both prefixes: were it the first shared one, enough could follow.
     """
+    # the main label must not depend on the order of rows, as both sides of the join work it out
     by_label = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
-    mains = by_label.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", "k").alias("main"), F.sum("k").alias("k")).where("labels > 1")
+    mains = by_label.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("k")).where("labels > 1")
     mains = F.broadcast(mains.select("token", "main", (F.col("k") / 5000).cast("long").alias("salts")))  # HEAVY rows at most
     rows = rows.join(mains, "token")
     left = rows.where("label != main").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts")))).alias("x")
@@ -402,6 +403,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     first = written(linked(written(pilot_pairs(prefixes, percent), "pairs"), source, size, percent), "links")
     labels = smallest(first)
     pairs = written(not_apart(join_pairs(prefixes, labels, percent), prefixes, percent), "pairs")
+    drop_written(prefixes)
     second = linked(pairs, source, size, percent)
     found = smallest(labels.unionByName(second))
 

@@ -96,3 +96,12 @@ def test_components(spark):
         up[high] = low
     got = {r.u: r.v for r in C.smallest(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: root(k) for k in up if root(k) != k}
+
+
+def test_common_shingles(spark):
+    """Pairs of different labels over a shingle, whichever label is the main one; ties between labels included."""
+    rows = [(t, g, 70, 10, label) for t, own in enumerate(([(1, 1), (2, 2)], [(9, 9), (3, 3)], [(1, 1), (2, 1), (3, 3), (4, 4)])) for g, label in own]
+    for n in (1, 4):
+        df = spark.createDataFrame(rows, J.ENTRY).repartition(n)
+        got = {(r.a, r.b) for r in J.common_pairs(df, 75).collect()}
+        assert got == {(1, 2), (3, 9), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)}
