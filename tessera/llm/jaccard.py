@@ -45,7 +45,7 @@ PERCENT = 75
 #: Common shingles with a place of their own in the order; counts that repeat so often in COUNTED shingles of a task.
 HEAVY = 1 << 20
 REPEATS = 2
-COUNTED = 2 << 20
+COUNTED = 1 << 20
 #: Bits of a set's bitmap.
 BITS = 1024
 #: Prefix shingles by which documents meet in the pilot.

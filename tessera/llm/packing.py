@@ -101,8 +101,8 @@ class Words:
         order = np.argsort(pc.match_substring(new, MARK).to_numpy(zero_copy_only=False), kind="stable")  # as learn() takes them
         places[missing[order]] = len(self.known) + np.arange(len(missing))
         new = new.take(pa.array(order))
-        for k in range(0, len(new), 50_000):
-            self.learn(new.slice(k, 50_000))
+        for k in range(0, len(new), 8_000):
+            self.learn(new.slice(k, 8_000))
         return places
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -84,6 +85,14 @@ def partitions(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
+def give_back() -> None:
+    """Returns memory that Arrow's pool and the C library hold free to the system, for the executor's other processes."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows of at most `most` bytes in the string column (a longer row alone)."""
     for batch in batches:
@@ -97,7 +106,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def appended(df: DataFrame, keep: list[str], text: str, make, added: str) -> DataFrame:
