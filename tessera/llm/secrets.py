@@ -1,6 +1,6 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
-Candidates are provider keys, values assigned to a secret's name, and long mixed strings. A text is cut at its
+Candidates are provider keys, values after a secret's name or after '=', and long mixed strings, all whole. A text is cut at its
 candidates, so each one's place and neighbours come from the pieces around it; features and the forest (nested IFs)
 are evaluated inside the row. Nothing is shuffled, and a text with many candidates stays one row.
 
@@ -29,8 +29,19 @@ REDACTED = "<secret>"
 
 PROVIDER = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
 NAME = r"(?:passw(?:or)?d|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)"
-#: A value: after a secret's name and a sign (not part of the match), a provider's key, or a long run with a digit.
-CANDIDATE = rf"""(?<![A-Za-z0-9])(?:{PROVIDER})|(?<=[:=\s"'])(?<=[:=][\s"']{{0,3}})(?i:(?<={NAME}["']{{0,1}}\s{{0,2}}[:=]\s{{0,2}}["']{{0,1}}))[^\s"'<>,;]{{6,256}}|(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_-]{{0,64}}[0-9])[A-Za-z0-9+/_-]{{20,256}}"""
+
+
+def run(chars: str, least: int) -> str:
+    """A whole run of those characters, however long, up to a provider's key within it."""
+    return rf"(?:(?!(?<![A-Za-z0-9])(?:{PROVIDER})){chars}){{{least},}}+"
+
+
+NAMED = rf"(?i:(?<={NAME}[\"']{{0,1}}\s{{0,2}}[:=]\s{{0,2}}[\"']{{0,1}})){run(r"""[^\s"'<>,;]""", 6)}"
+ASSIGNED = rf"(?<=[A-Za-z0-9_.\]-][\"']{{0,1}}\s{{0,2}}=\s{{0,2}}[\"']{{0,1}}){run(r"""[^\s"'<>,;&]""", 6)}"
+LONG = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]){run('[A-Za-z0-9+/_-]', 20)}"
+#: A value: a provider's key, what stands after a sign (not part of the match) and a secret's name or after '=' and any
+#: name, or a long run with a digit.
+CANDIDATE = rf"""(?<![A-Za-z0-9])(?:{PROVIDER})|(?<=[:=\s"'])(?<=[:=][\s"']{{0,3}})(?:{NAMED}|{ASSIGNED})|{LONG}"""
 
 #: What every candidate has: a digit, a sign or a provider's mark. Most texts have none and need no closer look.
 QUICK = r"[0-9:=]|-----BEGIN|AKIA|gh[pousr]_|xox[abprs]-|sk-|eyJ"

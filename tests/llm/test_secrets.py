@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 import pytest
 
@@ -44,6 +46,18 @@ def test_places_and_redaction(spark, forest, docs, odd_docs, no_docs):
     assert S.scan(no_docs, forest, ["doc_id"]).count() == 0
 
 
+def test_values_are_whole(spark, forest):
+    """Long values leave no tail, a late digit counts, and the forest sees values after any name."""
+    rng = random.Random(5)
+    made = lambda n, chars=string.ascii_letters + string.digits: "".join(rng.choice(chars) for _ in range(n))
+    akia = "AKIA" + made(16, string.ascii_uppercase + string.digits)
+    parts = [("token=", made(400)), ("token=", made(100_000)), ("see ", made(90, string.ascii_letters) + made(40)), ("AccountKey=", made(86)), ("DB_PASS=", made(12) + "!7"), ("https://a.b/c?sv=2020&sig=", made(44)), ("u@", made(40)), ("x.", made(40)), ("u=https://h.x/?k=", akia)]
+    rows = [(k, f"{before}{value} end", "src0") for k, (before, value) in enumerate(parts)]
+    got = {r.doc_id: r for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), forest, ["doc_id"]).collect()}
+    for k, (before, value) in enumerate(parts):
+        assert [f.value for f in got[k].findings if f.secret] == [value] and got[k].redacted_text == f"{before}{S.REDACTED} end"
+
+
 def test_planted_tokens_are_found(spark, forest):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = {r.doc_id for r in docs.collect() if re.search(r"AKIA[0-9A-Z]{16}|(?:token = \"|password=)[0-9a-f]{16,}", r.text)}
