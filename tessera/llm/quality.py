@@ -3,7 +3,8 @@
 Each text gives its base counts and the hashes of its normalised lines (lower-cased A-Z, digits as 0, white space
 dropped between words). Lines are counted over distinct texts of a host, so exact copies of a page don't make their own
 lines frequent. A line in more texts than the host's limit (the larger of MIN_TEXTS and SHARE of its texts) is removed,
-and a document that loses more than DEPLETED of its words is rejected.
+and a document that loses more than DEPLETED of its words is rejected. The removed lines come out by number; where the
+text is kept, it also comes out without them.
 
 Counting pre-aggregates in each task, so a hot host or line is one row from each task. Frequent lines are few by
 construction (each takes more than SHARE of a host's texts); they are joined by broadcast below a checked size, else by
@@ -27,13 +28,17 @@ MIN_WORDS = 50
 MIN_TEXTS = 20
 SHARE = 0.05
 DEPLETED = 0.5
+#: Frequent lines up to which tasks look them up by themselves; of more, a join finds those of each text.
+FEW = 500_000
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 NORMAL = W.LOWER.copy()
 NORMAL[0x30:0x3A] = 0x30
 
-ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, lines array<long>, line_words array<long>"
+ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, lines array<long>, line_words array<long>, line_numbers array<long>"
+
+CLEANED = ADDED[: ADDED.index(", text_hash")] + ", removed_lines array<long>, removed_words long, clean_text string"
 
 
 def repeats(keys: np.ndarray) -> np.ndarray:
@@ -88,16 +93,12 @@ def measured(texts: pa.Array, _rows=None) -> list[pa.Array]:
     line = W.mix(W.sums_by(word, np.concatenate([first, [len(starts)]]))) if len(first) else np.zeros(0, W.U)
     nth_word = first - before[line_owner]
     text_hash = W.mix(W.sums_by(W.mix(raw) * W.mix(nth_word.astype(W.U) + W.U(1)), edges))
-    order = np.lexsort((line, line_owner))
-    line, line_owner, n_of = line[order], line_owner[order], (last - first)[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (line_owner[1:] != line_owner[:-1])
-    at = np.flatnonzero(new)
-    per_line = np.add.reduceat(n_of, at) if len(at) else n_of
-    edges = np.searchsorted(line_owner[at], np.arange(n + 1))
+    breaks = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(data == 0x0A, out=breaks[1:])
+    number = breaks[line_start[real]] - breaks[offsets[line_owner]]
     return [
         pa.array(np.diff(before)), pa.array(word_chars), pa.array(symbols), pa.array(n_dup), pa.array(n_repeat),
-        pa.array(text_hash.view(np.int64)), lists(line[at].view(np.int64), edges), lists(per_line, edges),
+        pa.array(text_hash.view(np.int64)), lists(line.view(np.int64), edges), lists(last - first, edges), lists(number, edges),
     ]
 
 
@@ -108,33 +109,82 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 def frequent_lines(rows: DataFrame, host: str, min_texts: int, share: float) -> DataFrame:
     """(host, line) of the lines in more distinct texts of the host than its limit."""
     texts = rows.groupBy(host, "text_hash").agg(F.first("lines").alias("lines"))
-    counts = texts.select(host, F.explode("lines").alias("line")).groupBy(host, "line").agg(F.count(F.lit(1)).alias("texts"))
+    counts = texts.select(host, F.explode(F.array_distinct("lines")).alias("line")).groupBy(host, "line").agg(F.count(F.lit(1)).alias("texts"))
     counts = counts.where(F.col("texts") > min_texts)
     limits = texts.groupBy(host).agg(F.greatest(F.lit(min_texts), F.count(F.lit(1)) * share).alias("limit"))
     same = counts[host].eqNullSafe(limits[host])
     return counts.join(limits, same).where("texts > limit").select(counts[host], "line")
 
 
+def without_lines(texts: pa.Array, rows: pa.RecordBatch) -> list[pa.Array]:
+    """The texts without the lines whose numbers are in removed_lines."""
+    out = texts.to_pylist()
+    for k, removed in enumerate(rows.column("removed_lines").to_pylist()):
+        if removed:
+            gone = set(removed)
+            out[k] = "\n".join(line for n, line in enumerate(out[k].split("\n")) if n not in gone)
+    return [pa.array(out, pa.string())]
+
+
+def cleaned(often: dict[str | None, np.ndarray]):
+    """The base counts of texts, and their lines that are frequent in their host (_host)."""
+    none = np.zeros(0, np.int64)
+
+    def one(texts: pa.Array, rows: pa.RecordBatch) -> list[pa.Array]:
+        *counts, _, lines, words, numbers = measured(texts)
+        edges = lines.offsets.to_numpy()
+        line, n_of, number = (x.values.to_numpy() for x in (lines, words, numbers))
+        removed, lost = [], []
+        for k, host in enumerate(rows.column("_host").to_pylist()):
+            own = slice(edges[k], edges[k + 1])
+            hit = np.isin(line[own], often[host]) if host in often else None
+            removed.append(none if hit is None else number[own][hit])
+            lost.append(0 if hit is None else int(n_of[own][hit].sum()))
+        gone = pa.array(removed, pa.list_(pa.int64()))
+        text = without_lines(texts, pa.RecordBatch.from_arrays([gone], ["removed_lines"]))
+        return [*counts, gone, pa.array(lost, pa.int64()), *text]
+
+    return one
+
+
 def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", min_words: int = MIN_WORDS, min_texts: int = MIN_TEXTS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
-    """keep, with the base counts, removed_words (in frequent lines), base_failed and kept."""
-    keep = [c for c in keep if c not in ("_row", "_host", "base_failed", "kept", "removed_words")]
-    rows = measure(docs.withColumn("_host", F.col(host)), [*keep, "_host"], text).withColumn("_row", F.monotonically_increasing_id())
+    """keep, with the base counts, removed_lines (numbers, from 0, of the text's frequent lines), removed_words, base_failed and kept; with the text in keep also clean_text, the text without them."""
+    keep = [c for c in keep if c not in ("_row", "_host", "base_failed", "kept", "removed_lines", "removed_words", "clean_text")]
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    passed = ~F.col("base_failed") & (F.col("removed_words") <= depleted * F.col("n_words"))
+    docs = docs.withColumn("_host", F.col(host))
+    if text in keep:  # texts are neither written nor shuffled where the frequent lines are few: a second reading removes them
+        often = written(frequent_lines(written(measure(docs, ["_host"], text), "quality"), "_host", min_texts, share), "lines")
+        few = often.limit(FEW + 1).collect()
+        if len(few) <= FEW:
+            own: dict[str | None, list[int]] = {}
+            for r in few:
+                own.setdefault(r[0], []).append(r[1])
+            held = {h: np.array(x, np.int64) for h, x in own.items()}
+            out = appended(docs, [*keep, "_host"], text, lambda: cleaned(held), CLEANED).drop("_host")
+            return out.withColumn("base_failed", failed).withColumn("kept", passed)
+    rows = measure(docs, [*keep, "_host"], text).withColumn("_row", F.monotonically_increasing_id())
     rows = written(rows, "quality")
     often = written(frequent_lines(rows, "_host", min_texts, share), "lines")
-    lines = rows.select("_row", F.col("_host").alias("h"), F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("_row", "h", F.col("l.lines").alias("l"), F.col("l.line_words").alias("n"))
+    lines = rows.select("_row", F.col("_host").alias("h"), F.explode(F.arrays_zip("lines", "line_words", "line_numbers")).alias("l")).select("_row", "h", F.col("l.lines").alias("l"), F.col("l.line_words").alias("n"), F.col("l.line_numbers").alias("k"))
     often = small_side(often, 64)
-    lost = lines.join(often, lines.h.eqNullSafe(often._host) & (lines.l == often.line)).groupBy("_row").agg(F.sum("n").alias("removed_words"))
-    out = rows.drop("lines", "line_words", "text_hash", "_host").join(lost, "_row", "left").drop("_row")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    lost = lines.join(often, lines.h.eqNullSafe(often._host) & (lines.l == often.line)).groupBy("_row").agg(F.sum("n").alias("removed_words"), F.sort_array(F.collect_list("k")).alias("removed_lines"))
+    out = rows.drop("lines", "line_words", "line_numbers", "text_hash", "_host").join(lost, "_row", "left").drop("_row")
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long")).withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= depleted * F.col("n_words")))
+    out = out.withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<long>")))
+    out = out.withColumn("kept", passed)
+    return appended(out, out.columns, text, lambda: without_lines, "clean_text string") if text in keep else out
 
 
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
-QUERIES = {"op9_line_frequency": op9_line_frequency}
+def op9_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), ["doc_id", "text"]).select("doc_id", "kept", "removed_lines", "clean_text")
+
+
+QUERIES = {"op9_line_frequency": op9_line_frequency, "op9_clean_text": op9_clean_text}
 
 SQL: dict[str, str] = {
     "op9_line_frequency": rf"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,

@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from tessera.llm import quality as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,3 +55,28 @@ def test_depleted(spark):
     out = Q.judge(df, ["doc_id"]).collect()
     assert {r.doc_id for r in out if r.removed_words} == set(range(60))
     assert {r.doc_id for r in out if r.kept} == {100, 101, 102}
+
+
+@pytest.mark.parametrize("few", [Q.FEW, 0])
+def test_frequent_lines_are_removed(spark, docs, odd_docs, monkeypatch, few):
+    monkeypatch.setattr(Q, "FEW", few)
+    for df, least in ((docs, 2), (odd_docs, 0)):
+        rows = df.collect()
+        texts, n = defaultdict(set), defaultdict(Counter)
+        for r in rows:
+            texts[r.source].add(r.text or "")
+        for host, own in texts.items():
+            for t in own:
+                n[host].update({normal(x) for x in t.split("\n")} - {""})
+        want, cut = [], 0
+        for r in rows:
+            lines = list(enumerate((r.text or "").split("\n")))
+            gone = [k for k, x in lines if n[r.source][normal(x)] > least]
+            cut += bool(gone)
+            want.append((r.doc_id, gone, None if r.text is None else "\n".join(x for k, x in lines if k not in gone)))
+        got = Q.judge(df, ["doc_id", "text"], min_texts=least, share=0.0).collect()
+        key = lambda x: (x[0], str(x))
+        assert cut and sorted(((r.doc_id, r.removed_lines, r.clean_text) for r in got), key=key) == sorted(want, key=key)
+        plain = Q.judge(df, ["doc_id"], min_texts=least, share=0.0)
+        cols = plain.columns
+        assert sorted(map(str, plain.collect())) == sorted(map(str, Q.judge(df, ["doc_id", "text"], min_texts=least, share=0.0).select(cols).collect()))
