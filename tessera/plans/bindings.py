@@ -542,6 +542,20 @@ def beat_chords(spark, d):
     return rounded(out.select("piece_id", "beat", "root", "bass", F.aggregate("chroma", F.lit(0), lambda a, x: a + x).alias("n_classes")))
 
 
+WHOLE_BEATS = BEATS.replace("SELECT DISTINCT piece_id, k AS beat", "SELECT piece_id, k AS beat").replace("FROM notes, range(24) AS r(k)", "FROM (SELECT piece_id, unnest(range(ceil(max(t1) / 0.5)::BIGINT)) AS k FROM notes GROUP BY 1)")
+
+
+@query("SELECT piece_id, beat, first(pc ORDER BY w DESC, pc) AS root, min(low) AS bass, count(*) AS n_classes FROM c GROUP BY 1, 2", V.NOTES, WHOLE_BEATS)
+def beat_chords_whole(spark, d):
+    """Chords of all beats up to each piece's last note end."""
+    notes = V.notes(spark, d)
+    beats = notes.groupBy("piece_id").agg(F.ceil(F.max("t1") / 0.5).alias("n")).where("n > 0")
+    beats = beats.select("piece_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("beat"))
+    beats = beats.withColumn("b0", F.col("beat") * 0.5).withColumn("b1", F.col("b0") + 0.5)
+    out = vectors.beat_chords(notes, beats, ["piece_id"])
+    return rounded(out.select("piece_id", "beat", "root", "bass", F.aggregate("chroma", F.lit(0), lambda a, x: a + x).alias("n_classes")))
+
+
 @query("SELECT run, 'Pitch JSD' AS metric, round(x / 4, 4) AS min, round(x / 2, 4) AS q1, round(x, 4) AS median, round(x + 1, 4) AS q3, round(x + 2, 4) AS max FROM printed", V.PRINTED)
 def printed_divergences(spark, d):
     return rounded(reshape.divergence_blocks(V.printed(spark, d), ["run"], "text"), 4)

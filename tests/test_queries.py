@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tessera.plans import bindings
+from tessera.plans import views as V
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -32,6 +33,13 @@ def test_query(spark, sf_dir, con, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(plain(r[k]) for k in at) for r in want.fetchall())
 
 
+def test_beats_reach_the_last_note(spark, sf_dir, con):
+    """The notes' beats, by brute force: each beat in which a note sounds is there."""
+    want = {(p, b) for p, t0, t1 in con.sql(f"WITH {V.NOTES} SELECT piece_id, t0, t1 FROM notes").fetchall() for b in range(math.floor(t0 / 0.5), math.ceil(t1 / 0.5)) if t1 > t0}
+    assert max(b for _, b in want) > 23
+    assert {(r.piece_id, r.beat) for r in bindings.QUERIES["beat_chords_whole"](spark, sf_dir).collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
