@@ -39,7 +39,7 @@ def test_stages_against_brute_force(spark, planted, sf_dir):
             want = [r for r in rows if any(map(str.isalpha, r.text or ""))]
             assert sorted(got, key=str) == sorted(want, key=str) and 906 in {r.doc_id for r in got}
         elif name == "near_duplicates":
-            roots = {k: root for k, _, root in groups([(r.doc_id, r.text) for r in rows])}
+            roots = {k: root for k, _, root, _ in groups([(r.doc_id, r.text) for r in rows])}
             assert sorted(r.doc_id for r in got) == sorted(k for k, root in roots.items() if k == root)
         elif name == "benchmark":
             assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in rows if not hits(r.text, items)[1])
