@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import scoring as S
@@ -38,12 +39,13 @@ def brute(texts, order):
 
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_against_brute_force(docs, odd_docs, order, monkeypatch):
-    monkeypatch.setattr(S, "BLOCK_ROWS", 32)
-    for df in (docs.limit(80), odd_docs.dropDuplicates(["doc_id"])):
+    for name, value in (("BLOCK_ROWS", 8), ("RANGE_ROWS", 4), ("PART", 500), ("HELD", 3000), ("LONG_BYTES", 9000)):  # many blocks, sent in parts; long texts alone
+        monkeypatch.setattr(S, name, value)
+    for df in (docs.limit(80), odd_docs):
         rows = df.collect()
         want = dict(zip([r.doc_id for r in rows], brute([r.text for r in rows], order)))
         got = S.stupid_backoff(df.sparkSession.createDataFrame(rows, df.schema), ["doc_id"], order=order).collect()
-        assert len(got) == len(rows)
+        assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in rows)
         for r in got:
             n, logs, back = want[r.doc_id]
             assert (r.n_words, r.n_backoff) == (n, back)
@@ -55,11 +57,31 @@ def test_packing():
     for n in (0, 1, 1000):
         x = np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
         assert (S.unpacked(S.packed(x)) == x).all()
+        assert (S.from_plain(S.plain(x)) == x).all()
+
+
+def test_sizes():
+    """Entries of a block and range stay above a bound, as both grow with the root of the input."""
+    for rows in (0, 1000, 256_000, 15_000_000, 10**9):
+        block, part = S.sizes(rows)
+        assert S.BLOCK_ROWS <= block <= 16 * S.BLOCK_ROWS and S.RANGE_ROWS <= part <= 8 * S.RANGE_ROWS
+        assert rows > 4 * 10**9 or block * part * S.ROW_GRAMS >= 0.99 * S.ENTRIES * rows
 
 
 def test_odd(odd_docs, no_docs):
     assert S.stupid_backoff(no_docs, ["doc_id"]).count() == 0
-    assert S.stupid_backoff(odd_docs, ["doc_id", "n_words"] if "n_words" in odd_docs.columns else ["doc_id"]).count() == odd_docs.count()
+    clash = odd_docs.withColumn("n_words", S.F.lit("x")).withColumn("block", S.F.lit(1))
+    out = S.stupid_backoff(clash, ["doc_id", "n_words", "block"])
+    assert out.columns == ["doc_id", "block", "n_words", "log_score", "n_backoff"] and dict(out.dtypes)["n_words"] == "bigint"
+    assert out.count() == odd_docs.count()
+
+
+def test_blocks_that_change():
+    """A block with other rows than at the first reading gives an error, not wrong scores."""
+    texts = pa.array(["a b c", "a b"])
+    assert S.score(texts, [np.array([2, 2, 1, 2, 1, 1], np.uint64)], 3, 5)[0].to_pylist() == [3, 2]
+    with pytest.raises(ValueError, match="differ between readings"):
+        S.score(texts, [np.array([2, 2, 1], np.uint64)], 3, 5)
 
 
 def test_query_uses_all_rows(spark, sf_dir, docs):
