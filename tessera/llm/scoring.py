@@ -35,10 +35,10 @@ from tessera.llm.shared import partitions, slices, table, written
 ORDER = 3
 BACKOFF = 0.4
 UNSEEN = 0.5
-#: Rows of a block and of input for each range, at least; entries of a block and range that they grow for, up to 16 and 8
+#: Rows of a block and of input for each range, at least; entries of a block and range that they grow for, up to 16
 #: times as many.
 BLOCK_ROWS = 1024
-RANGE_ROWS = 8192
+RANGE_ROWS = 4096
 ENTRIES = 256
 #: N-grams of a row, about, by which sizes are planned. A longer text is a block of its own.
 ROW_GRAMS = 1000
@@ -103,7 +103,22 @@ def as_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["part", "block", "tokens", "counts", "n"])
 
 
-def counter(order: int, shift: int):
+def keys_of(spark: SparkSession, n: int) -> np.ndarray:
+    """n numbers that repartition(n) by their column deals to as many different partitions."""
+    own: dict[int, int] = {}
+    low, step = 0, 20 * n + 100
+    while len(own) < n:
+        for slot, key in spark.range(low, low + step).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("slot")).agg(F.min("id")).collect():  # n rows
+            own.setdefault(slot, key)
+        low += step
+    return np.array([own[k] for k in range(n)], np.int64)
+
+
+def counter(order: int, shift: int, keys: np.ndarray):
+    def keyed(rows: list[tuple]) -> pa.RecordBatch:
+        batch = as_rows(rows)
+        return batch.append_column("slot", pa.array(keys[batch.column("part").to_numpy() % len(keys)]))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         words = size = 0
@@ -115,7 +130,7 @@ def counter(order: int, shift: int):
                 at = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
                 rows = split(block, tokens[at], np.diff(np.append(at, len(tokens))), shift)
                 for k in range(0, len(rows), 256):
-                    yield as_rows(rows[k : k + 256])
+                    yield keyed(rows[k : k + 256])
             held.clear()
 
         for batch in slices(batches, "text"):
@@ -135,7 +150,7 @@ def counter(order: int, shift: int):
                 yield from sent()
                 size = 0
         yield from sent()
-        yield as_rows([(-1, 0, b"", b"", words)])
+        yield keyed([(-1, 0, b"", b"", words)])
 
     return count
 
@@ -284,7 +299,7 @@ def scorer(keep: list[str], order: int, corpus: int):
 def sizes(rows: int) -> tuple[int, int]:
     """Rows of a block and of a range: both grow alike where a block and range would share fewer than ENTRIES n-grams."""
     few = max(1.0, rows * ENTRIES / (BLOCK_ROWS * RANGE_ROWS * ROW_GRAMS))
-    return int(BLOCK_ROWS * min(16, few**0.5)), int(RANGE_ROWS * min(8, few**0.5))
+    return int(BLOCK_ROWS * min(16, few**0.5)), int(RANGE_ROWS * min(16, few**0.5))
 
 
 def blocks(run: Column, place: Column, text: str) -> Column:
@@ -308,9 +323,9 @@ def stupid_backoff(docs: DataFrame, keep: list[str], key: str = "doc_id", text:
     held = [f"_{k}" for k in range(len(keep))]
     source = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(keep, held)], F.col(f"`{text}`").alias("text"), block.cast("long").alias("block"))
     bits = max(3, int(np.ceil(np.log2(max(1, rows / range_rows)))))
-    asked = source.select("text", "block").mapInArrow(counter(order, 64 - bits), COUNTED)
     n = partitions(spark, 1 << bits, 1)
-    answers = written(asked.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(summed, COUNTED), "answers", large=True)
+    asked = source.select("text", "block").mapInArrow(counter(order, 64 - bits, keys_of(spark, n)), f"{COUNTED}, slot long")
+    answers = written(asked.repartition(n, "slot").sortWithinPartitions("part", "block").mapInArrow(summed, COUNTED), "answers", large=True)
     corpus = answers.where("part = -1").agg(F.sum("n")).first()[0] or 0
     first = answers.where("part >= 0").select("block", F.lit(False).alias("second"), "part", F.col("counts").alias("data"))
     both = source.mapInArrow(bundled, HELD_DOCS).union(first)

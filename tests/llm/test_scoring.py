@@ -60,6 +60,12 @@ def test_packing():
         assert (S.from_plain(S.plain(x)) == x).all()
 
 
+def test_keys(spark):
+    for n in (1, 7, 64):
+        rows = spark.createDataFrame([(int(k),) for k in S.keys_of(spark, n)], "k long").repartition(n, "k")
+        assert rows.select(S.F.spark_partition_id()).distinct().count() == n
+
+
 def test_sizes():
     """Entries of a block and range stay above a bound, as both grow with the root of the input."""
     for rows in (0, 1000, 256_000, 15_000_000, 10**9):
