@@ -1,6 +1,9 @@
 import html as H
 import random
 import re
+from collections import Counter
+
+import pyarrow as pa
 
 from tessera.llm import html as T
 
@@ -33,15 +36,86 @@ def test_parts_left_out(spark):
 def test_template_of_a_host(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(30)) + f" {k}" for k in range(12)]
-    pages = [("http://h.x/%d" % k, f"<body><div>Welcome to our site</div><div><p>{t}</p></div><div>All rights reserved</div><i>x{k}</i></body>") for k, t in enumerate(texts)]
+    pages = [("http://h.x/%d" % k, f"<body><div>Welcome to our site</div><div><p>{t}</p><i>x{k}</i></div><div>All rights reserved</div><i>{k}y</i></body>") for k, t in enumerate(texts)]
     assert rows_of(spark, pages) == [f"{t} x{k}" for k, t in enumerate(texts)]
     # alone on its host, the same page keeps all
-    assert rows_of(spark, pages[:1]) == [f"Welcome to our site {texts[0]} All rights reserved x0"]
+    assert rows_of(spark, pages[:1]) == [f"Welcome to our site {texts[0]} x0 All rights reserved 0y"]
+    # no element holds most of the text: all slots, less template texts
+    flat = [("http://h.x/%d" % k, f"<body><p>Welcome to our site</p><p>{t}</p><p>All rights reserved</p><p>{t[::-1]}</p></body>") for k, t in enumerate(texts)]
+    assert rows_of(spark, flat) == [f"{t} {t[::-1]}" for t in texts]
     # an article that all pages of a host repeat stays
     same = [("http://h.x/%d" % k, "<body><article><p>same text</p></article><div>All rights reserved</div></body>") for k in range(9)]
     assert rows_of(spark, same) == ["same text"] * 9
 
 
+def stripped(page):
+    """The page without what names its parts: semantic elements are divs, and class, id and role are gone."""
+    page = re.sub(r"<(/?)(?:article|main|nav|header|footer|aside|section|form)\b", r"<\1div", page)
+    return re.sub(r"\s(?:class|id|role)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*)", "", page)
+
+
+def test_the_template_finds_the_article(spark, sf_dir):
+    """Without any name of a part, what the classes' slots hold tells the article; without templates it is lost."""
+    df = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet")
+    named = T.extract(df, ["page_id", "url"]).collect()
+    want, hosts = {r.page_id: r.text for r in named}, Counter(r.url.split("/")[2] for r in named)
+    bare = spark.createDataFrame([(r.page_id, r.url, stripped(r.html)) for r in df.collect()], "page_id long, url string, html string")
+    got = T.extract(bare, ["page_id", "url"]).collect()
+    right, plenty = [r.text == want[r.page_id] for r in got if hosts[r.url.split("/")[2]] >= 4], sum(n for n in hosts.values() if n >= 4)
+    assert len(right) == plenty > 100 and sum(right) > 0.95 * plenty
+    without = T.extract(bare, ["page_id"], min_pages=10**6).collect()
+    assert sum(r.text == want[r.page_id] for r in without) < 0.05 * len(want)
+
+
+def brute_classes(pages, min_pages, support, min_tokens):
+    """Sets of tokens that occur equally often in the same pages of a host."""
+    vectors, top, out = {}, set(), set()
+    for k, (host, page) in enumerate(pages):
+        got = next(T.tokens_of(iter([pa.RecordBatch.from_pydict({"host": [host], "html": pa.array([page], pa.string())})])))
+        for t in got.column("tokens").to_pylist()[0]:
+            vectors.setdefault((host, t["token"]), {})[k] = t["n"]
+            top |= {t["token"]} if t["part"] == 1 else set()
+    groups = {}
+    for (host, token), v in vectors.items():
+        groups.setdefault((host, tuple(sorted(v.items()))), set()).add(token)
+    total = Counter(h for h, _ in pages)
+    for (host, v), tokens in groups.items():
+        valid = tokens if len(tokens) >= min_tokens else tokens & top
+        if len(v) >= min_pages and len(v) >= support * total[host] and valid:
+            out.add((host, frozenset(valid)))
+    return out
+
+
+def test_classes(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet").select(T.host_column("url").alias("host"), "html")
+    more = spark.createDataFrame([("h", f"<div class=a>{'<p>x</p>' * (k % 3)}same<b>{k}</b></div><hr><p>{k // 2}") for k in range(9)], "host string, html string")
+    df = df.union(more).repartition(3)
+    for limits in ((3, 0.8, 2), (2, 0.3, 1)):
+        found = {}
+        for r in T.classes(df, *limits).collect():
+            found.setdefault((r.host, r["class"], r.pages), set()).add(r.token)
+        assert {(h, frozenset(t)) for (h, _, _), t in found.items()} == brute_classes([(r.host, r.html) for r in df.collect()], *limits)
+
+
+def test_nesting():
+    """Only elements with an unbroken line of template elements to the root are the template's."""
+    token = lambda t, up, holds=1.0, part=2, text=False: {"token": t, "up": up, "holds": holds, "part": part, "text": text, "place": t}
+    tokens = [token(3, 2, 9.0), token(1, 0, 10.0, 1), token(2, 1, 9.5), token(7, 6), token(9, 2, 0, 0, True)]
+    assert set(T.nested(tokens)) == {1, 2, 3}
+    assert T.article(T.nested(tokens)) == 3
+    assert T.article(T.nested([*tokens[1:], token(3, 2, 9.0, 0)])) == 2
+    assert T.article(T.nested([token(1, 0, 10.0, 1), token(2, 1, 5.0), token(3, 1, 5.0)])) is None
+
+
+def test_names_of_parts(spark):
+    """Only names made of hints name a part; the title stays though it is a header's."""
+    page = """<body><div class="comments-page"><article><header><h1>Title</h1></header>Let <math><mi>x</mi></math> be
+    <div class="social-science">science</div><div class="share-buttons">share</div><div id="adHocWork">work</div><p class="ad">buy</p></article></div>
+    <div class="comments"><article class="comment">nice</article></div></body>"""
+    assert rows_of(spark, [("http://a.b/", page.replace("comments-page", "page"))]) == ["Title Let x be science work"]
+    assert rows_of(spark, [("http://a.b/%d" % k, page.replace("science</div>", f"science {'long ' * 20}{k}</div>")) for k in range(4)]) == [f"Title Let x be science {'long ' * 20}{k} work" for k in range(4)]
+
+
 def test_articles_outside_the_template(spark):
     """Where a host's pages have their article in one place, articles elsewhere (teasers, replies) are no main text."""
     pages = [("http://h.x/%d" % k, f"<body><div class='c'><article><p>text {k}</p></article></div></body>") for k in range(8)]
@@ -53,5 +127,7 @@ def test_articles_outside_the_template(spark):
 def test_odd(spark):
     odd = [(None, None), ("", ""), ("x", "plain"), ("http://a/", "<"), ("http://a/", "<p"), ("http://a/", "<p title=\"x>y"), ("http://a/", "</b></p></div>a<b>c"), ("http://a/", "<script>no"), ("http://a/", "a&nbsp;&amp; b&#x41;&bogus;"), ("http://a/", "<p>" * 5000 + "deep" + "<div>" * 3000 + "er")]
     assert rows_of(spark, odd) == ["", "", "plain", "<", "", "y", "ac", "", "a & bA&bogus;", "deep er"]
+    long = [("http://l/", "<body>" + "<p>w<b>x</b>" * 20_000 + "<i>" * 3000 + "</u>" * 3000)] * 2  # repeated rows, long and deep
+    assert rows_of(spark, long) == [" ".join(["wx"] * 20_000)] * 2
     none = spark.createDataFrame([], "page_id long, url string, html string, text int")
     assert T.extract(none, ["page_id", "text"]).columns == ["page_id", "text", "n_chars"] and T.extract(none, ["page_id"]).count() == 0
