@@ -6,12 +6,17 @@ lines frequent. A line in more texts than the host's limit (the larger of MIN_TE
 and a document that loses more than DEPLETED of its words is rejected. The removed lines come out by number; where the
 text is kept, it also comes out without them.
 
-Counting pre-aggregates in each task, so a hot host or line is one row from each task. Frequent lines are few by
-construction (each takes more than SHARE of a host's texts); they are joined by broadcast below a checked size, else by
-a shuffled join that AQE splits where skewed. Hashes and counts are written to the shared folder once, texts never.
+The limit is absolute for large hosts: a line of MOST_TEXTS different texts is boilerplate however large the host. Small
+hosts have a lower one, SHARE of their texts, but MIN_TEXTS at least.
 
-Nulls: a null text has no words and fails; a null host is a host of its own. Repeated rows are rows of their own but
-count once for their lines. Empty tables give empty results; extra columns are not read.
+Counting pre-aggregates in each task, so a hot host or line is one row from each task. Frequent lines are joined by
+broadcast below a checked size, else by a shuffled join that AQE splits where skewed. Hashes and counts are written to
+the shared folder once, texts never.
+
+Nulls: a null text has no words and fails; a null host is a host of its own. Empty texts likewise have no words; texts
+of any length are whole. Ties: a line at the limit stays, and a text that loses just DEPLETED of its words. Repeated rows
+are rows of their own but count once for their lines. Empty tables give empty results. Columns in `keep` whose names are
+those of added columns, or _row and _host, are left out of the result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +30,10 @@ from tessera.llm import words as W
 from tessera.llm.shared import appended, small_side, table, written
 
 MIN_WORDS = 50
-MIN_TEXTS = 20
-SHARE = 0.05
+#: A host's limit of texts with a line: SHARE of its texts, but MIN_TEXTS at least and MOST_TEXTS at most.
+MIN_TEXTS = 10
+SHARE = 0.02
+MOST_TEXTS = 1000
 DEPLETED = 0.5
 #: Frequent lines up to which tasks look them up by themselves; of more, a join finds those of each text.
 FEW = 500_000
@@ -106,12 +113,12 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     return appended(docs, keep, text, lambda: measured, ADDED)
 
 
-def frequent_lines(rows: DataFrame, host: str, min_texts: int, share: float) -> DataFrame:
+def frequent_lines(rows: DataFrame, host: str, min_texts: int, share: float, most_texts: int) -> DataFrame:
     """(host, line) of the lines in more distinct texts of the host than its limit."""
     texts = rows.groupBy(host, "text_hash").agg(F.first("lines").alias("lines"))
     counts = texts.select(host, F.explode(F.array_distinct("lines")).alias("line")).groupBy(host, "line").agg(F.count(F.lit(1)).alias("texts"))
     counts = counts.where(F.col("texts") > min_texts)
-    limits = texts.groupBy(host).agg(F.greatest(F.lit(min_texts), F.count(F.lit(1)) * share).alias("limit"))
+    limits = texts.groupBy(host).agg(F.least(F.greatest(F.lit(min_texts), F.count(F.lit(1)) * share), F.lit(most_texts)).alias("limit"))
     same = counts[host].eqNullSafe(limits[host])
     return counts.join(limits, same).where("texts > limit").select(counts[host], "line")
 
@@ -147,14 +154,14 @@ def cleaned(often: dict[str | None, np.ndarray]):
     return one
 
 
-def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", min_words: int = MIN_WORDS, min_texts: int = MIN_TEXTS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", min_words: int = MIN_WORDS, min_texts: int = MIN_TEXTS, share: float = SHARE, most_texts: int = MOST_TEXTS, depleted: float = DEPLETED) -> DataFrame:
     """keep, with the base counts, removed_lines (numbers, from 0, of the text's frequent lines), removed_words, base_failed and kept; with the text in keep also clean_text, the text without them."""
     keep = [c for c in keep if c not in ("_row", "_host", "base_failed", "kept", "removed_lines", "removed_words", "clean_text")]
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     passed = ~F.col("base_failed") & (F.col("removed_words") <= depleted * F.col("n_words"))
     docs = docs.withColumn("_host", F.col(host))
     if text in keep:  # texts are neither written nor shuffled where the frequent lines are few: a second reading removes them
-        often = written(frequent_lines(written(measure(docs, ["_host"], text), "quality"), "_host", min_texts, share), "lines")
+        often = written(frequent_lines(written(measure(docs, ["_host"], text), "quality"), "_host", min_texts, share, most_texts), "lines")
         few = often.limit(FEW + 1).collect()
         if len(few) <= FEW:
             own: dict[str | None, list[int]] = {}
@@ -165,7 +172,7 @@ def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "t
             return out.withColumn("base_failed", failed).withColumn("kept", passed)
     rows = measure(docs, [*keep, "_host"], text).withColumn("_row", F.monotonically_increasing_id())
     rows = written(rows, "quality")
-    often = written(frequent_lines(rows, "_host", min_texts, share), "lines")
+    often = written(frequent_lines(rows, "_host", min_texts, share, most_texts), "lines")
     lines = rows.select("_row", F.col("_host").alias("h"), F.explode(F.arrays_zip("lines", "line_words", "line_numbers")).alias("l")).select("_row", "h", F.col("l.lines").alias("l"), F.col("l.line_words").alias("n"), F.col("l.line_numbers").alias("k"))
     often = small_side(often, 64)
     lost = lines.join(often, lines.h.eqNullSafe(often._host) & (lines.l == often.line)).groupBy("_row").agg(F.sum("n").alias("removed_words"), F.sort_array(F.collect_list("k")).alias("removed_lines"))
@@ -193,7 +200,7 @@ win AS (SELECT id, k, array_to_string(w[k:k + 2], ' ') AS g FROM (SELECT id, w,
 rep AS (SELECT id, count(DISTINCT k) AS n FROM (SELECT id, unnest(range(k, k + 3)) AS k FROM win WHERE true QUALIFY count(*) OVER (PARTITION BY id, g) > 1) GROUP BY 1),
 l AS (SELECT id, source, array_to_string(lines, chr(10)) AS body, unnest(lines) AS line FROM d),
 n AS (SELECT id, source, body, array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'), '[^\x20\x09-\x0D]+'), ' ') AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l),
-hosts AS (SELECT source, greatest({MIN_TEXTS}, count(DISTINCT array_to_string(lines, chr(10))) * {SHARE}::DOUBLE) AS most FROM d GROUP BY 1),
+hosts AS (SELECT source, least(greatest({MIN_TEXTS}, count(DISTINCT array_to_string(lines, chr(10))) * {SHARE}::DOUBLE), {MOST_TEXTS}) AS most FROM d GROUP BY 1),
 often AS (SELECT n.source, line FROM n JOIN hosts h ON n.source IS NOT DISTINCT FROM h.source GROUP BY n.source, line, most HAVING count(DISTINCT body) > most),
 lost AS (SELECT id, sum(words)::BIGINT AS removed FROM n JOIN often o ON n.source IS NOT DISTINCT FROM o.source AND n.line = o.line GROUP BY 1),
 b AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,

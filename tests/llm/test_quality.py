@@ -21,14 +21,14 @@ def normal(line):
     return " ".join(WORD.findall(re.sub("[0-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), line))))
 
 
-def brute(rows, min_texts, share):
+def brute(rows, min_texts, share, most_texts=10**9):
     texts, out = defaultdict(set), []
     for r in rows:
         texts[r.source].add(r.text)
     often = {}
     for host, own in texts.items():
         n = Counter(x for t in own if t is not None for x in {normal(x) for x in t.split("\n")} - {""})
-        often[host] = {x for x, k in n.items() if k > max(min_texts, share * len(own))}
+        often[host] = {x for x, k in n.items() if k > min(max(min_texts, share * len(own)), most_texts)}
     for r in rows:
         b = base(r.text)
         lost = sum(len(WORD.findall(x)) for x in (r.text or "").split("\n") if normal(x) in often[r.source])
@@ -42,8 +42,8 @@ def got(df):
 
 
 def test_against_brute_force(docs, odd_docs, no_docs):
-    for df, least, share in ((docs, 2, 0.0), (docs, 20, 0.05), (odd_docs, 0, 0.0)):
-        assert got(Q.judge(df, ["doc_id"], min_texts=least, share=share)) == brute(df.collect(), least, share)
+    for df, *limits in ((docs, 2, 0.0, 10**9), (docs, 20, 0.05, 10**9), (docs, 20, 0.5, 4), (odd_docs, 0, 0.0, 10**9), (docs, Q.MIN_TEXTS, Q.SHARE, Q.MOST_TEXTS)):
+        assert got(Q.judge(df, ["doc_id"], min_texts=limits[0], share=limits[1], most_texts=limits[2])) == brute(df.collect(), *limits)
     assert Q.judge(no_docs, ["doc_id"]).count() == 0
 
 
@@ -57,6 +57,13 @@ def test_depleted(spark):
     assert {r.doc_id for r in out if r.kept} == {100, 101, 102}
 
 
+def test_clashes(docs):
+    """Added names win; _row and _host are left out; the rest is as without them."""
+    more = docs.limit(30).withColumn("kept", Q.F.lit("x")).withColumn("n_words", Q.F.lit("y")).withColumn("_row", Q.F.lit(1)).withColumn("_host", Q.F.lit("z"))
+    one, two = Q.judge(more, ["doc_id", "kept", "n_words", "_row", "_host"]), Q.judge(docs.limit(30), ["doc_id"])
+    assert one.columns == two.columns and got(one) == got(two)
+
+
 @pytest.mark.parametrize("few", [Q.FEW, 0])
 def test_frequent_lines_are_removed(spark, docs, odd_docs, monkeypatch, few):
     monkeypatch.setattr(Q, "FEW", few)
