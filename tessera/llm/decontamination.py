@@ -9,11 +9,14 @@ length; each window length is one pattern set. For a set of length m with blocks
 * the bucket's patterns are compared word by word, and at last byte by byte.
 
 Cursors of many stretches of text advance together, so the search runs in numpy. Long texts are cut into overlapping
-stretches; nothing is left out. The items are the stated query set: they go to every task, after a check of their size
-(MAX_ITEM_BYTES). Documents are only scanned: no shuffle.
-
-Nulls: a null text has no words and no hits; a null item text has no windows; a null item id stands as ''. An empty
-table on either side gives an empty result, or no hits. Repeated rows and repeated items are fine: ids count once.
+stretches; nothing is left out. The items are the stated query set: they go to every task, in parts of at most PART_BYTES
+(by a hash of the item); each part is one more scan of the documents, which adds to the hits of those before it. Documents
+are only scanned: no shuffle.
+
+Nulls: a null text has no words and no hits; a null item text has no windows; a null item id stands as ''. Empty texts
+have no words. Texts of any length are whole. An empty table on either side gives an empty result, or no hits. Repeated
+rows are rows of their own; repeated items are fine: ids count once. Ties don't arise: all occurrences count. Columns in
+`keep` whose names are those of added columns are left out of the result.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from tessera.llm import words as W
 from tessera.llm.shared import appended, table
 
 SIZE = 10
-MAX_ITEM_BYTES = 64 << 20
+#: Bytes of items that one scan looks for; their windows take some fifty times as much on the driver.
+PART_BYTES = 8 << 20
 #: Window places in a stretch that one cursor goes through.
 STRETCH = 256
 
@@ -126,12 +130,20 @@ def occurrences(p: Patterns, data: np.ndarray, starts: np.ndarray, ends: np.ndar
     return pos[real], pattern[real]
 
 
-def finder(sets: list[Patterns]) -> Callable:
-    def find(texts: pa.Array, _rows=None) -> list[pa.Array]:
+def finder(sets: list[Patterns], more: bool = False) -> Callable:
+    """more: the rows have hits and items from a scan for other items, which are added to."""
+
+    def find(texts: pa.Array, rows: pa.RecordBatch | None = None) -> list[pa.Array]:
         data, starts, ends, before, hashes = tokens(texts)
         n = len(texts)
         edge = np.zeros(len(starts) + 1, np.int64)
         names: list[set[str]] = [set() for _ in range(n)]
+        if more:
+            for doc, (spans, items) in enumerate(zip(rows.column("_hits").to_pylist(), rows.column("_items").to_pylist())):
+                names[doc].update(items)
+                for x in spans:
+                    edge[before[doc] + x["start"]] += 1
+                    edge[before[doc] + x["end"]] -= 1
         for p in sets:
             pos, pattern = occurrences(p, data, starts, ends, before, hashes)
             np.add.at(edge, pos, 1)
@@ -158,11 +170,17 @@ def finder(sets: list[Patterns]) -> Callable:
 def scan(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SIZE) -> DataFrame:
     """keep, with n_words, n_hit (words inside an occurrence), hits (their spans by word, merged) and items (ids found)."""
     stated = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("t")).where("t is not null")
-    size_now = stated.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
-    if size_now > MAX_ITEM_BYTES:
-        raise ValueError(f"{size_now} bytes of items; pass them in parts of at most {MAX_ITEM_BYTES}")
-    sets = compiled([tuple(r) for r in stated.distinct().sort("id", "t").collect()], size)
-    return appended(docs, keep, text, lambda: finder(sets), ADDED)
+    parts = max(1, -(-int(stated.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0) // PART_BYTES))
+    keep = [c for c in keep if c not in ("n_words", "n_hit", "hits", "items", "_hits", "_items")]
+    out = docs
+    for k in range(parts):
+        own = stated.where(F.pmod(F.xxhash64("id", "t"), F.lit(parts)) == k).distinct().sort("id", "t").collect()  # PART_BYTES, about
+        sets = compiled([tuple(r) for r in own], size)
+        if k:
+            out = out.drop("_hits", "_items", "n_words", "n_hit").withColumnsRenamed({"hits": "_hits", "items": "_items"})
+        held = [*keep, *([text] if k < parts - 1 and text not in keep else []), *(["_hits", "_items"] if k else [])]
+        out = appended(out, held, text, lambda sets=sets, k=k: finder(sets, k > 0), ADDED)
+    return out.select(*[F.col(f"`{c}`") for c in keep], "n_words", "n_hit", "hits", "items")
 
 
 def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:

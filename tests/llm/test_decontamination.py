@@ -45,6 +45,17 @@ def test_odd(spark, odd_docs, no_docs):
     assert {r.n_hit for r in D.scan(odd_docs, bench.limit(0), ["doc_id"]).collect()} == {0}
 
 
+def test_items_in_parts(spark, sf_dir, docs, odd_docs, monkeypatch):
+    """More items than one scan takes go in parts: hits and ids are as with all at once."""
+    monkeypatch.setattr(D, "PART_BYTES", 500)
+    assert any(r.n_hit for r in check(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(["QUICK brown", "lorem ipsum dolor", "dolor sit amet lorem", "a b c", "again and"] * 9)], "item_id long, text string")
+    check(spark, odd_docs.dropDuplicates(["doc_id"]), bench)
+    more = odd_docs.withColumn("hits", D.F.lit("x")).withColumn("_items", D.F.lit("y")).withColumn("n_words", D.F.lit("z"))
+    out = D.scan(more, bench, ["doc_id", "text", "hits", "_items", "n_words", "lang"])
+    assert out.columns == ["doc_id", "text", "lang", "n_words", "n_hit", "hits", "items"] and out.count() == odd_docs.count()
+
+
 def test_query(spark, sf_dir):
     rows = D.op7_wu_manber(spark, sf_dir).collect()
     assert len(rows) == 200 and all((r.n_hit > 0) == r.contaminated == (r.n_items > 0) for r in rows)
