@@ -8,8 +8,10 @@ The forest learns from labelled findings: LABELLED rows generated by stated rule
 passwords beside their names; false ones: placeholders, words, checksums, ids, paths, versions), whose features are
 computed by the same expressions. LABELLED bounds what the driver fits on; the corpus is never sampled.
 
-Nulls: a null text has no findings and stays null; a null path is an ordinary one. Repeated rows are rows of their own.
-Empty tables give empty results. Columns that clash with the added ones are replaced.
+Nulls: a null text has no findings and stays null; a null path is an ordinary one. Empty texts have no findings. Texts
+and candidates of any length are whole, a private key from its first line to its last. Where candidates could overlap, the
+first one counts, and at one place a provider's key. Repeated rows are rows of their own. Empty tables give empty results.
+Columns that clash with the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from tessera.llm.shared import table
 LABELLED = 2400
 THRESHOLD = 0.5
 REDACTED = "<secret>"
+#: Candidates whose places are summed up at a time, so that a text with many takes no time that grows with their square.
+RUN = 256
 
-PROVIDER = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+PROVIDER = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]{0,20}PRIVATE KEY-----)?+"
 NAME = r"(?:passw(?:or)?d|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)"
 
 
@@ -36,12 +40,12 @@ def run(chars: str, least: int) -> str:
     return rf"(?:(?!(?<![A-Za-z0-9])(?:{PROVIDER})){chars}){{{least},}}+"
 
 
-NAMED = rf"(?i:(?<={NAME}[\"']{{0,1}}\s{{0,2}}[:=]\s{{0,2}}[\"']{{0,1}})){run(r"""[^\s"'<>,;]""", 6)}"
-ASSIGNED = rf"(?<=[A-Za-z0-9_.\]-][\"']{{0,1}}\s{{0,2}}=\s{{0,2}}[\"']{{0,1}}){run(r"""[^\s"'<>,;&]""", 6)}"
+NAMED = rf"(?i:(?<={NAME}[\"']{{0,1}}\s{{0,8}}[:=]\s{{0,8}}[\"']{{0,1}})){run(r"""[^\s"'<>,;]""", 6)}"
+ASSIGNED = rf"(?<=[A-Za-z0-9_.\]-][\"']{{0,1}}\s{{0,8}}=\s{{0,8}}[\"']{{0,1}}){run(r"""[^\s"'<>,;&]""", 6)}"
 LONG = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]){run('[A-Za-z0-9+/_-]', 20)}"
 #: A value: a provider's key, what stands after a sign (not part of the match) and a secret's name or after '=' and any
 #: name, or a long run with a digit.
-CANDIDATE = rf"""(?<![A-Za-z0-9])(?:{PROVIDER})|(?<=[:=\s"'])(?<=[:=][\s"']{{0,3}})(?:{NAMED}|{ASSIGNED})|{LONG}"""
+CANDIDATE = rf"""(?<![A-Za-z0-9])(?:{PROVIDER})|(?<=[:=\s"'])(?<=[:=][\s"']{{0,9}})(?:{NAMED}|{ASSIGNED})|{LONG}"""
 
 #: What every candidate has: a digit, a sign or a provider's mark. Most texts have none and need no closer look.
 QUICK = r"[0-9:=]|-----BEGIN|AKIA|gh[pousr]_|xox[abprs]-|sk-|eyJ"
@@ -146,6 +150,15 @@ def train(spark: SparkSession, rows: int = LABELLED) -> list:
     return list(_fitted(tuple(tuple(r) for r in have.select("x.*", "label").collect())))
 
 
+def sums_of(steps: Column) -> Column:
+    """Running sums of an array. Each step copies what is there, so arrays should be short."""
+    return F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("sums")),
+        lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["sums"], F.array(a["at"] + x)).alias("sums")),
+    )["sums"]
+
+
 def scan(docs: DataFrame, forest: list, keep: list[str], text: str = "text", path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
     """keep, with findings (start and length in characters from 0, value, kind, score, secret) and redacted_text."""
     keep = [c for c in keep if c not in ("findings", "redacted_text")]
@@ -155,25 +168,30 @@ def scan(docs: DataFrame, forest: list, keep: list[str], text: str = "text", pat
     cut = cut.withColumn("_has", F.coalesce(has, F.lit(False)))
     cut = cut.withColumn("_values", F.when(F.col("_has"), F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0))).otherwise(none))
     cut = cut.withColumn("_pieces", F.when(F.col("_has"), F.split("_text", CANDIDATE, -1)).otherwise(F.array("_text")))
-    piece = lambda i: F.coalesce(F.get("_pieces", i), F.lit(""))
-    described = F.transform("_values", lambda v, i: F.struct(v.alias("value"), F.length(piece(i)).alias("gap"), features(v, F.right(piece(i), F.lit(60)), F.left(piece(i + 1), F.lit(30)), F.col("_path")).alias("x")))
-    cut = cut.withColumn("_described", described)
+    # arrays go through a lambda side by side: one that is looked up by place there would be made anew for each element
+    n = F.size("_values")
+    parts = F.arrays_zip(
+        F.col("_values").alias("value"), F.slice("_pieces", 1, n).alias("before"), F.slice("_pieces", 2, n).alias("after"), F.slice(F.concat(F.array(F.lit("")), "_values"), 1, n).alias("last")
+    )
+    cut = cut.withColumn("_parts", parts)
+    described = lambda p: features(p["value"], F.right(p["before"], F.lit(60)), F.left(p["after"], F.lit(30)), F.col("_path"))
+    cut = cut.withColumn("_described", F.transform("_parts", lambda p: F.struct(p["value"].alias("value"), described(p).alias("x"))))
     # places: each candidate starts after all pieces up to its own and all candidates before it
-    start = F.aggregate(
-        "_described",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, d: F.struct((a["at"] + d["gap"] + F.length(d["value"])).alias("at"), F.concat(a["starts"], F.array(a["at"] + d["gap"])).alias("starts")),
-    )["starts"]
-    cut = cut.withColumn("_starts", start)
-
-    def finding(d: Column, i: Column) -> Column:
+    cut = cut.withColumn("_steps", F.transform("_parts", lambda p: F.length(p["before"]) + F.length(p["last"])))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_steps") - 1, F.lit(0)), F.lit(RUN)), lambda k: sums_of(F.slice("_steps", k + 1, RUN)))
+    cut = cut.withColumn("_runs", runs)
+    ends = sums_of(F.transform("_runs", lambda r: F.coalesce(F.get(r, F.size(r) - 1), F.lit(0))))
+    starts = F.zip_with("_runs", F.slice(F.concat(F.array(F.lit(0)), ends), 1, F.size("_runs")), lambda r, base: F.transform(r, lambda x: x + base))
+    cut = cut.withColumn("_starts", F.flatten(starts))
+
+    def finding(d: Column, start: Column) -> Column:
         score = trees.total(forest, lambda k: d["x"][FEATURES[k]]) / len(forest)
         kind = F.when(d["x"]["provider"] > 0, "provider").when(d["x"]["assigned"] > 0, "assigned").otherwise("long")
-        return F.struct(F.get("_starts", i).cast("long").alias("start"), F.length(d["value"]).cast("long").alias("length"), d["value"].alias("value"), kind.alias("kind"), score.alias("score"), (score >= threshold).alias("secret"))
+        return F.struct(start.cast("long").alias("start"), F.length(d["value"]).cast("long").alias("length"), d["value"].alias("value"), kind.alias("kind"), score.alias("score"), (score >= threshold).alias("secret"))
 
-    cut = cut.withColumn("findings", F.transform("_described", finding))
-    said = F.transform("findings", lambda f, i: F.concat(piece(i), F.when(f["secret"], F.lit(REDACTED)).otherwise(f["value"])))
-    redacted = F.when(F.size("findings") > 0, F.concat(F.array_join(said, ""), piece(F.size("findings")))).otherwise(F.col("_text"))
+    cut = cut.withColumn("findings", F.zip_with("_described", "_starts", finding))
+    said = F.zip_with("_pieces", "findings", lambda piece, f: F.concat(piece, F.when(f.isNull(), "").when(f["secret"], F.lit(REDACTED)).otherwise(f["value"])))
+    redacted = F.when(F.size("findings") > 0, F.array_join(said, "")).otherwise(F.col("_text"))
     return cut.withColumn("redacted_text", redacted).select(*keep, "findings", "redacted_text")
 
 

@@ -1,8 +1,12 @@
+import math
 import random
 import re
 import string
+from collections import Counter
 
+import numpy as np
 import pytest
+import regex
 
 from tessera.llm import secrets as S
 
@@ -58,6 +62,61 @@ def test_values_are_whole(spark, forest):
         assert [f.value for f in got[k].findings if f.secret] == [value] and got[k].redacted_text == f"{before}{S.REDACTED} end"
 
 
+def plain_features(value, before, after, path):
+    low, near, n = value.lower(), (before + " " + after).lower(), len(value)
+    kinds = re.sub("[^aA0]+", "-", re.sub("[0-9]+", "0", re.sub("[A-Z]+", "A", re.sub("[a-z]+", "a", value))))
+    share = lambda x, pattern: (len(x) - len(re.sub(pattern, "", x))) / len(x)
+    flag = lambda pattern, x: float(bool(re.search(pattern, x)))
+    return [
+        n, (len(kinds) - 1) / n, share(value, "[0-9]"), share(value, "[A-Z]"), -sum(k / n * math.log2(k / n) for k in Counter(value).values()), share(low, S.DICTIONARY), share(low, "[aeiou]"),
+        flag(rf"^(?:{S.PROVIDER})", value), flag(rf"(?:{S.NEAR_SECRET})[^a-z]{{0,12}}$", before.lower()), flag(rf"(?:^|[^a-z])(?:{S.NEAR_OTHER})(?:[^a-z]|$)", near),
+        flag("[:=][\"' \t\n\x0b\f\r]*$", before), flag(S.PATHS, path.lower()), flag("^[0-9a-f]+$", low),
+    ]
+
+
+def test_against_plain_python(spark, forest, docs):
+    """Candidates by another engine of patterns, features in Python, the forest in numpy."""
+    rng = random.Random(3)
+    bits = ["token = ", "password:  '", "key=", "commit ", " ", "\n", "AKIA" + "A1B2" * 4, "x" * 30 + "7", "sk-" + "aB3" * 9, "deadbeef" * 5, "é", "'", "user.name=", "hunter2!x", "=", "/usr/lib/python3/x", "0" * 40, "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randrange(40))), rng.choice([None, "src0", "tests/x"])) for k in range(300)]
+    rows += [(1000 + r.doc_id, r.text, r.source) for r in docs.collect()]
+    got = {r.doc_id: r.findings for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), forest, ["doc_id"]).collect()}
+    pattern, total = regex.compile(S.CANDIDATE, regex.ASCII), 0
+    for k, text, path in rows:
+        found = list(pattern.finditer(text))
+        ends = [0, *[m.end() for m in found]]
+        starts = [*[m.start() for m in found], len(text)]
+        want = []
+        for j, m in enumerate(found):
+            x = np.array([plain_features(m[0], text[ends[j] : starts[j]][-60:], text[ends[j + 1] : starts[j + 1]][:30], path or "")], float)
+            want.append((m.start(), m[0], sum(S.trees.applied(t, x)[0] for t in forest) / len(forest)))
+        assert [(f.start, f.value) for f in got[k]] == [w[:2] for w in want]
+        assert all(math.isclose(f.score, w[2], rel_tol=1e-9) and f.secret == (f.score >= S.THRESHOLD) for f, w in zip(got[k], want))
+        total += len(want)
+    assert total > 1000
+
+
+def test_private_keys_and_blanks(spark, forest):
+    """A private key is one finding from its first line to its last; blanks around a sign don't hide a value."""
+    rng = random.Random(2)
+    body = "\n".join("".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(64)) for _ in range(25))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}==\n-----END RSA PRIVATE KEY-----"
+    token = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(0, f"a\n{key}\nb"), (1, f"password   =      '{token}' end"), (2, "-----BEGIN PRIVATE KEY----- cut off"), (3, ("-----BEGIN PRIVATE KEY-----" + "a-b " * 200) * 300)]
+    got = {r.doc_id: r for r in S.scan(spark.createDataFrame([(k, t, "src") for k, t in rows], "doc_id long, text string, source string"), forest, ["doc_id"]).collect()}
+    assert got[0].redacted_text == f"a\n{S.REDACTED}\nb" and [f.value for f in got[0].findings] == [key]
+    assert got[1].redacted_text == f"password   =      '{S.REDACTED}' end"
+    assert [len(got[k].findings) for k in (2, 3)] == [1, 300]  # without a last line, the first one alone
+
+
+def test_many_candidates(spark, forest):
+    """Places are right over many candidates in one text, and repeated rows and clashing names are no matter."""
+    text = " ".join(f"token={k:032x}" for k in range(3000))
+    df = spark.createDataFrame([(1, text, "src", "x")] * 2, "doc_id long, text string, source string, findings string")
+    for r in S.scan(df, forest, ["doc_id", "findings"]).collect():
+        assert [f.start for f in r.findings] == [m.start(1) for m in re.finditer(r"token=(\S+)", text)]
+
+
 def test_planted_tokens_are_found(spark, forest):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = {r.doc_id for r in docs.collect() if re.search(r"AKIA[0-9A-Z]{16}|(?:token = \"|password=)[0-9a-f]{16,}", r.text)}
