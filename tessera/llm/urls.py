@@ -7,8 +7,9 @@ suffix or the same words in the host. They are trained from labelled URLs - a gi
 stated rules - and applied as nested IFs, so scoring stays in the JVM. Rules are few and stated: they become
 expressions too, and nothing is joined or shuffled.
 
-Nulls: a null URL, or one without `://`, has an empty host and path, fits no rule and is allowed. Repeated rows are rows
-of their own. Empty tables give empty results; without labelled rows of both kinds all that no rule blocks is allowed.
+Nulls: a null URL, or one without `://`, has an empty host and path, fits no rule and is allowed. URLs of any length are
+whole. Ties: the longest rules that fit equally go to `block`; a score of just the threshold blocks. Repeated rows are
+rows of their own. Empty tables give empty results; without labelled rows of both kinds all that no rule blocks is allowed.
 Columns that clash with the added ones are replaced.
 """
 
@@ -25,8 +26,7 @@ from tessera.llm.shared import table
 
 LABELLED = 2000
 THRESHOLD = 0.5
-#: Words and suffixes whose shares are kept, at most; pseudo-count towards the overall share.
-VOCABULARY = 150
+#: Pseudo-count of words and suffixes towards the overall share.
 SMOOTH = 3.0
 
 #: (verdict, host, path) of the query.
@@ -131,20 +131,22 @@ def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
 
 
 def shares(rows: DataFrame, value: Column, overall: float) -> dict[str, float]:
-    """Smoothed shares of blocked URLs of the most frequent values, VOCABULARY at most."""
+    """Smoothed shares of blocked URLs of each value that occurs more than twice."""
     counts = rows.select(value.alias("v"), "bad").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b"))
-    return {r.v: round(float((r.b + SMOOTH * overall) / (r.n + SMOOTH)), 5) for r in counts.where("n > 2").orderBy(F.desc("n"), "v").limit(VOCABULARY).collect()}
+    return {r.v: round(float((r.b + SMOOTH * overall) / (r.n + SMOOTH)), 5) for r in counts.where("n > 2").collect()}
 
 
 def train(rows: DataFrame, most: int = LABELLED) -> Model:
-    """Trees from labelled URLs (url, bad). At most `most` rows are fitted on: those of least hash; shares use all."""
-    overall = rows.agg(F.avg("bad")).first()[0]
+    """Trees from labelled URLs (url, bad). All is learned from at most `most` rows: those of least hash."""
+    spark = rows.sparkSession
+    got = [(r.url, int(r.bad)) for r in rows.select("url", "bad").where("bad is not null").orderBy(F.xxhash64("url"), "url", "bad").limit(most).collect()]
+    rows = spark.createDataFrame(got, "url string, bad int").coalesce(1)
+    overall = sum(b for _, b in got) / len(got) if got else None
     if overall is None or overall in (0, 1):
         return Model(default=float(overall or 0.0))
     host = host_of(F.col("url"))
     model = Model(round(float(overall), 5), shares(rows, suffix_of(host), overall), shares(rows.select(F.explode(words_of(host)).alias("w"), "bad"), F.col("w"), overall))
-    least = rows.orderBy(F.xxhash64("url"), "url").limit(most)
-    have = np.array([tuple(r) for r in least.select(model.features(F.col("url"), host, path_of(F.col("url"))).alias("x"), "bad").select("x.*", "bad").collect()], float)
+    have = np.array([tuple(r) for r in rows.select(model.features(F.col("url"), host, path_of(F.col("url"))).alias("x"), "bad").select("x.*", "bad").collect()], float)
     model.start, model.trees = trees.boosted(have[:, :-1], have[:, -1])
     return model
 

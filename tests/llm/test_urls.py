@@ -1,5 +1,8 @@
+import math
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +38,42 @@ def test_rules(spark, model, sf_dir):
     assert {r.verdict for r in U.judge(df.where("page_id < 4"), model, ["page_id"]).collect()} == {"allow"}
 
 
+def lexical(model, url):
+    """The features in plain Python."""
+    host, path, _ = brute(url)
+    url = url or ""
+    query = m[1] if (m := re.search(r"\?([^#]*)", url)) else ""
+    share = lambda x: sum(c in "0123456789" for c in x) / len(x) if x else 0.0
+    counts = Counter(host)
+    words = [w for w in re.split("[-.]", re.sub(r"\.?[^.]*$", "", host, count=1)) if w not in ("", "www")]
+    return [
+        len(url), len(host), len([x for x in path.split("/") if x]), share(url), share(host), -sum(n / len(host) * math.log2(n / len(host)) for n in counts.values()),
+        len(re.split("[&;]", query)) if query else 0, host.count("-"), host.count(".") + 1, model.suffixes.get(host.split(".")[-1], model.default),
+        max((model.words.get(w, model.default) for w in words), default=model.default),
+    ]
+
+
+def test_trees_against_plain_python(spark, model, sf_dir):
+    """Features and trees as SQL expressions against Python and numpy; the verdict follows the score."""
+    odd = [None, "", "http://", "http://a..b/", "HTTP://www.Cheap-Pills99.example.org/a//b/?x=1&y=2;z#f?g", "http://é-ü.com/?", "http://a.b/" + "long/" * 5000, "http://a.b/c", "http://a.b/c"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(odd)], "page_id long, url string").unionByName(spark.read.parquet(f"{sf_dir}/pages.parquet").select((F.col("page_id") + 100).alias("page_id"), "url"))
+    df = df.unionByName(U.labelled(spark, 200).select((F.col("id") + 10**6).alias("page_id"), "url"))
+    urls = {r.page_id: r.url for r in df.collect()}
+    got = U.judge(df.withColumn("score", F.lit("x")), model, ["page_id", "score"], rules=()).collect()
+    assert len(got) == len(urls) and {r.verdict for r in got} == {"allow", "block"}
+    for r in got:
+        x = np.array([lexical(model, urls[r.page_id])], float)
+        want = 1 / (1 + math.exp(-(model.start + sum(U.trees.applied(t, x)[0] for t in model.trees)))) if r.host else 0.0
+        assert math.isclose(r.score, want, rel_tol=1e-9) and (r.verdict == "block") == (want >= U.THRESHOLD)
+
+
+def test_all_words_of_the_sample_count(spark):
+    """However many words and suffixes the labelled rows have, each that repeats has its share."""
+    rows = [(f"http://w{k}x.s{k}/{j}", int(k % 2)) for k in range(500) for j in range(4)]
+    model = U.train(spark.createDataFrame(rows, "url string, bad int"))
+    assert len(model.suffixes) == len(model.words) == 500
+
+
 def test_empty(spark, model):
     none = spark.createDataFrame([], "page_id long, url string, host int")
     assert U.judge(none, model, ["page_id", "host"]).count() == 0
