@@ -5,11 +5,13 @@ takes more than its bound: the keys of an arc that find their shard full go on c
 so loads are bounded by construction and only overflowing keys leave their home.
 
 How much of each arc goes where depends on the arcs' counts alone (shards x vnodes numbers, whatever the data), so the
-driver plans the overflow from one small aggregate, and rows find their shard by their rank in the arc. Texts are
-never shuffled, only ids, sizes and checksums.
+driver plans the overflow from one small aggregate, and rows find their shard by their rank in the arc. Equal rows are
+one row with a number until they have their places. An arc of many rows, such as one key's, is ranked in parts by a hash
+of whole rows. Texts are never shuffled, only ids, sizes and checksums.
 
-Nulls: a null text has no bytes (size is the overhead, checksum that of no bytes); null keys hash like any value.
-Repeated rows are rows of their own. An empty table gives an empty result. Columns that clash are replaced.
+Nulls: a null text has no bytes (size is the overhead, checksum that of no bytes); null keys hash like any value. Empty
+and very long texts count only by their size. Ties in the hash go by the row's other columns; equal rows have places next
+to each other. Repeated rows are rows of their own. An empty table gives an empty result. Columns that clash are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from tessera.llm.shared import table
 OVERHEAD = 16
 #: Equal parts of the ring by which points are found.
 CELLS = 4096
+#: Rows of an arc that are ranked together, and places of equal rows that are made by one task at a time.
+ARC_ROWS = 500_000
+RUN = 100_000
 
 
 def ring(shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,15 +88,36 @@ def assign(rows: DataFrame, key: str = "doc_id", shards: int = 40, vnodes: int =
     keyed = keyed.join(F.broadcast(lookup), "_cell")  # CELLS rows, whatever the data
     arc = F.col("_base") + F.size(F.filter("_cuts", lambda p: p < F.col("_h")))
     keyed = keyed.withColumn("_arc", F.pmod(arc, F.lit(len(owner)))).drop("_cell", "_base", "_cuts")
+    by_hash = [c for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]
+    if len(by_hash) == len(rows.columns):  # else equal rows can't be told
+        keyed = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("_times"))
+    else:
+        keyed = keyed.withColumn("_times", F.lit(1).cast("long"))
+    by_arc = {r._arc: r for r in keyed.groupBy("_arc").agg(F.sum("_times").alias("n"), F.count(F.lit(1)).alias("k"), F.max("_times").alias("most")).collect()}  # shards x vnodes rows at most
+    parts = {a: -(-r.k // ARC_ROWS) for a, r in by_arc.items() if r.k > ARC_ROWS}
+    cut = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(parts.items()) for x in pair]), F.col("_arc")), F.lit(1)) if parts else F.lit(1)
+    keyed = keyed.withColumn("_part", F.pmod(F.xxhash64("_h", *by_hash), cut.cast("long")))
     counts = np.zeros(len(owner), np.int64)
-    for arc_id, n in keyed.groupBy("_arc").count().collect():  # shards x vnodes rows at most
-        counts[arc_id] = n
+    for a, r in by_arc.items():
+        counts[a] = r.n
     steps = plan(counts, owner, bounds(int(counts.sum()), shards, load))
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("_arc", "_from", "_to", "_shard", "_slot")])
     moves = spark.createDataFrame(steps, schema)
     moves = moves.groupBy("_arc").agg(F.sort_array(F.collect_list(F.struct("_from", "_to", "_shard", "_slot"))).alias("_moves"))
-    order = Window.partitionBy("_arc").orderBy("_h", *[c for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))])
-    ranked = keyed.withColumn("_rank", F.row_number().over(order) - 1).join(F.broadcast(moves), "_arc")  # at most shards x arcs moves
+    order = Window.partitionBy("_arc", "_part").orderBy("_h", *by_hash).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = keyed.withColumn("_rank", F.sum("_times").over(order) - F.col("_times"))
+    if parts:  # ranks go on from part to part: as many numbers as there are parts of ARC_ROWS rows
+        sums = keyed.where(F.col("_arc").isin(list(parts))).groupBy("_arc", "_part").agg(F.sum("_times").alias("_n"))
+        before = sums.withColumn("_before", F.sum("_n").over(Window.partitionBy("_arc").orderBy("_part")) - F.col("_n")).drop("_n")
+        ranked = ranked.join(F.broadcast(before), ["_arc", "_part"], "left").withColumn("_rank", F.col("_rank") + F.coalesce("_before", F.lit(0)))
+    most = max((r.most for r in by_arc.values()), default=1)
+    if most > RUN:  # runs of places, dealt out before they are made
+        runs = F.sequence(F.col("_rank"), F.col("_rank") + F.col("_times") - 1, F.lit(RUN))
+        ranked = ranked.withColumn("_end", F.col("_rank") + F.col("_times")).withColumn("_rank", F.explode(runs))
+        ranked = ranked.withColumn("_times", F.least(F.lit(RUN), F.col("_end") - F.col("_rank"))).repartition("_rank", "_arc")
+    if most > 1:
+        ranked = ranked.withColumn("_rank", F.explode(F.sequence(F.col("_rank"), F.col("_rank") + F.col("_times") - 1)))
+    ranked = ranked.join(F.broadcast(moves), "_arc")  # at most shards x arcs moves
     move = F.filter("_moves", lambda m: (m["_from"] <= F.col("_rank")) & (F.col("_rank") < m["_to"]))[0]
     return ranked.withColumn("_move", move).select(*[F.col(c) for c in rows.columns if c not in ("shard", "slot")], F.col("_move._shard").cast("int").alias("shard"), (F.col("_move._slot") + F.col("_rank") - F.col("_move._from")).alias("slot"))
 
