@@ -8,9 +8,10 @@ languages' counts, all bits are trained by one pass over ALL training texts that
 each bit's weight, its share of separated pairs. The best language's softmax share is the score; a small lead over the
 second is flagged as ambiguous.
 
-Nulls: a null text, or one without a letter, is `und` with score 0; rows without a language don't train. Without any
-training row everything is `und`. Empty tables give empty results; extra columns are not read. Ties go to the language
-that sorts first.
+Nulls: a null or empty text, or one without a letter, is `und` with score 0; rows without a language don't train. Texts
+of any length are whole. Without any training row everything is `und`. Repeated rows are rows of their own. Empty tables
+give empty results; columns that clash with the added ones are replaced, others are not read. Ties go to the language that
+sorts first.
 """
 
 from __future__ import annotations
