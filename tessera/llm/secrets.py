@@ -163,7 +163,8 @@ def scan(docs: DataFrame, forest: list, keep: list[str], text: str = "text", pat
     """keep, with findings (start and length in characters from 0, value, kind, score, secret) and redacted_text."""
     keep = [c for c in keep if c not in ("findings", "redacted_text")]
     has = F.col("_text").rlike(QUICK) & F.col("_text").rlike(CANDIDATE)
-    cut = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"), F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("_path"))
+    held = [f"_{k}" for k in range(len(keep))]
+    cut = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(keep, held)], F.col(f"`{text}`").alias("_text"), F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("_path"))
     none = F.array().cast("array<string>")
     cut = cut.withColumn("_has", F.coalesce(has, F.lit(False)))
     cut = cut.withColumn("_values", F.when(F.col("_has"), F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0))).otherwise(none))
@@ -192,7 +193,7 @@ def scan(docs: DataFrame, forest: list, keep: list[str], text: str = "text", pat
     cut = cut.withColumn("findings", F.zip_with("_described", "_starts", finding))
     said = F.zip_with("_pieces", "findings", lambda piece, f: F.concat(piece, F.when(f.isNull(), "").when(f["secret"], F.lit(REDACTED)).otherwise(f["value"])))
     redacted = F.when(F.size("findings") > 0, F.array_join(said, "")).otherwise(F.col("_text"))
-    return cut.withColumn("redacted_text", redacted).select(*keep, "findings", "redacted_text")
+    return cut.withColumn("redacted_text", redacted).select(*[F.col(h).alias(c) for c, h in zip(keep, held)], "findings", "redacted_text")
 
 
 def op10_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,8 @@ def plan(counts: np.ndarray, owner: np.ndarray, room: list[int]) -> list[tuple[i
 def assign(rows: DataFrame, key: str = "doc_id", shards: int = 40, vnodes: int = 128, load: float = 1.0) -> DataFrame:
     """rows with `shard` and `slot` (gapless from 0 in its shard)."""
     spark = rows.sparkSession
+    names, key = rows.columns, f"c{rows.columns.index(key)}"
+    rows = rows.toDF(*[f"c{k}" for k in range(len(names))])
     places, owner = ring(shards, vnodes)
     width = (1 << 64) // CELLS
     cell_of = [(int(p) + (1 << 63)) // width for p in places]
@@ -119,7 +121,7 @@ def assign(rows: DataFrame, key: str = "doc_id", shards: int = 40, vnodes: int =
         ranked = ranked.withColumn("_rank", F.explode(F.sequence(F.col("_rank"), F.col("_rank") + F.col("_times") - 1)))
     ranked = ranked.join(F.broadcast(moves), "_arc")  # at most shards x arcs moves
     move = F.filter("_moves", lambda m: (m["_from"] <= F.col("_rank")) & (F.col("_rank") < m["_to"]))[0]
-    return ranked.withColumn("_move", move).select(*[F.col(c) for c in rows.columns if c not in ("shard", "slot")], F.col("_move._shard").cast("int").alias("shard"), (F.col("_move._slot") + F.col("_rank") - F.col("_move._from")).alias("slot"))
+    return ranked.withColumn("_move", move).select(*[F.col(c).alias(name) for c, name in zip(rows.columns, names) if name not in ("shard", "slot")], F.col("_move._shard").cast("int").alias("shard"), (F.col("_move._slot") + F.col("_rank") - F.col("_move._from")).alias("slot"))
 
 
 def op5_consistent_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,13 +117,15 @@ def appended(df: DataFrame, keep: list[str], text: str, make, added: str) -> Dat
     """
     new = df.sparkSession.createDataFrame([], added).schema
     keep = [c for c in keep if c not in new.names]
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
-    kept = df.select(*[F.col(f"`{c}`") for c in keep]).schema
-    names = [*keep, *new.names]
+    held = [f"_{k}" for k in range(len(keep))]  # no name in keep can clash with the text's or an added one then
+    rows = df.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(keep, held)], F.col(f"`{text}`").alias("_text"))
+    kept = rows.select(*held).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for batch in slices(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *one(batch.column("_text"), batch)], names)
+            own = [batch.column(h) for h in held]
+            yield pa.RecordBatch.from_arrays([*own, *one(batch.column("_text"), pa.RecordBatch.from_arrays(own, keep) if keep else batch)], [*held, *new.names])
 
-    return rows.mapInArrow(run, type(kept)([*kept.fields, *new.fields]))
+    out = rows.mapInArrow(run, type(kept)([*kept.fields, *new.fields]))
+    return out.select(*[F.col(h).alias(c) for c, h in zip(keep, held)], *new.names)

@@ -154,10 +154,11 @@ def train(rows: DataFrame, most: int = LABELLED) -> Model:
 def judge(pages: DataFrame, model: Model, keep: list[str], url: str = "url", rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """keep, with host, path, rule, score (of the trees) and verdict."""
     keep = [c for c in keep if c not in ("host", "path", "rule", "score", "verdict")]
-    own = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{url}`").alias("_url")).withColumn("host", host_of(F.col("_url"))).withColumn("path", path_of(F.col("_url")))
+    held = [f"_{k}" for k in range(len(keep))]
+    own = pages.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(keep, held)], F.col(f"`{url}`").alias("_url")).withColumn("host", host_of(F.col("_url"))).withColumn("path", path_of(F.col("_url")))
     own = own.withColumn("_x", model.features(F.col("_url"), F.col("host"), F.col("path"))).withColumn("score", F.when(F.col("host") == "", 0.0).otherwise(model.score(F.col("_x"))))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return own.select(*keep, "host", "path", rule.alias("rule"), "score", F.coalesce(verdict, F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"))
+    return own.select(*[F.col(h).alias(c) for c, h in zip(keep, held)], "host", "path", rule.alias("rule"), "score", F.coalesce(verdict, F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"))
 
 
 def op6_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

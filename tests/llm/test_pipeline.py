@@ -74,3 +74,28 @@ def test_empty(spark, planted, sf_dir):
     for _, stage in P.STAGES:
         now = stage(spark, now, sf_dir)
     assert now.count() == 0
+
+
+def test_odd(spark, planted, sf_dir):
+    """Null keys, repeated rows with other columns, and columns with added names: they keep their values at every stage."""
+    odd = planted.unionByName(planted.where("doc_id in (902, 3, 901)").withColumn("source", P.F.lit("b"))).unionByName(planted.where("doc_id = 5").withColumn("doc_id", P.F.lit(None).cast("long")))
+    names = ("lang_pred", "score", "n_words", "hits", "items", "_hits", "findings", "redacted_text", "class_id", "k", "_row", "_text")
+    odd = odd.withColumns({c: P.F.concat(P.F.lit(c), P.F.coalesce("source", P.F.lit(""))) for c in names}).withColumn("m", P.F.create_map(P.F.lit("a"), "source"))
+    now = odd
+    for name, stage in P.STAGES[:-1]:
+        now = P.written(stage(spark, now, sf_dir), name)
+        assert now.columns == odd.columns and now.dtypes == odd.dtypes
+        for r in now.collect():
+            assert all(r[c] == c + (r.source or "") for c in names) and r.m == {"a": r.source}
+        if name == "near_duplicates":
+            rows = now.collect()
+            ids = [r.doc_id for r in rows]
+            assert None in ids and len(ids) == len(set(ids))
+            assert next(r.source for r in rows if r.doc_id == 3) == "b"  # sorts before src0
+    assert P.packed(spark, now, sf_dir).count() > 0
+
+
+def test_nothing_to_learn(spark, planted, sf_dir):
+    """Without any known language only texts without a letter go."""
+    got = {r.doc_id for r in P.known_language(spark, planted.withColumn("lang", P.F.lit(None).cast("string")), sf_dir).collect()}
+    assert got == {r.doc_id for r in planted.collect() if any(map(str.isalpha, r.text or ""))}
