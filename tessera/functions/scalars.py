@@ -12,11 +12,6 @@ def number(c: Column) -> Column:
     return F.when(F.isnan(value), None).otherwise(value)
 
 
-def loose_number(c: Column) -> Column:
-    """c as a double, NaN kept."""
-    return c.try_cast("double")
-
-
 def nonzero(c: Column) -> Column:
     return F.nullif(c, F.lit(0.0))
 

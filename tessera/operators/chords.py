@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tessera.operators.overlap import length, overlapping
 
 NO_CHORD = "N"
+#: Candidates up to which they go to every task.
+MOST_CANDIDATES = 50_000
 
 
 @dataclass(frozen=True)
@@ -77,7 +79,11 @@ def picked(segments: DataFrame, notes: DataFrame, candidates: DataFrame, keys: l
     own = [c for c in keys if c in candidates.columns]
     weights = class_durations(segments, notes, keys).groupBy(*keys, "seg_idx").agg(F.map_from_entries(F.collect_list(F.struct("pc", "w"))).alias("m"), F.sum("w").alias("total"))
     weights = weights.where(F.col("total") >= scoring.min_time)
-    pairs = weights.join(F.broadcast(candidates), own) if own else weights.crossJoin(F.broadcast(candidates))
+    if own:
+        pairs = weights.join(candidates, own)
+    else:  # a stated vocabulary against all segments
+        few = candidates.limit(MOST_CANDIDATES + 1).count() <= MOST_CANDIDATES
+        pairs = weights.crossJoin(F.broadcast(candidates) if few else candidates)
     weight = lambda pc: F.coalesce(F.try_element_at("m", pc), F.lit(0.0))
     inside = F.aggregate("classes", F.lit(0.0), lambda a, pc: a + weight(pc))
     pairs = pairs.withColumn("inside", inside).where(F.col("inside") / F.col("total") >= scoring.min_share)

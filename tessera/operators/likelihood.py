@@ -12,9 +12,9 @@ from tessera.functions.scalars import nonzero
 from tessera.operators.stats import describe
 
 
-def records(docs: DataFrame, keys: list[str], doc: str = "doc") -> DataFrame:
+def records(docs: DataFrame, keys: list[str], doc: str = "doc", aliases: bool = False) -> DataFrame:
     """keys, file, avg_nll, total_nll, total_tokens, error of JSON documents (VARIANT): a map by file, a list, a list
-    under entries or results, a summary, or one record."""
+    under entries or results, a summary, or one record. aliases: the numbers under any of their names, zeros as missing."""
     v = F.col(doc)
     has = lambda p: F.try_variant_get(v, p, "variant").isNotNull()
     single = has("$.avg_nll") | has("$.total_nll") | has("$.total_tokens")
@@ -26,6 +26,9 @@ def records(docs: DataFrame, keys: list[str], doc: str = "doc") -> DataFrame:
     rows = many.unionByName(alone)
     get = lambda p, kind="double": F.try_variant_get("_r", f"$.{p}", kind)
     name = F.coalesce("file", get("file", "string"), get("filename", "string"))
+    if aliases:
+        own = aliased(F.col("_r"))
+        return rows.select(*keys, name.alias("file"), own["avg_nll"].alias("avg_nll"), own["total_nll"].alias("total_nll"), own["total_tokens"].cast("long").alias("total_tokens"), get("error", "string").alias("error"))
     return rows.select(*keys, name.alias("file"), get("avg_nll").alias("avg_nll"), get("total_nll").alias("total_nll"), get("total_tokens").cast("long").alias("total_tokens"), get("error", "string").alias("error"))
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import interval_gen, stem
-from tessera.operators.likelihood import last_wins
 
 #: Rules in order of priority for runs of a system and for likelihood files.
 SYSTEM_RULES = ("numeric", "containment", "plain_within")
@@ -31,19 +30,13 @@ def unmatched(generated: DataFrame, truth: DataFrame, path: str = "path") -> Dat
 
 def pieces_of(name: Column, lengths: list[int]) -> Column:
     """All substrings of those lengths."""
-    def of_length(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(name) - n + 1)
-        return F.when(F.length(name) >= n, F.transform(starts, lambda k: F.substr(name, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    arrays = [of_length(n) for n in lengths]
-    return F.array_distinct(F.flatten(F.array(*arrays)))
+    fitting = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(name))
+    return F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda k: F.substr(name, k, n)))))
 
 
 def within(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
     """Rows of inner x outer where inner's text a (not empty) lies in outer's text b."""
-    lengths = sorted(r[0] for r in inner.where(F.length(a) > 0).select(F.length(a)).distinct().limit(1000).collect())
-    if len(lengths) == 1000:
-        raise ValueError("names of 1000 different lengths: not a table of names")
+    lengths = sorted(r[0] for r in inner.where(F.length(a) > 0).select(F.length(a)).distinct().collect())  # as many as the longest name has characters
     if not lengths:
         return inner.crossJoin(outer).limit(0)
     return outer.withColumn("_piece", F.explode(pieces_of(F.col(b), lengths))).join(inner, F.col("_piece") == F.col(a)).drop("_piece")
@@ -104,11 +97,6 @@ def resolved(keys: DataFrame, listing: DataFrame, key: str = "key", path: str =
     return pairs.groupBy(key).agg(F.min(path).alias(path))
 
 
-def merged(docs: DataFrame, key: str, source: str) -> DataFrame:
-    """One row of each key, from the last source."""
-    return last_wins(docs, [key], [source])
-
-
 def first_ranked(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     at = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(at)).where("_n = 1").drop("_n")

@@ -34,7 +34,7 @@ def length(a: tuple[str, str], b: tuple[str, str]) -> Column:
     return F.least(F.col(a[1]), F.col(b[1])) - F.greatest(F.col(a[0]), F.col(b[0]))
 
 
-def consonance(melody: DataFrame, accompaniment: DataFrame, keys: list[str], width: float = BUCKET) -> DataFrame:
+def consonance(melody: DataFrame, accompaniment: DataFrame, keys: list[str], width: float = BUCKET, consonant: tuple[int, ...] = CONSONANT) -> DataFrame:
     """keys, consonant, dissonant and unsupported shares of melody time. Pieces that lack either side are left out.
 
     A melody note with any consonant overlap is consonant as a whole; without any overlap it is unsupported.
@@ -44,7 +44,7 @@ def consonance(melody: DataFrame, accompaniment: DataFrame, keys: list[str], wid
     m = m.groupBy(*keys, "_mp", "_m0", "_m1").agg((F.count(F.lit(1)) * (F.col("_m1") - F.col("_m0"))).alias("_length"))
     a = accompaniment.select(*keys, F.pmod(F.col("pitch"), F.lit(12)).alias("_ac"), F.col("t0").alias("_a0"), F.col("t1").alias("_a1")).distinct()
     both = a.select(*keys).distinct()
-    fits = F.pmod(F.col("_mp") - F.col("_ac"), F.lit(12)).isin(*CONSONANT)
+    fits = F.pmod(F.col("_mp") - F.col("_ac"), F.lit(12)).isin(*{c % 12 for c in consonant})
     met = overlapping(m, a, keys, ("_m0", "_m1"), ("_a0", "_a1"), width).groupBy(*keys, "_mp", "_m0", "_m1").agg(F.max(fits).alias("_ok"))
     notes = m.join(both, keys, "left_semi").join(met, [*keys, "_mp", "_m0", "_m1"], "left")
     part = lambda c: F.sum(F.when(c, F.col("_length")).otherwise(0.0)) / F.sum("_length")

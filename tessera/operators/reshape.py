@@ -8,23 +8,12 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import group_label, natural_key
 from tessera.operators.stats import describe
 
-#: Fixed keys of a run's summary metrics: name and path.
-SUMMARY_PATHS = {
-    "pitch_jsd": "accompaniment_vs_groundtruth.pitch_jsd.mean", "onset_jsd": "accompaniment_vs_groundtruth.onset_jsd.mean", "duration_jsd": "accompaniment_vs_groundtruth.duration_jsd.mean",
-    "consonant_ratio": "melody_relationship.consonant_ratio.mean", "dissonant_ratio": "melody_relationship.dissonant_ratio.mean", "unsupported_ratio": "melody_relationship.unsupported_ratio.mean",
-}
-
 
 def melted(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """keys, metric, value."""
     return rows.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(keys, metrics, "metric", "value").where("value is not null")
 
 
-def repeated(rows: DataFrame, value: str, times: str) -> DataFrame:
-    """Each row as often as `times` says: a summary's median standing for its items."""
-    return rows.withColumn("_i", F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))).drop("_i")
-
-
 def grid(rows: DataFrame, row: str, column: str, value: str, order: str, columns: list | None = None) -> DataFrame:
     """A table row x column of the last value in order; cells without a number are null."""
     kept = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
@@ -32,6 +21,12 @@ def grid(rows: DataFrame, row: str, column: str, value: str, order: str, columns
     return wide.agg(F.max_by(value, order))
 
 
+def axis_caps(rows: DataFrame, keys: list[str], margin: float = 0.3, least: float = 0.01) -> DataFrame:
+    """keys, box_top, iqr_max, focus: the highest third quartile, the widest box, and where an axis should end."""
+    out = rows.groupBy(*keys).agg(F.max("q3").alias("box_top"), F.coalesce(F.max(F.col("q3") - F.col("q1")), F.lit(0.0)).alias("iqr_max"))
+    return out.withColumn("focus", F.col("box_top") + F.greatest(F.lit(least), margin * F.col("iqr_max")))
+
+
 def statistics_grid(rows: DataFrame, key: str, kind: str, kinds: list[str], value: str, stats=("mean", "stdev_samp")) -> DataFrame:
     """One row a key with columns `<kind>-<statistic>`."""
     got = describe(rows.where(F.col(kind).isin(kinds)), [key, kind], value)

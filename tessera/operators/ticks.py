@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Normaliser of the weighted hit rate.
@@ -49,19 +49,32 @@ def with_global(ticks: DataFrame, keys: list[str], weight: float = WEIGHT) -> Da
     return rows.unionByName(last, allowMissingColumns=True)
 
 
+def run_results(ticks: DataFrame, run: str, weight: float = WEIGHT) -> DataFrame:
+    """run, records (its ticks in order), global: a run's result as system logs are summed up. A run's ticks are few."""
+    numbers = ["hit_rate", "avg_backup", "weighted_hit_rate"]
+    records = by_tick(ticks, [run], weight).groupBy(run).agg(F.sort_array(F.collect_list(F.struct("tick", *numbers))).alias("records"))
+    own = of_runs(ticks, [run], weight)
+    return own.select(run, F.struct(*[c for c in own.columns if c != run]).alias("global")).join(records, run, "left").select(run, "records", "global")
+
+
 def across(runs: DataFrame) -> DataFrame:
     """One row over runs: plain means of what is a number, sums of samples and hits."""
     mean = lambda c: F.avg(F.when(~F.isnan(c), F.col(c))).alias(f"mean_{c}")
     return runs.agg(*map(mean, ("global_hit_rate", "global_avg_backup", "ISR_w")), F.sum("total_samples").alias("total_samples"), F.sum("total_hits").alias("total_hits"), F.count(F.lit(1)).alias("n_runs"))
 
 
-def deadlines(timings: DataFrame, keys: list[str], tick: float = TICK) -> DataFrame:
+def deadlines(timings: DataFrame, keys: list[str], tick: float = TICK, sample: int = 0) -> DataFrame:
     """keys, frames, deadline, n, n_miss, dmr of timings (frames, round_trip_time, request_arrival_time, response_output_time).
 
     The time is round_trip_time, else output less arrival; without either the row is left out. Equal to the deadline is
-    no miss. Rows without frames are left out.
+    no miss. Rows without frames are left out. sample: also details_sample, so many of the times, the longest first.
     """
     rtt = F.coalesce("round_trip_time", F.col("response_output_time") - F.col("request_arrival_time"))
     rows = timings.withColumn("_rtt", rtt).where("_rtt is not null and frames is not null").withColumn("deadline", F.floor((F.col("frames") + 1) / 2) * tick)
     miss = (F.col("_rtt") > F.col("deadline")).cast("double")
-    return rows.groupBy(*keys, "frames", "deadline").agg(F.count(F.lit(1)).alias("n"), F.sum(miss).cast("long").alias("n_miss"), F.avg(miss).alias("dmr"))
+    out = rows.groupBy(*keys, "frames", "deadline").agg(F.count(F.lit(1)).alias("n"), F.sum(miss).cast("long").alias("n_miss"), F.avg(miss).alias("dmr"))
+    if not sample:
+        return out
+    place = F.row_number().over(Window.partitionBy(*keys, "frames").orderBy(F.desc("_rtt")))
+    kept = rows.withColumn("_n", place).where(F.col("_n") <= sample).groupBy(*keys, "frames").agg(F.sort_array(F.collect_list("_rtt"), asc=False).alias("details_sample"))
+    return out.join(kept, [*keys, "frames"])

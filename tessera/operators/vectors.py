@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +13,9 @@ from tessera.operators.overlap import overlapping
 
 STEPS = 32
 STEPS_A_BEAT = 4
-#: Dimensions up to which moments are gathered: their square comes to the driver.
-MOST_DIMENSIONS = 2048
+#: Gaussian estimators of a set's covariance: plain, with a fixed share of its mean variance, and two that choose the share.
+ESTIMATORS = ("mle", "shrinkage", "ledoit_wolf", "oas")
+SHRINKAGE = 0.1
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -29,32 +33,75 @@ def means(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return rows.select(*keys, F.posexplode(vector).alias("dim", "x")).groupBy(*keys, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
+MOMENTS = "i int, j int, n long, si double, sj double, sij double"
+
+
+def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a task's vectors and of their products, by number of dimensions."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        lists = batch.column(0).cast(pa.large_list(pa.float64()))
+        lengths = np.diff(lists.offsets.to_numpy())
+        for d in np.unique(lengths).tolist():
+            rows = lists.filter(pa.array(lengths == d)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            have = held.setdefault(d, [0, np.zeros(d), np.zeros((d, d))])
+            have[0] += len(rows)
+            have[1] += rows.sum(axis=0)
+            have[2] += rows.T @ rows
+    for d, (n, total, products) in held.items():
+        i, j = np.triu_indices(d)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(np.full(len(i), n)), pa.array(total[i]), pa.array(total[j]), pa.array(products[i, j])], ["i", "j", "n", "si", "sj", "sij"])
+
+
 def moments(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """keys, i, j, n, si, sj, sij of all pairs of dimensions: sums that tasks add up for themselves."""
+    """keys, i, j, n, si, sj, sij of all pairs of dimensions: sums that tasks add up for themselves.
+
+    Without keys a task sends its sums once, however many vectors it has; vectors hold no nulls then.
+    """
+    if not keys:
+        sums = rows.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null").mapInArrow(gram, MOMENTS)
+        return sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
     own = rows.select(*keys, F.col(vector).alias("_v")).where("_v is not null")
     pairs = own.select(*keys, "_v", F.posexplode("_v").alias("i", "x")).select(*keys, "i", "x", F.posexplode("_v").alias("j", "y")).where("i <= j")
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     return pairs.groupBy(*keys, "i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("si"), F.sum(y).alias("sj"), F.sum(x * y).alias("sij"))
 
 
-def gaussian(rows: DataFrame, vector: str, ddof: int = 1) -> tuple[np.ndarray, np.ndarray] | None:
-    """Mean and covariance of a set; null with too few rows."""
-    got = moments(rows, [], vector).collect()  # dimensions squared
-    if not got or got[0].n <= ddof:
+def shrunk(cov: np.ndarray, share: float) -> np.ndarray:
+    return (1 - share) * cov + share * np.trace(cov) / len(cov) * np.eye(len(cov))
+
+
+def gaussian(rows: DataFrame, vector: str, ddof: int = 1, estimator: str = "mle") -> tuple[np.ndarray, np.ndarray] | None:
+    """Mean and covariance of a set; null with too few rows. The others of ESTIMATORS start from the covariance by n."""
+    if estimator not in ESTIMATORS:
+        raise ValueError(f"{estimator}: not one of {', '.join(ESTIMATORS)}")
+    got = moments(rows, [], vector).toArrow()  # dimensions squared, which the result has too
+    ddof = ddof if estimator == "mle" else 0
+    if not len(got) or got.column("n")[0].as_py() <= ddof:
         return None
-    d = max(r.j for r in got) + 1
-    if d > MOST_DIMENSIONS:
-        raise ValueError(f"{d} dimensions; at most {MOST_DIMENSIONS}")
+    i, j, n, si, sj, sij = (got.column(c).to_numpy() for c in ("i", "j", "n", "si", "sj", "sij"))
+    d = int(j.max()) + 1
     mean, cov = np.zeros(d), np.zeros((d, d))
-    for r in got:
-        mean[r.i] = r.si / r.n
-        cov[r.i, r.j] = cov[r.j, r.i] = (r.sij - r.si * r.sj / r.n) / (r.n - ddof)
+    mean[i] = si / n
+    cov[i, j] = cov[j, i] = (sij - si * sj / n) / (n - ddof)
+    if estimator == "shrinkage":
+        return mean, shrunk(cov, SHRINKAGE)
+    square, n = float((cov**2).sum()), int(n[0])
+    if estimator == "ledoit_wolf":
+        gap = F.zip_with(F.col(vector).cast("array<double>"), F.array(*map(F.lit, mean.tolist())), lambda x, m: (x - m) * (x - m))
+        fourth = rows.where(F.col(vector).isNotNull()).agg(F.sum(F.pow(F.aggregate(gap, F.lit(0.0), lambda a, x: a + x), F.lit(2)))).first()[0]
+        spread = square - np.trace(cov) ** 2 / d
+        return mean, shrunk(cov, min(1.0, max(0.0, (fourth / n - square) / n / spread)) if spread > 0 else 1.0)
+    if estimator == "oas":
+        trace = float(np.trace(cov)) ** 2
+        below = (n + 1 - 2 / d) * (square - trace / d)
+        return mean, shrunk(cov, min(1.0, ((1 - 2 / d) * square + trace) / below) if below > 0 else 1.0)
     return mean, cov
 
 
-def frechet(a: DataFrame, b: DataFrame, vector: str, ddof: int = 1) -> float | None:
+def frechet(a: DataFrame, b: DataFrame, vector: str, ddof: int = 1, estimator: str = "mle") -> float | None:
     """|m1 - m2|^2 + trace(S1 + S2 - 2 (S1 S2)^(1/2)) of two sets' moments."""
-    one, two = gaussian(a, vector, ddof), gaussian(b, vector, ddof)
+    one, two = gaussian(a, vector, ddof, estimator), gaussian(b, vector, ddof, estimator)
     if one is None or two is None:
         return None
     (m1, s1), (m2, s2) = one, two

@@ -111,11 +111,10 @@ def melody_notes(spark, d):
 @query(
     "SELECT piece_id, track_idx, count(*) AS n FROM u WHERE is_piano OR NOT any_piano GROUP BY 1, 2",
     V.NOTES,
-    "u AS (SELECT *, lower(trim(name)) = 'piano' AS is_piano, bool_or(lower(trim(name)) = 'piano') OVER (PARTITION BY piece_id, track_idx) AS any_piano FROM notes WHERE NOT is_drum AND track_idx > 4)",
+    "u AS (SELECT *, lower(trim(name)) = 'piano' AS is_piano, bool_or(lower(trim(name)) = 'piano') OVER (PARTITION BY piece_id, track_idx) AS any_piano FROM notes WHERE NOT is_drum)",
 )
 def track_role_fallback(spark, d):
-    rows = V.notes(spark, d).where("track_idx > 4")
-    return roles.ground_truth(rows, ["piece_id", "track_idx"]).groupBy("piece_id", "track_idx").agg(F.count(F.lit(1)).alias("n"))
+    return roles.ground_truth(V.notes(spark, d), ["piece_id", "track_idx"]).groupBy("piece_id", "track_idx").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT piece_id, count(*) AS n, sum(greatest(t0, 4.5)) AS starts FROM notes WHERE t1 > 4.5 GROUP BY 1", V.NOTES)
@@ -247,6 +246,19 @@ def random_pairs(spark, d):
     return pairs.at_random(rows, "k", ["v"], 1000)
 
 
+@query("SELECT 500::BIGINT AS n, 500::BIGINT AS different, 0::BIGINT AS wrong FROM (SELECT count(*) AS k FROM customer) WHERE k * (k - 1) / 2 > 500")
+def random_pairs_drawn(spark, d):
+    """A sample of the pairs of all customers: so many, all different, each in order and with its own difference."""
+    c = V.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("v"))
+    first = c.agg(F.min("c_custkey")).first()[0]
+    rows = c.select((F.col("c_custkey") - first).alias("k"), "v")
+    drawn = pairs.at_random(rows, "k", ["v"], 500)
+    a, b = (rows.select(F.col("k").alias(s), F.col("v").alias(f"v_{s}")) for s in ("first", "second"))
+    wrong = (F.col("first") >= F.col("second")) | F.coalesce(F.col("diff_v") != F.abs(F.col("v_first") - F.col("v_second")), F.lit(True))
+    checked = drawn.join(a, "first", "left").join(b, "second", "left")
+    return rounded(checked.agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_distinct("first", "second").cast("int").alias("different"), F.sum(wrong.cast("int")).cast("int").alias("wrong")))
+
+
 @query(
     f"SELECT pair_kind, measure, {FIVE} FROM (SELECT 'adjacent' AS pair_kind, 'diff_rd' AS measure, abs(lead(rd) OVER w - rd) AS x FROM phrases WINDOW w AS (PARTITION BY piece_id, side ORDER BY idx) QUALIFY lead(idx) OVER w IS NOT NULL "
     "UNION ALL SELECT 'same_song', 'diff_rd', abs(a.rd - b.rd) FROM phrases a JOIN phrases b ON a.piece_id = b.piece_id AND a.side = b.side AND a.idx < b.idx) GROUP BY 1, 2",
@@ -261,10 +273,15 @@ def pair_differences(spark, d):
 
 @query(f"SELECT side_a AS side, {FIVE} FROM (SELECT 'both' AS side_a, abs(a.rd - b.rd) AS x FROM phrases a JOIN phrases b ON a.piece_id = b.piece_id AND a.idx = b.idx AND a.side = 'generated' AND b.side = 'ground_truth') GROUP BY 1", V.NOTES, PHRASES)
 def phrase_ordinal_summary(spark, d):
-    rows = phrases_of(spark, d).select("piece_id", "idx", "side", F.col("rhythm_density").alias("rd"))
-    a, b = (rows.where(F.col("side") == s).drop("side").withColumnRenamed("rd", s) for s in SIDES)
-    both = a.join(b, ["piece_id", "idx"]).select(F.lit("both").alias("side"), F.abs(F.col(SIDES[0]) - F.col(SIDES[1])).alias("x"))
-    return rounded(stats.five_number(both, ["side"], "x"))
+    both = pairs.by_place(phrases_of(spark, d), ["piece_id"], "idx", "side", SIDES, ["rhythm_density"])
+    return rounded(stats.five_number(both.select(F.lit("both").alias("side"), F.col("diff_rhythm_density").alias("x")), ["side"], "x"))
+
+
+@query("SELECT a.piece_id, round(avg(abs(a.rd - b.rd)), 6) AS \"RD\", round(avg(abs(a.vn - b.vn)), 6) AS \"VN\" FROM phrases a JOIN phrases b ON a.piece_id = b.piece_id AND a.idx = b.idx AND a.side = 'generated' AND b.side = 'ground_truth' GROUP BY 1", V.NOTES, PHRASES)
+def piece_phrase_means(spark, d):
+    from tessera.plans import evaluation
+
+    return rounded(evaluation.piece_phrase_means(phrases_of(spark, d), ["piece_id"]).groupBy("piece_id").pivot("metric", ["RD", "VN"]).agg(F.first("value")))
 
 
 HIT = "CASE WHEN is_hit THEN coalesce((32 - backup_level) / 32, 0) ELSE 0 END"
@@ -369,12 +386,16 @@ def descriptive_stats(spark, d):
     return rounded(stats.describe(rows, ["o_orderstatus"], "x"))
 
 
+#: All kinds of the supplied events.
+KINDS = ("click", "error", "purchase", "signup", "view")
+
+
 @query(
-    "SELECT run, " + ", ".join(f'round(avg(v) FILTER (kind = \'{k}\'), 6) AS "{k}-mean", round(stddev_samp(v) FILTER (kind = \'{k}\'), 6) AS "{k}-stdev_samp"' for k in ("click", "view")) + " FROM (SELECT user_id % 20 AS run, event_type AS kind, (event_id % 64) / 4.0::DOUBLE AS v FROM events) WHERE kind IN ('click', 'view') GROUP BY 1"
+    "SELECT run, " + ", ".join(f'round(avg(v) FILTER (kind = \'{k}\'), 6) AS "{k}-mean", round(stddev_samp(v) FILTER (kind = \'{k}\'), 6) AS "{k}-stdev_samp"' for k in KINDS) + " FROM (SELECT user_id % 20 AS run, event_type AS kind, (event_id % 64) / 4.0::DOUBLE AS v FROM events) GROUP BY 1"
 )
 def type_stat_pivot(spark, d):
     rows = V.table(spark, d, "events").select((F.col("user_id") % 20).alias("run"), F.col("event_type").alias("kind"), ((F.col("event_id") % 64) / 4).alias("v"))
-    return rounded(reshape.statistics_grid(rows, "run", "kind", ["click", "view"], "v"))
+    return rounded(reshape.statistics_grid(rows, "run", "kind", list(KINDS), "v"))
 
 
 KEYS = r"""k AS (SELECT k, name, lower(name) AS low, nullif(regexp_extract(lower(name), 'interval[_-]?(\d+)', 1), '') AS i,
@@ -427,32 +448,54 @@ def json_path(spark, d):
     return V.table(spark, d, "events").select("event_id", S.at_path(doc, "page", "long").alias("page"), S.at_path(doc, "missing.x", "string").alias("missing"))
 
 
-RANKED = r"""rows AS (SELECT DISTINCT n_name AS name FROM nation UNION SELECT 'interval_' || n_nationkey || '_gen_' || n_regionkey FROM nation),
-cands AS (SELECT DISTINCT 'sys_' || lower(n_name) AS candidate FROM nation WHERE n_nationkey % 2 = 0 UNION SELECT 'interval' || n_nationkey || 'gen_frame' || n_regionkey || '_x' FROM nation WHERE n_nationkey % 3 = 0 UNION SELECT replace(n_name, ' ', '_') FROM nation WHERE n_nationkey % 5 = 0),
-pr AS (SELECT name, candidate, lower(name) AS rl, lower(candidate) AS cl, replace(lower(name), '_', '') AS rp, replace(lower(candidate), '_', '') AS cp,
-  regexp_extract(lower(name), 'interval[_-]?(\d+)', 1) AS ri, regexp_extract(lower(name), 'gen[_-]?(?:frame[_-]?)?(\d+)', 1) AS rg, regexp_extract(lower(candidate), 'interval[_-]?(\d+)', 1) AS ci, regexp_extract(lower(candidate), 'gen[_-]?(?:frame[_-]?)?(\d+)', 1) AS cg FROM rows, cands),
-f AS (SELECT *, rl = cl AS exact, contains(cl, rl) OR contains(rl, cl) AS cont, ri <> '' AND ri = ci AND rg <> '' AND rg = cg AS num, contains(cp, rp) AS within, contains(cp, rp) OR contains(rp, cp) AS either FROM pr)"""
+RANKED = r"""rows AS (SELECT DISTINCT name FROM names),
+cands AS (SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN 'sys_' || lower(s_name) WHEN 1 THEN 'Interval_' || (s_suppkey % 12)::VARCHAR || '_gen_' || (s_suppkey % 9)::VARCHAR || '_' || s_suppkey::VARCHAR
+  WHEN 2 THEN 'xgen_' || (s_suppkey % 9)::VARCHAR || 'interval' || (s_suppkey % 12)::VARCHAR ELSE 'offline_' || s_suppkey::VARCHAR || '.midi' END AS candidate FROM supplier),
+pr AS (SELECT name, candidate, lower(name) AS rl, lower(candidate) AS cl, replace(lower(name), '_', '') AS rp, replace(lower(candidate), '_', '') AS cp, rk.i AS ri, rk.g AS rg, ck.i AS ci, ck.g AS cg
+  FROM (SELECT name, {'i': i, 'g': g} AS rk FROM kn) JOIN (SELECT candidate, {'i': i, 'g': g} AS ck FROM kc) ON true),
+f AS (SELECT *, rl = cl AS exact, contains(cl, rl) OR contains(rl, cl) AS cont, ri = ci AND rg = cg AS num, contains(cp, rp) AS within, contains(cp, rp) OR contains(rp, cp) AS either FROM pr)"""
+
+
+def keys_in(table: str, name: str) -> str:
+    """SQL for names with their interval (only beside a gen number) and gen."""
+    gen = f"coalesce(nullif(regexp_extract(lower({name}), 'gen[_-]?frame[_-]?(\\d+)', 1), ''), nullif(regexp_extract(lower({name}), 'interval[_-]?\\d+.*?gen[_-]?(\\d+)', 1), ''), nullif(regexp_extract(lower({name}), 'gen[_-]?(\\d+)', 1), ''))::INT"
+    return f"(SELECT {name}, {gen} AS g, CASE WHEN {gen} IS NOT NULL THEN nullif(regexp_extract(lower({name}), 'interval[_-]?(\\d+)', 1), '')::INT END AS i FROM {table})"
+
+
+RANKED = RANKED.replace("FROM kn)", f"FROM {keys_in('rows', 'name')})").replace("FROM kc)", f"FROM {keys_in('cands', 'candidate')})")
 
 
 def ranked_tables(spark, d):
-    n = V.table(spark, d, "nation")
-    key, region = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
-    rows = n.select(F.col("n_name").alias("name")).union(n.select(F.concat(F.lit("interval_"), key, F.lit("_gen_"), region))).distinct()
-    cands = n.where("n_nationkey % 2 = 0").select(F.concat(F.lit("sys_"), F.lower("n_name")).alias("candidate"))
-    cands = cands.union(n.where("n_nationkey % 3 = 0").select(F.concat(F.lit("interval"), key, F.lit("gen_frame"), region, F.lit("_x"))))
-    return rows, cands.union(n.where("n_nationkey % 5 = 0").select(F.replace("n_name", F.lit(" "), F.lit("_")))).distinct()
+    rows = V.run_names(spark, d).select("name").distinct()
+    k = F.col("s_suppkey")
+    text = lambda m: (k % m).cast("string")
+    candidate = (
+        F.when(k % 4 == 0, F.concat(F.lit("sys_"), F.lower("s_name"))).when(k % 4 == 1, F.concat(F.lit("Interval_"), text(12), F.lit("_gen_"), text(9), F.lit("_"), k.cast("string")))
+        .when(k % 4 == 2, F.concat(F.lit("xgen_"), text(9), F.lit("interval"), text(12))).otherwise(F.concat(F.lit("offline_"), k.cast("string"), F.lit(".midi")))
+    )
+    return rows, V.table(spark, d, "supplier").select(candidate.alias("candidate")).distinct()
 
 
-@query("SELECT r.name, candidate, rule FROM rows r LEFT JOIN (SELECT name, candidate, CASE WHEN num THEN 'numeric' WHEN cont THEN 'containment' ELSE 'plain_within' END AS rule FROM f WHERE num OR cont OR within QUALIFY row_number() OVER (PARTITION BY name ORDER BY CASE WHEN num THEN 0 WHEN cont THEN 1 ELSE 2 END, candidate) = 1) b ON r.name = b.name", RANKED)
+@query("SELECT r.name, candidate, rule FROM rows r LEFT JOIN (SELECT name, candidate, CASE WHEN num THEN 'numeric' WHEN cont THEN 'containment' ELSE 'plain_within' END AS rule FROM f WHERE num OR cont OR within QUALIFY row_number() OVER (PARTITION BY name ORDER BY CASE WHEN num THEN 0 WHEN cont THEN 1 ELSE 2 END, candidate) = 1) b ON r.name = b.name", V.RUN_NAMES, RANKED)
 def ranked_match_system(spark, d):
     return matching.ranked(*ranked_tables(spark, d), rules=matching.SYSTEM_RULES)
 
 
-@query("SELECT r.name, candidate, rule FROM rows r LEFT JOIN (SELECT name, candidate, CASE WHEN exact THEN 'exact' WHEN cont THEN 'containment' WHEN num THEN 'numeric' ELSE 'plain_either' END AS rule FROM f WHERE exact OR num OR cont OR either QUALIFY row_number() OVER (PARTITION BY name ORDER BY CASE WHEN exact THEN 0 WHEN cont THEN 1 WHEN num THEN 2 ELSE 3 END, candidate) = 1) b ON r.name = b.name", RANKED)
+@query("SELECT r.name, candidate, rule FROM rows r LEFT JOIN (SELECT name, candidate, CASE WHEN exact THEN 'exact' WHEN cont THEN 'containment' WHEN num THEN 'numeric' ELSE 'plain_either' END AS rule FROM f WHERE exact OR num OR cont OR either QUALIFY row_number() OVER (PARTITION BY name ORDER BY CASE WHEN exact THEN 0 WHEN cont THEN 1 WHEN num THEN 2 ELSE 3 END, candidate) = 1) b ON r.name = b.name", V.RUN_NAMES, RANKED)
 def ranked_match_nll(spark, d):
     return matching.ranked(*ranked_tables(spark, d), rules=matching.LIKELIHOOD_RULES)
 
 
+@query()
+def ranked_match_pages(spark, d):
+    """Which benchmark text each page's html holds whole, if any: names as long as pages, of many lengths."""
+    pages, items = V.table(spark, d, "pages").select(F.col("html").alias("name")), V.table(spark, d, "benchmark").select(F.col("text").alias("candidate"))
+    held = matching.within(items.where("candidate is not null").distinct(), pages.where("name is not null").distinct(), "candidate", "name")
+    best = held.groupBy("name").agg(F.min("candidate").alias("candidate"))
+    found = V.table(spark, d, "pages").join(best, F.col("html") == F.col("name"), "left")
+    return found.select("page_id", F.crc32(F.col("candidate").cast("binary")).alias("candidate_crc32"))
+
+
 FILES = "gen AS (SELECT 'out/' || (k % 40)::VARCHAR || '/p' || (k % 70)::VARCHAR || CASE WHEN k % 3 = 0 THEN '.mid.mid' ELSE '.MID' END AS path, 'p' || (k % 70)::VARCHAR AS key FROM (SELECT c_custkey AS k FROM customer)), gt AS (SELECT 'gt/' || (k % 9)::VARCHAR || '/p' || (k % 50)::VARCHAR || '.midi' AS path, 'p' || (k % 50)::VARCHAR AS key FROM (SELECT s_suppkey AS k FROM supplier))"
 
 
@@ -486,10 +529,10 @@ def melt_long(spark, d):
     return reshape.melted(rows, ["o_orderkey"], ["price", "cust"])
 
 
-@query("SELECT conv_id, coalesce(min(text) FILTER (role = 'user'), '') AS user, coalesce(min(text) FILTER (role = 'assistant'), '') AS assistant FROM (SELECT conv_id, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1 AND role IN ('user', 'assistant')) GROUP BY 1")
+@query("SELECT conv_id, coalesce(min(text) FILTER (role = 'user'), '') AS user, coalesce(min(text) FILTER (role = 'assistant'), '') AS assistant, coalesce(min(text) FILTER (role = 'system'), '') AS system FROM (SELECT conv_id, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1) GROUP BY 1")
 def text_grid(spark, d):
-    rows = matching.first_ranked(V.table(spark, d, "conversations"), ["conv_id", "role"], [F.col("turn")]).where("role in ('user', 'assistant')")
-    return reshape.text_grid(rows, "conv_id", "role", ["user", "assistant"], "text")
+    rows = matching.first_ranked(V.table(spark, d, "conversations"), ["conv_id", "role"], [F.col("turn")])
+    return reshape.text_grid(rows, "conv_id", "role", ["user", "assistant", "system"], "text")
 
 
 @query("SELECT n_name, n_regionkey::DOUBLE AS v FROM nation WHERE n_regionkey > 1")
@@ -529,24 +572,12 @@ def piano_roll(spark, d):
     return rounded(vectors.roll(V.notes(spark, d), ["piece_id"], F.lit(120.0)))
 
 
-BEATS = """beats AS (SELECT DISTINCT piece_id, k AS beat, k * 0.5::DOUBLE AS b0, k * 0.5::DOUBLE + 0.5 AS b1 FROM notes, range(24) AS r(k)),
+BEATS = """beats AS (SELECT piece_id, k AS beat, k * 0.5::DOUBLE AS b0, k * 0.5::DOUBLE + 0.5 AS b1 FROM (SELECT piece_id, unnest(range(ceil(max(t1) / 0.5)::BIGINT)) AS k FROM notes GROUP BY 1)),
 c AS (SELECT b.piece_id, beat, pitch % 12 AS pc, sum(least(b1, t1) - greatest(b0, t0)) AS w, min(pitch) AS low FROM beats b JOIN notes n ON n.piece_id = b.piece_id AND t1 > b0 AND t0 < b1 GROUP BY 1, 2, 3)"""
 
 
 @query("SELECT piece_id, beat, first(pc ORDER BY w DESC, pc) AS root, min(low) AS bass, count(*) AS n_classes FROM c GROUP BY 1, 2", V.NOTES, BEATS)
 def beat_chords(spark, d):
-    notes = V.notes(spark, d)
-    beats = notes.select("piece_id").distinct().withColumn("beat", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))))
-    beats = beats.withColumn("b0", F.col("beat") * 0.5).withColumn("b1", F.col("b0") + 0.5)
-    out = vectors.beat_chords(notes, beats, ["piece_id"])
-    return rounded(out.select("piece_id", "beat", "root", "bass", F.aggregate("chroma", F.lit(0), lambda a, x: a + x).alias("n_classes")))
-
-
-WHOLE_BEATS = BEATS.replace("SELECT DISTINCT piece_id, k AS beat", "SELECT piece_id, k AS beat").replace("FROM notes, range(24) AS r(k)", "FROM (SELECT piece_id, unnest(range(ceil(max(t1) / 0.5)::BIGINT)) AS k FROM notes GROUP BY 1)")
-
-
-@query("SELECT piece_id, beat, first(pc ORDER BY w DESC, pc) AS root, min(low) AS bass, count(*) AS n_classes FROM c GROUP BY 1, 2", V.NOTES, WHOLE_BEATS)
-def beat_chords_whole(spark, d):
     """Chords of all beats up to each piece's last note end."""
     notes = V.notes(spark, d)
     beats = notes.groupBy("piece_id").agg(F.ceil(F.max("t1") / 0.5).alias("n")).where("n > 0")
@@ -593,3 +624,70 @@ def tick_windows(spark, d):
     rows = e.select(F.col("ts"), (F.col("user_id") % 20).alias("run"), (F.col("event_type") != "error").alias("is_hit"), F.lit(1.0).alias("backup_level"))
     out = rounded(windowed(rows, ["run"], window="1 day"))
     return out.select("run", F.col("start").cast("long").alias("start"), "n", "hit_rate")
+
+
+def documents_of(spark, d):
+    """A run's result as JSON for each supplier: parts missing by turns, the distance once a number and once a summary."""
+    s = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("run"), (F.col("s_suppkey") % 64 / 64).alias("x"))
+    number = lambda v: F.format_string("%.6f", v)
+    x, k = F.col("x"), F.col("run")
+    fmd = F.when(k % 3 == 0, number(x)).when(k % 3 == 1, F.concat(F.lit('{"mean": '), number(x * 2), F.lit("}"))).otherwise("null")
+    text = F.concat(
+        F.lit('{"summary": {"accompaniment_vs_groundtruth": {"pitch_jsd": {"mean": '), number(x / 2), F.lit('}, "onset_jsd": null, "frechet_music_distance": '), fmd,
+        F.lit('}, "inter_track_continuity": {"auto_phrase_pairs": {"rd": {"mean": '), number(x + 1), F.lit("}}}}, "), F.lit('"details": [{"pitch_jsd": '), number(x),
+        F.lit(', "harmonicity": {"consonant_ratio": '), number(x / 4), F.lit('}}, {"consonant_ratio": null, "harmonicity": {"consonant_ratio": 9}}, 7]}'),
+    )
+    return s.select("run", "x", F.try_parse_json(text).alias("doc"))
+
+
+RUNS = "d AS (SELECT s_suppkey AS run, s_suppkey % 64 / 64.0::DOUBLE AS x FROM supplier)"
+
+
+@query("SELECT run, round(x / 2, 6) AS pitch_jsd, NULL::DOUBLE AS onset_jsd, round(CASE run % 3 WHEN 0 THEN x WHEN 1 THEN x * 2 END, 6) AS frechet_music_distance, round(x + 1, 6) AS rd FROM d", RUNS)
+def report_metrics(spark, d):
+    from tessera.plans import evaluation
+
+    none = spark.createDataFrame([], "candidate string, global_hit_rate double, global_avg_backup double, ISR_w double")
+    rows = evaluation.report(documents_of(spark, d).select(F.col("run").cast("string").alias("name"), "doc"), none)
+    return rounded(rows.select(F.col("name").cast("long").alias("run"), "pitch_jsd", "onset_jsd", "frechet_music_distance", "rd"))
+
+
+@query("SELECT run, 0 AS item, round(x, 6) AS pitch_jsd, round(x / 4, 6) AS consonant_ratio FROM d UNION ALL SELECT run, k, NULL, NULL FROM d, range(1, 3) AS r(k)", RUNS)
+def result_items(spark, d):
+    from tessera.plans import evaluation
+    from tessera.sources import files
+
+    rows = files.result_items(documents_of(spark, d), ["run"], evaluation.ITEM_METRICS)
+    return rounded(rows.select("run", F.col("item").cast("long").alias("item"), "pitch_jsd", "consonant_ratio"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 16 > 0 THEN (o_custkey % 16) / 4.0 WHEN o_orderkey % 8 > 0 THEN (o_orderkey % 8) / 2.0 END::DOUBLE AS avg_nll, CASE WHEN o_custkey % 5 > 0 THEN (o_custkey % 5)::DOUBLE END AS total_nll, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 7 END AS total_tokens FROM orders")
+def nll_aliases(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    doc = F.to_json(F.struct((c % 16 / 4).alias("avg_loss"), (k % 8 / 2).alias("mean_nll"), (c % 5).alias("sum_nll"), (k % 7).alias("n_tokens")))
+    return V.table(spark, d, "orders").select(k, likelihood.aliased(F.try_parse_json(doc)).alias("x")).select("o_orderkey", "x.avg_nll", "x.total_nll", F.col("x.total_tokens").cast("long").alias("total_tokens"))
+
+
+@query("SELECT run % 4 AS kind, max(x + 1) AS box_top, max(x + 1 - x / 2) AS iqr_max, max(x + 1) + greatest(0.01, 0.3 * max(x + 1 - x / 2)) AS focus FROM d GROUP BY 1".replace("max(x + 1 - x / 2)", "round(max(x + 1 - x / 2), 6)").replace("max(x + 1) + greatest", "round(max(x + 1) + greatest").replace(", 6)) AS focus", ", 6)), 6) AS focus"), RUNS)
+def axis_caps(spark, d):
+    rows = documents_of(spark, d).select((F.col("run") % 4).alias("kind"), (F.col("x") / 2).alias("q1"), (F.col("x") + 1).alias("q3"))
+    return rounded(reshape.axis_caps(rows, ["kind"]))
+
+
+@query(
+    "SELECT piece_id, row_number() OVER (PARTITION BY piece_id ORDER BY t) - 1 AS bar_idx, t FROM (SELECT piece_id, unnest(list_distinct(list_append(list_append(list_transform(range(floor(e / 1.5)::BIGINT + 1), lambda k: k * 1.5::DOUBLE), e), 0.0::DOUBLE))) AS t FROM (SELECT piece_id, max(t1) AS e FROM notes GROUP BY 1))",
+    V.NOTES,
+)
+def bar_boundaries(spark, d):
+    """Bars of pieces without beats: of three beats at 120 a minute, with the start and the end."""
+    meta = V.notes(spark, d).groupBy("piece_id").agg(F.max("t1").alias("end_time")).withColumns({"tempo": F.lit(120.0), "ts_numerator": F.lit(3)})
+    none = spark.createDataFrame([], "piece_id long, t double")
+    return rounded(phrases.bar_boundaries(meta, none, none, ["piece_id"]))
+
+
+@query("SELECT name, n, last_of_group FROM (SELECT name, g, row_number() OVER w - 1 AS n, coalesce(lead(g) OVER w <> g, true) AS last_of_group FROM (SELECT DISTINCT 'interval' || (c_custkey % 12)::VARCHAR || '_gen' || (c_custkey % 9)::VARCHAR AS name, 'interval' || (c_custkey % 12)::VARCHAR AS g, c_custkey % 12 AS i, c_custkey % 9 AS j FROM customer) WINDOW w AS (ORDER BY i, j))")
+def group_boundaries(spark, d):
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("interval"), (k % 12).cast("string"), F.lit("_gen"), (k % 9).cast("string"))
+    rows = reshape.boundaries(V.table(spark, d, "customer").select(name.alias("name")), "name")
+    return rounded(rows.select("name", F.col("place").alias("n"), "last_of_group"))

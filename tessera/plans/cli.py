@@ -1,35 +1,33 @@
-"""Commands over folders of files; each writes one table or text folder, as Spark writes.
+"""Commands over folders of files; each writes tables or text folders, as Spark writes.
 
-evaluate GENERATED TRUTH OUT   divergences and consonance by piece, with the run's summary
-system ROOT OUT                tick metrics by run with a GLOBAL row
+evaluate GENERATED TRUTH OUT   one run: divergences, consonance, and what the options ask for, by piece and summed up
+batch CONFIG OUT               evaluations of all runs of a file of `label:/path` lines, by prompt, and a table of them
+folders ROOT TRUTH OUT         evaluations of all folders `generated` below ROOT
+system ROOT OUT                tick metrics by run with a GLOBAL row, and a JSON result of each run
 globals ROOT OUT               means over the runs' final numbers
-deadlines ROOT OUT             deadline-miss ratio by run
+deadlines ROOT OUT             deadline-miss ratio by run, with a sample of its responses
 nll ROOT OUT                   likelihood means by file
 grid ROOT OUT                  likelihood by interval and gen_frame
 report RESULTS SYSTEMS OUT     one row a run: summary metrics, system numbers, likelihoods
+merge REPORT NLL OUT           a report's CSV with likelihood means
 stats ROOT OUT                 statistics of per-piece metrics by run
 rename IN OLD NEW OUT          tracks of MIDI files under another name, as a table
+
+An OUT named <run>.json is a result that report, stats and batch read.
 """
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import stem, strict_interval_gen
-from tessera.operators import likelihood, matching, reshape, roles, ticks
+from tessera.functions.scalars import header, strict_interval_gen
+from tessera.operators import likelihood, matching, reshape, roles, ticks, vectors
 from tessera.plans import evaluation
 from tessera.sources import files, midi, sinks
 
-#: Per-piece metrics and where a result's item has them, the first present deciding.
-ITEM_METRICS = {
-    "pitch_jsd": ("pitch_jsd",), "onset_jsd": ("onset_jsd",), "duration_jsd": ("duration_jsd",), "chord_accuracy": ("chord_accuracy",),
-    "consonant_ratio": ("consonant_ratio", "harmonicity.consonant_ratio"), "unsupported_ratio": ("unsupported_ratio", "harmonicity.unsupported_ratio"),
-}
-
-
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser("tessera", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = out.add_subparsers(dest="command", required=True)
@@ -40,15 +38,39 @@ def parser() -> argparse.ArgumentParser:
             one.add_argument(p)
         return one
 
-    one = add("evaluate", "generated", "truth", "out")
-    one.add_argument("--melody-name", action="append", default=[])
-    one.add_argument("--melody-program", action="append", type=int, default=[])
-    one.add_argument("--melody-index", action="append", type=int, default=[])
-    one.add_argument("--keep-melody", action="store_true")
-    one.add_argument("--include-drums", action="store_true")
+    o = evaluation.Options()
+    for one in (add("evaluate", "generated", "truth", "out"), add("folders", "root", "truth", "out"), add("batch", "config", "out")):
+        one.add_argument("--melody-name", action="append", default=[])
+        one.add_argument("--melody-program", action="append", type=int, default=[])
+        one.add_argument("--melody-index", action="append", type=int, default=[])
+        one.add_argument("--keep-melody", action="store_true")
+        one.add_argument("--include-drums", action="store_true")
+        one.add_argument("--consonant", action="append", type=int, help="half tones that are consonant")
+        one.add_argument("--onset-bins", type=int, default=o.onset_bins)
+        one.add_argument("--duration-bins", type=int, default=o.duration_bins)
+        one.add_argument("--duration-top", type=float, default=o.duration_top, help="quantile at which the last bin ends")
+        one.add_argument("--chords", help="folders named after pieces, with chord_midi.txt")
+        one.add_argument("--phrases", help="JSON lines of validation phrases")
+        one.add_argument("--random-pairs", type=int, default=o.random_pairs)
+        one.add_argument("--window", type=float, default=o.window)
+        one.add_argument("--resolution", type=float, default=o.resolution)
+        one.add_argument("--auto-phrases", action="store_true")
+        one.add_argument("--bars", type=int, default=o.bars)
+        one.add_argument("--prompts", help="folder of prompt files; notes after each prompt go to OUT/continuations")
+        one.add_argument("--latents", help="Parquet table piece, kind, part, a, b of encodings")
+        one.add_argument("--embeddings", help="Parquet table side, embedding for the Frechet distance")
+        one.add_argument("--estimator", choices=vectors.ESTIMATORS, default="mle")
+        one.add_argument("--histograms", action="store_true")
+        one.add_argument("--strict", action="store_true", help="fail on files that can't be read; else they are listed in OUT/errors")
+        if one.prog.endswith("batch"):
+            one.add_argument("--generated", default="generated")
+            one.add_argument("--truth", default="groundtruth")
     add("system", "root", "out").add_argument("--weight", type=float, default=ticks.WEIGHT)
     add("globals", "root", "out")
-    add("deadlines", "root", "out").add_argument("--time-per-tick", type=float, default=ticks.TICK)
+    one = add("deadlines", "root", "out")
+    one.add_argument("--time-per-tick", type=float, default=ticks.TICK)
+    one.add_argument("--sample", type=int, default=100, help="responses of a run that are kept beside its ratio")
+    add("merge", "report", "nll", "out")
     add("nll", "root", "out")
     add("grid", "root", "out")
     add("report", "results", "systems", "out").add_argument("--nll")
@@ -57,49 +79,124 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def likelihood_docs(spark: SparkSession, root: str):
-    docs = files.documents(files.texts(spark, root, "*.json").where(~F.col("path").rlike("(combined|summary)_nll\\.json$")))
-    return docs.withColumn("name", F.regexp_extract("path", r"([^/]*?)(?:\.nll)?\.json$", 1))
-
-
-def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
-    gen, truth = (midi.files(spark, p).withColumn("key", stem(F.col("path"))) for p in (a.generated, a.truth))
-    pairs = matching.file_pairs(gen, truth)
-    made = midi.notes(gen.join(pairs.select(F.col("generated").alias("path")), "path", "left_semi"), side=evaluation.SIDES[0])
-    made = made.withColumn("piece", F.col("path"))
-    real = midi.notes(truth, side=evaluation.SIDES[1]).join(pairs.select(F.col("ground_truth").alias("path"), F.col("generated").alias("piece")), "path")
+def evaluate(spark: SparkSession, a: argparse.Namespace, generated: str, truth: str, out: str) -> None:
+    o = evaluation.Options(
+        a.keep_melody, a.include_drums, tuple(a.consonant or evaluation.Options().consonant), a.onset_bins, a.duration_bins, a.duration_top, a.window, a.resolution, a.bars, a.random_pairs
+    )
+    gen, real = (midi.files(spark, p) for p in (generated, truth))
+    bad = gen.unionByName(real).where("error is not null").select("path", "error")
+    if a.strict and (first := bad.first()):
+        raise ValueError(f"{first.path}: {first.error}")
+    bad.write.mode("overwrite").json(f"{out}/errors")
+    pairs = matching.file_pairs(gen, real)
+    own = gen.join(pairs.select(F.col("generated").alias("path"), "key"), "path")
+    # a generated file is a piece; of files with one name each is a piece of its own
+    made = own.select(F.col("path").alias("piece"), F.lit(evaluation.SIDES[0]).alias("side"), *[c for c in own.columns if c != "key"])
+    other = real.join(pairs.select(F.col("ground_truth").alias("path"), F.col("generated").alias("piece")), "path")
+    files_ = made.unionByName(other.withColumn("side", F.lit(evaluation.SIDES[1])))
+    notes = files_.where("error is null").select("piece", "side", F.inline("notes"))
+    meta = files_.where("error is null and end_time > 0").select("piece", "side", "end_time", "tempo", "ts_numerator", "beats", "downbeats")
     melody = roles.is_melody(a.melody_name, a.melody_program, a.melody_index)
-    rows = evaluation.details(made.unionByName(real), ["piece"], melody, keep_melody=a.keep_melody, include_drums=a.include_drums)
-    metrics = [c for c in rows.columns if c.endswith(("_jsd", "_ratio"))]
-    sinks.json_payload(rows, evaluation.summary(rows, metrics), a.out)
+    windows = evaluation.phrase_windows(evaluation.sides(notes, ["piece"], melody, o), meta, ["piece"], o) if a.auto_phrases else None
+    segments = None
+    if a.chords:
+        marks = files.chords(spark, a.chords, pattern="chord_midi.txt").withColumn("key", F.regexp_extract("path", r"([^/]*)/[^/]*$", 1))
+        segments = marks.join(pairs.select("key", F.col("generated").alias("piece")), "key").select("piece", "seg_idx", "s0", "s1", "label")
+    latents = spark.read.parquet(a.latents) if a.latents else None
+    rows = evaluation.details(notes, ["piece"], melody, o, windows, segments, latents, a.histograms)
+    prompt = F.lit(None).cast("string")
+    if a.prompts:
+        found = matching.prompt_files(pairs.select(F.col("ground_truth").alias("path")), files.listing(spark, a.prompts, "*.mid"))
+        ends = found.join(midi.files(spark, a.prompts, recursive=True).select(F.col("path").alias("prompt"), F.col("end_time").alias("prompt_end")), "prompt").select(F.col("path").alias("ground_truth"), "prompt", "prompt_end")
+        pairs = pairs.join(ends, "ground_truth", "left")
+        prompt = F.col("prompt")
+        timed = evaluation.sides(notes, ["piece"], melody, o).join(pairs.select(F.col("generated").alias("piece"), "prompt_end"), "piece", "left")
+        roles.continuation(timed, F.col("prompt_end")).drop("prompt_end").write.mode("overwrite").parquet(f"{out}/continuations")
+    named = pairs.select(F.col("generated").alias("piece"), F.struct(F.col("key").alias("piece"), F.col("generated").alias("generated_path"), F.col("ground_truth").alias("groundtruth_path"), prompt.alias("prompt_path")).alias("_n"))
+    rows = rows.join(named, "piece").select("_n.*", *[c for c in rows.columns if c != "piece"])
+    rows.write.mode("overwrite").parquet(f"{out}/pieces")  # read by the summary and both forms of details
+    rows = spark.read.parquet(f"{out}/pieces")
+    validation = evaluation.validation_pairs(files.phrase_events(spark, a.phrases), o) if a.phrases else None
+    score = None
+    if a.embeddings:
+        e = spark.read.parquet(a.embeddings)
+        real_e, gen_e = (e.where(F.col("side") == s) for s in reversed(evaluation.SIDES))
+        score = vectors.frechet(real_e, gen_e, "embedding", estimator=a.estimator)
+    summary = evaluation.run_summary(rows, ["piece"], windows, validation, score)
+    sinks.json_payload(rows, summary, out)
+    sinks.printed_summary(summary, rows.count()).coalesce(1).write.mode("overwrite").text(f"{out}/printed")
+
+
+def batch(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Every prompt folder of every run with both folders, and the printed summaries as a table of prompts and labels."""
+    runs = [(r.label, r.path) for r in files.run_config(spark, a.config).collect()]  # the lines of a configuration
+    done = []
+    for label, path in runs:
+        found = files.prompt_folders(files.listing(spark, path), (a.generated, a.truth)).orderBy("prompt").collect()
+        for r in found:
+            out = f"{a.out}/{label}_prompt{r.prompt}.json"
+            evaluate(spark, a, f"{r.folder}/{a.generated}", f"{r.folder}/{a.truth}", out)
+            done.append((str(r.prompt), label, out))
+    if not done:
+        raise ValueError("no prompt folders with both folders")
+    texts = [(prompt, label, "\n".join(x.value for x in spark.read.text(f"{out}/printed").collect())) for prompt, label, out in done]  # one small text a run
+    rows = spark.createDataFrame(texts, "prompt string, label string, text string")
+    sinks.csv(reshape.text_grid(rows, "prompt", "label", [label for label, _ in runs], "text").coalesce(1), f"{a.out}/table")
+
+
+def folders(spark: SparkSession, a: argparse.Namespace) -> None:
+    for r in files.generated_folders(files.listing(spark, a.root, "*.mid*")).orderBy("folder").collect():
+        name = "_".join(r.folder.split("/")[-4:-1]) or "run"
+        evaluate(spark, a, r.folder, a.truth, f"{a.out}/{name}.json")
+
+
+def likelihood_means(spark: SparkSession, root: str) -> DataFrame:
+    return likelihood.run_means(likelihood.records(files.likelihood_files(spark, root), ["name"]), ["name"]).drop("n").withColumnRenamed("name", "candidate")
+
+
+def experiment_means(spark: SparkSession, root: str) -> DataFrame:
+    """As likelihood_means(), of experiments*.json with all names that their numbers go by."""
+    docs = files.experiments(spark, root)
+    rows = likelihood.records(docs, ["name"], aliases=True)
+    return likelihood.run_means(rows, ["name"]).drop("n").withColumnRenamed("name", "candidate")
 
 
 def main(argv: list[str], spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("tessera").getOrCreate()
     if a.command == "evaluate":
-        evaluate(spark, a)
+        evaluate(spark, a, a.generated, a.truth, a.out)
+    elif a.command == "batch":
+        batch(spark, a)
+    elif a.command == "folders":
+        folders(spark, a)
     elif a.command == "system":
-        sinks.csv(ticks.with_global(files.ticks(spark, a.root), ["run"], a.weight), a.out)
+        rows = files.ticks(spark, a.root)
+        sinks.csv(ticks.with_global(rows, ["run"], a.weight), f"{a.out}/rows")
+        sinks.json_by_name(ticks.run_results(rows, "run", a.weight), "run", f"{a.out}/final-sys-results")
     elif a.command == "globals":
         sinks.json_rows(ticks.across(files.system_globals(spark, a.root)), a.out)
     elif a.command == "deadlines":
-        sinks.json_rows(ticks.deadlines(files.timings(spark, a.root), ["run"], a.time_per_tick), a.out)
+        sinks.json_rows(ticks.deadlines(files.timings(spark, a.root), ["run"], a.time_per_tick, a.sample), a.out)
     elif a.command == "nll":
-        sinks.csv(likelihood.run_means(likelihood.records(likelihood_docs(spark, a.root), ["name"]), ["name"]), a.out, digits=6)
+        sinks.csv(likelihood.run_means(likelihood.records(files.likelihood_files(spark, a.root), ["name"]), ["name"]), a.out, digits=6)
     elif a.command == "grid":
-        docs = likelihood_docs(spark, a.root).withColumn("k", strict_interval_gen(F.col("name"), F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)))
+        docs = files.likelihood_files(spark, a.root).withColumn("k", strict_interval_gen(F.col("name"), F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)))
         rows = likelihood.scalar(likelihood.records(docs, ["name", "k"]), ["name", "k"]).select("name", "k.*", F.col("weighted_total").alias("value")).where("interval is not null")
         sinks.csv(reshape.grid(rows, "interval", "gen_frame", "value", "name").orderBy("interval"), a.out, digits=6)
     elif a.command == "report":
-        results = files.documents(files.texts(spark, a.results)).withColumn("name", F.regexp_extract("path", r"([^/]*)\.json$", 1))
-        nll = likelihood.run_means(likelihood.records(likelihood_docs(spark, a.nll), ["name"]), ["name"]).drop("n").withColumnRenamed("name", "candidate") if a.nll else None
         systems = files.system_globals(spark, a.systems).withColumnRenamed("name", "candidate")
-        sinks.csv(evaluation.report(results, systems, nll).orderBy("name"), a.out)
+        rows = evaluation.report(files.results(spark, a.results), systems, likelihood_means(spark, a.nll) if a.nll else None)
+        sinks.csv(rows.orderBy("name").withColumnRenamed("name", "filename"), a.out)
+    elif a.command == "merge":
+        rows = files.report(spark, a.report)
+        key = header(rows.columns, "filename") or rows.columns[0]
+        sinks.csv(evaluation.with_likelihoods(rows, experiment_means(spark, a.nll), key).select(*[c for c in rows.columns if c not in ("ave_nll", "weighted_ave_nll")], "ave_nll", "weighted_ave_nll"), a.out)
     elif a.command == "stats":
-        docs = files.documents(files.texts(spark, a.root)).withColumn("name", F.regexp_extract("path", r"([^/]*)\.json$", 1))
-        long = reshape.melted(files.result_items(docs, ["name"], ITEM_METRICS), ["name"], list(ITEM_METRICS))
-        sinks.csv(reshape.statistics_grid(long, "name", "metric", list(ITEM_METRICS), "value", tuple(a.stat) or ("mean", "stdev_samp")), a.out)
+        docs = files.results(spark, a.root)
+        long = reshape.melted(files.result_items(docs, ["name"], evaluation.ITEM_METRICS), ["name"], list(evaluation.ITEM_METRICS))
+        found = reshape.statistics_grid(long, "name", "metric", list(evaluation.ITEM_METRICS), "value", tuple(a.stat) or ("mean", "stdev_samp"))
+        sinks.csv(docs.select("name").distinct().join(found, "name", "left"), a.out)  # a run without items stays, as an empty row
     else:
         tracks = midi.notes(midi.files(spark, a.path, recursive=True))
         sinks.json_rows(roles.renamed(tracks, a.old, a.new, a.contains), a.out)

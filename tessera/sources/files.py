@@ -25,6 +25,29 @@ def texts(spark: SparkSession, path: str, pattern: str = "*.json", recursive: bo
     return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def results(spark: SparkSession, root: str) -> DataFrame:
+    """path, name, doc (VARIANT) of JSON results: files of any case, and folders *.json as an evaluation writes them."""
+    found = texts(spark, root, "*.{json,JSON,Json,txt}").where(F.col("path").rlike(r"(?i)[^/]+\.json(?:/result)?(?:/part-[^/]*\.txt)?$"))
+    name = F.regexp_extract("path", r"(?i)/(?:file=)?([^/]*)\.json(?:/result)?(?:/part-[^/]*)?$", 1)
+    return documents(found.where(~F.col("path").contains("/details/"))).withColumn("name", name)
+
+
+def experiments(spark: SparkSession, root: str) -> DataFrame:
+    """path, name, doc of likelihood files named experiments*.json."""
+    return documents(texts(spark, root, "experiments*.json")).withColumn("name", F.regexp_extract("path", r"([^/]*)\.json$", 1))
+
+
+def likelihood_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, name, doc of *.nll.json files, but for those that sum others up."""
+    found = texts(spark, root, "*.nll.json").where(~F.col("path").rlike(r"/(?:combined|summary)_nll\.json$"))
+    return documents(found).withColumn("name", F.regexp_extract("path", r"([^/]*)\.nll\.json$", 1))
+
+
+def generated_folders(listed: DataFrame, path: str = "path") -> DataFrame:
+    """folder: all folders named `generated` that hold files, at any depth."""
+    return listed.select(F.regexp_extract(path, r"^(.*/generated)/", 1).alias("folder")).where("folder != ''").distinct()
+
+
 def documents(files: DataFrame) -> DataFrame:
     """path, doc (VARIANT) of those files that hold JSON."""
     return files.withColumn("doc", F.try_parse_json("text")).where("doc is not null").drop("text")
@@ -66,12 +89,12 @@ def timings(spark: SparkSession, root: str, name: str = "inferences.json") -> Da
     return rows.select("run", "path", nearest_frames(F.col("path")).alias("frames"), "t.response.timings.*")
 
 
-def system_globals(spark: SparkSession, root: str, folder: str = "final-sys-results", recursive: bool = True) -> DataFrame:
+def system_globals(spark: SparkSession, root: str, folder: str = "final-sys-results") -> DataFrame:
     """name, global_hit_rate, global_avg_backup, ISR_w, total_samples, total_hits of runs; of equal names the last path."""
-    docs = documents(texts(spark, root, "*.json", recursive).where(F.col("path").contains(f"/{folder}/")))
+    docs = results(spark, root).where(F.col("path").contains(f"/{folder}/"))
     get = lambda k, kind="double": at_path(F.col("doc"), f"global.{k}", kind).alias(k)
     rows = docs.where(F.try_variant_get("doc", "$.global", "variant").isNotNull())
-    rows = rows.select(F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("name"), "path", get("global_hit_rate"), get("global_avg_backup"), get("ISR_w"), get("total_samples", "long"), get("total_hits", "long"))
+    rows = rows.select("name", "path", get("global_hit_rate"), get("global_avg_backup"), get("ISR_w"), get("total_samples", "long"), get("total_hits", "long"))
     return rows.groupBy("name").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("name", "path")]), "path").alias("g")).select("name", "g.*")
 
 

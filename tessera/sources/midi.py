@@ -108,6 +108,11 @@ def decoded(data: bytes) -> dict:
                     key = (k, channel, program)
                     notes.append((order.setdefault(key, len(order)), name, program, channel == DRUMS, body[0], velocity, at(begin), at(tick)))
                 open_[channel, body[0]] = [x for x in held if x[0] >= tick]
+        for (channel, pitch), held in open_.items():  # notes that nothing ends go on to the track's end
+            for begin, velocity, program in held:
+                if own and own[-1][0] > begin:
+                    key = (k, channel, program)
+                    notes.append((order.setdefault(key, len(order)), name, program, channel == DRUMS, pitch, velocity, at(begin), at(own[-1][0])))
     grid, downs, tick, beat, numerator, unit = [], [], 0.0, 0, 4, 4
     todo = list(signatures)
     while tick <= last:

@@ -214,6 +214,20 @@ def test_vectors(spark):
     want = ((x.mean(0) - y.mean(0)) ** 2).sum() + np.trace(s1) + np.trace(s2) - 2 * np.sqrt(values.real.clip(0)).sum()
     assert vectors.frechet(a, b, "e") == pytest.approx(want, rel=1e-6) and vectors.frechet(a, a, "e") == pytest.approx(0, abs=1e-6)
     assert vectors.frechet(a, b.limit(0), "e") is None
+    for name in vectors.ESTIMATORS:  # the shrunk ones keep the mean variance
+        mean, cov = vectors.gaussian(a, "e", estimator=name)
+        x = np.array([r.e for r in a.collect()])
+        n, d = x.shape
+        s = np.cov(x.T, ddof=1 if name == "mle" else 0)
+        if name == "ledoit_wolf":
+            c = x - x.mean(axis=0)
+            delta = ((s - np.trace(s) / d * np.eye(d)) ** 2).sum()
+            share = min(1, sum(((np.outer(v, v) - s) ** 2).sum() for v in c) / n**2 / delta)
+        elif name == "oas":
+            share = min(1, ((1 - 2 / d) * (s**2).sum() + np.trace(s) ** 2) / ((n + 1 - 2 / d) * ((s**2).sum() - np.trace(s) ** 2 / d)))
+        else:
+            share = {"mle": 0, "shrinkage": vectors.SHRINKAGE}[name]
+        assert np.allclose(cov, (1 - share) * s + share * np.trace(s) / d * np.eye(d)) and np.allclose(mean, x.mean(axis=0))
 
 
 def test_roles(spark):

@@ -73,7 +73,7 @@ def test_results_and_manifest(spark, tmp_path):
     systems = spark.createDataFrame([("sys_run_x", 0.5, 2.0, 0.25)], "candidate string, global_hit_rate double, global_avg_backup double, ISR_w double")
     nll = spark.createDataFrame([("RUN_X", 1.5, 1.25)], "candidate string, ave_nll double, weighted_ave_nll double")
     row = evaluation.report(docs.withColumn("name", F.lit("run_x")), systems, nll).first()
-    assert (row.pitch_jsd, row.fmd, row.onset_jsd, row.ISR, row.ISR_w, row.ave_nll) == (0.25, 3.0, None, 0.5, 0.25, 1.5)
+    assert (row.pitch_jsd, row.frechet_music_distance, row.onset_jsd, row.ISR, row.ISR_w, row.ave_nll) == (0.25, 3.0, None, 0.5, 0.25, 1.5)
     write(tmp_path / "m" / "m.json", {"k": {"root": "/r", "dirs": {"d1": 1, "d2": {}}}, "bad": {"error": "x"}, "odd": 3})
     assert sorted(tuple(r) for r in files.manifest(files.documents(files.texts(spark, str(tmp_path / "m")))).collect()) == [("k", "/r", "d1"), ("k", "/r", "d2")]
 
@@ -85,9 +85,13 @@ def test_sinks(spark, tmp_path):
     sinks.by_run(df.drop("a"), "run", str(tmp_path / "d"))
     assert [p.name for p in (tmp_path / "d").iterdir() if p.is_dir()] == ["run_file=r_1"]
     rows = spark.createDataFrame([(1, 0.25)], "p int, jsd double")
-    sinks.json_payload(rows, evaluation.summary(rows, ["jsd"]), str(tmp_path / "j"))
-    got = json.loads(spark.read.text(str(tmp_path / "j")).first().value)
-    assert got["meta"] == {"pairs": 1} and got["details"] == [{"p": 1, "jsd": 0.25}] and got["summary"]["jsd"]["median"] == 0.25
+    from tessera.operators.stats import summary_struct
+
+    for most, details in ((10, [{"p": 1, "jsd": 0.25}]), (0, None)):
+        sinks.json_payload(rows, rows.agg(summary_struct(F.col("jsd")).alias("jsd")), str(tmp_path / "j"), most)
+        got = json.loads(spark.read.text(str(tmp_path / "j" / "result")).first().value)
+        assert got["meta"] == {"pairs": 1} and got.get("details") == details and got["summary"]["jsd"]["median"] == 0.25
+        assert json.loads(spark.read.text(str(tmp_path / "j" / "details")).first().value) == {"p": 1, "jsd": 0.25}
     from tessera.operators.stats import five_number
 
     text = sinks.summary_text(five_number(rows.withColumn("name", F.lit("JSD")), ["name"], "jsd"), "name").first().block
@@ -100,9 +104,12 @@ def test_evaluation(spark):
     notes = views.notes(spark, "/root/testdata/sf0.001")
     rows = evaluation.details(notes, ["piece_id"], roles.is_melody(names=["guitar"]))
     assert rows.count() == notes.select("piece_id").distinct().count()
-    one = evaluation.summary(rows, ["pitch_jsd", "consonant_ratio"]).first()
-    assert 0 < one.pitch_jsd.mean < 0.7 and one.consonant_ratio["count"] > 0
-    assert evaluation.phrase_summary(notes, ["piece_id"]).count() == 4
+    one = evaluation.run_summary(rows, ["piece_id"]).first()
+    assert 0 < one.accompaniment_vs_groundtruth.pitch_jsd.mean < 0.7 and one.melody_relationship.harmonicity.consonant_ratio["count"] > 0
+    assert one.inter_track_continuity.auto_phrase_pairs is None
+    songs = notes.select(F.col("piece_id").cast("string").alias("song"), F.lit(0).alias("record"), "t0", "t1")
+    pairs = evaluation.validation_pairs(songs, evaluation.Options(random_pairs=50)).first().validation_pairs
+    assert pairs.random["count"] == 50 and pairs.same_song["count"] > pairs.adjacent["count"] > 0
     assert evaluation.plot_rows(rows.withColumn("model", F.lit("m")), "model", ["pitch_jsd"]).columns == ["model", "metric", "value"]
 
 
