@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.overlap import length, overlapping
 
 NO_CHORD = "N"
-#: Candidates up to which they go to every task.
-MOST_CANDIDATES = 50_000
 
 
 @dataclass(frozen=True)
@@ -77,19 +75,24 @@ def picked(segments: DataFrame, notes: DataFrame, candidates: DataFrame, keys: l
     Ties go to the smaller rank. A segment has 12 pitch classes at most, so weights fit in one row.
     """
     own = [c for c in keys if c in candidates.columns]
-    weights = class_durations(segments, notes, keys).groupBy(*keys, "seg_idx").agg(F.map_from_entries(F.collect_list(F.struct("pc", "w"))).alias("m"), F.sum("w").alias("total"))
-    weights = weights.where(F.col("total") >= scoring.min_time)
+    met = overlapping(segments.select(*keys, "seg_idx", "s0", "s1"), notes.select(*keys, F.pmod("pitch", F.lit(12)).cast("int").alias("pc"), "t0", "t1"), keys, ("s0", "s1"), ("t0", "t1"))
+    rows = met.select(*keys, "seg_idx", "pc", length(("s0", "s1"), ("t0", "t1")).alias("w"))
+    rows = rows.unionByName(segments.select(*keys, "seg_idx", F.lit(None).cast("int").alias("pc"), F.lit(0.0).alias("w")))  # segments without notes stay
+    weights = rows.groupBy(*keys, "seg_idx").agg(F.array(*[F.sum(F.when(F.col("pc") == k, F.col("w")).otherwise(0.0)) for k in range(12)]).alias("m"), F.sum("w").alias("total"))
+    one = F.collect_list(F.struct("label", "root", "classes", "rank"))
     if own:
-        pairs = weights.join(candidates, own)
-    else:  # a stated vocabulary against all segments
-        few = candidates.limit(MOST_CANDIDATES + 1).count() <= MOST_CANDIDATES
-        pairs = weights.crossJoin(F.broadcast(candidates) if few else candidates)
-    weight = lambda pc: F.coalesce(F.try_element_at("m", pc), F.lit(0.0))
-    inside = F.aggregate("classes", F.lit(0.0), lambda a, pc: a + weight(pc))
-    pairs = pairs.withColumn("inside", inside).where(F.col("inside") / F.col("total") >= scoring.min_share)
-    score = F.col("inside") - scoring.outside * (F.col("total") - F.col("inside")) + scoring.root * weight(F.col("root"))
-    best = pairs.groupBy(*keys, "seg_idx").agg(F.max_by("label", F.struct(score.alias("s"), (-F.col("rank")).alias("r"))).alias("label"))
-    return segments.select(*keys, "seg_idx").join(best, [*keys, "seg_idx"], "left").withColumn("label", F.coalesce("label", F.lit(NO_CHORD)))
+        pairs = weights.join(candidates.groupBy(*own).agg(one.alias("_c")), own, "left")
+    else:  # a stated vocabulary
+        pairs = weights.crossJoin(F.broadcast(candidates.agg(one.alias("_c"))))
+    weight = lambda pc: F.element_at("m", pc.cast("int") + 1)
+
+    def scored(c: Column) -> Column:
+        inside = F.aggregate(c["classes"], F.lit(0.0), lambda a, pc: a + weight(pc))
+        score = inside - scoring.outside * (F.col("total") - inside) + scoring.root * weight(c["root"])
+        return F.struct((inside / F.col("total") >= scoring.min_share).alias("ok"), score.alias("s"), (-c["rank"]).alias("r"), c["label"].alias("label"))
+
+    best = F.array_max(F.filter(F.transform("_c", scored), lambda x: x["ok"]))["label"]
+    return pairs.select(*keys, "seg_idx", F.coalesce(F.when(F.col("total") >= scoring.min_time, best), F.lit(NO_CHORD)).alias("label"))
 
 
 def first_seen(segments: DataFrame, keys: list[str]) -> DataFrame:

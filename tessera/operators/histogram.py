@@ -5,7 +5,7 @@ Bins stay rows; a divergence sums over conditional shares of both sides, so a bi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-10
@@ -53,9 +53,9 @@ def jensen_shannon(hist: DataFrame, piece: list[str], side: str, sides: tuple[st
     """piece, jsd between both sides' histograms. One empty side gives half of ln 2."""
     of = lambda s: F.sum(F.when(F.col(side) == s, F.col("n")).otherwise(0))
     bins = hist.groupBy(*piece, "bin").agg(of(sides[0]).alias("_a"), of(sides[1]).alias("_b"))
-    totals = hist.groupBy(*piece).agg(of(sides[0]).alias("_sa"), of(sides[1]).alias("_sb"))
-    share = lambda x, s: F.when(F.col(s) > 0, F.col(x) / F.col(s)).otherwise(0.0)
-    rows = bins.join(totals, piece).withColumn("_p", share("_a", "_sa")).withColumn("_q", share("_b", "_sb"))
+    own = Window.partitionBy(*piece)  # a piece has as many rows as bins
+    share = lambda x: F.when(F.sum(x).over(own) > 0, F.col(x) / F.sum(x).over(own)).otherwise(0.0)
+    rows = bins.withColumn("_p", share("_a")).withColumn("_q", share("_b"))
     mid = (F.col("_p") + F.col("_q")) / 2
     return rows.groupBy(*piece).agg(F.sum((divergence(F.col("_p"), mid) + divergence(F.col("_q"), mid)) / 2).alias("jsd"))
 

@@ -40,13 +40,18 @@ def consonance(melody: DataFrame, accompaniment: DataFrame, keys: list[str], wid
     A melody note with any consonant overlap is consonant as a whole; without any overlap it is unsupported.
     """
     m = melody.select(*keys, F.col("pitch").alias("_mp"), F.col("t0").alias("_m0"), F.col("t1").alias("_m1")).where("_m1 > _m0")
-    # equal notes of a piece behave alike: one row with their total length stands for them, and needs no id
-    m = m.groupBy(*keys, "_mp", "_m0", "_m1").agg((F.count(F.lit(1)) * (F.col("_m1") - F.col("_m0"))).alias("_length"))
-    a = accompaniment.select(*keys, F.pmod(F.col("pitch"), F.lit(12)).alias("_ac"), F.col("t0").alias("_a0"), F.col("t1").alias("_a1")).distinct()
-    both = a.select(*keys).distinct()
-    fits = F.pmod(F.col("_mp") - F.col("_ac"), F.lit(12)).isin(*{c % 12 for c in consonant})
-    met = overlapping(m, a, keys, ("_m0", "_m1"), ("_a0", "_a1"), width).groupBy(*keys, "_mp", "_m0", "_m1").agg(F.max(fits).alias("_ok"))
-    notes = m.join(both, keys, "left_semi").join(met, [*keys, "_mp", "_m0", "_m1"], "left")
+    one = F.struct(F.pmod(F.col("pitch"), F.lit(12)).alias("c"), "t0", "t1")
+    near = bucketed(accompaniment.select(*keys, "pitch", "t0", "t1"), "t0", "t1", width).groupBy(*keys, "_bucket").agg(F.collect_set(one).alias("_near"))  # some seconds of a piece
+    # a bucket without melody only tells that the piece has accompaniment
+    both = bucketed(m, "_m0", "_m1", width).join(near, [*keys, "_bucket"], "full")
+    met = F.filter("_near", lambda x: (x["t1"] > F.col("_m0")) & (x["t0"] < F.col("_m1")))
+    fits = F.exists("_met", lambda x: F.pmod(F.col("_mp") - x["c"], F.lit(12)).isin(*{c % 12 for c in consonant}))
+    both = both.withColumn("_met", met).select(*keys, "_mp", "_m0", "_m1", F.col("_near").isNotNull().alias("_has"), F.when(F.size("_met") > 0, fits).alias("_ok"))
+    # equal notes of a piece behave alike: one row with their total length, as each is once in all of its buckets
+    times = F.count(F.lit(1)) / (F.floor(F.col("_m1") / width) - F.floor(F.col("_m0") / width) + 1)
+    notes = both.groupBy(*keys, "_mp", "_m0", "_m1").agg((times * (F.col("_m1") - F.col("_m0"))).alias("_length"), F.max("_ok").alias("_ok"), F.max("_has").alias("_has"))
     part = lambda c: F.sum(F.when(c, F.col("_length")).otherwise(0.0)) / F.sum("_length")
-    out = notes.groupBy(*keys).agg(part(F.coalesce("_ok", F.lit(False))).alias("consonant_ratio"), part(F.col("_ok").isNull()).alias("unsupported_ratio"))
+    out = notes.groupBy(*keys).agg(
+        part(F.coalesce("_ok", F.lit(False))).alias("consonant_ratio"), part(F.col("_ok").isNull()).alias("unsupported_ratio"), F.max("_has").alias("_has"), F.count("_m0").alias("_n")
+    ).where("_has and _n > 0")
     return out.withColumn("dissonant_ratio", F.greatest(F.lit(0.0), 1 - F.col("consonant_ratio") - F.col("unsupported_ratio"))).select(*keys, "consonant_ratio", "dissonant_ratio", "unsupported_ratio")

@@ -25,13 +25,14 @@ def measured(met: DataFrame, keys: list[str], resolution: float = RESOLUTION) ->
     sounding = F.greatest(F.lit(0.0), end - F.greatest("t0", "w0"))
     span = F.max(end) - F.col("w0")
     return met.groupBy(*keys, "w0", "w1").agg(
-        (F.count_distinct(F.when(inside, place)) / (F.col("w1") - F.col("w0"))).alias("rhythm_density"),
+        (F.size(F.collect_set(F.when(inside, place))) / (F.col("w1") - F.col("w0"))).alias("rhythm_density"),
         F.when(span > 0, F.sum(sounding) / span).otherwise(0.0).alias("voice_number"),
     )
 
 
 def tumbling(events: DataFrame, record: list[str], window: float = WINDOW) -> DataFrame:
     """Events (record, t0, t1) in each window they touch; windows start at the record's first onset."""
+    events = events.repartition(*record)  # what follows, to the numbers of a song's windows, keeps to these partitions
     starts = events.groupBy(*record).agg(F.min("t0").alias("_begin"), F.max("t1").alias("_end"))
     rows = events.join(starts, record)
     last = F.ceil((F.col("_end") - F.col("_begin")) / window) - 1
