@@ -1,7 +1,7 @@
 """Matching of names: files to files, report rows to runs by ranked rules, prompts beside their ground truth.
 
-Ranked matches never compare all with all: every rule is a join by equality. Containment is one too: the substrings of
-a name that have a candidate's length, of which there are few different ones, are looked up among the candidates.
+Ranked matches never compare all with all: every rule is a join by equality. Containment is one too: a text's substrings
+of the lengths that candidates' ends have are looked up among these ends, and what is found is compared as a whole.
 """
 
 from __future__ import annotations
@@ -28,18 +28,25 @@ def unmatched(generated: DataFrame, truth: DataFrame, path: str = "path") -> Dat
     return generated.withColumn("key", stem(F.col(path))).join(gt, "key", "left_anti")
 
 
+#: Characters of a name's end by which it is looked up in others; names may be any longer.
+ANCHOR = 64
+
+
 def pieces_of(name: Column, lengths: list[int]) -> Column:
-    """All substrings of those lengths."""
+    """Hashes of all different substrings of those lengths."""
     fitting = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(name))
-    return F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda k: F.substr(name, k, n)))))
+    return F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda k: F.xxhash64(F.substr(name, k, n))))))
 
 
 def within(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
     """Rows of inner x outer where inner's text a (not empty) lies in outer's text b."""
-    lengths = sorted(r[0] for r in inner.where(F.length(a) > 0).select(F.length(a)).distinct().collect())  # as many as the longest name has characters
+    inner = inner.where(F.length(a) > 0)
+    size = F.least(F.length(a), F.lit(ANCHOR))
+    lengths = sorted(r[0] for r in inner.select(size).distinct().collect())  # ANCHOR rows at most
     if not lengths:
         return inner.crossJoin(outer).limit(0)
-    return outer.withColumn("_piece", F.explode(pieces_of(F.col(b), lengths))).join(inner, F.col("_piece") == F.col(a)).drop("_piece")
+    held = inner.withColumn("_piece", F.xxhash64(F.right(F.col(a), size)))
+    return outer.withColumn("_piece", F.explode(pieces_of(F.col(b), lengths))).join(held, "_piece").where(F.contains(F.col(b), F.col(a))).drop("_piece")
 
 
 def ranked(rows: DataFrame, candidates: DataFrame, name: str = "name", candidate: str = "candidate", rules=SYSTEM_RULES) -> DataFrame:
