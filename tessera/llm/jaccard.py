@@ -605,4 +605,14 @@ def op1_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_grouped_prefix_join": op1_grouped_prefix_join}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_grouped_prefix_join": rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT id, array_to_string(w[k:k + {SHINGLE - 1}], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+common AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2),
+link AS (SELECT x, y, c = p.n AND c = q.n AS equal FROM common JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE 100 * c >= {PERCENT} * (p.n + q.n - c)),
+reach AS (SELECT id AS x, id AS y FROM d UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+root AS (SELECT x AS id, min(doc_id) AS component_id FROM reach JOIN d ON d.id = y GROUP BY 1),
+own AS (SELECT x AS id, count(*) AS n_links, min(doc_id) FILTER (equal) AS copy FROM link JOIN d ON d.id = y GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, least(doc_id, coalesce(copy, doc_id)) AS class_id, coalesce(n_links, 0) AS n_links FROM d LEFT JOIN n USING (id) LEFT JOIN root USING (id) LEFT JOIN own USING (id)"""
+}
