@@ -1,9 +1,10 @@
 """Packing by power-of-two decomposition: binary-length pieces, equal lengths in one bucket.
 
 A document of L tokens (its end token included) becomes floor(L / limit) pieces of `limit` tokens and one piece for
-each binary digit of the rest, long ones first. Each piece is a sequence by itself: none crosses documents, none is
-padded, and batches are drawn from one bucket (`length`) at a time. Nothing is shuffled; long documents only give more
-pieces of their own partition's rows.
+each binary digit of the rest, long ones first. Each piece is a sequence by itself: none crosses documents and none is
+padded. Equal lengths make a bucket: bucket_slot numbers the pieces of each, write_buckets() gives each a folder of its
+own, and a batch is drawn from one bucket at a time. Nothing is shuffled; long documents only give more pieces of their
+own partition's rows.
 
 Tokens come from a public tokenizer file. Words are encoded once for each batch and kept in a bounded cache: the
 tokenizer drops white space and treats what lies between ASCII white space alone, so ids are those of the whole text.
@@ -145,15 +146,22 @@ def binary_lengths(tokens: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarr
 def cutter(key: str, text: str, path: str, end_id: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, number = kept_words(path), TaskContext.get().partitionId() << 36
+        slots = np.full(limit.bit_length(), number)  # of the bucket of each binary length
         for batch in slices(batches, text, TEXT_BYTES):
             ids, tokens = token_ids(batch.column(text), words, end_id)
             doc, length = binary_lengths(tokens, limit)
             ends = np.cumsum(length)
             starts = ends - length - (np.cumsum(tokens) - tokens)[doc]
             packed = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
+            bucket = np.log2(length).astype(np.int64)
+            slot = np.empty(len(doc), np.int64)
+            order = np.argsort(bucket, kind="stable")
+            n = np.bincount(bucket, minlength=len(slots))
+            slot[order] = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(slots, n)
+            slots = slots + n
             rows = pa.RecordBatch.from_arrays(
-                [batch.column(key).take(pa.array(doc)), pa.array(starts), pa.array(length), packed.cast(pa.binary()), pa.array(tokens[doc]), pa.array(number + np.arange(len(doc))), pa.array(np.zeros(len(doc), np.int64))],
-                ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+                [batch.column(key).take(pa.array(doc)), pa.array(starts), pa.array(length), packed.cast(pa.binary()), pa.array(tokens[doc]), pa.array(number + np.arange(len(doc))), pa.array(np.zeros(len(doc), np.int64)), pa.array(slot)],
+                ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "bucket_slot"],
             )
             number += len(doc)
             yield rows
@@ -164,17 +172,23 @@ def cutter(key: str, text: str, path: str, end_id: int, limit: int) -> Callable[
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID, limit: int = LIMIT) -> DataFrame:
     """Pieces with their ids as little-endian unsigned 32-bit numbers; `length` is the bucket, a power of two.
 
-    sequence_id is unique and the same when a task runs again, as it counts from the input's partition.
+    sequence_id is unique, and bucket_slot in its bucket; both are the same when a task runs again, as they count from the
+    input's partition.
     """
     if limit & (limit - 1):
         raise ValueError("the limit must be a power of two")
-    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bucket_slot long"
     rows = docs.select(F.col(key).cast("long").alias(key), text)
     return rows.mapInArrow(cutter(key, text, tokenizer or tokenizer_path(), end_id, limit), schema)
 
 
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Pieces as Parquet, a folder length=<n> for each bucket."""
+    pieces.write.partitionBy("length").parquet(path)
+
+
 def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket_slot")
 
 
 def op2_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

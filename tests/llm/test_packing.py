@@ -41,3 +41,18 @@ def test_digest(docs):
     pieces = packing.pack(docs)
     want = {(r.doc_id, r.start): zlib.crc32(r.ids) for r in pieces.collect()}
     assert {(r.doc_id, r.start): r.ids_crc32 for r in packing.digest(pieces).collect()} == want
+
+
+def test_buckets(spark, docs, odd_docs, tmp_path):
+    """Every bucket holds pieces of one length, numbered without repeats, and all buckets together hold every id."""
+    for k, df in enumerate((docs, odd_docs)):
+        pieces = packing.pack(df.repartition(3))
+        packing.write_buckets(pieces, str(tmp_path / str(k)))
+        want = sorted((r.doc_id, r.start, bytes(r.ids)) for r in pieces.collect())
+        found = []
+        for folder in (tmp_path / str(k)).glob("length=*"):
+            rows = spark.read.parquet(str(folder)).collect()
+            assert {len(r.ids) // 4 for r in rows} == {int(folder.name.split("=")[1])}
+            assert len({r.bucket_slot for r in rows}) == len(rows)
+            found += [(r.doc_id, r.start, bytes(r.ids)) for r in rows]
+        assert sorted(found) == want
