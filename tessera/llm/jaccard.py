@@ -63,8 +63,8 @@ INDEX_ROWS = 400_000
 TOKEN_ROWS = 2_000
 HUB_PAIRS = 64
 #: Documents and shingles of a block in which links are counted; documents up to which a shingle's pairs are listed there.
-CELL_DOCS = 1024
-CELL_SHINGLES = 400_000
+CELL_DOCS = 256
+CELL_SHINGLES = 100_000
 LISTED = 16
 
 
