@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words as W
 from tessera.llm.components import smallest
-from tessera.llm.shared import drop_written, partitions, shared_dir, slices, small_side, table, written
+from tessera.llm.shared import drop_written, give_back, partitions, shared_dir, slices, small_side, table, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -369,6 +369,8 @@ def crosser(percent: int, most: int):
                     yield as_pairs(found[0])
                     found, held = [], 0
         yield as_pairs(counted(found))
+        del own, token, g, n, at, label, after, found
+        give_back()
 
     return cross
 
