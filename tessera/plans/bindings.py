@@ -144,6 +144,26 @@ def harmonic_consonance(spark, d):
     return rounded(consonance_of(spark, d))
 
 
+@query("SELECT a.piece_id, count(*) AS n, count(DISTINCT a.note) AS generated, count(DISTINCT b.note) AS ground_truth, round(sum(least(a.t1, b.t1) - greatest(a.t0, b.t0)), 6) AS seconds FROM spans a JOIN spans b ON a.piece_id = b.piece_id AND b.t1 > a.t0 AND b.t0 < a.t1 WHERE a.side = 'generated' AND b.side = 'ground_truth' GROUP BY 1", V.SPANS)
+def long_overlaps(spark, d):
+    """Pairs of notes of both sides that sound together, of any lengths."""
+    rows = V.spans(spark, d)
+    a, b = (rows.where(F.col("side") == side).select("piece_id", F.col("note").alias(f"{p}_note"), F.col("t0").alias(f"{p}0"), F.col("t1").alias(f"{p}1")) for side, p in zip(SIDES, "ab"))
+    met = overlap.overlapping(a, b, ["piece_id"], ("a0", "a1"), ("b0", "b1"))
+    return rounded(met.groupBy("piece_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("a_note").alias("generated"), F.count_distinct("b_note").alias("ground_truth"), F.sum(overlap.length(("a0", "a1"), ("b0", "b1"))).alias("seconds")
+    ))
+
+
+@query(
+    "SELECT piece_id, round(c, 6) AS consonant_ratio, round(greatest(0, 1 - c - u), 6) AS dissonant_ratio, round(u, 6) AS unsupported_ratio FROM r", V.SPANS,
+    "notes AS (SELECT *, false AS is_drum, CASE WHEN note % 4 = 1 THEN 'guitar' ELSE 'piano' END AS name FROM spans)", CONSONANCE,
+)
+def long_consonance(spark, d):
+    rows = V.spans(spark, d).where(F.col("side") == V.GENERATED)
+    return rounded(overlap.consonance(rows.where("note % 4 = 1"), rows.where("note % 4 != 1"), ["piece_id"]))
+
+
 @query(f"SELECT ratio, {FIVE} FROM (SELECT 'consonant_ratio' AS ratio, c AS x FROM r UNION ALL SELECT 'dissonant_ratio', greatest(0, 1 - c - u) FROM r UNION ALL SELECT 'unsupported_ratio', u FROM r) GROUP BY 1", V.NOTES, CONSONANCE)
 def consonance_summary(spark, d):
     long = consonance_of(spark, d).unpivot(["piece_id"], ["consonant_ratio", "dissonant_ratio", "unsupported_ratio"], "ratio", "x")

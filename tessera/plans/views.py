@@ -34,6 +34,21 @@ NOTES = f"""notes AS (SELECT l_orderkey // {ORDERS} AS piece_id, CASE WHEN l_lin
   l_quantity * 0.25 + l_linenumber * 0.0625 + (1 + round(l_tax * 100)) * 0.125 AS t1 FROM lineitem)"""
 
 
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of all lengths, from none to months: of a piece's orders, in two sides."""
+    o = table(spark, sf_dir, "orders")
+    t0 = (F.col("o_orderkey") % 8192) * 0.5
+    length = F.when(F.col("o_custkey") % 8 > 0, (F.col("o_custkey") % 9) * 0.25).otherwise(F.pow(F.lit(2.0), F.floor(F.col("o_custkey") / 8) % 25))
+    return o.select(
+        F.expr(f"o_orderkey div {4 * ORDERS}").alias("piece_id"), F.when(F.col("o_orderkey") % 2 == 1, GENERATED).otherwise(TRUTH).alias("side"), F.col("o_orderkey").alias("note"),
+        (F.col("o_custkey") % 128).alias("pitch"), t0.alias("t0"), (t0 + length).alias("t1"),
+    )
+
+
+SPANS = f"""spans AS (SELECT o_orderkey // {4 * ORDERS} AS piece_id, CASE WHEN o_orderkey % 2 = 1 THEN '{GENERATED}' ELSE '{TRUTH}' END AS side, o_orderkey AS note, o_custkey % 128 AS pitch,
+  (o_orderkey % 8192) * 0.5::DOUBLE AS t0, (o_orderkey % 8192) * 0.5::DOUBLE + CASE WHEN o_custkey % 8 > 0 THEN (o_custkey % 9) * 0.25::DOUBLE ELSE 2.0::DOUBLE ** ((o_custkey // 8) % 25) END AS t1 FROM orders)"""
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(

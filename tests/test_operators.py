@@ -72,6 +72,52 @@ def test_overlap_pairs_come_once(spark):
     assert got == sorted((x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and y[3] > x[2] and y[2] < x[3])
 
 
+YEAR = 365 * 86400.0
+
+
+def spans(rng, n, pieces=3):
+    """Intervals without length, of a few seconds, of an hour, of days and of a year, some nested, some at edges of buckets."""
+    return [(k % pieces, k, t, t + rng.choice([0, 0, 0.5, 2, 2.0001, 4, 64, 3600, 86400 * 3.7, YEAR])) for k in range(n) for t in [rng.choice([rng.random() * 50 - 20, rng.randrange(-4, 9) * 2.0, rng.random() * YEAR])]]
+
+
+@pytest.mark.parametrize("width", [0.7, 2.0])
+def test_intervals_of_any_length(spark, width):
+    rng = random.Random(12)
+    a, b = spans(rng, 150), spans(rng, 150)
+    left, right = spark.createDataFrame([*a, (0, -1, None, 5.0)], "p long, i long, a0 double, a1 double"), spark.createDataFrame([*b, (0, -1, 0.0, None)], "p long, j long, b0 double, b1 double")
+    for x, y, one, two in ((left, right, a, b), (left.where("a1 - a0 < 3"), right, [r for r in a if r[3] - r[2] < 3], b), (left, right.where("b1 - b0 < 3"), a, [r for r in b if r[3] - r[2] < 3])):
+        got = sorted((r.i, r.j) for r in overlap.overlapping(x, y, ["p"], ("a0", "a1"), ("b0", "b1"), width).collect())
+        assert got == sorted((x[1], y[1]) for x in one for y in two if x[0] == y[0] and y[3] > x[2] and y[2] < x[3])
+    assert overlap.overlapping(left.limit(0), right, ["p"], ("a0", "a1"), ("b0", "b1"), width).count() == 0
+
+
+def test_long_intervals_make_few_rows(spark):
+    """A year among notes: tens of rows for it, and two more at most for each note."""
+    notes = spark.createDataFrame([(1, k, k * 0.5, k * 0.5 + 1) for k in range(2000)], "p long, i long, a0 double, a1 double")
+    year = spark.createDataFrame([(1, 0, 10.0, 10.0 + YEAR), (1, 1, 5.0, 3605.0)], "p long, j long, b0 double, b1 double")
+    has, other = overlap.levels(notes, "a0", "a1"), overlap.levels(year, "b0", "b1")
+    assert has == [0] and other == [11, 24]
+    assert overlap.nodes(year, "b0", "b1", 2.0, has, ("left", "right"), "left").count() <= 12
+    assert overlap.nodes(notes, "a0", "a1", 2.0, other, ("left",), "right").count() <= 2 * 3 * 2000
+    assert overlap.overlapping(notes, year, ["p"], ("a0", "a1"), ("b0", "b1")).count() == sum(k * 0.5 + 1 > 10 for k in range(2000)) + sum(k * 0.5 + 1 > 5 for k in range(2000))
+
+
+@pytest.mark.parametrize("kinds", ["both", "melody", "other"])
+def test_consonance_with_long_notes(spark, kinds):
+    rng = random.Random(4)
+    m, a = ([(p, rng.randrange(30, 90), t, e) for p, _, t, e in spans(rng, 80, 8) if long or e - t < 2] for long in (kinds != "other", kinds != "melody"))
+    a = [r for r in a if r[0] != 5]
+    m, schema = m + m[:7], "p long, pitch long, t0 double, t1 double"
+    got = {r.p: r for r in overlap.consonance(spark.createDataFrame(m, schema), spark.createDataFrame(a, schema), ["p"]).collect()}
+    assert set(got) == {r[0] for r in m if r[3] > r[2]} - {5}
+    for p in got:
+        own = [r for r in m if r[0] == p and r[3] > r[2]]
+        met = [[(x - y) % 12 in (0, 3, 4, 7, 8, 9) for q, y, s2, e2 in a if q == p and e2 > s and s2 < e] for _, x, s, e in own]
+        total = sum(e - s for *_, s, e in own)
+        share = lambda f: sum(r[3] - r[2] for r, x in zip(own, met) if f(x)) / total
+        assert (got[p].consonant_ratio, got[p].unsupported_ratio) == pytest.approx((share(any), share(lambda x: not x)))
+
+
 def test_voices_by_sweep_and_in_closed_form(spark):
     rng = random.Random(3)
     events = [(k % 5, s, s + rng.random() * 3) for k in range(80) for s in [rng.random() * 20]]
