@@ -1,11 +1,15 @@
 """Matching of names: files to files, report rows to runs by ranked rules, prompts beside their ground truth.
 
-Ranked matches never compare all with all: every rule is a join by equality. Containment is one too: a text's substrings
-of the lengths that candidates' ends have are looked up among these ends, and what is found is compared as a whole.
+Ranked matches never compare all with all: every rule is a join by equality. Containment is one too: hashes of a text's
+windows, of the lengths that candidates' ends have, are joined with these ends', and what is found is compared as a whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,25 +32,74 @@ def unmatched(generated: DataFrame, truth: DataFrame, path: str = "path") -> Dat
     return generated.withColumn("key", stem(F.col(path))).join(gt, "key", "left_anti")
 
 
-#: Characters of a name's end by which it is looked up in others; names may be any longer.
+#: Longest end of a name, in bytes, by which it is looked up in others; names may be any longer.
 ANCHOR = 64
+#: Bits of the filter by which windows of a text are left out that no name ends with.
+FILTER_BITS = 22
+#: Bytes of a text whose windows are hashed at a time.
+STRETCH = 1 << 20
+#: Factor of the rolling hash, which is taken modulo 2^64; odd, so that it has an inverse there.
+FACTOR = 0x9E3779B97F4A7C15
+
+
+class Rolling:
+    """Hashes of a text's windows: differences of its running hash, brought to the same power."""
+
+    def __init__(self, data: np.ndarray):
+        powers, self.inverse = (np.full(len(data), f, np.uint64).cumprod(dtype=np.uint64) for f in (FACTOR, pow(FACTOR, -1, 1 << 64)))
+        self.upto = np.concatenate([np.zeros(1, np.uint64), ((data.astype(np.uint64) + np.uint64(1)) * powers).cumsum(dtype=np.uint64)])
+
+    def windows(self, n: int) -> np.ndarray:
+        hashes = (self.upto[n:] - self.upto[:-n]) * self.inverse[: max(0, len(self.upto) - n)] + np.uint64(n)  # windows of another length are others
+        return (hashes ^ (hashes >> np.uint64(31))) * np.uint64(FACTOR)
+
 
+def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, piece): the hash of each text's last bytes, as many as the largest power of two that it has."""
+    for batch in batches:
+        out = []
+        for text in batch.column(1):
+            data = np.frombuffer(text.as_buffer(), np.uint8)
+            n = min(ANCHOR, 1 << (len(data).bit_length() - 1))
+            out.append(int(Rolling(data[-n:]).windows(n).view(np.int64)[0]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["_i", "_piece"])
 
-def pieces_of(name: Column, lengths: list[int]) -> Column:
-    """Hashes of all different substrings of those lengths."""
-    fitting = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(name))
-    return F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda k: F.xxhash64(F.substr(name, k, n))))))
+
+def met_anchors(wanted: np.ndarray, sizes: list[int]):
+    """A function from batches of (id, text) to (id, piece): different hashes of windows that the filter `wanted` lets in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1)):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                for begin in range(0, max(len(data), 1), STRETCH):
+                    rolling = Rolling(data[begin : begin + STRETCH + ANCHOR - 1])
+                    found = [h[wanted[h >> np.uint64(64 - FILTER_BITS)]] for n in sizes for h in [rolling.windows(n)]]
+                    pieces = np.unique(np.concatenate(found)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pieces), key.as_py(), np.int64)), pa.array(pieces)], ["_o", "_piece"])
+
+    return run
 
 
 def within(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows of inner x outer where inner's text a (not empty) lies in outer's text b."""
-    inner = inner.where(F.length(a) > 0)
-    size = F.least(F.length(a), F.lit(ANCHOR))
-    lengths = sorted(r[0] for r in inner.select(size).distinct().collect())  # ANCHOR rows at most
-    if not lengths:
-        return inner.crossJoin(outer).limit(0)
-    held = inner.withColumn("_piece", F.xxhash64(F.right(F.col(a), size)))
-    return outer.withColumn("_piece", F.explode(pieces_of(F.col(b), lengths))).join(held, "_piece").where(F.contains(F.col(b), F.col(a))).drop("_piece")
+    """Rows of inner x outer where inner's text a (not empty) lies in outer's text b.
+
+    A text's windows of the lengths of names' ends are hashed as they roll along, and those that a filter of a fixed size
+    lets in become rows, joined with the ends' hashes. What meets is compared as a whole, so neither the filter nor hashes
+    decide, and neither a long text nor many names make a large row.
+    """
+    inner, outer = inner.where(F.length(a) > 0).withColumn("_i", F.xxhash64(a)), outer.where(F.col(b).isNotNull()).withColumn("_o", F.xxhash64(b))
+    held = inner.select("_i", a).mapInArrow(anchors, "_i long, _piece long")
+    words = held.groupBy(F.expr(f"shiftrightunsigned(_piece, {64 - FILTER_BITS}) div 64").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_piece, {64 - FILTER_BITS}) % 64 as int))")).alias("bits")).toArrow()  # 2^16 rows at most
+    sizes = sorted({min(ANCHOR, 1 << r[0]) for r in inner.select(F.floor(F.log2(F.octet_length(a))).cast("int").alias("n")).distinct().collect()})  # a number for each power of two
+    wanted = np.zeros(1 << FILTER_BITS, bool)
+    if len(words):
+        bits = words.column("bits").to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8)
+        wanted.reshape(-1, 64)[words.column("word").to_numpy()] = np.unpackbits(bits, axis=1, bitorder="little").astype(bool)
+    if not sizes:
+        return inner.drop("_i").crossJoin(outer.drop("_o")).limit(0)
+    hits = outer.select("_o", b).mapInArrow(met_anchors(wanted, sizes), "_o long, _piece long").join(held, "_piece").select("_i", "_o").distinct()
+    return inner.join(hits, "_i").join(outer, "_o").where(F.contains(F.col(b), F.col(a))).drop("_i", "_o")
 
 
 def ranked(rows: DataFrame, candidates: DataFrame, name: str = "name", candidate: str = "candidate", rules=SYSTEM_RULES) -> DataFrame:

@@ -393,6 +393,12 @@ def nll_grid(spark, d):
     return reshape.grid(V.likelihoods(spark, d), "interval", "gen_frame", "avg_nll", "source", [0, 1, 2, 3])
 
 
+@query(f"SELECT {FIVE} FROM (SELECT l_extendedprice AS x FROM lineitem)")
+def price_quantiles(spark, d):
+    """Five numbers of all prices, without a key: by selection."""
+    return rounded(stats.five_number(V.table(spark, d, "lineitem"), [], "l_extendedprice"))
+
+
 @query(f"SELECT o_orderpriority, {FIVE} FROM (SELECT o_orderpriority, o_totalprice AS x FROM orders) GROUP BY 1")
 def five_number(spark, d):
     return rounded(stats.five_number(V.table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice"))
@@ -506,14 +512,14 @@ def ranked_match_nll(spark, d):
     return matching.ranked(*ranked_tables(spark, d), rules=matching.LIKELIHOOD_RULES)
 
 
-@query()
+@query("SELECT page_id, (SELECT md5(min(text)) FROM benchmark WHERE text <> '' AND contains(html, text)) AS candidate_md5 FROM pages")
 def ranked_match_pages(spark, d):
     """Which benchmark text each page's html holds whole, if any: names as long as pages, of many lengths."""
     pages, items = V.table(spark, d, "pages").select(F.col("html").alias("name")), V.table(spark, d, "benchmark").select(F.col("text").alias("candidate"))
     held = matching.within(items.where("candidate is not null").distinct(), pages.where("name is not null").distinct(), "candidate", "name")
     best = held.groupBy("name").agg(F.min("candidate").alias("candidate"))
     found = V.table(spark, d, "pages").join(best, F.col("html") == F.col("name"), "left")
-    return found.select("page_id", F.crc32(F.col("candidate").cast("binary")).alias("candidate_crc32"))
+    return found.select("page_id", F.md5(F.col("candidate").cast("binary")).alias("candidate_md5"))
 
 
 FILES = "gen AS (SELECT 'out/' || (k % 40)::VARCHAR || '/p' || (k % 70)::VARCHAR || CASE WHEN k % 3 = 0 THEN '.mid.mid' ELSE '.MID' END AS path, 'p' || (k % 70)::VARCHAR AS key FROM (SELECT c_custkey AS k FROM customer)), gt AS (SELECT 'gt/' || (k % 9)::VARCHAR || '/p' || (k % 50)::VARCHAR || '.midi' AS path, 'p' || (k % 50)::VARCHAR AS key FROM (SELECT s_suppkey AS k FROM supplier))"

@@ -44,6 +44,32 @@ def test_numpy_quantiles_and_single_values(spark):
     assert df.where("k = 8").agg(stats.summary_struct(F.col("v")).alias("s")).first().s is None
 
 
+def test_quantiles_of_a_whole_column(spark):
+    """Selection against numpy: ties, values of all magnitudes, infinite ones, few and many, small ranges and limits."""
+    rng = random.Random(8)
+    columns = {
+        "even": [rng.random() for _ in range(3000)], "ties": [float(rng.randrange(4)) for _ in range(3000)], "hot": [7.0] * 2000 + [rng.gauss(0, 1) for _ in range(1000)],
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(2000)], "ends": [-1.7e308, 1.7e308, 0.0, -0.0, 5e-324] * 20, "one": [3.0], "two": [1.0, 2.0], "none": [],
+    }
+    for name, x in columns.items():
+        df = spark.createDataFrame([(v,) for v in x] + [(None,), (math.nan,)], "v double").repartition(3)
+        for few, ranges in ((10, 8), (5000, 2048)):
+            got = stats.quantiles(df, "v", (0, 0.25, 0.5, 0.75, 0.9, 1), few, ranges)
+            if not x:
+                assert got == [None] * 6
+                continue
+            s = sorted(x)
+            want = [s[math.floor(a)] + ((s[math.ceil(a)] - s[math.floor(a)]) * (a - math.floor(a)) if s[math.floor(a)] != s[math.ceil(a)] else 0) for q in (0, 0.25, 0.5, 0.75, 0.9, 1) for a in [(len(s) - 1) * q]]
+            assert got == want, name
+    df = spark.createDataFrame([(v,) for v in columns["hot"] + [math.inf, -math.inf]], "v double")
+    assert stats.selection(df, "v", [0, 1, 1500, 3001], 10, 8) == dict(zip([0, 1, 1500, 3001], [(s := sorted(columns["hot"] + [math.inf, -math.inf]))[k] for k in (0, 1, 1500, 3001)]))
+    ends = [math.inf] * 900 + [float(k) for k in range(40)] + [-math.inf] * 5
+    assert stats.selection(spark.createDataFrame([(v,) for v in ends], "v double"), "v", [2, 20, 44, 45, 944], 3, 4) == {2: -math.inf, 20: 15.0, 44: 39.0, 45: math.inf, 944: math.inf}
+    five, whole = stats.five_number(df, [], "v").first(), stats.describe(df.where("v between -9 and 9"), [], "v").first()
+    assert (five.q1, five.median, five.q3) == tuple(np.quantile(sorted(columns["hot"]), (0.25, 0.5, 0.75), method="linear")) or five.median == 7.0
+    assert whole.p50 == 7.0 and whole["count"] == 3000
+
+
 def test_consonance(spark):
     rng = random.Random(1)
     m, a = ([(p, rng.randrange(30, 90), t, t + rng.choice([0, 1, 2, 5]) * 0.25) for p in range(4) for t in [rng.randrange(64) * 0.25 for _ in range(20)]] for _ in range(2))
@@ -197,6 +223,22 @@ def test_ranked_rules(spark):
     assert got["interval_1_gen_2"] == ("x_interval_1_gen_2", "containment") and got["abc"] == ("ABC", "exact")
 
 
+def test_containment_in_texts_of_any_length(spark):
+    """Names within texts, against `in`: short and long names, other alphabets, texts that end in a name, 10 MB."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abé日") for _ in range(rng.randrange(0, 400))) for _ in range(60)] + ["", "x", "日", None]
+    names = [t[k : k + n] for t in texts if t for k in [rng.randrange(len(t))] for n in [rng.choice([1, 2, 3, 7, 64, 65, 130, 400])]] + ["", None, "zz", "日", "x"]
+    a, b = spark.createDataFrame([(n,) for n in names] * 2, "a string"), spark.createDataFrame([(t,) for t in texts], "b string")
+    got = sorted((r.a, r.b) for r in matching.within(a, b, "a", "b").collect())
+    assert got == sorted((n, t) for n in names * 2 for t in texts if n and t is not None and n in t)
+    stretch = matching.STRETCH
+    long = "".join(rng.choices("abcdefgh ", k=10_000_000))
+    wanted = [long[k : k + n] for k in (0, stretch - 40, stretch, 3 * stretch - 1, len(long) - 200) for n in (33, 64, 200)]
+    a, b = spark.createDataFrame([(n,) for n in wanted + ["not there at all, I hope"]], "a string"), spark.createDataFrame([(long,), ("short",)], "b string")
+    assert sorted(r.a for r in matching.within(a, b, "a", "b").select("a").collect()) == sorted(wanted)
+    assert matching.within(a.limit(0), b, "a", "b").count() == 0
+
+
 def test_prompts_and_files(spark):
     truth = spark.createDataFrame([("/d/prompt8/gt/x.mid.mid",), ("/d/other/y.mid",)], "path string")
     listing = spark.createDataFrame([("/d/x_promptlen8.mid",), ("/d/prompt8/x.mid_promptlen8.mid",), ("/d/y_promptlen8.mid",)], "path string")
