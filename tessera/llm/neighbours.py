@@ -8,8 +8,9 @@ How many leaves are visited is calibrated: the true neighbours of a bounded samp
 comparing them all, which gives each true neighbour's leaf, and the visits are widened until the wanted share of them is
 met. A search also goes on until its leaves hold as many rows as are wanted, so no answer is short while there are more.
 
-Rows and queries meet in cells: a leaf's rows and its visits are dealt by hash into as many parts as their numbers need, so
-neither a leaf of equal vectors nor one that all visit makes a large task. In a cell a matrix product with a bound of its
+Rows and queries meet in cells: neighbouring leaves make bundles of a bounded number of rows, and a bundle's rows and the
+queries that visit it are dealt by hash into as many parts as their numbers need, so neither a leaf of equal vectors nor one
+that all visit makes a large task. A query is compared with the leaves it visits only, and a cell gives its k nearest. In a cell a matrix product with a bound of its
 rounding error leaves out what can't be among the nearest; the rest is measured exactly, in double precision.
 
 Nulls and odd rows: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
@@ -41,7 +42,7 @@ ROUNDS = 12
 #: Queries of the calibration and the share of their true neighbours that must be met. The contract's 0.9 is passed by a margin.
 PROBES, RECALL = 200, 0.95
 #: Rows and queries of a cell.
-CELL_ROWS, CELL_QUERIES = 4_000, 2_000
+CELL_ROWS, CELL_QUERIES = 2_000, 2_000
 #: Distances that are held at a time.
 BLOCK = 1 << 20
 
@@ -220,40 +221,70 @@ def calibrate(index: Index, queries: DataFrame, k: int = NEAREST, probes: int =
     return int(np.sort(needed)[max(0, math.ceil(recall * len(needed)) - 1)]) if needed else 1
 
 
+def bundles(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each leaf its bundle, neighbouring leaves of `most` rows together, and the rows of each bundle: a larger leaf is one."""
+    bundle, rows = np.zeros(len(sizes), np.int64), [0]
+    for leaf, n in enumerate(sizes.tolist()):
+        if rows[-1] and rows[-1] + n > most:
+            rows.append(0)
+        bundle[leaf] = len(rows) - 1
+        rows[-1] += n
+    return bundle, np.array(rows)
+
+
 def search(index: Index, queries: DataFrame, k: int = NEAREST, visits: int | None = None, cell_rows: int = CELL_ROWS, cell_queries: int = CELL_QUERIES) -> DataFrame:
     """The k nearest rows found of each query of (vec_id, vector, own): query_id, rank, vec_id, score."""
     spark, tree, sizes = index.rows.sparkSession, index.tree, index.sizes
     queries = written(queries, "queries")
     visits = visits or calibrate(index, queries, k)
+    bundle, held = bundles(sizes, cell_rows)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query and bundle, with the leaves that are visited there."""
         for batch in batches:
-            own = batch.column("own").to_pylist()
-            leaves = [tree.visit(v, visits, sizes, k + n) for v, n in zip(matrix(batch.column("vector")), own)]
-            at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in leaves]))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), pa.array([y for x in leaves for y in x], pa.int64()), batch.column("vector").take(at)], ["query_id", "leaf", "query"])
+            at, into, leaves = [], [], []
+            for q, (vector, own) in enumerate(zip(matrix(batch.column("vector")), batch.column("own").to_pylist())):
+                found = np.array(tree.visit(vector, visits, sizes, k + own), np.int64)
+                for b in np.unique(bundle[found]):
+                    at.append(q)
+                    into.append(b)
+                    leaves.append(found[bundle[found] == b])
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(rows), pa.array(into, pa.int64()), pa.array(leaves, pa.list_(pa.int64())), batch.column("vector").take(rows)], ["query_id", "bundle", "leaves", "query"])
 
     kind = dict(queries.dtypes)["vector"]
-    walked = written(queries.mapInArrow(walk, f"query_id long, leaf long, query {kind}"), "visits")
-    asked = {r["leaf"]: r["count"] for r in walked.groupBy("leaf").count().collect()}  # a row for each leaf
+    walked = written(queries.mapInArrow(walk, f"query_id long, bundle long, leaves array<long>, query {kind}"), "visits")
+    asked = {r["bundle"]: r["count"] for r in walked.groupBy("bundle").count().collect()}  # no more rows than leaves
     if not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    parts = spark.createDataFrame([(leaf, -(-int(sizes[leaf]) // cell_rows), -(-n // cell_queries)) for leaf, n in asked.items()], "leaf long, row_parts int, query_parts int")
-    deal = F.broadcast(parts)  # as many rows as leaves
-    cells = sum(-(-int(sizes[leaf]) // cell_rows) * -(-n // cell_queries) for leaf, n in asked.items())
-    rows = index.rows.join(deal, "leaf").select("leaf", F.expr("pmod(xxhash64(vec_id), row_parts)").alias("i"), F.explode(F.expr("sequence(0L, query_parts - 1L)")).alias("j"), "vec_id", "vector")
-    asks = walked.join(deal, "leaf").select("leaf", F.explode(F.expr("sequence(0L, row_parts - 1L)")).alias("i"), F.expr("pmod(xxhash64(query_id), query_parts)").alias("j"), "query_id", "query")
-    n = partitions(spark, cells, 200)
+    parts = {b: (-(-int(held[b]) // cell_rows), -(-n // cell_queries)) for b, n in asked.items()}
+    of_leaf = spark.createDataFrame([(leaf, int(b), *parts[b]) for leaf, b in enumerate(bundle.tolist()) if b in parts], "leaf long, bundle long, row_parts int, query_parts int")
+    of_bundle = spark.createDataFrame([(b, *x) for b, x in parts.items()], "bundle long, row_parts int, query_parts int")
+    every = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1L)"))
+    # both are as small as the tree
+    rows = index.rows.join(F.broadcast(of_leaf), "leaf").select("bundle", F.expr("pmod(xxhash64(vec_id), row_parts)").alias("i"), every("query_parts").alias("j"), "leaf", "vec_id", "vector")
+    asks = walked.join(F.broadcast(of_bundle), "bundle").select("bundle", every("row_parts").alias("i"), F.expr("pmod(xxhash64(query_id), query_parts)").alias("j"), "query_id", "leaves", "query")
+    n = partitions(spark, sum(a * b for a, b in parts.values()), 50)
 
     def meet(own: pa.Table, asking: pa.Table) -> pa.Table:
-        ids, leaf = own.column("vec_id").to_numpy(), own.column("leaf").to_numpy()
-        query_ids, out = asking.column("query_id").to_numpy(), []
+        """The nearest of a cell's rows for each of its queries, over all leaves that it visits."""
+        ids, leaf, query_ids = (t.column(c).to_numpy() for t, c in ((own, "vec_id"), (own, "leaf"), (asking, "query_id")))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(ids) and len(query_ids):
-            out = [(query_ids[q], ids[at], score) for q, at, score in nearest(matrix(asking.column("query")), query_ids, matrix(own.column("vector")), ids, k)]
-        empty = [np.zeros(0, np.int64)]
-        return pa.table([pa.array(np.concatenate([*empty, *(np.full(len(x), q) for q, x, _ in out)])), pa.array(np.concatenate([*empty, *(x for _, x, _ in out)])), pa.array(np.concatenate([np.zeros(0), *(x for *_, x in out)])), pa.array(np.concatenate([*empty, *(np.full(len(x), leaf[0]) for _, x, _ in out)]))], ["query_id", "vec_id", "score", "leaf"])
-
-    met = rows.repartition(n, "leaf", "i", "j").groupBy("leaf", "i", "j").cogroup(asks.repartition(n, "leaf", "i", "j").groupBy("leaf", "i", "j")).applyInArrow(meet, FOUND)
+            rows, vectors, lists = matrix(own.column("vector")), matrix(asking.column("query")), asking.column("leaves").combine_chunks()
+            visited, who = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            for x in np.unique(leaf):
+                here, qs = np.flatnonzero(leaf == x), who[visited == x]
+                out += [(np.full(len(at), qs[q]), ids[here][at], score) for q, at, score in nearest(vectors[qs], query_ids[qs], rows[here], ids[here], k)]
+        q, found, score = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((found, score, q))
+        q, found, score = q[order], found[order], score[order]
+        first = np.searchsorted(q, q)
+        keep = np.arange(len(q)) - first < k
+        return pa.table([pa.array(query_ids[q[keep]]), pa.array(found[keep]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
+
+    cell = ("bundle", "i", "j")
+    met = rows.repartition(n, *cell).groupBy(*cell).cogroup(asks.repartition(n, *cell).groupBy(*cell)).applyInArrow(meet, "query_id long, vec_id long, score double")
     return ranked(met, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
