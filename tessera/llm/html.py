@@ -9,9 +9,11 @@
 3. Valid classes are nested into a tree, the template: an element stays only if the element around it does, a text only
    inside such an element and, page by page, only where it keeps its class's order; what breaks the order is data.
 4. What is left are slots. How much text each element's slots hold over all pages tells which of them is the article:
-   from the root down, as long as one element inside holds most of the text (SHARE). Links count little; elements that
-   HTML or the words of class, id and role call menus, headers, footers, sidebars, notices, adverts, forms or comments
-   count little too, and articles more: such names only weigh, the classes decide where slots are.
+   from the root down, as long as one element inside holds nearly all of the text (SHARE), so that no second part of an
+   article is lost on the way; less is enough if HTML calls what lies there an article, which also counts more. Template texts and links don't count, nor do
+   elements that HTML or the words of class, id and role call menus, headers, footers, sidebars, notices, adverts, forms
+   or comments: none of these, and nothing inside one, is ever the article, however much it holds (but what is only so
+   called by its class or is a form, and stands around an article with a title, is the page).
 5. A page's main text is what stands in the article's slots, less parts named as such inside it. Inside an article
    wording never counts as template, so copies of an article stay whole. If no element of the template holds most of the
    text, all slots are main text, less template texts and named parts. A page without text in those slots, or whose host
@@ -32,7 +34,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from html import unescape
 
@@ -47,10 +49,11 @@ from tessera.llm.shared import slices, small_side, table, written
 MIN_PAGES = 3
 MIN_TOKENS = 2
 SUPPORT = 0.8
-#: Share of an element's text that one element inside must hold to be the article's place instead.
-SHARE = 0.6
-#: What a character counts for that in links, in parts named as no main text, and in articles.
-LINK, NAMED, ARTICLE = 0.1, 0.05, 4.0
+#: Share of an element's text that one inside must hold to be the article's place instead, so that what stands beside it is
+#: known to be short; and the share if HTML says that an article lies there.
+SHARE, ARTICLE_SHARE = 0.85, 0.6
+#: What a character counts for that in articles; those in links or in parts named as no main text count nothing.
+ARTICLE = 4.0
 
 #: Fixed names of HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -157,7 +160,8 @@ class Page:
         articles = self.inside(lambda k: self.name[k] == "article" and not named[k])
         held = [0.0] * len(self.parent)
         for text, k, linked in self.blocks:
-            held[k] += (len(text) - min(linked, len(text)) * (1 - LINK)) * (ARTICLE if articles[k] == 1 else NAMED if named[k] else 1.0)
+            if not named[k]:
+                held[k] += (len(text) - min(linked, len(text))) * (ARTICLE if articles[k] == 1 else 1.0)
         for k in range(len(held) - 1, 0, -1):
             held[self.parent[k]] += held[k]
         return held
@@ -236,6 +240,11 @@ def parsed(page: str, names: Names) -> Page:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
                 at = end.start() if end else n
                 continue
+            if name in MAIN or name == "h1":  # what stands around an article with a title is the page, not a part of it
+                inner = max((k for k, e in enumerate(stack) if out.name[e] in MAIN), default=0) if name == "h1" else 0
+                for k, e in enumerate(stack):
+                    if out.name[e] == "form" or k < inner and out.name[e] not in OUT:
+                        out.named[e] = False
             if name not in VOID and not attributes.endswith("/"):
                 stack.append(len(out.parent) - 1)
                 opened[name] += 1
@@ -263,20 +272,21 @@ def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[list[dict]] = []
         for html in batch.column("html").to_pylist():
             page = parsed(html or "", names)
-            holds = page.weights()
+            holds, named = page.weights(), page.around()
             seen: dict[int, dict] = {}
             base = [0]  # the element of each that is none of a line
             for k in range(1, len(page.path)):
                 name, up = page.name[k], base[page.parent[k]]
                 base.append(up if name in INLINE else k)
                 if name not in INLINE:
-                    seen[page.path[k]] = {"token": page.path[k], "n": 1, "text": False, "up": page.path[up], "holds": holds[k], "place": k, "part": 3 if name == "article" else (name in CONTAINERS) + (name in CONTAINERS and name not in TOP)}
+                    seen[page.path[k]] = {"token": page.path[k], "n": 1, "text": False, "up": page.path[up], "holds": holds[k], "place": k, "part": 0 if named[k] else 3 if name == "article" else (name in CONTAINERS) + (name in CONTAINERS and name not in TOP)}
             articles = page.inside(lambda k: page.name[k] in MAIN)
-            for j, (text, k, _) in enumerate(page.blocks):
+            for j, (text, k, linked) in enumerate(page.blocks):
                 if not articles[k]:
                     t = text_token(text, page.path[k])
                     have = seen.setdefault(t, {"token": t, "n": 0, "text": True, "up": page.path[base[k]], "holds": 0.0, "place": j, "part": 0})
                     have["n"] += 1
+                    have["holds"] += 0.0 if named[k] else len(text) - min(linked, len(text))
             rows.append(list(seen.values()))
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(rows, kind)], ["host", "tokens"])
 
@@ -312,18 +322,29 @@ def nested(tokens: list[dict]) -> dict[int, dict]:
     return out
 
 
-def article(elements: dict[int, dict]) -> int | None:
-    """The path of the element that holds most of the text; None if no element of the template does."""
-    inner: dict[int, list[dict]] = {}
-    for t in elements.values():
+def article(elements: dict[int, dict], texts: Iterable[dict] = ()) -> int | None:
+    """The path of the element that holds the text that is no template's; None if no element of the template does."""
+    inner: dict[int, list[int]] = {}
+    holds = {p: t["holds"] for p, t in elements.items()}
+
+    def up(p: int) -> Iterator[int]:
+        while p in elements:
+            yield p
+            p = elements[p]["up"]
+
+    for t in texts:
+        for p in up(t["up"]):
+            holds[p] -= t["holds"]
+    with_article = {q for p, t in elements.items() if t["part"] == 3 for q in up(p)}
+    for p, t in elements.items():
         if t["part"]:
-            inner.setdefault(t["up"], []).append(t)
-    at, holds = 0, sum(t["holds"] for t in inner.get(0, []))
+            inner.setdefault(t["up"], []).append(p)
+    at, held = 0, sum(holds[p] for p in inner.get(0, []))
     while (own := inner.get(at)) and not (at and elements[at]["part"] == 3):
-        best = max(own, key=lambda t: (t["holds"], -t["place"], t["token"]))
-        if best["holds"] <= 0 or best["holds"] < SHARE * holds:
+        best = max(own, key=lambda p: (holds[p], -elements[p]["place"], p))
+        if holds[best] <= 0 or holds[best] < (ARTICLE_SHARE if best in with_article else SHARE) * held:
             break
-        at, holds = best["token"], best["holds"]
+        at, held = best, holds[best]
     return at if at and elements[at]["part"] >= 2 else None
 
 
@@ -337,8 +358,9 @@ def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, texts = [], []
         for tokens in batch.column("tokens").to_pylist():
             elements = nested(tokens)
-            found.append(article(elements))
-            texts.append([{"token": t["token"], "class": t["class"], "place": t["place"]} for t in tokens if t["text"] and t["up"] in elements])
+            own = [t for t in tokens if t["text"] and t["up"] in elements]
+            found.append(article(elements, own))
+            texts.append([{"token": t["token"], "class": t["class"], "place": t["place"]} for t in own])
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.int64()), pa.array(texts, kind)], ["host", "article", "template"])
 
 

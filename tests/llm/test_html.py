@@ -124,6 +124,58 @@ def test_articles_outside_the_template(spark):
     assert rows_of(spark, [*pages, ("http://h.x/a", teaser), ("http://h.x/b", alone)])[8:] == ["text", "only"]
 
 
+def words_of(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+
+PARTS = (("<section class=comments>", "</section>"), ("<div class='replies'>", "</div>"), ("<div id=comment-list>", "</div>"), ("<aside>", "</aside>"), ("<div class=sidebar-widget><div><div>", "</div></div></div>"), ("<div class='advert'><section>", "</section></div>"))
+
+
+def test_comments_are_never_the_article(spark):
+    """Threads that hold far more than the article, named by class, id or element, on hosts of one to twenty pages."""
+    rng, pages, want = random.Random(4), [], []
+    for n in (1, 2, 3, 6, 20):
+        for j, (begin, end) in enumerate(PARTS):
+            for k in range(n):
+                own, thread = words_of(rng, 13), "".join(f"<div class=c><p>{words_of(rng, 25)}</p></div>" for _ in range(40))
+                pages.append((f"http://h{n}.{j}/{k}", f"<body><div class=menu>Home News</div><div class=post><p>{own}</p></div>{begin}{thread}{end}</body>"))
+                want.append(own)
+    assert rows_of(spark, pages) == want
+
+
+def test_no_slot_is_lost(spark):
+    """An article in two or three uneven blocks, side by side or nested, on hosts with a template."""
+    rng, pages, want = random.Random(5), [], []
+    for j, sizes in enumerate(((80, 20), (60, 39, 1), (20, 80), (30, 30, 34), (9, 9, 82))):
+        for k in range(6):
+            parts = [words_of(rng, x) for x in sizes]
+            inner = "".join(f"<div><p>{x}</p></div>" for x in parts)
+            page = f"<body><div>Welcome to this site</div><div><a href='/x'>Home {k}</a></div><div><div>{inner}</div></div><div>All rights reserved</div></body>"
+            pages += [(f"http://flat{j}/{k}", page), (f"http://deep{j}/{k}", page.replace("<div><p>", "<div><div><div><p>", 1).replace("</p></div>", "</p></div></div></div>", 1))]
+            want += [" ".join(parts)] * 2
+    assert rows_of(spark, pages) == want
+
+
+def test_two_layouts_on_a_host(spark):
+    rng = random.Random(6)
+    pages, want = [], []
+    for k in range(20):
+        a, b = words_of(rng, 60), words_of(rng, 20)
+        page = f"<body><div>Welcome</div><div><div><p>{a}</p></div><div><p>{b}</p></div></div><div>Imprint</div></body>" if k % 2 else f"<body><div>Welcome</div><section><p>{a}</p><p>{b}</p></section><div>Imprint</div></body>"
+        pages.append(("http://h.x/%d" % k, page))
+        want.append(f"{a} {b}")
+    met = lost = more = 0
+    for text, own in zip(rows_of(spark, pages), want):
+        got, own = Counter(text.split()), Counter(own.split())
+        met, lost, more = met + sum((got & own).values()), lost + sum((own - got).values()), more + sum((got - own).values())
+    assert met / (met + lost) > 0.95 and met / (met + more) > 0.95
+
+
+def test_a_form_around_the_page(spark):
+    pages = [("http://h.x/%d" % k, f"<body><form id=aspnet><div>Menu</div><div><h1>Title {k}</h1><p>text {k} of the page</p></div><div>Imprint</div></form></body>") for k in range(5)]
+    assert rows_of(spark, pages) == [f"Title {k} text {k} of the page" for k in range(5)]
+
+
 def test_odd(spark):
     odd = [(None, None), ("", ""), ("x", "plain"), ("http://a/", "<"), ("http://a/", "<p"), ("http://a/", "<p title=\"x>y"), ("http://a/", "</b></p></div>a<b>c"), ("http://a/", "<script>no"), ("http://a/", "a&nbsp;&amp; b&#x41;&bogus;"), ("http://a/", "<p>" * 5000 + "deep" + "<div>" * 3000 + "er")]
     assert rows_of(spark, odd) == ["", "", "plain", "<", "", "y", "ac", "", "a & bA&bogus;", "deep er"]
