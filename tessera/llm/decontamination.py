@@ -10,8 +10,9 @@ length; each window length is one pattern set. For a set of length m with blocks
 
 Cursors of many stretches of text advance together, so the search runs in numpy. Long texts are cut into overlapping
 stretches; nothing is left out. The items are the stated query set: they go to every task, in parts of at most PART_BYTES
-(by a hash of the item); each part is one more scan of the documents, which adds to the hits of those before it. Documents
-are only scanned: no shuffle.
+(by a hash of the item). Each part is a scan of its own, which adds to the hits of those before it: between two, the
+documents are written with what is found so far, so neither the driver nor a task ever holds more than one part, however
+many items there are. With one part, as most sets of items are, documents are only scanned once. Nothing is shuffled.
 
 Nulls: a null text has no words and no hits; a null item text has no windows; a null item id stands as ''. Empty texts
 have no words. Texts of any length are whole. An empty table on either side gives an empty result, or no hits. Repeated
@@ -30,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.shared import appended, table
+from tessera.llm.shared import appended, drop_written, table, written
 
 SIZE = 10
 #: Bytes of items that one scan looks for; their windows take some fifty times as much on the driver.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 #: Window places in a stretch that one cursor goes through.
 STRETCH = 256
 
@@ -172,15 +173,20 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text",
     stated = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("t")).where("t is not null")
     parts = max(1, -(-int(stated.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0) // PART_BYTES))
     keep = [c for c in keep if c not in ("n_words", "n_hit", "hits", "items", "_hits", "_items")]
-    out = docs
+    held = [f"_{k}" for k in range(len(keep))]  # names that any file can have
+    out = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(keep, held)], F.col(f"`{text}`").alias("_t"))
     for k in range(parts):
-        own = stated.where(F.pmod(F.xxhash64("id", "t"), F.lit(parts)) == k).distinct().sort("id", "t").collect()  # PART_BYTES, about
-        sets = compiled([tuple(r) for r in own], size)
+        part = stated.where(F.pmod(F.xxhash64("id", "t"), F.lit(parts)) == k).distinct().sort("id", "t").collect()  # PART_BYTES, about
+        sets = compiled([tuple(r) for r in part], size)
         if k:
-            out = out.drop("_hits", "_items", "n_words", "n_hit").withColumnsRenamed({"hits": "_hits", "items": "_items"})
-        held = [*keep, *([text] if k < parts - 1 and text not in keep else []), *(["_hits", "_items"] if k else [])]
-        out = appended(out, held, text, lambda sets=sets, k=k: finder(sets, k > 0), ADDED)
-    return out.select(*[F.col(f"`{c}`") for c in keep], "n_words", "n_hit", "hits", "items")
+            own = written(out, "hits")
+            if k > 1:
+                drop_written(earlier)
+            earlier, out = own, own.drop("n_words", "n_hit").withColumnsRenamed({"hits": "_hits", "items": "_items"})
+        last = k == parts - 1
+        out = appended(out, [*held, *([] if last else ["_t"]), *(["_hits", "_items"] if k else [])], "_t", lambda sets=sets, k=k: finder(sets, k > 0), ADDED)
+        out = out.drop("_hits", "_items")
+    return out.select(*[F.col(h).alias(c) for c, h in zip(keep, held)], "n_words", "n_hit", "hits", "items")
 
 
 def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,21 @@ def test_items_in_parts(spark, sf_dir, docs, odd_docs, monkeypatch):
     assert out.columns == ["doc_id", "text", "lang", "n_words", "n_hit", "hits", "items"] and out.count() == odd_docs.count()
 
 
+def test_many_parts_one_at_a_time(spark, monkeypatch):
+    """Thirty parts: what is planned at last scans for one of them, and all their hits are there, for repeated rows too."""
+    monkeypatch.setattr(D, "PART_BYTES", 150)
+    bench = spark.createDataFrame([(k, f"alpha{k} beta{k} gamma{k} of item {k}") for k in range(50)], "item_id long, text string")
+    rows = [(k, " ".join(f"x alpha{j} beta{j} gamma{j} of item {j} y" for j in range(k % 7, 50, 9))) for k in range(12)] + [(3, "alpha3 beta3 gamma3 of item 3"), (None, None)]
+    df = spark.createDataFrame(rows + rows[:2], "doc_id long, text string").withColumn("a,b c", D.F.lit(1))
+    found = D.scan(df, bench, ["doc_id", "text", "a,b c"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = found.collect()
+    assert len(got) == len(rows) + 2
+    for r in got:
+        n, hit, names = brute(r.text, [(k, f"alpha{k} beta{k} gamma{k} of item {k}") for k in range(50)])
+        assert (r.n_words, r.n_hit, r["items"], r["a,b c"]) == (n, len(hit), names, 1)
+
+
 def test_query(spark, sf_dir):
     rows = D.op7_wu_manber(spark, sf_dir).collect()
     assert len(rows) == 200 and all((r.n_hit > 0) == r.contaminated == (r.n_items > 0) for r in rows)
