@@ -40,12 +40,14 @@ def run(chars: str, least: int) -> str:
     return rf"(?:(?!(?<![A-Za-z0-9])(?:{PROVIDER})){chars}){{{least},}}+"
 
 
-NAMED = rf"(?i:(?<={NAME}[\"']{{0,1}}\s{{0,8}}[:=]\s{{0,8}}[\"']{{0,1}})){run(r"""[^\s"'<>,;]""", 6)}"
-ASSIGNED = rf"(?<=[A-Za-z0-9_.\]-][\"']{{0,1}}\s{{0,8}}=\s{{0,8}}[\"']{{0,1}}){run(r"""[^\s"'<>,;&]""", 6)}"
+#: Signs with the blanks and the quote around them, however many blanks: after a secret's name, and after any name.
+AFTER_NAME = rf"(?i:(?<={NAME}[\"']{{0,1}}))\s*+[:=]\s*+[\"']{{0,1}}"
+AFTER_ANY = r"(?<=[A-Za-z0-9_.\]-][\"']{0,1})\s*+=\s*+[\"']{0,1}"
 LONG = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]){run('[A-Za-z0-9+/_-]', 20)}"
-#: A value: a provider's key, what stands after a sign (not part of the match) and a secret's name or after '=' and any
-#: name, or a long run with a digit.
-CANDIDATE = rf"""(?<![A-Za-z0-9])(?:{PROVIDER})|(?<=[:=\s"'])(?<=[:=][\s"']{{0,9}})(?:{NAMED}|{ASSIGNED})|{LONG}"""
+#: A value: a provider's key, what stands after a sign and a secret's name or after '=' and any name, or a long run with a
+#: digit. A match begins with the sign, which SIGN tells from the value.
+CANDIDATE = rf"""(?<![A-Za-z0-9])(?:{PROVIDER})|(?=[\s:=])(?:{AFTER_NAME}{run(r"""[^\s"'<>,;]""", 6)}|{AFTER_ANY}{run(r"""[^\s"'<>,;&]""", 6)})|{LONG}"""
+SIGN = r"^\s*+[:=]\s*+[\"']{0,1}"
 
 #: What every candidate has: a digit, a sign or a provider's mark. Most texts have none and need no closer look.
 QUICK = r"[0-9:=]|-----BEGIN|AKIA|gh[pousr]_|xox[abprs]-|sk-|eyJ"
@@ -167,15 +169,21 @@ def scan(docs: DataFrame, forest: list, keep: list[str], text: str = "text", pat
     cut = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(keep, held)], F.col(f"`{text}`").alias("_text"), F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("_path"))
     none = F.array().cast("array<string>")
     cut = cut.withColumn("_has", F.coalesce(has, F.lit(False)))
-    cut = cut.withColumn("_values", F.when(F.col("_has"), F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0))).otherwise(none))
-    cut = cut.withColumn("_pieces", F.when(F.col("_has"), F.split("_text", CANDIDATE, -1)).otherwise(F.array("_text")))
+    cut = cut.withColumn("_found", F.when(F.col("_has"), F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0))).otherwise(none))
+    cut = cut.withColumn("_signs", F.transform("_found", lambda v: F.regexp_extract(v, SIGN, 0)))
+    cut = cut.withColumn("_values", F.zip_with("_found", "_signs", lambda v, sign: F.substr(v, F.length(sign) + 1)))
+    # what stands before a value ends with its sign; after the last one there is none
+    pieces = F.zip_with(F.split("_text", CANDIDATE, -1), "_signs", lambda piece, sign: F.concat(piece, F.coalesce(sign, F.lit(""))))
+    cut = cut.withColumn("_pieces", F.when(F.col("_has"), pieces).otherwise(F.array("_text")))
     # arrays go through a lambda side by side: one that is looked up by place there would be made anew for each element
     n = F.size("_values")
     parts = F.arrays_zip(
-        F.col("_values").alias("value"), F.slice("_pieces", 1, n).alias("before"), F.slice("_pieces", 2, n).alias("after"), F.slice(F.concat(F.array(F.lit("")), "_values"), 1, n).alias("last")
+        F.col("_values").alias("value"), F.slice("_pieces", 1, n).alias("before"), F.slice("_pieces", 2, n).alias("after"), F.col("_signs").alias("sign"), F.slice(F.concat(F.array(F.lit("")), "_values"), 1, n).alias("last")
     )
     cut = cut.withColumn("_parts", parts)
-    described = lambda p: features(p["value"], F.right(p["before"], F.lit(60)), F.left(p["after"], F.lit(30)), F.col("_path"))
+    # blanks around a sign count as one, so that they put no name out of reach
+    near = lambda p: F.concat(F.right(F.left(p["before"], F.length(p["before"]) - F.length(p["sign"])), F.lit(60)), F.regexp_replace(p["sign"], r"\s+", " "))
+    described = lambda p: features(p["value"], F.right(near(p), F.lit(60)), F.left(p["after"], F.lit(30)), F.col("_path"))
     cut = cut.withColumn("_described", F.transform("_parts", lambda p: F.struct(p["value"].alias("value"), described(p).alias("x"))))
     # places: each candidate starts after all pieces up to its own and all candidates before it
     cut = cut.withColumn("_steps", F.transform("_parts", lambda p: F.length(p["before"]) + F.length(p["last"])))

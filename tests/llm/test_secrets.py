@@ -83,13 +83,13 @@ def test_against_plain_python(spark, forest, docs):
     got = {r.doc_id: r.findings for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), forest, ["doc_id"]).collect()}
     pattern, total = regex.compile(S.CANDIDATE, regex.ASCII), 0
     for k, text, path in rows:
-        found = list(pattern.finditer(text))
-        ends = [0, *[m.end() for m in found]]
-        starts = [*[m.start() for m in found], len(text)]
+        found = [(m.start(), m.start() + len(sign := regex.match(f"(?:{S.SIGN})?", m[0], regex.ASCII)[0]), m.end(), sign) for m in pattern.finditer(text)]
+        ends, starts = [0, *[end for _, _, end, _ in found]], [*[at for _, at, _, _ in found], len(text)]
         want = []
-        for j, m in enumerate(found):
-            x = np.array([plain_features(m[0], text[ends[j] : starts[j]][-60:], text[ends[j + 1] : starts[j + 1]][:30], path or "")], float)
-            want.append((m.start(), m[0], sum(S.trees.applied(t, x)[0] for t in forest) / len(forest)))
+        for j, (begin, at, end, sign) in enumerate(found):
+            before = text[ends[j] : begin][-60:] + re.sub("[ \t\n\x0b\f\r]+", " ", sign)
+            x = np.array([plain_features(text[at:end], before[-60:], text[end : starts[j + 1]][:30], path or "")], float)
+            want.append((at, text[at:end], sum(S.trees.applied(t, x)[0] for t in forest) / len(forest)))
         assert [(f.start, f.value) for f in got[k]] == [w[:2] for w in want]
         assert all(math.isclose(f.score, w[2], rel_tol=1e-9) and f.secret == (f.score >= S.THRESHOLD) for f, w in zip(got[k], want))
         total += len(want)
@@ -109,6 +109,23 @@ def test_private_keys_and_blanks(spark, forest):
     assert [len(got[k].findings) for k in (2, 3)] == [1, 300]  # without a last line, the first one alone
 
 
+def test_blanks_hide_nothing(spark, forest):
+    """Any number of blanks of any kind on either side of the sign, after a secret's name and after others."""
+    rng = random.Random(7)
+    token = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = []
+    for name in ("password", "'api_key'", "access_key", "auth token"):
+        for before in (0, 1, 8, 9, 10, 100, 5000):
+            for after in (0, 1, 8, 9, 10, 100, 5000):
+                rows.append((len(rows), f"see {name}{''.join(rng.choices(' \t\n', k=before))}={''.join(rng.choices(' \t\n', k=after))}{token} end", "src"))
+    rows.append((len(rows), "password          =          hunter2!xQ", "src"))
+    for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), forest, ["doc_id", "text"]).collect():
+        value = r.text.split()[-1] if r.doc_id == len(rows) - 1 else token
+        assert [f.value for f in r.findings if f.secret] == [value] and r.redacted_text == r.text.replace(value, S.REDACTED), (r.findings, r.text[:200])
+    blanks = [(1, "token " + " " * 300_000 + "x", "s"), (2, "a = " * 50_000, "s"), (3, "token = " * 30_000, "s")]
+    assert S.scan(spark.createDataFrame(blanks, "doc_id long, text string, source string"), forest, ["doc_id"]).count() == 3
+
+
 def test_many_candidates(spark, forest):
     """Places are right over many candidates in one text, and repeated rows and clashing names are no matter."""
     text = " ".join(f"token={k:032x}" for k in range(3000))
