@@ -62,6 +62,13 @@ def run_parameters(path: Column) -> Column:
     )
 
 
+def run_name(path: Column) -> Column:
+    """A run's name after its path's parameters, in the fixed form of results; a gen number may also end a folder's name."""
+    p = run_parameters(path)
+    gen = F.coalesce(F.nullif(p["gen"], F.lit("NA")), group_or_null(path, r"(?i)gen[_-]?(\d+)(?:$|[_/\\])"), F.lit("NA"))
+    return F.concat(F.lit("interval"), p["interval"], F.lit("_genframe"), p["gen_frame"], F.lit("_prompt"), p["prompt"], F.lit("_gen"), gen)
+
+
 def nearest_frames(path: Column) -> Column:
     """The gen_frame number of the nearest folder: the last one in the path."""
     return group_or_null(path, r"(?i)^.*gen[_-]?frame[_-]?(\d+)").cast("int")

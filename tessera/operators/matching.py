@@ -20,11 +20,11 @@ SYSTEM_RULES = ("numeric", "containment", "plain_within")
 LIKELIHOOD_RULES = ("exact", "containment", "numeric", "plain_either")
 
 
-def file_pairs(generated: DataFrame, truth: DataFrame, path: str = "path") -> DataFrame:
-    """key, generated, ground_truth: files with equal stems; of equal truths the first path, all generated ones."""
-    gen = generated.select(stem(F.col(path)).alias("key"), F.col(path).alias("generated"))
-    gt = truth.groupBy(stem(F.col(path)).alias("key")).agg(F.min(path).alias("ground_truth"))
-    return gen.join(gt, "key")
+def file_pairs(generated: DataFrame, truth: DataFrame, path: str = "path", keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, key, generated, ground_truth: files with equal stems; of equal truths the first path, all generated ones."""
+    gen = generated.select(*keys, stem(F.col(path)).alias("key"), F.col(path).alias("generated"))
+    gt = truth.groupBy(*keys, stem(F.col(path)).alias("key")).agg(F.min(path).alias("ground_truth"))
+    return gen.join(gt, [*keys, "key"])
 
 
 def unmatched(generated: DataFrame, truth: DataFrame, path: str = "path") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import group_label, natural_key
+from tessera.operators.ordering import Ordered
 from tessera.operators.stats import describe
 
 
@@ -42,11 +43,15 @@ def text_grid(rows: DataFrame, row: str, label: str, labels: list[str], text: st
 
 
 def boundaries(rows: DataFrame, name: str) -> DataFrame:
-    """name, group, member, last_of_group in natural order. Reports have few rows: one window over their names."""
-    order = Window.orderBy(natural_key(F.col(name)), name)
+    """name, group, member, place and last_of_group in natural order, of all different names."""
     out = rows.select(name).distinct().withColumn("_g", group_label(F.col(name)))
-    after = F.lead("_g.group").over(order)
-    return out.select(name, "_g.group", "_g.member", (F.row_number().over(order) - 1).alias("place"), F.coalesce(after != F.col("_g.group"), F.lit(True)).alias("last_of_group"))
+    found = Ordered(out, [natural_key(F.col(name)), F.col(name)]).with_next(F.col("_g.group"), "_next")
+    return found.select(name, "_g.group", "_g.member", "place", (F.col("_next").isNull() | (F.col("_next") != F.col("_g.group"))).alias("last_of_group"))
+
+
+def natural_order(rows: DataFrame, name: str) -> DataFrame:
+    """name, place: all different names in natural order, numbered from 0."""
+    return Ordered(rows.select(name).distinct(), [natural_key(F.col(name)), F.col(name)]).numbered()
 
 
 def ranked_by(rows: DataFrame, value: str, label: str, descending: bool = True, threshold: float | None = None) -> DataFrame:

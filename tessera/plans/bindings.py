@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import chords, histogram, likelihood, matching, overlap, pairs, phrases, reshape, roles, stats, ticks, vectors
+from tessera.operators.ordering import Ordered
 from tessera.plans import views as V
 
 QUERIES: dict = {}
@@ -214,10 +215,10 @@ def chord_vocabulary_rank(spark, d):
 
 PHRASES = """b AS (SELECT piece_id, side, min(t0) AS s, max(t1) AS e FROM notes GROUP BY 1, 2),
 sp AS (SELECT piece_id, side, s + k * 2.0::DOUBLE AS w0, s + k * 2.0::DOUBLE + 2 AS w1 FROM (SELECT *, unnest(range(ceil((e - s) / 2)::BIGINT)) AS k FROM b)),
-met AS (SELECT n.piece_id, n.side, w0, w1, t0, t1 FROM sp JOIN notes n ON n.piece_id = sp.piece_id AND n.side = sp.side AND t1 > w0 AND t0 < w1),
+met AS MATERIALIZED (SELECT n.piece_id, n.side, w0, w1, t0, t1 FROM sp JOIN notes n ON n.piece_id = sp.piece_id AND n.side = sp.side AND t1 > w0 AND t0 < w1),
 ph AS (SELECT piece_id, side, w0, w1, count(DISTINCT floor((t0 - w0) / 0.01 + 1e-9)) FILTER (t0 >= w0 AND t0 < w1) / (w1 - w0) AS rd,
   CASE WHEN max(least(t1, w1)) > w0 THEN sum(greatest(0, least(t1, w1) - greatest(t0, w0))) / (max(least(t1, w1)) - w0) ELSE 0 END AS vn FROM met GROUP BY 1, 2, 3, 4),
-phrases AS (SELECT *, row_number() OVER (PARTITION BY piece_id, side ORDER BY w0) - 1 AS idx FROM ph)"""
+phrases AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY piece_id, side ORDER BY w0) - 1 AS idx FROM ph)"""
 
 
 def phrases_of(spark, d):
@@ -260,10 +261,13 @@ def same_song_pairs(spark, d):
     return rounded(pairs.same_group(phrases_of(spark, d), ["piece_id", "side"], "idx", ["rhythm_density"]))
 
 
-@query("SELECT a.n_nationkey::BIGINT AS first, b.n_nationkey::BIGINT AS second, abs(a.n_regionkey - b.n_regionkey)::DOUBLE AS diff_v FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+@query(
+    "SELECT a.k AS first, b.k AS second, round(abs(a.v - b.v), 6) AS diff_v FROM s a JOIN s b ON a.k < b.k", "s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS k, s_acctbal AS v FROM supplier)"
+)
 def random_pairs(spark, d):
-    rows = V.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_regionkey").cast("double").alias("v"))
-    return pairs.at_random(rows, "k", ["v"], 1000)
+    """All pairs of suppliers, as a sample of more pairs than there are."""
+    rows = Ordered(V.table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("v")), [F.col("s_suppkey")]).numbered("k")
+    return rounded(pairs.at_random(rows, "k", ["v"], 10**9))
 
 
 @query("SELECT 500::BIGINT AS n, 500::BIGINT AS different, 0::BIGINT AS wrong FROM (SELECT count(*) AS k FROM customer) WHERE k * (k - 1) / 2 > 500")
@@ -561,10 +565,9 @@ def text_grid(spark, d):
     return reshape.text_grid(rows, "conv_id", "role", ["user", "assistant", "system"], "text")
 
 
-@query("SELECT n_name, n_regionkey::DOUBLE AS v FROM nation WHERE n_regionkey > 1")
+@query("SELECT c_name, c_acctbal AS v FROM customer WHERE c_acctbal > 1000")
 def threshold_ranking(spark, d):
-    rows = V.table(spark, d, "nation").select("n_name", F.col("n_regionkey").cast("double").alias("v"))
-    return reshape.ranked_by(rows, "v", "n_name", threshold=1.0)
+    return reshape.ranked_by(V.table(spark, d, "customer").select("c_name", F.col("c_acctbal").alias("v")), "v", "c_name", threshold=1000.0)
 
 
 @query("SELECT a.label::BIGINT AS label, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std, count(x) AS n FROM (SELECT a.label, sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda k: (a.embedding[k]::DOUBLE - b.embedding[k]::DOUBLE) ** 2))) AS x FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) a GROUP BY 1")
@@ -633,13 +636,11 @@ def printed_section_means(spark, d):
     return rounded(reshape.section_means(V.printed(spark, d), ["run"], "text", {"Prompt Latents": "continuation"}, "txt mean distance"), 4)
 
 
-@query("SELECT name, row_number() OVER (ORDER BY regexp_extract(lower(name), '^[a-z]+'), regexp_extract(name, '[0-9]+')::INT, name) AS place FROM (SELECT (CASE WHEN n_nationkey % 2 = 0 THEN 'Run' ELSE 'gen' END) || (n_nationkey * 7 % 31)::VARCHAR AS name FROM nation)")
+@query("SELECT name, row_number() OVER (ORDER BY regexp_extract(lower(name), '^[a-z]+'), regexp_extract(name, '[0-9]+')::INT, name) - 1 AS place FROM (SELECT DISTINCT (CASE WHEN c_custkey % 2 = 0 THEN 'Run' ELSE 'gen' END) || (c_custkey * 7 % 10007)::VARCHAR AS name FROM customer)")
 def natural_order(spark, d):
-    from pyspark.sql import Window
-
-    k = F.col("n_nationkey")
-    rows = V.table(spark, d, "nation").select(F.concat(F.when(k % 2 == 0, "Run").otherwise("gen"), (k * 7 % 31).cast("string")).alias("name"))
-    return rounded(rows.select("name", F.row_number().over(Window.orderBy(S.natural_key(F.col("name")), "name")).alias("place")))
+    k = F.col("c_custkey")
+    rows = V.table(spark, d, "customer").select(F.concat(F.when(k % 2 == 0, "Run").otherwise("gen"), (k * 7 % 10007).cast("string")).alias("name"))
+    return reshape.natural_order(rows, "name")
 
 
 @query("SELECT run, epoch(start)::BIGINT AS start, n, round(hit_rate, 6) AS hit_rate FROM (SELECT user_id % 20 AS run, date_trunc('day', ts) AS start, count(*) AS n, avg((event_type <> 'error')::INT) AS hit_rate FROM events GROUP BY 1, 2)")
@@ -711,9 +712,9 @@ def bar_boundaries(spark, d):
     return rounded(phrases.bar_boundaries(meta, none, none, ["piece_id"]))
 
 
-@query("SELECT name, n, last_of_group FROM (SELECT name, g, row_number() OVER w - 1 AS n, coalesce(lead(g) OVER w <> g, true) AS last_of_group FROM (SELECT DISTINCT 'interval' || (c_custkey % 12)::VARCHAR || '_gen' || (c_custkey % 9)::VARCHAR AS name, 'interval' || (c_custkey % 12)::VARCHAR AS g, c_custkey % 12 AS i, c_custkey % 9 AS j FROM customer) WINDOW w AS (ORDER BY i, j))")
+@query("SELECT name, n, last_of_group FROM (SELECT name, g, row_number() OVER w - 1 AS n, coalesce(lead(g) OVER w <> g, true) AS last_of_group FROM (SELECT DISTINCT 'interval' || (c_custkey % 120)::VARCHAR || '_gen' || (c_custkey % 77)::VARCHAR AS name, 'interval' || (c_custkey % 120)::VARCHAR AS g, c_custkey % 120 AS i, c_custkey % 77 AS j FROM customer) WINDOW w AS (ORDER BY i, j))")
 def group_boundaries(spark, d):
     k = F.col("c_custkey")
-    name = F.concat(F.lit("interval"), (k % 12).cast("string"), F.lit("_gen"), (k % 9).cast("string"))
+    name = F.concat(F.lit("interval"), (k % 120).cast("string"), F.lit("_gen"), (k % 77).cast("string"))
     rows = reshape.boundaries(V.table(spark, d, "customer").select(name.alias("name")), "name")
     return rounded(rows.select("name", F.col("place").alias("n"), "last_of_group"))

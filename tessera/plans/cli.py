@@ -1,7 +1,8 @@
 """Commands over folders of files; each writes tables or text folders, as Spark writes.
 
 evaluate GENERATED TRUTH OUT   one run: divergences, consonance, and what the options ask for, by piece and summed up
-batch CONFIG OUT               evaluations of all runs of a file of `label:/path` lines, by prompt, and a table of them
+batch CONFIG OUT               evaluations of all runs of a file of `label:/path` lines, by prompt, and a table of them; the
+                               pairs may also be given themselves: batch base:/runs/a tuned:/runs/b OUT
 folders ROOT TRUTH OUT         evaluations of all folders `generated` below ROOT
 system ROOT OUT                tick metrics by run with a GLOBAL row, and a JSON result of each run
 globals ROOT OUT               means over the runs' final numbers
@@ -13,7 +14,8 @@ merge REPORT NLL OUT           a report's CSV with likelihood means
 stats ROOT OUT                 statistics of per-piece metrics by run
 rename IN OLD NEW OUT          tracks of MIDI files under another name, as a table
 
-An OUT named <run>.json is a result that report, stats and batch read.
+An OUT named <run>.json is a result that report and stats read; batch and folders evaluate all runs in one plan and write
+their results to OUT/results/file=<run>.json, with the pieces as lines in OUT/details/file=<run>.json.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import header, strict_interval_gen
+from tessera.functions.scalars import header, run_name, strict_interval_gen
 from tessera.operators import likelihood, matching, reshape, roles, ticks, vectors
 from tessera.plans import evaluation
 from tessera.sources import files, midi, sinks
@@ -35,11 +37,11 @@ def parser() -> argparse.ArgumentParser:
     def add(name: str, *places: str) -> argparse.ArgumentParser:
         one = commands.add_parser(name)
         for p in places:
-            one.add_argument(p)
+            one.add_argument(p.rstrip("+"), nargs="+" if p.endswith("+") else None)
         return one
 
     o = evaluation.Options()
-    for one in (add("evaluate", "generated", "truth", "out"), add("folders", "root", "truth", "out"), add("batch", "config", "out")):
+    for one in (add("evaluate", "generated", "truth", "out"), add("folders", "root", "truth", "out"), add("batch", "config+", "out")):
         one.add_argument("--melody-name", action="append", default=[])
         one.add_argument("--melody-program", action="append", type=int, default=[])
         one.add_argument("--melody-index", action="append", type=int, default=[])
@@ -62,6 +64,8 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--estimator", choices=vectors.ESTIMATORS, default="mle")
         one.add_argument("--histograms", action="store_true")
         one.add_argument("--strict", action="store_true", help="fail on files that can't be read; else they are listed in OUT/errors")
+        if one.prog.endswith("folders"):
+            one.add_argument("--names", choices=("parameters", "folders"), default="parameters", help="what results are named after")
         if one.prog.endswith("batch"):
             one.add_argument("--generated", default="generated")
             one.add_argument("--truth", default="groundtruth")
@@ -79,41 +83,54 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def evaluate(spark: SparkSession, a: argparse.Namespace, generated: str, truth: str, out: str) -> None:
+def evaluated(spark: SparkSession, a: argparse.Namespace, runs: list[tuple[str, str, str]], out: str) -> tuple[DataFrame, DataFrame]:
+    """Details and summaries, both by run, of runs (name, folder of generated files, folder of the truth): one plan for all.
+
+    What is read several times is written once below out: errors, pieces and, with prompts, continuations.
+    """
     o = evaluation.Options(
         a.keep_melody, a.include_drums, tuple(a.consonant or evaluation.Options().consonant), a.onset_bins, a.duration_bins, a.duration_top, a.window, a.resolution, a.bars, a.random_pairs
     )
-    gen, real = (midi.files(spark, p) for p in (generated, truth))
-    bad = gen.unionByName(real).where("error is not null").select("path", "error")
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^[a-z0-9]+:/*", "/"), "/+$", "")
+    folder, names = plain(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)), ["run", "piece"]
+
+    def side(k: int) -> DataFrame:
+        """The files of one side of each run; a folder that several runs share is decoded once."""
+        places = spark.createDataFrame([(r[0], r[k]) for r in runs], "run string, _folder string").withColumn("_folder", plain(F.col("_folder")))
+        found = midi.files(spark, sorted({r[k] for r in runs})).withColumn("_folder", folder)
+        return found.join(F.broadcast(places), "_folder").drop("_folder")  # a row for each run that was asked for
+
+    gen, real = side(1), side(2)
+    bad = gen.unionByName(real).where("error is not null").select("run", "path", "error")
     if a.strict and (first := bad.first()):
         raise ValueError(f"{first.path}: {first.error}")
     bad.write.mode("overwrite").json(f"{out}/errors")
-    pairs = matching.file_pairs(gen, real)
-    own = gen.join(pairs.select(F.col("generated").alias("path"), "key"), "path")
+    pairs = matching.file_pairs(gen, real, keys=("run",))
+    own = gen.join(pairs.select("run", F.col("generated").alias("path"), "key"), ["run", "path"])
     # a generated file is a piece; of files with one name each is a piece of its own
     made = own.select(F.col("path").alias("piece"), F.lit(evaluation.SIDES[0]).alias("side"), *[c for c in own.columns if c != "key"])
-    other = real.join(pairs.select(F.col("ground_truth").alias("path"), F.col("generated").alias("piece")), "path")
+    other = real.join(pairs.select("run", F.col("ground_truth").alias("path"), F.col("generated").alias("piece")), ["run", "path"])
     files_ = made.unionByName(other.withColumn("side", F.lit(evaluation.SIDES[1])))
-    notes = files_.where("error is null").select("piece", "side", F.inline("notes"))
-    meta = files_.where("error is null and end_time > 0").select("piece", "side", "end_time", "tempo", "ts_numerator", "beats", "downbeats")
+    notes = files_.where("error is null").select(*names, "side", F.inline("notes"))
+    meta = files_.where("error is null and end_time > 0").select(*names, "side", "end_time", "tempo", "ts_numerator", "beats", "downbeats")
     melody = roles.is_melody(a.melody_name, a.melody_program, a.melody_index)
-    windows = evaluation.phrase_windows(evaluation.sides(notes, ["piece"], melody, o), meta, ["piece"], o) if a.auto_phrases else None
+    windows = evaluation.phrase_windows(evaluation.sides(notes, names, melody, o), meta, names, o) if a.auto_phrases else None
     segments = None
     if a.chords:
         marks = files.chords(spark, a.chords, pattern="chord_midi.txt").withColumn("key", F.regexp_extract("path", r"([^/]*)/[^/]*$", 1))
-        segments = marks.join(pairs.select("key", F.col("generated").alias("piece")), "key").select("piece", "seg_idx", "s0", "s1", "label")
-    latents = spark.read.parquet(a.latents) if a.latents else None
-    rows = evaluation.details(notes, ["piece"], melody, o, windows, segments, latents, a.histograms)
+        segments = marks.join(pairs.select("run", "key", F.col("generated").alias("piece")), "key").select(*names, "seg_idx", "s0", "s1", "label")
+    latents = spark.read.parquet(a.latents).join(pairs.select("run", F.col("generated").alias("piece")), "piece") if a.latents else None
+    rows = evaluation.details(notes, names, melody, o, windows, segments, latents, a.histograms)
     prompt = F.lit(None).cast("string")
     if a.prompts:
         found = matching.prompt_files(pairs.select(F.col("ground_truth").alias("path")), files.listing(spark, a.prompts, "*.mid"))
         ends = found.join(midi.files(spark, a.prompts, recursive=True).select(F.col("path").alias("prompt"), F.col("end_time").alias("prompt_end")), "prompt").select(F.col("path").alias("ground_truth"), "prompt", "prompt_end")
         pairs = pairs.join(ends, "ground_truth", "left")
         prompt = F.col("prompt")
-        timed = evaluation.sides(notes, ["piece"], melody, o).join(pairs.select(F.col("generated").alias("piece"), "prompt_end"), "piece", "left")
+        timed = evaluation.sides(notes, names, melody, o).join(pairs.select("run", F.col("generated").alias("piece"), "prompt_end"), names, "left")
         roles.continuation(timed, F.col("prompt_end")).drop("prompt_end").write.mode("overwrite").parquet(f"{out}/continuations")
-    named = pairs.select(F.col("generated").alias("piece"), F.struct(F.col("key").alias("piece"), F.col("generated").alias("generated_path"), F.col("ground_truth").alias("groundtruth_path"), prompt.alias("prompt_path")).alias("_n"))
-    rows = rows.join(named, "piece").select("_n.*", *[c for c in rows.columns if c != "piece"])
+    named = pairs.select("run", F.col("generated").alias("piece"), F.struct(F.col("key").alias("piece"), F.col("generated").alias("generated_path"), F.col("ground_truth").alias("groundtruth_path"), prompt.alias("prompt_path")).alias("_n"))
+    rows = rows.join(named, names).select("run", "_n.*", *[c for c in rows.columns if c not in names])
     rows.write.mode("overwrite").parquet(f"{out}/pieces")  # read by the summary and both forms of details
     rows = spark.read.parquet(f"{out}/pieces")
     validation = evaluation.validation_pairs(files.phrase_events(spark, a.phrases), o) if a.phrases else None
@@ -122,32 +139,54 @@ def evaluate(spark: SparkSession, a: argparse.Namespace, generated: str, truth:
         e = spark.read.parquet(a.embeddings)
         real_e, gen_e = (e.where(F.col("side") == s) for s in reversed(evaluation.SIDES))
         score = vectors.frechet(real_e, gen_e, "embedding", estimator=a.estimator)
-    summary = evaluation.run_summary(rows, ["piece"], windows, validation, score)
+    return rows, evaluation.run_summary(rows, names, windows, validation, score, ("run",))
+
+
+def evaluate(spark: SparkSession, a: argparse.Namespace, generated: str, truth: str, out: str) -> None:
+    rows, summary = (x.drop("run") for x in evaluated(spark, a, [("run", generated, truth)], out))
     sinks.json_payload(rows, summary, out)
     sinks.printed_summary(summary, rows.count()).coalesce(1).write.mode("overwrite").text(f"{out}/printed")
 
 
+def evaluate_all(spark: SparkSession, a: argparse.Namespace, runs: list[tuple[str, str, str]], out: str) -> DataFrame:
+    """Many runs as one: results and details by run, and (run, value) of their printed summaries, also written."""
+    names = [r[0] for r in runs]
+    if again := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"several runs have the name {', '.join(again)}")
+    rows, summary = evaluated(spark, a, runs, out)
+    sinks.json_by_run(rows, summary, "run", out)
+    counted = summary.join(rows.groupBy("run").agg(F.count(F.lit(1)).alias("_n")), "run")
+    sinks.printed_summary(counted, F.col("_n"), ("run",)).write.mode("overwrite").parquet(f"{out}/printed")
+    return spark.read.parquet(f"{out}/printed")
+
+
 def batch(spark: SparkSession, a: argparse.Namespace) -> None:
     """Every prompt folder of every run with both folders, and the printed summaries as a table of prompts and labels."""
-    runs = [(r.label, r.path) for r in files.run_config(spark, a.config).collect()]  # the lines of a configuration
-    done = []
-    for label, path in runs:
-        found = files.prompt_folders(files.listing(spark, path), (a.generated, a.truth)).orderBy("prompt").collect()
-        for r in found:
-            out = f"{a.out}/{label}_prompt{r.prompt}.json"
-            evaluate(spark, a, f"{r.folder}/{a.generated}", f"{r.folder}/{a.truth}", out)
-            done.append((str(r.prompt), label, out))
+    given = [tuple(x.split(":", 1)) for x in a.config if ":" in x and not x.startswith(("/", "."))] if len(a.config) > 1 or ":/" in a.config[0] else [(r.label, r.path) for r in files.run_config(spark, a.config[0]).collect()]
+    given = [(label.strip(), path.strip()) for label, path in given]  # the lines of a configuration
+    if not given:
+        raise ValueError("no runs are given")
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^[a-z0-9]+:/*", "/"), "/+$", "")
+    places = spark.createDataFrame(given, "label string, root string").withColumn("root", F.concat(plain(F.col("root")), F.lit("/")))  # as short as a configuration
+    found = files.prompt_folders(files.listing(spark, sorted({path for _, path in given})), (a.generated, a.truth))
+    found = found.join(F.broadcast(places), F.startswith(plain(F.col("folder")), F.col("root")))
+    done = [(r.label, r.prompt, r.folder) for r in found.select("label", "prompt", "folder").distinct().orderBy("label", "prompt", "folder").collect()]  # runs that were asked for
     if not done:
         raise ValueError("no prompt folders with both folders")
-    texts = [(prompt, label, "\n".join(x.value for x in spark.read.text(f"{out}/printed").collect())) for prompt, label, out in done]  # one small text a run
-    rows = spark.createDataFrame(texts, "prompt string, label string, text string")
-    sinks.csv(reshape.text_grid(rows, "prompt", "label", [label for label, _ in runs], "text").coalesce(1), f"{a.out}/table")
+    printed = evaluate_all(spark, a, [(f"{label}_prompt{prompt}", f"{folder}/{a.generated}", f"{folder}/{a.truth}") for label, prompt, folder in done], a.out)
+    keys = spark.createDataFrame([(f"{label}_prompt{prompt}", str(prompt), label) for label, prompt, _ in done], "run string, prompt string, label string")
+    rows = printed.join(F.broadcast(keys), "run").select("prompt", "label", F.col("value").alias("text"))
+    sinks.csv(reshape.text_grid(rows, "prompt", "label", [label for label, _ in given], "text").coalesce(1), f"{a.out}/table")
 
 
 def folders(spark: SparkSession, a: argparse.Namespace) -> None:
-    for r in files.generated_folders(files.listing(spark, a.root, "*.mid*")).orderBy("folder").collect():
-        name = "_".join(r.folder.split("/")[-4:-1]) or "run"
-        evaluate(spark, a, r.folder, a.truth, f"{a.out}/{name}.json")
+    """All folders `generated` below a root, under the names of their parameters or of their folders."""
+    found = files.generated_folders(files.listing(spark, a.root, "*.mid*"))
+    name = run_name(F.col("folder")) if a.names == "parameters" else F.regexp_extract("folder", r"((?:[^/]+/){0,2}[^/]+)/generated$", 1)
+    runs = [(r.name.replace("/", "_") or "run", r.folder, a.truth) for r in found.select("folder", name.alias("name")).orderBy("folder").collect()]  # a row a run
+    if not runs:
+        raise ValueError("no folders named generated")
+    evaluate_all(spark, a, runs, a.out)
 
 
 def likelihood_means(spark: SparkSession, root: str) -> DataFrame:
@@ -194,7 +233,7 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         sinks.csv(evaluation.with_likelihoods(rows, experiment_means(spark, a.nll), key).select(*[c for c in rows.columns if c not in ("ave_nll", "weighted_ave_nll")], "ave_nll", "weighted_ave_nll"), a.out)
     elif a.command == "stats":
         docs = files.results(spark, a.root)
-        long = reshape.melted(files.result_items(docs, ["name"], evaluation.ITEM_METRICS), ["name"], list(evaluation.ITEM_METRICS))
+        long = reshape.melted(files.details(spark, a.root, evaluation.ITEM_METRICS), ["name"], list(evaluation.ITEM_METRICS))
         found = reshape.statistics_grid(long, "name", "metric", list(evaluation.ITEM_METRICS), "value", tuple(a.stat) or ("mean", "stdev_samp"))
         sinks.csv(docs.select("name").distinct().join(found, "name", "left"), a.out)  # a run without items stays, as an empty row
     else:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import at_path
 from tessera.operators import chords, histogram, matching, overlap, pairs, phrases, reshape, roles, stats, vectors
+from tessera.operators.ordering import Ordered
 
 SIDES = ("generated", "ground_truth")
 FEATURES = ("pitch", "onset", "duration")
@@ -142,9 +143,7 @@ def differences_struct(rows: DataFrame, kinds: list[str] | None = None) -> Colum
 def validation_pairs(events: DataFrame, o: Options = Options()) -> DataFrame:
     """One row: random, same_song and adjacent pairs of phrases. events: song, record, t0, t1."""
     rows = phrases.windows(events, ["song"], ["song", "record"], o.window, o.resolution).select("song", "idx", *VALUES)
-    songs = rows.groupBy("song").agg(F.count(F.lit(1)).alias("_k"))  # a row a song is numbered on, not a row a phrase
-    before = songs.select("song", (F.sum("_k").over(Window.orderBy("song").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_k")).alias("_before"))
-    numbered = rows.join(before, "song").withColumn("_n", (F.col("_before") + F.col("idx")).cast("long"))
+    numbered = Ordered(rows, [F.col("song"), F.col("idx")]).numbered("_n")
     kinds = {"random": pairs.at_random(numbered, "_n", list(VALUES), o.random_pairs), "same_song": pairs.same_group(rows, ["song"], "idx", list(VALUES)), "adjacent": pairs.adjacent(rows, ["song"], "idx", list(VALUES))}
     long = None
     for kind, found in kinds.items():
@@ -153,8 +152,9 @@ def validation_pairs(events: DataFrame, o: Options = Options()) -> DataFrame:
     return long.agg(differences_struct(long, list(kinds)).alias("validation_pairs"))
 
 
-def run_summary(rows: DataFrame, piece: list[str], windows: DataFrame | None = None, validation: DataFrame | None = None, frechet: float | None = None) -> DataFrame:
-    """One row of a run's details: accompaniment_vs_groundtruth, inter_track_continuity, melody_relationship."""
+def run_summary(rows: DataFrame, piece: list[str], windows: DataFrame | None = None, validation: DataFrame | None = None, frechet: float | None = None, run: tuple[str, ...] = ()) -> DataFrame:
+    """One row of a run's details, or of each run's: accompaniment_vs_groundtruth, inter_track_continuity,
+    melody_relationship. Validation pairs and the Frechet distance are those of all runs."""
     five = lambda c: stats.summary_struct(F.col(c))
     none = F.lit(None).cast("double")
     against = [five(f"{f}_jsd").alias(f"{f}_jsd") for f in FEATURES]
@@ -166,14 +166,15 @@ def run_summary(rows: DataFrame, piece: list[str], windows: DataFrame | None = N
     against.append(F.lit(frechet).cast("double").alias("frechet_music_distance"))
     harmony = F.when(F.count("harmonicity") > 0, F.struct(*[five(f"harmonicity.{r}").alias(r) for r in RATIOS]))
     chord = five("chord_accuracy") if "chord_accuracy" in rows.columns else none
-    out = rows.agg(F.struct(*against).alias("accompaniment_vs_groundtruth"), F.struct(harmony.alias("harmonicity"), chord.alias("chord_accuracy")).alias("melody_relationship"))
+    out = rows.groupBy(*run).agg(F.struct(*against).alias("accompaniment_vs_groundtruth"), F.struct(harmony.alias("harmonicity"), chord.alias("chord_accuracy")).alias("melody_relationship"))
     if windows is not None:
         found = pairs.by_place(windows, piece, "idx", "side", SIDES, list(VALUES))
-        out = out.crossJoin(F.broadcast(found.agg(differences_struct(found).alias("auto_phrase_pairs"))))  # one row each
+        found = found.groupBy(*run).agg(differences_struct(found).alias("auto_phrase_pairs"))
+        out = out.join(found, list(run), "left") if run else out.crossJoin(F.broadcast(found))  # one row each
     else:
         out = out.withColumn("auto_phrase_pairs", none)
     out = out.crossJoin(F.broadcast(validation)) if validation is not None else out.withColumn("validation_pairs", none)
-    return out.select("accompaniment_vs_groundtruth", F.struct("validation_pairs", "auto_phrase_pairs").alias("inter_track_continuity"), "melody_relationship")
+    return out.select(*run, "accompaniment_vs_groundtruth", F.struct("validation_pairs", "auto_phrase_pairs").alias("inter_track_continuity"), "melody_relationship")
 
 
 def piece_phrase_means(windows: DataFrame, piece: list[str]) -> DataFrame:

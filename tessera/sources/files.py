@@ -13,7 +13,7 @@ TICKS = "array<struct<tick: int, is_hit: boolean, backup_level: double>>"
 TIMINGS = "array<struct<response: struct<timings: struct<round_trip_time: double, request_arrival_time: double, response_output_time: double>>>>"
 
 
-def listing(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
+def listing(spark: SparkSession, path: str | list[str], pattern: str = "*", recursive: bool = True) -> DataFrame:
     """path, length of files; contents aren't read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
     return found.select("path", "length")
@@ -108,6 +108,17 @@ def result_items(docs: DataFrame, keys: list[str], kinds: dict[str, tuple[str, .
     return rows.select(*keys, F.col("pos").alias("item"), *[first_key(F.col("value"), *paths).alias(name) for name, paths in kinds.items()])
 
 
+def details(spark: SparkSession, root: str, kinds: dict[str, tuple[str, ...]]) -> DataFrame:
+    """name and a number for each kind of every item of the results below root: of the lines that an evaluation wrote beside
+    a result, however many, else of the items in the result's text."""
+    lines = spark.read.option("pathGlobFilter", "part-*.json*").option("recursiveFileLookup", "true").text(root).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
+    name = F.regexp_extract("path", r"(?i)/([^/]*)\.json/details/[^/]*$", 1), F.regexp_extract("path", r"(?i)/details/file=([^/]*)\.json/[^/]*$", 1)
+    lines = lines.withColumn("name", F.coalesce(*[F.nullif(n, F.lit("")) for n in name])).where("name is not null and doc is not null")
+    own = lines.select("name", *[first_key(F.col("doc"), *paths).alias(k) for k, paths in kinds.items()])
+    rest = results(spark, root).join(lines.select("name").distinct(), "name", "left_anti")
+    return own.unionByName(result_items(rest, ["name"], kinds).drop("item"))
+
+
 def manifest(docs: DataFrame) -> DataFrame:
     """root_key, root, dir of manifests; roots that are no record or have an error are left out."""
     tvf = docs.sparkSession.tvf

@@ -143,8 +143,8 @@ def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("path"), *[pa.array([r.get(k) for r in rows], kind) for k, kind in kinds.items()]], ["path", *kinds])
 
 
-def files(spark: SparkSession, path: str, pattern: str = "*.mid*", recursive: bool = False) -> DataFrame:
-    """path, notes, end_time, tempo, ts_numerator, beats, downbeats, error of each file."""
+def files(spark: SparkSession, path: str | list[str], pattern: str = "*.mid*", recursive: bool = False) -> DataFrame:
+    """path, notes, end_time, tempo, ts_numerator, beats, downbeats, error of each file in a folder or in several."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
     return found.select("path", "content").mapInArrow(read, SCHEMA)
 

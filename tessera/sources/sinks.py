@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import file_name, fixed
 
 
-#: Pieces up to which a run's details also stand in one JSON text with its summary.
+#: Pieces up to which a run's details also stand in one JSON text with its summary, for other readers: files.details() reads
+#: the lines, which hold the pieces of runs of any size.
 MOST_PIECES = 10_000
 
 
 def json_payload(details: DataFrame, summary: DataFrame, path: str, most: int = MOST_PIECES) -> None:
     """A run's result below path: result, one JSON text {meta, summary, details}, and details, a JSON line a piece.
 
-    With more pieces than `most` the text goes without details, as a run of any size has them as lines."""
-    details.write.mode("overwrite").json(f"{path}/details")
+    With more pieces than `most` the text goes without details. Lines are compressed, so that who looks for JSON texts
+    doesn't take them for some."""
+    details.write.mode("overwrite").option("compression", "gzip").json(f"{path}/details")
     held = details.sparkSession.read.schema(details.schema).json(f"{path}/details")
     n = held.count()
     meta = F.struct(F.lit(n).alias("pairs")).alias("meta")
@@ -32,6 +34,16 @@ def json_by_name(rows: DataFrame, name: str, path: str) -> None:
     rows.select(F.concat(file_name(F.col(name)), F.lit(".json")).alias("file"), body).write.mode("overwrite").partitionBy("file").text(path)
 
 
+def json_by_run(details: DataFrame, summary: DataFrame, run: str, path: str) -> None:
+    """The results of many runs below path: results, a folder <run>.json of one text {meta, summary} each, and details, a
+    folder <run>.json of lines each. Each of both is one write, however many runs there are."""
+    file = F.concat(F.col(run), F.lit(".json")).alias("file")
+    details.select(file, *[c for c in details.columns if c != run]).write.mode("overwrite").option("compression", "gzip").partitionBy("file").json(f"{path}/details")
+    pairs = details.groupBy(run).agg(F.struct(F.count(F.lit(1)).alias("pairs")).alias("meta"))
+    body = F.to_json(F.struct("meta", F.struct(*[c for c in summary.columns if c != run]).alias("summary"))).alias("value")
+    summary.join(pairs, run).select(file, body).write.mode("overwrite").partitionBy("file").text(f"{path}/results")
+
+
 def json_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
@@ -79,13 +91,13 @@ PRINTED = {
 }
 
 
-def printed_summary(summary: DataFrame, pairs: int) -> DataFrame:
-    """value: a run's summary as printed, one text."""
+def printed_summary(summary: DataFrame, pairs: int | Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, value: a run's summary as printed, one text."""
     kinds = {f.name: f.dataType for f in summary.schema.fields}
-    texts = [F.lit(f"Pairs evaluated: {pairs}")]
+    texts = [F.concat(F.lit("Pairs evaluated: "), (pairs if isinstance(pairs, Column) else F.lit(pairs)).cast("string"))]
     for k, (group, (heading, labels)) in enumerate(PRINTED.items()):
         texts += [F.lit("")] * (k > 0) + [F.lit(heading)] + [labelled_block(label, F.col(f"{group}.{part}"), kinds[group][part].dataType) for part, label in labels.items()]
-    return summary.select(F.concat_ws("\n", *texts).alias("value"))
+    return summary.select(*keys, F.concat_ws("\n", *texts).alias("value"))
 
 
 def summary_text(rows: DataFrame, title: str) -> DataFrame:

@@ -1,10 +1,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans import evaluation
 from tessera.plans.cli import main
-from tessera.sources import midi
+from tessera.sources import files, midi, sinks
 
 from .test_sources import write
 
@@ -83,6 +84,58 @@ def test_batches(spark, run):
     assert {json.loads(x)["name"] for x in lines(spark, run / "named")} == {"Piano", "Lead", "p"}
 
 
+def test_many_runs_in_one_plan(spark, tmp_path):
+    """A batch of eight runs: as many jobs as of two, and the results of evaluations one by one."""
+
+    def jobs(command):
+        spark.sparkContext.setJobGroup(str(command), "")
+        main(command, spark)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(command)))
+
+    for label in "pqrs":
+        for prompt in (2, 4):
+            for side, shift in (("generated", 0), ("groundtruth", 3)):
+                folder = tmp_path / label / f"prompt{prompt}" / side
+                folder.mkdir(parents=True)
+                for k in range(2):
+                    notes = [(40 + shift + prompt + 5 * k + ord(label) % 7, 90, t, t + 0.5 + shift / 8) for t in range(8 + k)]
+                    (folder / f"{k}.mid").write_bytes(midi.written([{"name": "Piano", "notes": notes}, {"name": "Melody", "channel": 1, "notes": [(67, 80, 0.0, 5.0)]}]))
+    (tmp_path / "one.conf").write_text(f"p:{tmp_path / 'p'}\n")
+    options = ["--melody-name", "melody"]
+    few = jobs(["batch", str(tmp_path / "one.conf"), str(tmp_path / "few"), *options])
+    many = jobs(["batch", *[f"{x}:{tmp_path / x}" for x in "pqrs"], str(tmp_path / "many"), *options])
+    assert abs(few - many) <= few / 10  # the same but for what the adaptive plan splits
+    got = {p.name[5:-5]: json.loads(lines(spark, p)[0]) for p in (tmp_path / "many" / "results").glob("file=*")}
+    assert sorted(got) == [f"{x}_prompt{n}" for x in "pqrs" for n in (2, 4)]
+    for name in ("p_prompt2", "s_prompt4"):
+        label, prompt = name.split("_")
+        main(["evaluate", *[str(tmp_path / label / prompt / side) for side in ("generated", "groundtruth")], str(tmp_path / "alone" / f"{name}.json"), *options], spark)
+        alone = json.loads(lines(spark, tmp_path / "alone" / f"{name}.json" / "result")[0])
+        assert got[name]["summary"] == alone["summary"] and got[name]["meta"] == alone["meta"]
+        details = [json.loads(x) for x in lines(spark, tmp_path / "many" / "details" / f"file={name}.json")]
+        key = lambda d: d["generated_path"]
+        assert sorted(details, key=key) == sorted(alone["details"], key=key)
+    main(["stats", str(tmp_path / "many"), str(tmp_path / "s1"), "--stat", "mean"], spark)
+    main(["stats", str(tmp_path / "alone"), str(tmp_path / "s2"), "--stat", "mean"], spark)
+    of = lambda p: {r["name"]: tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / p)).collect()}
+    assert len(of("s1")) == 8 and of("s2").items() <= of("s1").items()
+    with pytest.raises(ValueError, match="several runs"):
+        main(["folders", str(tmp_path), str(tmp_path / "p"), str(tmp_path / "f"), *options], spark)
+    main(["folders", str(tmp_path / "p"), str(tmp_path / "p" / "prompt2" / "groundtruth"), str(tmp_path / "f"), *options, "--names", "folders"], spark)
+    assert len(list((tmp_path / "f" / "results").glob("file=*p_prompt?.json"))) == 2
+
+
+def test_results_of_any_size(spark, tmp_path):
+    """What stats reads of a run doesn't change with its number of pieces, nor with the bound of the text's details."""
+    rows = spark.range(50_000).selectExpr("id as piece", "id % 64 / 64.0D as pitch_jsd")
+    for k, (df, most) in enumerate(((rows, sinks.MOST_PIECES), (rows.limit(5), 10), (rows.limit(5), 2))):
+        sinks.json_payload(df, df.agg(F.struct(F.avg("pitch_jsd").alias("mean")).alias("pitch_jsd")), str(tmp_path / "r" / f"run{k}.json"), most)
+    found = files.details(spark, str(tmp_path / "r"), {"pitch_jsd": ("pitch_jsd",)})
+    assert {r.name: (r.n, r.x) for r in found.groupBy("name").agg(F.count("pitch_jsd").alias("n"), F.sum("pitch_jsd").alias("x")).collect()} == {"run0": (50_000, rows.agg(F.sum("pitch_jsd")).first()[0]), "run1": (5, 10 / 64), "run2": (5, 10 / 64)}
+    main(["stats", str(tmp_path / "r"), str(tmp_path / "o"), "--stat", "mean"], spark)
+    assert all(r["pitch_jsd-mean"] for r in spark.read.option("header", True).csv(str(tmp_path / "o")).collect())
+
+
 def test_logs_and_reports(spark, tmp_path):
     run = tmp_path / "x" / "interval_1_gen_frame_5" / "p" / "batch_run" / "s"
     write(run / "tick_history.json", [{"tick": 0, "is_hit": True, "backup_level": 16}])

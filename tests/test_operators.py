@@ -248,6 +248,38 @@ def test_prompts_and_files(spark):
     assert {tuple(r) for r in matching.resolved(keys, paths).collect()} == {("k1", "a/k1/b"), ("offline_1", "q/generated_without_prompt/z")}
 
 
+def test_order_of_a_whole_table(spark):
+    """Numbers and next rows against sorted lists: many and few partitions, nulls, ties told apart, none and one row."""
+    from tessera.operators.ordering import Ordered
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["b10", "b9", "a", None, "Zz", "z"]), k, rng.random()) for k in range(500)]
+    for n, parts in ((500, 1), (500, 13), (3, 13), (1, 2), (0, 2)):
+        df = spark.createDataFrame(rows[:n], "s string, k long, v double").repartition(parts)
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts + 2))
+        try:
+            got = Ordered(df, [F.col("s"), F.col("k")])
+            want = sorted(rows[:n], key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+            assert sorted((r.n, r.s, r.k, r.v) for r in got.numbered("n").collect()) == [(k, *r) for k, r in enumerate(want)]
+            after = [*[r[2] for r in want[1:]], None][:n]
+            assert [r.after for r in sorted(got.with_next(F.col("v"), "after").collect(), key=lambda r: r.place)] == after
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    plan = Ordered(spark.range(100), [F.col("id")]).with_next(F.col("id"), "x")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_pairs_of_a_hot_group(spark):
+    """One group of many blocks among small ones: each pair once, and no task gets more than two blocks of it."""
+    rows = [("hot", k, float(k % 7)) for k in range(300)] + [(f"s{k % 20}", k, k / 2) for k in range(60)] + [(None, 1, 0.0)]
+    df = spark.createDataFrame(rows, "g string, idx long, v double")
+    got = pairs.same_group(df, ["g"], "idx", ["v"], block=16)
+    want = sorted((x[0], x[1], y[1], abs(x[2] - y[2])) for x in rows for y in rows if x[0] is not None and x[0] == y[0] and x[1] < y[1])
+    assert sorted(tuple(r) for r in got.collect()) == want
+    wide = df.where("g = 'hot'").join(df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / 16).alias("k")), "g").withColumn("own", F.pmod(F.xxhash64("idx"), F.col("k")))
+    assert wide.groupBy("own").count().agg(F.max("count")).first()[0] <= 40
+
+
 def test_random_pairs(spark):
     df = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 1.0).alias("v"))
     every = pairs.at_random(df, "k", ["v"], 780).collect()
