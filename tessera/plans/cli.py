@@ -12,7 +12,8 @@ grid ROOT OUT                  likelihood by interval and gen_frame
 report RESULTS SYSTEMS OUT     one row a run: summary metrics, system numbers, likelihoods
 merge REPORT NLL OUT           a report's CSV with likelihood means
 stats ROOT OUT                 statistics of per-piece metrics by run
-rename IN OLD NEW OUT          tracks of MIDI files under another name, as a table
+rename IN OLD NEW OUT          tracks of MIDI files under another name: a table of notes, or with --midi files in OUT (IN
+                               stays as it is), or with --dry-run a list of what would change
 
 An OUT named <run>.json is a result that report and stats read; batch and folders evaluate all runs in one plan and write
 their results to OUT/results/file=<run>.json, with the pieces as lines in OUT/details/file=<run>.json.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import header, run_name, strict_interval_gen
 from tessera.operators import likelihood, matching, reshape, roles, ticks, vectors
 from tessera.plans import evaluation
-from tessera.sources import files, midi, sinks
+from tessera.sources import files, midi, midi_sink, sinks
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser("tessera", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
@@ -63,6 +64,7 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--embeddings", help="Parquet table side, embedding for the Frechet distance")
         one.add_argument("--estimator", choices=vectors.ESTIMATORS, default="mle")
         one.add_argument("--histograms", action="store_true")
+        one.add_argument("--midi", action="store_true", help="write the notes compared as MIDI files, OUT/midi/<run>/<side>/<stem>.mid")
         one.add_argument("--strict", action="store_true", help="fail on files that can't be read; else they are listed in OUT/errors")
         if one.prog.endswith("folders"):
             one.add_argument("--names", choices=("parameters", "folders"), default="parameters", help="what results are named after")
@@ -79,7 +81,10 @@ def parser() -> argparse.ArgumentParser:
     add("grid", "root", "out")
     add("report", "results", "systems", "out").add_argument("--nll")
     add("stats", "root", "out").add_argument("--stat", action="append", default=[])
-    add("rename", "path", "old", "new", "out").add_argument("--contains", action="store_true")
+    one = add("rename", "path", "old", "new", "out")
+    one.add_argument("--contains", action="store_true")
+    one.add_argument("--midi", action="store_true", help="write the changed files")
+    one.add_argument("--dry-run", action="store_true", help="list the files that would change, with their tracks' names")
     return out
 
 
@@ -120,6 +125,11 @@ def evaluated(spark: SparkSession, a: argparse.Namespace, runs: list[tuple[str,
         marks = files.chords(spark, a.chords, pattern="chord_midi.txt").withColumn("key", F.regexp_extract("path", r"([^/]*)/[^/]*$", 1))
         segments = marks.join(pairs.select("run", "key", F.col("generated").alias("piece")), "key").select(*names, "seg_idx", "s0", "s1", "label")
     latents = spark.read.parquet(a.latents).join(pairs.select("run", F.col("generated").alias("piece")), "piece") if a.latents else None
+    if a.midi:
+        kept = evaluation.sides(notes, names, melody, o)
+        note = [c for c in kept.columns if c not in (*names, "side")]
+        lists = kept.join(pairs.select("run", "key", F.col("generated").alias("piece")), names).groupBy(*names, "key", "side").agg(F.collect_list(F.struct(*note)).alias("notes"))  # of one file
+        midi_sink.write_files(midi_sink.encoded(lists.select(F.concat_ws("/", "run", "side", F.concat("key", F.lit(".mid"))).alias("name"), "notes")), f"{out}/midi")
     rows = evaluation.details(notes, names, melody, o, windows, segments, latents, a.histograms)
     prompt = F.lit(None).cast("string")
     if a.prompts:
@@ -237,6 +247,13 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         found = reshape.statistics_grid(long, "name", "metric", list(evaluation.ITEM_METRICS), "value", tuple(a.stat) or ("mean", "stdev_samp"))
         sinks.csv(docs.select("name").distinct().join(found, "name", "left"), a.out)  # a run without items stays, as an empty row
     else:
-        tracks = midi.notes(midi.files(spark, a.path, recursive=True))
-        sinks.json_rows(roles.renamed(tracks, a.old, a.new, a.contains), a.out)
+        if a.midi or a.dry_run:
+            found = midi_sink.renamed(midi.contents(spark, a.path, recursive=True), a.old, a.new, a.contains)
+            if a.dry_run:
+                sinks.json_rows(found.select("path", "changed", F.lit(a.new).alias("new")), a.out)
+            else:
+                midi_sink.write_files(found, a.out)
+        else:
+            tracks = midi.notes(midi.files(spark, a.path, recursive=True))
+            sinks.json_rows(roles.renamed(tracks, a.old, a.new, a.contains), a.out)
     return 0

@@ -1,4 +1,4 @@
-"""Standard MIDI files as notes and metadata; a decoder after the public file specification, and a writer for tests.
+"""Standard MIDI files as notes and metadata: a decoder and an encoder after the public file specification.
 
 Files come by the binaryFile source, one row a file, and are decoded in Python workers: the only code of this package's
 evaluation side that isn't DataFrame expressions. A file that can't be read gives a row with its error.
@@ -62,7 +62,8 @@ def events(track: bytes) -> Iterator[tuple[int, int, bytes]]:
             yield tick, status, data + src.take(need - len(data))
 
 
-def decoded(data: bytes) -> dict:
+def decoded(data: bytes, with_notes: bool = True) -> dict:
+    """A file's notes and metadata, or its metadata alone."""
     src = Bytes(data)
     if src.take(4) != b"MThd":
         raise ValueError("not a MIDI file")
@@ -124,29 +125,50 @@ def decoded(data: bytes) -> dict:
         beat += 1
         tick += division * 4 / max(unit, 1)
     return {
-        "notes": [dict(zip(("track_idx", "name", "program", "is_drum", "pitch", "velocity", "t0", "t1"), n)) for n in sorted(notes, key=lambda n: (n[0], n[6], n[4]))],
+        "notes": [dict(zip(("track_idx", "name", "program", "is_drum", "pitch", "velocity", "t0", "t1"), n)) for n in sorted(notes, key=lambda n: (n[0], n[6], n[4]))] if with_notes else None,
         "end_time": max([n[7] for n in notes], default=0.0), "tempo": 60e6 / (tempos[0][1] if tempos else 500_000),
         "ts_numerator": signatures[0][1][0] if signatures else 4, "beats": grid, "downbeats": downs, "error": None,
     }
 
 
-def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    note = pa.struct([("track_idx", pa.int32()), ("name", pa.string()), ("program", pa.int32()), ("is_drum", pa.bool_()), ("pitch", pa.int32()), ("velocity", pa.int32()), ("t0", pa.float64()), ("t1", pa.float64())])
-    kinds = {"notes": pa.list_(note), "end_time": pa.float64(), "tempo": pa.float64(), "ts_numerator": pa.int32(), "beats": pa.list_(pa.float64()), "downbeats": pa.list_(pa.float64()), "error": pa.string()}
-    for batch in batches:
-        rows = []
-        for data in batch.column("content").to_pylist():
-            try:
-                rows.append(decoded(data or b""))
-            except (ValueError, IndexError, struct.error) as e:
-                rows.append({"error": str(e) or type(e).__name__})
-        yield pa.RecordBatch.from_arrays([batch.column("path"), *[pa.array([r.get(k) for r in rows], kind) for k, kind in kinds.items()]], ["path", *kinds])
+ERRORS = ("rows", "drop", "fail")
 
 
-def files(spark: SparkSession, path: str | list[str], pattern: str = "*.mid*", recursive: bool = False) -> DataFrame:
-    """path, notes, end_time, tempo, ts_numerator, beats, downbeats, error of each file in a folder or in several."""
+def reader(with_notes: bool, errors: str):
+    """Decodes batches of (path, content); what can't be read gives a row with its error, none, or an exception."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        note = pa.struct([("track_idx", pa.int32()), ("name", pa.string()), ("program", pa.int32()), ("is_drum", pa.bool_()), ("pitch", pa.int32()), ("velocity", pa.int32()), ("t0", pa.float64()), ("t1", pa.float64())])
+        kinds = {"notes": pa.list_(note), "end_time": pa.float64(), "tempo": pa.float64(), "ts_numerator": pa.int32(), "beats": pa.list_(pa.float64()), "downbeats": pa.list_(pa.float64()), "error": pa.string()}
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    rows.append({"path": path} | decoded(data or b"", with_notes))
+                except (ValueError, IndexError, struct.error) as e:
+                    if errors == "fail":
+                        raise ValueError(f"{path}: {e}") from e
+                    if errors == "rows":
+                        rows.append({"path": path, "error": str(e) or type(e).__name__})
+            yield pa.RecordBatch.from_arrays([pa.array([r["path"] for r in rows], pa.string()), *[pa.array([r.get(k) for r in rows], kind) for k, kind in kinds.items()]], ["path", *kinds])
+
+    return read
+
+
+def contents(spark: SparkSession, path: str | list[str], pattern: str = "*.mid*", recursive: bool = False) -> DataFrame:
+    """path, content of each file; small files share a partition, as Spark's readers pack them."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return found.select("path", "content").mapInArrow(read, SCHEMA)
+    return found.select("path", "content")
+
+
+def files(spark: SparkSession, path: str | list[str], pattern: str = "*.mid*", recursive: bool = False, with_notes: bool = True, errors: str = "rows") -> DataFrame:
+    """path, notes, end_time, tempo, ts_numerator, beats, downbeats, error of each file in a folder or in several.
+
+    Without notes these are null, and no note leaves its worker. errors: one of ERRORS.
+    """
+    if errors not in ERRORS:
+        raise ValueError(f"{errors}: not one of {', '.join(ERRORS)}")
+    return contents(spark, path, pattern, recursive).mapInArrow(reader(with_notes, errors), SCHEMA)
 
 
 def notes(decoded_files: DataFrame, **constants) -> DataFrame:
@@ -155,19 +177,21 @@ def notes(decoded_files: DataFrame, **constants) -> DataFrame:
     return rows.withColumns({k: F.lit(v) for k, v in constants.items()}) if constants else rows
 
 
+def variable(n: int) -> bytes:
+    """A number of variable length."""
+    out = [n & 0x7F]
+    while n := n >> 7:
+        out.append(n & 0x7F | 0x80)
+    return bytes(reversed(out))
+
+
 def written(tracks: list[dict], division: int = 480, tempo: float = 120.0, numerator: int = 4) -> bytes:
     """A file of tracks {name, program, channel, notes: [(pitch, velocity, t0, t1)]}."""
 
-    def number(n: int) -> bytes:
-        out = [n & 0x7F]
-        while n := n >> 7:
-            out.append(n & 0x7F | 0x80)
-        return bytes(reversed(out))
-
     def chunk(timed: list[tuple[int, bytes]]) -> bytes:
         body, now = b"", 0
         for tick, data in sorted(timed, key=lambda x: x[0]):
-            body += number(tick - now) + data
+            body += variable(tick - now) + data
             now = tick
         body += b"\x00\xff\x2f\x00"
         return b"MTrk" + struct.pack(">I", len(body)) + body
@@ -176,8 +200,8 @@ def written(tracks: list[dict], division: int = 480, tempo: float = 120.0, numer
     head = [(0, b"\xff\x51\x03" + round(60e6 / tempo).to_bytes(3, "big")), (0, bytes([0xFF, 0x58, 4, numerator, 2, 24, 8]))]
     out = [chunk(head)]
     for t in tracks:
-        name, channel = t.get("name", "").encode("latin-1"), t.get("channel", 0)
-        timed = [(0, b"\xff\x03" + number(len(name)) + name), (0, bytes([0xC0 | channel, t.get("program", 0)]))]
+        name, channel = t.get("name", "").encode("latin-1", "replace"), t.get("channel", 0)
+        timed = [(0, b"\xff\x03" + variable(len(name)) + name), (0, bytes([0xC0 | channel, t.get("program", 0)]))]
         for pitch, velocity, t0, t1 in t["notes"]:
             timed += [(tick(t0), bytes([0x90 | channel, pitch, velocity])), (tick(t1), bytes([0x80 | channel, pitch, 0]))]
         out.append(chunk(timed))
