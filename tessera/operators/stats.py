@@ -141,3 +141,42 @@ def summary_struct(value: Column) -> Column:
     x = clean(value)
     q = F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
     return F.when(F.count(x) > 0, F.struct(F.avg(x).alias("mean"), F.min(x).alias("min"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(x).alias("max"), F.count(x).alias("count")))
+
+
+#: Whiskers reach to the last value within so many box widths of the box, as plots draw them.
+REACH = 1.5
+#: Places where a density is given, and standard deviations from a bin beyond which it counts nothing.
+PLACES, FAR = 128, 6.0
+
+
+def boxes(rows: DataFrame, keys: list[str], value: str, reach: float = REACH) -> tuple[DataFrame, DataFrame]:
+    """What box plots draw: keys, mean, q1, median, q3, whisker_low, whisker_high, outliers (how many) and count of each
+    group with a number, and keys, value of the outliers, which lie beyond the whiskers."""
+    five = five_number(rows, keys, value).where("count > 0").select(*keys, "mean", "q1", "median", "q3", "count")
+    held = rows.select(*keys, clean(F.col(value)).alias("value")).where("value is not null")
+    pair = held.join(five.withColumnsRenamed({k: f"_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]) if keys else held.crossJoin(F.broadcast(five))  # one row without keys
+    inside = F.col("value").between(F.col("q1") - reach * (F.col("q3") - F.col("q1")), F.col("q3") + reach * (F.col("q3") - F.col("q1")))
+    numbers = ["mean", "q1", "median", "q3", "count"]
+    ends = pair.groupBy(*keys, *numbers).agg(
+        F.min(F.when(inside, F.col("value"))).alias("_low"), F.max(F.when(inside, F.col("value"))).alias("_high"), F.count(F.when(~inside, 1)).alias("outliers")
+    )
+    # a whisker never ends inside the box
+    out = ends.select(*keys, "mean", "q1", "median", "q3", F.least("q1", "_low").alias("whisker_low"), F.greatest("q3", "_high").alias("whisker_high"), "outliers", "count")
+    return out, pair.where(~inside).select(*keys, "value")
+
+
+def density(rows: DataFrame, keys: list[str], value: str, places: int = PLACES) -> DataFrame:
+    """What violin plots draw: keys, x, density at so many places from a group's least value to its greatest, by Gaussian
+    kernels of width std * n^(-1/5). Values are counted in as many bins as there are places first, so a group of any size is
+    some hundred counts; groups without two different values have none."""
+    x = clean(F.col(value))
+    known = rows.groupBy(*keys).agg(F.min(x).alias("_low"), F.max(x).alias("_high"), (F.stddev_samp(x) * F.pow(F.count(x), F.lit(-0.2))).alias("_h"), F.count(x).alias("_n")).where("_high > _low")
+    held = rows.select(*keys, x.alias("_x")).where("_x is not null")
+    both = held.join(known.withColumnsRenamed({k: f"_k_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]) if keys else held.crossJoin(F.broadcast(known))  # one row without keys
+    step = (F.col("_high") - F.col("_low")) / (places - 1)
+    bins = both.groupBy(*keys, "_low", "_high", "_h", "_n", F.round((F.col("_x") - F.col("_low")) / step).cast("int").alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
+    grouped = bins.groupBy(*keys, "_low", "_high", "_h", "_n").agg(F.sort_array(F.collect_list(F.struct("_bin", "_c"))).alias("_bins"))  # as many as places
+    kernel = lambda k, b: F.exp(-F.pow((k - b["_bin"]) * step / F.col("_h"), F.lit(2)) / 2)
+    at = lambda k: F.aggregate("_bins", F.lit(0.0), lambda a, b: a + F.when(F.abs((k - b["_bin"]) * step) <= FAR * F.col("_h"), b["_c"] * kernel(k, b)).otherwise(0.0))
+    one = F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda k: F.struct((F.col("_low") + k * step).alias("x"), (at(k) / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density")))
+    return grouped.select(*keys, F.inline(one))

@@ -397,6 +397,38 @@ def nll_grid(spark, d):
     return reshape.grid(V.likelihoods(spark, d), "interval", "gen_frame", "avg_nll", "source", [0, 1, 2, 3])
 
 
+BOXES = """v AS (SELECT event_type, ln(1 + value) AS x FROM events WHERE value IS NOT NULL),
+q AS (SELECT event_type, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3, count(*) AS count FROM v GROUP BY 1),
+b AS (SELECT *, x BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1) AS inside FROM v JOIN q USING (event_type))"""
+
+
+def log_values(spark, d):
+    return V.table(spark, d, "events").select("event_type", F.log1p("value").alias("x"))
+
+
+@query(
+    "SELECT event_type, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(least(q1, min(x) FILTER (inside)), 6) AS whisker_low, round(greatest(q3, max(x) FILTER (inside)), 6) AS whisker_high, "
+    "count(*) FILTER (NOT inside) AS outliers, count FROM b GROUP BY event_type, q1, median, q3, count", BOXES,
+)
+def box_statistics(spark, d):
+    return rounded(stats.boxes(log_values(spark, d), ["event_type"], "x")[0].drop("mean"))
+
+
+@query("SELECT event_type, round(x, 6) AS value FROM b WHERE NOT inside", BOXES)
+def box_outliers(spark, d):
+    return rounded(stats.boxes(log_values(spark, d), ["event_type"], "x")[1])
+
+
+@query(
+    "SELECT event_type, round(low + k * step, 6) AS x, round(sum(CASE WHEN abs((k - bin) * step) <= 6 * h THEN c * exp(-(((k - bin) * step / h) ** 2) / 2) ELSE 0 END) / (n * h * sqrt(2 * pi())), 6) AS density "
+    "FROM w, range(128) AS r(k) GROUP BY event_type, low, step, h, n, k",
+    "g AS (SELECT event_type, min(value) AS low, (max(value) - min(value)) / 127 AS step, stddev_samp(value) * count(value)::DOUBLE ** -0.2 AS h, count(value) AS n FROM events GROUP BY 1)",
+    "w AS (SELECT event_type, low, step, h, n, round((value - low) / step)::INT AS bin, count(*) AS c FROM events JOIN g USING (event_type) WHERE value IS NOT NULL AND step > 0 GROUP BY ALL)",
+)
+def value_density(spark, d):
+    return rounded(stats.density(V.table(spark, d, "events"), ["event_type"], "value"))
+
+
 @query(f"SELECT {FIVE} FROM (SELECT l_extendedprice AS x FROM lineitem)")
 def price_quantiles(spark, d):
     """Five numbers of all prices, without a key: by selection."""

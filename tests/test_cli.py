@@ -74,7 +74,8 @@ def test_evaluate_then_report(spark, run):
 
 def test_batches(spark, run):
     (run / "runs.conf").write_text(f"# runs\nfirst:{run / 'x'}\n")
-    main(["batch", str(run / "runs.conf"), str(run / "b"), "--melody-name", "melody"], spark)
+    main(["batch", str(run / "runs.conf"), str(run / "b"), "--melody-name", "melody", "--midi"], spark)
+    assert sorted(str(p.relative_to(run / "b" / "midi")) for p in (run / "b" / "midi").rglob("*.mid")) == [f"first_prompt2/{side}/{n}.mid" for side in ("generated", "ground_truth") for n in "ab"]
     table = spark.read.option("header", True).option("multiLine", True).csv(str(run / "b" / "table")).first()
     assert table["prompt"] == "2" and table["first"].startswith("Pairs evaluated: 2")
     main(["folders", str(run / "x"), str(run / "x" / "prompt2" / "groundtruth"), str(run / "f"), "--melody-name", "melody"], spark)

@@ -70,6 +70,32 @@ def test_quantiles_of_a_whole_column(spark):
     assert whole.p50 == 7.0 and whole["count"] == 3000
 
 
+def test_boxes_and_densities(spark):
+    rng = random.Random(10)
+    groups = {"a": [rng.gauss(0, 1) for _ in range(400)] + [9.0, -8.0, 9.0], "b": [1.0, 1.0, 1.0, 5.0], "c": [2.0], "d": [], None: [1.0, 2.0, 3.0, 100.0]}
+    df = spark.createDataFrame([(g, x) for g, own in groups.items() for x in own] + [("d", None), ("a", math.nan)], "g string, x double")
+    for keys, wanted in ((["g"], {g: x for g, x in groups.items() if x}), ([], {(): [x for own in groups.values() for x in own]})):
+        out, far = stats.boxes(df, keys, "x")
+        got = {(r.g if keys else ()): r for r in out.collect()}
+        assert got.keys() == wanted.keys()
+        lost = sorted(r.value for r in far.collect())
+        for g, x in wanted.items():
+            q1, q2, q3 = np.quantile(x, (0.25, 0.5, 0.75))
+            inside = [v for v in x if q1 - 1.5 * (q3 - q1) <= v <= q3 + 1.5 * (q3 - q1)]
+            r = got[g]
+            assert (r.q1, r.median, r.q3) == pytest.approx((q1, q2, q3)) and (r.whisker_low, r.whisker_high) == pytest.approx((min(q1, min(inside)), max(q3, max(inside))))
+            assert (r.outliers, r["count"]) == (len(x) - len(inside), len(x))
+        assert len(lost) == sum(r.outliers for r in got.values())
+    rows = {}
+    for r in stats.density(df, ["g"], "x", places=200).collect():
+        rows.setdefault(r.g, []).append((r.x, r.density))
+    assert rows.keys() == {"a", "b", None}
+    x, at = np.array(groups["a"]), sorted(rows["a"])
+    h = x.std(ddof=1) * len(x) ** -0.2
+    want = [np.exp(-(((p - x) / h) ** 2) / 2).sum() / (len(x) * h * np.sqrt(2 * np.pi)) for p, _ in at]
+    assert np.allclose([d for _, d in at], want, atol=0.01 * max(want))
+
+
 def test_consonance(spark):
     rng = random.Random(1)
     m, a = ([(p, rng.randrange(30, 90), t, t + rng.choice([0, 1, 2, 5]) * 0.25) for p in range(4) for t in [rng.randrange(64) * 0.25 for _ in range(20)]] for _ in range(2))
