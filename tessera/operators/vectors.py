@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,14 @@ from tessera.operators.overlap import overlapping
 
 STEPS = 32
 STEPS_A_BEAT = 4
-#: Gaussian estimators of a set's covariance: plain, with a fixed share of its mean variance, and two that choose the share.
-ESTIMATORS = ("mle", "shrinkage", "ledoit_wolf", "oas")
+#: Gaussian estimators of a set's covariance: plain, with a fixed share of its mean variance, two that choose the share, and
+#: the mean over resampled sets.
+ESTIMATORS = ("mle", "shrinkage", "ledoit_wolf", "oas", "bootstrap")
 SHRINKAGE = 0.1
+#: Resampled sets, of which a task holds the sums of so many bytes at a time; and the draws' seed.
+REPLICAS, REPLICA_BYTES, SEED = 100, 64 << 20, 11
+#: A row is in a resampled set 0, 1, 2 ... times with these cumulated chances: of the Poisson distribution with mean 1.
+TIMES = np.cumsum([1 / (math.e * math.factorial(k)) for k in range(18)])
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -53,6 +59,66 @@ def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(np.full(len(i), n)), pa.array(total[i]), pa.array(total[j]), pa.array(products[i, j])], ["i", "j", "n", "si", "sj", "sij"])
 
 
+def drawn(hashes: np.ndarray, replica: int, seed: int) -> np.ndarray:
+    """How often each row is in a resampled set: by its hash, so that any partitioning draws the same."""
+    mixed = lambda x, k: (x ^ (x >> np.uint64(k))) * np.uint64(0xD6E8FEB86659FD93)
+    at = mixed(mixed(hashes.view(np.uint64) ^ mixed(np.full(len(hashes), (seed << 32) + replica + 1, np.uint64), 29), 32), 29)
+    return np.searchsorted(TIMES, (at >> np.uint64(11)) / 2.0**53, side="right").astype(float)
+
+
+def resampled_moments(rows: DataFrame, vector: str, replicas: int = REPLICAS, seed: int = SEED, key: str | None = None) -> DataFrame:
+    """replica, i, j, n, si, sj, sij of resampled sets of the vectors, all in one pass over the rows.
+
+    A task holds the sums of all sets, REPLICA_BYTES at most: fewer sets are asked of long vectors. Each row is in each set as often as a Poisson number says that its hash draws: of key, or else of the vector, so that
+    equal vectors are drawn together then.
+    """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            lists = batch.column("v")
+            x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+            if not len(x):
+                continue
+            hashes, d = batch.column("h").to_numpy(), x.shape[1]
+            if not held:
+                held = {r: [np.zeros(1), np.zeros(d), np.zeros((d, d))] for r in range(replicas)}
+            for r, have in held.items():
+                w = drawn(hashes, r, seed)
+                have[0] += w.sum()
+                have[1] += w @ x
+                have[2] += (x * w[:, None]).T @ x
+        for r, (n, total, products) in held.items():
+            i, j = np.triu_indices(len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), r, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(np.full(len(i), n[0])), pa.array(total[i]), pa.array(total[j]), pa.array(products[i, j])], ["replica", "i", "j", "n", "si", "sj", "sij"])
+
+    dim = rows.where(F.col(vector).isNotNull()).agg(F.max(F.size(vector))).first()[0] or 1
+    replicas = max(1, min(replicas, REPLICA_BYTES // (8 * dim * dim)))
+    own = rows.where(F.size(vector) == dim).select(F.col(vector).cast("array<double>").alias("v"), F.xxhash64(F.col(key or vector)).alias("h"))
+    got = own.mapInArrow(sums, "replica int, i int, j int, n double, si double, sj double, sij double")
+    return got.groupBy("replica", "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
+
+
+def bootstrap(rows: DataFrame, vector: str, replicas: int = REPLICAS, seed: int = SEED, key: str | None = None, ddof: int = 1) -> tuple[np.ndarray, np.ndarray] | None:
+    """Means over resampled sets of their mean and covariance; sets of too few rows are left out. Null without any.
+
+    Only sums over the sets come to the driver: a number for each pair of dimensions.
+    """
+    one = resampled_moments(rows, vector, replicas, seed, key).where(F.col("n") > ddof)
+    means = [(F.col(c) / F.col("n")).alias(c) for c in ("si", "sj")]
+    cov = ((F.col("sij") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - ddof)).alias("sij")
+    got = one.select("i", "j", *means, cov).groupBy("i", "j").agg(*[F.avg(c).alias(c) for c in ("si", "sj", "sij")]).toArrow()
+    if not len(got):
+        return None
+    i, j, si, sj, sij = (got.column(c).to_numpy() for c in ("i", "j", "si", "sj", "sij"))
+    d = int(j.max()) + 1
+    mean, out = np.zeros(d), np.zeros((d, d))
+    mean[i] = si
+    mean[j] = sj
+    out[i, j] = out[j, i] = sij
+    return mean, out
+
+
 def moments(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """keys, i, j, n, si, sj, sij of all pairs of dimensions: sums that tasks add up for themselves.
 
@@ -75,6 +141,8 @@ def gaussian(rows: DataFrame, vector: str, ddof: int = 1, estimator: str = "mle"
     """Mean and covariance of a set; null with too few rows. The others of ESTIMATORS start from the covariance by n."""
     if estimator not in ESTIMATORS:
         raise ValueError(f"{estimator}: not one of {', '.join(ESTIMATORS)}")
+    if estimator == "bootstrap":
+        return bootstrap(rows, vector, ddof=ddof)
     got = moments(rows, [], vector).toArrow()  # dimensions squared, which the result has too
     ddof = ddof if estimator == "mle" else 0
     if not len(got) or got.column("n")[0].as_py() <= ddof:

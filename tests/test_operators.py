@@ -96,6 +96,50 @@ def test_boxes_and_densities(spark):
     assert np.allclose([d for _, d in at], want, atol=0.01 * max(want))
 
 
+def test_bootstrap(spark):
+    """All replicas in one pass: the same on any partitioning, as numpy's with the same draws, near the plain estimate."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.2], [0, 0, 2]]) + [1, 2, 3]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(999, None)], "k long, v array<double>")
+    one, two = (vectors.bootstrap(df.repartition(n), "v", 40, 5, "k") for n in (1, 7))
+    assert np.allclose(one[0], two[0]) and np.allclose(one[1], two[1])
+    hashes = np.array([r[0] for r in df.where("v is not null").orderBy("k").select(F.xxhash64("k")).collect()], np.int64)
+    weights = [vectors.drawn(hashes, r, 5) for r in range(40)]
+    assert abs(np.mean(weights) - 1) < 0.05 and abs(np.var(weights) - 1) < 0.1
+    means = [np.average(x, axis=0, weights=w) for w in weights]
+    covs = [np.cov(x.T, fweights=w.astype(int)) for w in weights]
+    assert np.allclose(one[0], np.mean(means, axis=0)) and np.allclose(one[1], np.mean(covs, axis=0))
+    assert np.allclose(one[1], np.cov(x.T), rtol=0.2, atol=0.1) and not np.allclose(one[1], vectors.bootstrap(df, "v", 40, 6, "k")[1])
+    assert vectors.bootstrap(df.limit(0), "v") is None
+    score = vectors.frechet(df.where("k < 150"), df.where("k >= 150"), "v", estimator="bootstrap")
+    assert abs(score - vectors.frechet(df.where("k < 150"), df.where("k >= 150"), "v")) < 0.2
+
+
+def test_tempo(spark):
+    """Known tempos, with halves and swing and chords, come back within 2 % up to octaves; a told tempo stays."""
+    from tessera.operators import tempo
+
+    rng, rows, want = random.Random(11), [], {}
+    for k, bpm in enumerate((81, 90, 99.5, 112, 120, 127.3, 140, 158, 60, 65, 185)):
+        t = rng.random()
+        for _ in range(120):
+            step = rng.choice([1, 1, 1, 0.5, 0.5, 2])
+            for pitch in range(rng.choice([1, 3])):
+                rows.append((k, 60 + pitch, t + rng.uniform(-0.004, 0.004)))
+            t += 60 / bpm * step
+        want[k] = bpm
+    rows += [(50, 60, 1.0), (51, 60, 0.0), (51, 60, 0.01), (52, 60, None)]
+    df = spark.createDataFrame(rows, "p long, pitch long, t0 double")
+    got = {r.p: r.tempo for r in tempo.estimated(df, ["p"]).collect()}
+    assert got.keys() == want.keys()
+    for k, bpm in want.items():
+        octaves = math.log2(got[k] / bpm)
+        assert abs(octaves - round(octaves)) < math.log2(1.02), (bpm, got[k])
+    known = spark.createDataFrame([(0, 75.0), (1, 0.0)], "p long, tempo double")
+    told = {r.p: r.tempo for r in tempo.with_tempo(df, known, ["p"]).select("p", "tempo").distinct().collect()}
+    assert told[0] == 75.0 and told[1] == got[1] and told[50] == tempo.DEFAULT
+
+
 def test_consonance(spark):
     rng = random.Random(1)
     m, a = ([(p, rng.randrange(30, 90), t, t + rng.choice([0, 1, 2, 5]) * 0.25) for p in range(4) for t in [rng.randrange(64) * 0.25 for _ in range(20)]] for _ in range(2))
