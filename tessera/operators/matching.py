@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import interval_gen, stem
+from tessera.functions.scalars import cut_at, interval_gen, stem
 
 #: Rules in order of priority for runs of a system and for likelihood files.
 SYSTEM_RULES = ("numeric", "containment", "plain_within")
@@ -157,6 +157,46 @@ def resolved(keys: DataFrame, listing: DataFrame, key: str = "key", path: str =
     return pairs.groupBy(key).agg(F.min(path).alias(path))
 
 
+#: Fixed names of metrics by where their files lie: results of runs, raw logs, likelihoods; and the folders' defaults.
+METRICS = {
+    "result": ("pitch_jsd", "onset_jsd", "duration_jsd", "consonant_ratio", "unsupported_ratio", "prompt_generated_txt_mean_distance", "frechet_music_distance", "chord_accuracy"),
+    "raw": ("hit_rate", "hit_rate_weighted", "backup_level"),
+    "nll": ("nll", "nll_weighted"),
+}
+BASES = {"result": "result", "raw": "records", "nll": "records"}
+
+
+def metric_paths(keys: DataFrame, metric: str, base: str | None = None, listed: DataFrame | None = None, key: str = "key", path: str = "path") -> DataFrame:
+    """key, path, error: where the file or folder of a metric lies for each key.
+
+    A result lies under its key; raw logs under the interval's folder and the rest of the key; a likelihood file is the first
+    listed below nll_runs whose name contains the key's folder name, or is that of runs without a prompt for offline keys.
+    error tells why there is no path: a key of too few parts, or no such file. listed: paths, for likelihoods only.
+    """
+    family = next((f for f, names in METRICS.items() if metric in names), None)
+    if family is None:
+        raise ValueError(f"{metric}: not one of {', '.join(m for names in METRICS.values() for m in names)}")
+    base = (BASES[family] if base is None else base).rstrip("/")
+    if family == "result":
+        return keys.select(key, F.concat(F.lit(f"{base}/"), key, F.lit(".json")).alias(path), F.lit(None).cast("string").alias("error"))
+    parts = cut_at(F.col(key), 2)
+    folder = F.replace(F.replace(parts["head"], F.lit("_gen"), F.lit("_gen_frame_")), F.lit("interval"), F.lit("interval_"))
+    few = F.concat(F.lit("too few parts: "), key)
+    if family == "raw":
+        found = F.concat(F.lit(f"{base}/raw/realtime/baseline/"), folder, F.lit("/"), parts["tail"], F.lit("/batch_run"))
+        return keys.select(key, found.alias(path), F.when(found.isNull(), few).alias("error"))
+    if listed is None:
+        raise ValueError("likelihood files need a list of paths")
+    offline = F.col(key).contains("offline")
+    rows = keys.select(key, F.when(offline, "generated_without_prompt").otherwise(F.concat(folder, F.lit("_"), parts["tail"])).alias("_w"))
+    names = listed.select(F.col(path).alias("_path"), F.regexp_extract(path, r"(?:^|/)nll_runs/([^/]+)", 1).alias("_name")).where("_name != ''")
+    names = names.where(F.col("_path").startswith(base)) if base else names
+    held = within(rows.where("_w is not null").select("_w").distinct(), names.select("_name").distinct(), "_w", "_name").groupBy("_w").agg(F.min("_name").alias("_name"))
+    out = rows.join(held, "_w", "left")
+    missing = F.when(F.col("_w").isNull(), few).when(F.col("_name").isNull(), F.concat(F.lit("no file for "), "_w"))
+    return out.select(key, F.when(missing.isNull(), F.concat(F.lit(f"{base}/nll_runs/"), "_name")).alias(path), missing.alias("error"))
+
+
 def first_ranked(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     at = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(at)).where("_n = 1").drop("_n")

@@ -350,6 +350,23 @@ def test_pairs_of_a_hot_group(spark):
     assert wide.groupBy("own").count().agg(F.max("count")).first()[0] <= 40
 
 
+def test_paths_of_metrics(spark):
+    import tessera
+
+    keys = spark.createDataFrame([("interval2_gen5_prompt_1_gen_2",), ("offline_x_y",), ("short_key",), ("interval9_gen9_z",)], "key string")
+    listed = spark.createDataFrame([("file:/r/nll_runs/b_interval_2_gen_frame_5_prompt_1_gen_2.json",), ("records/nll_runs/a_interval_2_gen_frame_5_prompt_1_gen_2",), ("records/nll_runs/c_interval_2_gen_frame_5_prompt_1_gen_2",), ("records/nll_runs/generated_without_prompt",), ("records/other/interval_9_gen_frame_9_z",)], "path string")
+    of = lambda *a, **b: {r.key: (r.path, r.error) for r in tessera.metric_paths(keys, *a, **b).collect()}
+    assert of("pitch_jsd", "r/")["offline_x_y"] == ("r/offline_x_y.json", None)
+    raw = of("hit_rate")
+    assert raw["interval2_gen5_prompt_1_gen_2"] == ("records/raw/realtime/baseline/interval_2_gen_frame_5/prompt_1_gen_2/batch_run", None) and raw["short_key"] == (None, "too few parts: short_key")
+    assert of("nll", listed=listed) == {
+        "interval2_gen5_prompt_1_gen_2": ("records/nll_runs/a_interval_2_gen_frame_5_prompt_1_gen_2", None), "offline_x_y": ("records/nll_runs/generated_without_prompt", None),
+        "short_key": (None, "too few parts: short_key"), "interval9_gen9_z": (None, "no file for interval_9_gen_frame_9_z"),
+    }
+    with pytest.raises(ValueError):
+        tessera.metric_paths(keys, "other")
+
+
 def test_random_pairs(spark):
     df = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 1.0).alias("v"))
     every = pairs.at_random(df, "k", ["v"], 780).collect()
