@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,19 @@ def vocabulary(spark: SparkSession, labels: list[str]) -> DataFrame:
     return spark.createDataFrame([(a, b, list(c)) for a, b, c in rows], "label string, root int, classes array<int>")
 
 
+def parsed(labels: DataFrame) -> DataFrame:
+    """(label, root, classes) of the different labels of a table that can be read, however many: tasks read them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(x, *got) for x in batch.column(0).to_pylist() if (got := pitch_classes(x))]
+            columns = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int32(), pa.list_(pa.int32())))], ["label", "root", "classes"])
+
+    different = labels.where(F.col("label").isNotNull() & (F.col("label") != NO_CHORD)).select("label").distinct()
+    return different.mapInArrow(run, "label string, root int, classes array<int>")
+
+
 def class_durations(segments: DataFrame, notes: DataFrame, keys: list[str]) -> DataFrame:
     """keys, seg_idx, pc, w: seconds of each pitch class in each segment (seg_idx, s0, s1)."""
     met = overlapping(segments.select(*keys, "seg_idx", "s0", "s1"), notes.select(*keys, F.pmod("pitch", F.lit(12)).alias("pc"), "t0", "t1"), keys, ("s0", "s1"), ("t0", "t1"))

@@ -75,8 +75,7 @@ def phrase_windows(both: DataFrame, meta: DataFrame, piece: list[str], o: Option
 
 def chord_accuracy(both: DataFrame, segments: DataFrame, piece: list[str]) -> DataFrame:
     """piece, accuracy of the generated side's chords. segments: piece, seg_idx, s0, s1, label."""
-    labels = [r[0] for r in segments.where(F.col("label") != chords.NO_CHORD).select("label").distinct().collect()]  # a notation's vocabulary
-    candidates = chords.first_seen(segments, piece).join(F.broadcast(chords.vocabulary(segments.sparkSession, labels)), "label")
+    candidates = chords.first_seen(segments, piece).join(chords.parsed(segments), "label")
     gen = both.where(F.col("side") == SIDES[0])
     return chords.accuracy(segments, chords.picked(segments, gen, candidates, piece), gen, piece)
 

@@ -245,6 +245,12 @@ def test_chords(spark):
     assert chords.accuracy(seg, found, ns, ["p"]).collect() == [(1, 1.0)]
 
 
+def test_labels_are_read_by_tasks(spark):
+    labels = ["C:maj", "C:maj", "N", None, "Bb:min7", "what", "", "F#:sus4(9)/5"] + [f"{n}:{q}" for n in chords.LETTERS for q in chords.SHORTHANDS]
+    got = {r.label: (r.root, tuple(r.classes)) for r in chords.parsed(spark.createDataFrame([(x,) for x in labels], "label string").repartition(3)).collect()}
+    assert got == {x: chords.pitch_classes(x) for x in labels if x and x != "N" and chords.pitch_classes(x)} and len(got) > 100
+
+
 def test_ticks(spark):
     df = spark.createDataFrame([("r", 0, True, 40.0), ("r", 0, True, None), ("r", 0, False, 8.0), ("r", 1, True, 16.0), ("r", None, False, None)], "run string, tick int, is_hit boolean, backup_level double")
     got = {r.tick: r for r in ticks.by_tick(df, ["run"]).collect()}
