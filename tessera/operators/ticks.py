@@ -63,18 +63,24 @@ def across(runs: DataFrame) -> DataFrame:
     return runs.agg(*map(mean, ("global_hit_rate", "global_avg_backup", "ISR_w")), F.sum("total_samples").alias("total_samples"), F.sum("total_hits").alias("total_hits"), F.count(F.lit(1)).alias("n_runs"))
 
 
-def deadlines(timings: DataFrame, keys: list[str], tick: float = TICK, sample: int = 0) -> DataFrame:
+def deadlines(timings: DataFrame, keys: list[str], tick: float = TICK, sample: int = 0, records: bool = False) -> DataFrame:
     """keys, frames, deadline, n, n_miss, dmr of timings (frames, round_trip_time, request_arrival_time, response_output_time).
 
     The time is round_trip_time, else output less arrival; without either the row is left out. Equal to the deadline is
-    no miss. Rows without frames are left out. sample: also details_sample, so many of the times, the longest first.
+    no miss. Rows without frames are left out. sample: also details_sample, so many of the times, the longest first; or, as
+    records of the file's folder, the time and whether it is a miss, the first ones by path and position in the file.
     """
     rtt = F.coalesce("round_trip_time", F.col("response_output_time") - F.col("request_arrival_time"))
     rows = timings.withColumn("_rtt", rtt).where("_rtt is not null and frames is not null").withColumn("deadline", F.floor((F.col("frames") + 1) / 2) * tick)
-    miss = (F.col("_rtt") > F.col("deadline")).cast("double")
+    late = F.col("_rtt") > F.col("deadline")
+    miss = late.cast("double")
     out = rows.groupBy(*keys, "frames", "deadline").agg(F.count(F.lit(1)).alias("n"), F.sum(miss).cast("long").alias("n_miss"), F.avg(miss).alias("dmr"))
     if not sample:
         return out
-    place = F.row_number().over(Window.partitionBy(*keys, "frames").orderBy(F.desc("_rtt")))
-    kept = rows.withColumn("_n", place).where(F.col("_n") <= sample).groupBy(*keys, "frames").agg(F.sort_array(F.collect_list("_rtt"), asc=False).alias("details_sample"))
+    order = ["path", "position"] if records else [F.desc("_rtt")]
+    place = F.row_number().over(Window.partitionBy(*keys, "frames").orderBy(*order))
+    kept = rows.withColumn("_n", place).where(F.col("_n") <= sample)
+    folder = F.regexp_replace(F.col("path"), "/[^/]*$", "") if records else None
+    one = F.struct("_n", F.struct(folder.alias("subdir"), F.col("_rtt").alias("round_trip_time"), late.alias("miss")).alias("r")) if records else F.struct("_n", F.col("_rtt").alias("r"))
+    kept = kept.groupBy(*keys, "frames").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["r"]).alias("details_sample"))
     return out.join(kept, [*keys, "frames"])

@@ -71,11 +71,15 @@ def parser() -> argparse.ArgumentParser:
         if one.prog.endswith("batch"):
             one.add_argument("--generated", default="generated")
             one.add_argument("--truth", default="groundtruth")
-    add("system", "root", "out").add_argument("--weight", type=float, default=ticks.WEIGHT)
+    one = add("system", "root", "out")
+    one.add_argument("--weight", type=float, default=ticks.WEIGHT)
+    one.add_argument("--aggregated", action="store_true", help="also write all ticks of all runs, OUT/aggregated")
     add("globals", "root", "out")
     one = add("deadlines", "root", "out")
     one.add_argument("--time-per-tick", type=float, default=ticks.TICK)
     one.add_argument("--sample", type=int, default=100, help="responses of a run that are kept beside its ratio")
+    one.add_argument("--records", action="store_true", help="keep the first ones with folder and miss, not the longest times")
+    one.add_argument("--by-run", action="store_true", help="write a folder <run>.json for each run")
     add("merge", "report", "nll", "out")
     add("nll", "root", "out")
     add("grid", "root", "out")
@@ -223,10 +227,16 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         rows = files.ticks(spark, a.root)
         sinks.csv(ticks.with_global(rows, ["run"], a.weight), f"{a.out}/rows")
         sinks.json_by_name(ticks.run_results(rows, "run", a.weight), "run", f"{a.out}/final-sys-results")
+        if a.aggregated:
+            sinks.json_rows(rows, f"{a.out}/aggregated")
     elif a.command == "globals":
         sinks.json_rows(ticks.across(files.system_globals(spark, a.root)), a.out)
     elif a.command == "deadlines":
-        sinks.json_rows(ticks.deadlines(files.timings(spark, a.root), ["run"], a.time_per_tick, a.sample), a.out)
+        rows = ticks.deadlines(files.timings(spark, a.root), ["run"], a.time_per_tick, a.sample, a.records)
+        if a.by_run:
+            sinks.json_by_name(rows, "run", a.out)
+        else:
+            sinks.json_rows(rows, a.out)
     elif a.command == "nll":
         sinks.csv(likelihood.run_means(likelihood.records(files.likelihood_files(spark, a.root), ["name"]), ["name"]), a.out, digits=6)
     elif a.command == "grid":

@@ -84,9 +84,9 @@ def ticks(spark: SparkSession, root: str, direct: bool = True) -> DataFrame:
 
 
 def timings(spark: SparkSession, root: str, name: str = "inferences.json") -> DataFrame:
-    """run, path, frames and the three times of each response."""
-    rows = run_files(spark, root, name).withColumn("t", F.explode(F.from_json("text", TIMINGS)))
-    return rows.select("run", "path", nearest_frames(F.col("path")).alias("frames"), "t.response.timings.*")
+    """run, path, position in the file, frames and the three times of each response."""
+    rows = run_files(spark, root, name).select("run", "path", F.posexplode(F.from_json("text", TIMINGS)).alias("position", "t"))
+    return rows.select("run", "path", "position", nearest_frames(F.col("path")).alias("frames"), "t.response.timings.*")
 
 
 def system_globals(spark: SparkSession, root: str, folder: str = "final-sys-results") -> DataFrame:

@@ -147,6 +147,12 @@ def test_logs_and_reports(spark, tmp_path):
     assert json.loads(lines(spark, tmp_path / "o0")[0])["mean_ISR_w"] == 0.5
     main(["deadlines", str(tmp_path / "x"), str(tmp_path / "o2")], spark)
     assert json.loads(lines(spark, tmp_path / "o2")[0])["dmr"] == 1.0 and json.loads(lines(spark, tmp_path / "o2")[0])["details_sample"] == [9.0]
+    write(run.parent / "t" / "inferences.json", [{"response": {"timings": {"round_trip_time": x}}} for x in (0.0, 8.0)])
+    main(["deadlines", str(tmp_path / "x"), str(tmp_path / "o8"), "--records", "--by-run", "--sample", "2"], spark)
+    records = [json.loads(lines(spark, p)[0])["details_sample"] for p in (tmp_path / "o8").glob("file=*.json")]
+    assert [[(r["subdir"].rsplit("/", 1)[1], r["round_trip_time"], r["miss"]) for r in x] for x in records] == [[("s", 9.0, True), ("t", 0.0, False)]]
+    main(["system", str(tmp_path / "x"), str(tmp_path / "o9"), "--aggregated"], spark)
+    assert json.loads(lines(spark, tmp_path / "o9" / "aggregated")[0])["backup_level"] == 16
     write(tmp_path / "s" / "final-sys-results" / "interval_1_gen_frame_5.json", {"global": {"global_hit_rate": 0.5, "global_avg_backup": 1, "ISR_w": 0.25, "total_samples": 2, "total_hits": 1}})
     write(tmp_path / "n" / "interval_1_gen_frame_5.nll.json", {"f": {"avg_nll": 1.0, "total_nll": 6, "total_tokens": 4}})
     write(tmp_path / "r" / "interval1_gen5.json", {"summary": {"accompaniment_vs_groundtruth": {"pitch_jsd": {"mean": 0.125}}}, "details": [{"pitch_jsd": 0.5}, {"pitch_jsd": 0.25}]})
