@@ -56,3 +56,17 @@ def test_buckets(spark, docs, odd_docs, tmp_path):
             assert len({r.bucket_slot for r in rows}) == len(rows)
             found += [(r.doc_id, r.start, bytes(r.ids)) for r in rows]
         assert sorted(found) == want
+
+
+def test_null_keys_clashing_names_and_ties(spark, odd_docs):
+    """Rows without an id and with columns named like the result's; equal documents give equal pieces, long texts whole ones."""
+    df = odd_docs.withColumns({"length": packing.F.lit("x"), "start": packing.F.lit(1), "ids": packing.F.lit(2)}).unionByName(
+        odd_docs.where("doc_id = 5").withColumns({"doc_id": packing.F.lit(None).cast("long"), "length": packing.F.lit("y"), "start": packing.F.lit(1), "ids": packing.F.lit(2)})
+    )
+    rows = packing.pack(df).collect()
+    alone = [r for r in rows if r.doc_id is None]
+    assert [r.ids for r in alone] == [r.ids for r in rows if r.doc_id == 5] and len(alone) == 1 + (alone[0].doc_tokens > alone[0].length)
+    twice = sorted((r.start, r.length, bytes(r.ids)) for r in rows if r.doc_id == 0)
+    assert twice[::2] == twice[1::2]
+    long = [r for r in rows if r.doc_id == 9]
+    assert sum(r.length for r in long) == long[0].doc_tokens > 15_000 and max(r.length for r in long) == packing.LIMIT

@@ -99,3 +99,23 @@ def test_nothing_to_learn(spark, planted, sf_dir):
     """Without any known language only texts without a letter go."""
     got = {r.doc_id for r in P.known_language(spark, planted.withColumn("lang", P.F.lit(None).cast("string")), sf_dir).collect()}
     assert got == {r.doc_id for r in planted.collect() if any(map(str.isalpha, r.text or ""))}
+
+
+def test_a_very_long_text(spark, planted, sf_dir):
+    """A text of some megabytes with a secret far inside it goes through all stages whole; so does one of many short lines."""
+    rows = [r for r in planted.collect() if r.text and len(r.text) > 300 and r.lang][:40]
+    long = " ".join(f"{r.text} {k}" for k in range(3_000_000 // sum(len(r.text) for r in rows) + 1) for r in rows)
+    secret = "AKIA" + "Q7ZR" * 4
+    at = len(long) // 2
+    docs = spark.createDataFrame([(10**6, f"{long[:at]} {secret} {long[at:]}", rows[0].lang, "src0", len(long))], planted.schema).unionByName(planted)
+    now = docs
+    for name, stage in P.STAGES[:-1]:
+        now = P.written(stage(spark, now, sf_dir), name)
+        if name != "benchmark":
+            assert now.where("doc_id = 1000000").count() == 1
+        else:
+            now = now.unionByName(docs.where("doc_id = 1000000")).dropDuplicates(["doc_id"])
+    text = now.where("doc_id = 1000000").first().text
+    assert secret not in text and len(text) > 2_900_000
+    pieces = P.packed(spark, now.where("doc_id = 1000000"), sf_dir).collect()
+    assert sum(r.length for r in pieces) == pieces[0].doc_tokens > 500_000

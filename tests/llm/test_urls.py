@@ -27,6 +27,16 @@ def brute(url):
     return host, path, max(fits)[2:] if fits else (None, None)
 
 
+def test_ties(spark, model):
+    """Of rules of one length block goes before allow, and a score on the threshold is one over it."""
+    df = spark.createDataFrame([(1, "http://a.example/x/"), (2, "http://other.test/")], "page_id long, url string")
+    same = (("allow", "example", "/x"), ("block", "a.example", ""))
+    rules = (("allow", "a.example", "/x"), ("block", "a.example", "/x"))
+    assert {r.verdict for r in U.judge(df.where("page_id = 1"), model, ["page_id"], rules=rules).collect()} == {"block"}
+    assert {r.verdict for r in U.judge(df.where("page_id = 1"), model, ["page_id"], rules=rules[::-1]).collect()} == {"block"}
+    assert len({(r.rule, r.verdict) for x in (same, same[::-1]) for r in U.judge(df.where("page_id = 1"), model, ["page_id"], rules=x).collect()}) == 1
+
+
 def test_rules(spark, model, sf_dir):
     odd = [None, "", "no scheme", "http://", "HTTP://WWW.Example.NET/en/1", "http://example.net/EN/1", "https://net/", "http://xnet/", "http://a.b.net", "ftp://a.example.com/de/x?y#z", "http://É.example.org/fr/?q", "http://x.org/frs", "http://x.org/fr/", "a://b://c.net/", "http://u?x=://y.net/", "http://h.example.com\n/de/", "http://h.example.com/de/\n"]
     df = spark.createDataFrame([(k, u) for k, u in enumerate(odd)], "page_id long, url string").unionByName(spark.read.parquet(f"{sf_dir}/pages.parquet").select((F.col("page_id") + 100).alias("page_id"), "url"))
