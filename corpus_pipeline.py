@@ -40,7 +40,18 @@ def beside(docs: DataFrame, added: tuple[str, ...], make: Callable[[DataFrame, l
     return keep(make(own, own.columns)).select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
+#: Rows of an Arrow batch: Spark's default of ten times as many is tens of MB of text, twice in the JVM and once in Python.
+BATCH_SETTING, BATCH_ROWS, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000, "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what each of an executor's tasks holds of texts; a session with a setting of its own keeps it."""
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     code = language.train(docs.where(~F.coalesce(language.held_out(), F.lit(False))))
     if not code.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
