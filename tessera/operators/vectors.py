@@ -14,9 +14,10 @@ from tessera.operators.overlap import overlapping
 
 STEPS = 32
 STEPS_A_BEAT = 4
-#: Gaussian estimators of a set's covariance: plain, with a fixed share of its mean variance, two that choose the share, and
-#: the mean over resampled sets.
-ESTIMATORS = ("mle", "shrinkage", "ledoit_wolf", "oas", "bootstrap")
+#: Gaussian estimators of a set's covariance: plain, with a fixed share of its mean variance, and two that choose the share;
+#: and one that is the mean over resampled sets.
+ESTIMATORS = ("mle", "shrinkage", "ledoit_wolf", "oas")
+RESAMPLED = "bootstrap"
 SHRINKAGE = 0.1
 #: Resampled sets, of which a task holds the sums of so many bytes at a time; and the draws' seed.
 REPLICAS, REPLICA_BYTES, SEED = 100, 64 << 20, 11
@@ -139,9 +140,9 @@ def shrunk(cov: np.ndarray, share: float) -> np.ndarray:
 
 def gaussian(rows: DataFrame, vector: str, ddof: int = 1, estimator: str = "mle") -> tuple[np.ndarray, np.ndarray] | None:
     """Mean and covariance of a set; null with too few rows. The others of ESTIMATORS start from the covariance by n."""
-    if estimator not in ESTIMATORS:
-        raise ValueError(f"{estimator}: not one of {', '.join(ESTIMATORS)}")
-    if estimator == "bootstrap":
+    if estimator not in (*ESTIMATORS, RESAMPLED):
+        raise ValueError(f"{estimator}: not one of {', '.join((*ESTIMATORS, RESAMPLED))}")
+    if estimator == RESAMPLED:
         return bootstrap(rows, vector, ddof=ddof)
     got = moments(rows, [], vector).toArrow()  # dimensions squared, which the result has too
     ddof = ddof if estimator == "mle" else 0

@@ -62,7 +62,7 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--prompts", help="folder of prompt files; notes after each prompt go to OUT/continuations")
         one.add_argument("--latents", help="Parquet table piece, kind, part, a, b of encodings")
         one.add_argument("--embeddings", help="Parquet table side, embedding for the Frechet distance")
-        one.add_argument("--estimator", choices=vectors.ESTIMATORS, default="mle")
+        one.add_argument("--estimator", choices=(*vectors.ESTIMATORS, vectors.RESAMPLED), default="mle")
         one.add_argument("--histograms", action="store_true")
         one.add_argument("--midi", action="store_true", help="write the notes compared as MIDI files, OUT/midi/<run>/<side>/<stem>.mid")
         one.add_argument("--strict", action="store_true", help="fail on files that can't be read; else they are listed in OUT/errors")
