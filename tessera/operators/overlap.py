@@ -7,8 +7,10 @@ distinct. An interval stands only in levels where one of the other side's has it
 others of a few seconds make a row or two each, a year among them makes three, and no bucket brings short ones together
 only because some are long.
 
-Which levels there are is looked up first, in a pass over the times that returns some tens of numbers. Times are finite
-numbers; an interval with a null meets nothing, one that ends before it begins is one of no length.
+The tree is for crowded keys: where a key's rows of both sides make no more than PAIRS pairs, they are compared as they are,
+and a row is sent once. Whether any key is crowded is looked up first, and for those which levels there are, in a pass over
+the times that returns some tens of numbers. No side is broadcast: Spark guesses sizes from files and counts neither what a
+bucket multiplies nor what Parquet packs. Times are finite numbers; an interval with a null meets nothing, one that ends before it begins is one of no length.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 #: Consonant distances of pitch classes in half tones.
 CONSONANT = (0, 3, 4, 7, 8, 9)
 BUCKET = 2.0
+#: A key of more pairs than this goes through buckets.
+PAIRS = 1 << 14
 
 
 def bucketed(rows: DataFrame, t0: str, t1: str, width: float) -> DataFrame:
@@ -53,21 +57,38 @@ def nodes(rows: DataFrame, t0: str, t1: str, width: float, others: list[int], ow
     return rows.withColumn("_node", F.explode(F.concat(*parts))).select(*rows.columns, "_node.*")
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], width: float = BUCKET) -> DataFrame:
+def crowded(left: DataFrame, right: DataFrame, keys: list[str], most: int = PAIRS) -> DataFrame:
+    """The keys whose rows of both sides make more than `most` pairs."""
+    both = left.select(*keys, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionAll(right.select(*keys, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    return both.groupBy(*keys).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")).where(F.col("_a").cast("double") * F.col("_b") > most).select(*keys)
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], width: float = BUCKET, most: int = PAIRS) -> DataFrame:
     """Pairs with a common key where left's interval a and right's b overlap strictly: b0 < a1 and b1 > a0.
 
-    Both sides' columns must differ but for the keys.
+    Both sides' columns must differ but for the keys. Keys of at most `most` pairs are joined without buckets.
     """
+    strictly = (F.col(b[1]) > F.col(a[0])) & (F.col(b[0]) < F.col(a[1]))
+    large = crowded(left, right, keys, most)
+    if large.limit(1).count() == 0:
+        return left.join(right.hint("merge"), keys).where(strictly)
+    of = lambda rows, how: rows.join(large.hint("merge"), keys, how)
+    few = of(left, "left_anti").join(right.hint("merge"), keys).where(strictly)
+    return few.unionByName(met_in_buckets(of(left, "left_semi"), of(right, "left_semi"), keys, a, b, width))
+
+
+def met_in_buckets(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], width: float = BUCKET) -> DataFrame:
+    """overlapping() by the tree of buckets, whatever number of rows a key has."""
     has, other = levels(left, *a, width), levels(right, *b, width)
     begins = F.greatest(F.col(a[0]), F.col(b[0]))
     strictly = (F.col(b[1]) > F.col(a[0])) & (F.col(b[0]) < F.col(a[1]))
     if max([*has, *other], default=0) == 0:
         home = F.col("_bucket") == F.floor(begins / width)
-        return bucketed(left, *a, width).join(bucketed(right, *b, width), [*keys, "_bucket"]).where(home & strictly).drop("_bucket")
+        return bucketed(left, *a, width).join(bucketed(right, *b, width).hint("merge"), [*keys, "_bucket"]).where(home & strictly).drop("_bucket")
     # equal levels meet as left's, a longer right one where left is finer
     one, two = nodes(left, *a, width, other, ("left",), "right"), nodes(right, *b, width, has, ("left", "right"), "left")
     home = F.col("_bucket") == F.floor(begins / (F.lit(width) * F.pow(F.lit(2.0), F.col("_level"))))
-    return one.join(two, [*keys, "_level", "_bucket", "_longer"]).where(home & strictly).drop("_level", "_bucket", "_longer")
+    return one.join(two.hint("merge"), [*keys, "_level", "_bucket", "_longer"]).where(home & strictly).drop("_level", "_bucket", "_longer")
 
 
 def length(a: tuple[str, str], b: tuple[str, str]) -> Column:

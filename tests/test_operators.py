@@ -187,6 +187,18 @@ def test_intervals_of_any_length(spark, width):
     assert overlap.overlapping(left.limit(0), right, ["p"], ("a0", "a1"), ("b0", "b1"), width).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 1500, 10**6])
+def test_crowded_keys_meet_in_buckets(spark, most):
+    """All keys crowded, one of three, none: the same pairs, and no side is broadcast however small it looks."""
+    rng = random.Random(21)
+    a, b = [r for r in spans(rng, 150) if r[0] < 2 or r[1] % 5 == 0], spans(rng, 150)
+    left, right = spark.createDataFrame([*a, (0, -1, None, 5.0), (None, -2, 0.0, 5.0)], "p long, i long, a0 double, a1 double"), spark.createDataFrame([*b, (0, -1, 0.0, None), (None, -2, 0.0, 5.0)], "p long, j long, b0 double, b1 double")
+    assert overlap.crowded(left, right, ["p"], most).count() == {0: 4, 1500: 2, 10**6: 0}[most]
+    met = overlap.overlapping(left, right, ["p"], ("a0", "a1"), ("b0", "b1"), most=most)
+    assert sorted((r.i, r.j) for r in met.collect()) == sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and y[3] > x[2] and y[2] < x[3])
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_long_intervals_make_few_rows(spark):
     """A year among notes: tens of rows for it, and two more at most for each note."""
     notes = spark.createDataFrame([(1, k, k * 0.5, k * 0.5 + 1) for k in range(2000)], "p long, i long, a0 double, a1 double")
