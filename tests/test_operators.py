@@ -393,6 +393,28 @@ def test_random_pairs(spark):
     assert len({(r.first, r.second) for r in some}) == 50 and all(r.diff_v == r.second - r.first for r in some)
 
 
+def test_all_pairs_come_from_blocks(spark):
+    """Pairs are made by the join that writes them; nothing has a row for each pair before it, and nothing is broadcast."""
+    for n in (0, 1, 16, 50):
+        df = spark.range(n).select(F.col("id").alias("k"), (F.col("id") * 1.0).alias("v"))
+        got = pairs.every(df, "k", ["v"], n, block=16)
+        assert sorted((r.first, r.second, r.diff_v) for r in got.collect()) == [(a, b, b - a) for a in range(n) for b in range(a + 1, n)]
+    plan = pairs.at_random(df, "k", ["v"], 2**63 - 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Join") == 1
+
+
+@pytest.mark.parametrize("n", [3, 40, 41])
+def test_a_sample_of_pairs_is_not_sorted(spark, n):
+    """Numbers of pairs in random order, each once; their sample neither sorts nor gathers them in one task."""
+    total = n * (n - 1) // 2
+    assert sorted(r._k for r in pairs.shuffled(spark, n, total, 42).collect()) == list(range(total))
+    plan = pairs.shuffled(spark, n, total - 1, 42)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "TakeOrdered", "Sort", "Limit"))
+    if n > 3:
+        half = [r._k for r in pairs.shuffled(spark, n, total // 2, 42).collect()]
+        assert total * 0.4 < sum(half) / len(half) < total * 0.6 and half != [r._k for r in pairs.shuffled(spark, n, total // 2, 43).collect()]
+
+
 TEXT = """Accompaniment:
   Pitch JSD:
     mean: 0.2
