@@ -187,6 +187,15 @@ def test_intervals_of_any_length(spark, width):
     assert overlap.overlapping(left.limit(0), right, ["p"], ("a0", "a1"), ("b0", "b1"), width).count() == 0
 
 
+def test_bars_send_a_note_once(spark):
+    """Notes of a piece of few phrases are compared with them as they are, not dealt to buckets of each level."""
+    notes = spark.createDataFrame([(p, 0.5 * k, 0.5 * k + 0.25) for p in range(3) for k in range(40)], "p long, t0 double, t1 double")
+    lines = spark.createDataFrame([(p, k, 1.5 * k) for p in range(4) for k in range(11)], "p long, bar_idx int, t double")
+    got = phrases.bars(notes, lines, ["p"])
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.p, r.idx, r.w0, r.w1, round(r.rhythm_density, 6)) for r in got.collect()) == [(p, k, 6.0 * k, min(6.0 * k + 6, 15.0), 2.0 * (p < 3)) for p in range(4) for k in range(3)]
+
+
 @pytest.mark.parametrize("most", [0, 1500, 10**6])
 def test_crowded_keys_meet_in_buckets(spark, most):
     """All keys crowded, one of three, none: the same pairs, and no side is broadcast however small it looks."""
