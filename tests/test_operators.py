@@ -187,6 +187,16 @@ def test_intervals_of_any_length(spark, width):
     assert overlap.overlapping(left.limit(0), right, ["p"], ("a0", "a1"), ("b0", "b1"), width).count() == 0
 
 
+@pytest.mark.parametrize("feature", [histogram.onsets, histogram.durations])
+def test_histograms_do_not_sort_notes(spark, feature):
+    """A task keeps a number for each piece and the counts of its bins; notes pass by, whatever number a piece has."""
+    df = spark.createDataFrame([(k % 3, "ab"[k % 2], 0.5 * k, 0.5 * k + k % 5) for k in range(300)] + [(None, "a", 0.0, 1.0), (7, "a", 0.0, 0.0)], "p long, side string, t0 double, t1 double")
+    got = feature(df, ["p"], "side")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Broadcast" not in plan
+    assert sorted(((r.p, r.side), r.n) for r in got.groupBy("p", "side").agg(F.sum("n").alias("n")).collect() if r.p < 3) == [((p, s), 50) for p in range(3) for s in "ab"]
+
+
 def test_bars_send_a_note_once(spark):
     """Notes of a piece of few phrases are compared with them as they are, not dealt to buckets of each level."""
     notes = spark.createDataFrame([(p, 0.5 * k, 0.5 * k + 0.25) for p in range(3) for k in range(40)], "p long, t0 double, t1 double")
