@@ -17,9 +17,14 @@ def pitches(notes: DataFrame, keys: list[str]) -> DataFrame:
     return notes.groupBy(*keys, F.col("pitch").cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def by_piece(numbers: DataFrame) -> DataFrame:
-    """A row for each piece, as the side of a join that a task keeps in memory: notes pass by it unsorted."""
-    return numbers.hint("shuffle_hash")
+def with_numbers(notes: DataFrame, numbers: DataFrame, piece: list[str]) -> DataFrame:
+    """Notes with their piece's row of numbers. A task keeps the numbers in memory and notes pass by unsorted.
+
+    Notes are dealt to the session's number of shuffle partitions as it is: AQE would join partitions up to 64 MB of packed
+    data, and what counts bins after this keeps all bins of such a task in memory.
+    """
+    tasks = int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return notes.repartition(tasks, *piece).join(numbers.hint("shuffle_hash"), piece)
 
 
 def onsets(notes: DataFrame, piece: list[str], side: str, bins: int = BINS) -> DataFrame:
@@ -27,7 +32,7 @@ def onsets(notes: DataFrame, piece: list[str], side: str, bins: int = BINS) -> D
     lengths = notes.groupBy(*piece).agg(F.max("t1").alias("_length"))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("t0") / F.col("_length")))
     at = F.least(F.lit(bins - 1), F.floor(share * bins)).cast("int")
-    return notes.join(by_piece(lengths), piece).where("_length > 0").groupBy(*piece, side, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return with_numbers(notes, lengths, piece).where("_length > 0").groupBy(*piece, side, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def length_of() -> Column:
@@ -42,7 +47,7 @@ def duration_tops(notes: DataFrame, piece: list[str], top: float = TOP) -> DataF
 
 def durations(notes: DataFrame, piece: list[str], side: str, bins: int = BINS, top: float = TOP) -> DataFrame:
     """Durations in equal bins up to the top edge; longer ones fall in the last."""
-    rows = notes.join(by_piece(duration_tops(notes, piece, top)), piece).withColumn("_d", length_of()).withColumn("_step", F.col("top") / bins)
+    rows = with_numbers(notes, duration_tops(notes, piece, top), piece).withColumn("_d", length_of()).withColumn("_step", F.col("top") / bins)
     guess = F.floor(F.col("_d") / F.col("_step"))
     guess = F.when(F.col("_d") < guess * F.col("_step"), guess - 1).when(F.col("_d") >= (guess + 1) * F.col("_step"), guess + 1).otherwise(guess)
     at = F.when(F.col("_d") >= F.col("top"), bins - 1).otherwise(F.least(F.lit(bins - 1), guess)).cast("int")

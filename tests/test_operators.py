@@ -193,7 +193,7 @@ def test_histograms_do_not_sort_notes(spark, feature):
     df = spark.createDataFrame([(k % 3, "ab"[k % 2], 0.5 * k, 0.5 * k + k % 5) for k in range(300)] + [(None, "a", 0.0, 1.0), (7, "a", 0.0, 0.0)], "p long, side string, t0 double, t1 double")
     got = feature(df, ["p"], "side")
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Broadcast" not in plan
+    assert "ShuffledHashJoin" in plan and "REPARTITION_BY_NUM" in plan and "SortMergeJoin" not in plan and "Broadcast" not in plan
     assert sorted(((r.p, r.side), r.n) for r in got.groupBy("p", "side").agg(F.sum("n").alias("n")).collect() if r.p < 3) == [((p, s), 50) for p in range(3) for s in "ab"]
 
 
