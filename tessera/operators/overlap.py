@@ -63,18 +63,31 @@ def crowded(left: DataFrame, right: DataFrame, keys: list[str], most: int = PAIR
     return both.groupBy(*keys).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")).where(F.col("_a").cast("double") * F.col("_b") > most).select(*keys)
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], width: float = BUCKET, most: int = PAIRS) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], width: float = BUCKET, most: int = PAIRS, alone: bool = False) -> DataFrame:
     """Pairs with a common key where left's interval a and right's b overlap strictly: b0 < a1 and b1 > a0.
 
-    Both sides' columns must differ but for the keys. Keys of at most `most` pairs are joined without buckets.
+    Both sides' columns must differ but for the keys. Keys of at most `most` pairs are joined without buckets. With alone,
+    left's rows that meet nothing stay, with nulls for right's columns; rows of crowded keys do so whatever they meet. The
+    few pairs then stand in the session's number of shuffle partitions by the keys, as histogram.with_numbers() has it, for
+    what counts by key after this.
     """
     strictly = (F.col(b[1]) > F.col(a[0])) & (F.col(b[0]) < F.col(a[1]))
     large = crowded(left, right, keys, most)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        if not alone:
+            return rows.join(right.hint("merge"), keys).where(strictly)
+        own = {k: f"_right_{k}" for k in keys}
+        tasks = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        other = right.withColumnsRenamed(own).repartition(tasks, *own.values())
+        return rows.join(other.hint("merge"), [*[F.col(k) == F.col(o) for k, o in own.items()], strictly], "left").drop(*own.values())
+
     if large.limit(1).count() == 0:
-        return left.join(right.hint("merge"), keys).where(strictly)
+        return plain(left)
     of = lambda rows, how: rows.join(large.hint("merge"), keys, how)
-    few = of(left, "left_anti").join(right.hint("merge"), keys).where(strictly)
-    return few.unionByName(met_in_buckets(of(left, "left_semi"), of(right, "left_semi"), keys, a, b, width))
+    many = of(left, "left_semi")
+    met = plain(of(left, "left_anti")).unionByName(met_in_buckets(many, of(right, "left_semi"), keys, a, b, width))
+    return met.unionByName(many, allowMissingColumns=True) if alone else met
 
 
 def met_in_buckets(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], width: float = BUCKET) -> DataFrame:

@@ -15,18 +15,22 @@ BARS = 4
 
 def measured(met: DataFrame, keys: list[str], resolution: float = RESOLUTION) -> DataFrame:
     """keys, w0, w1, rhythm_density, voice_number of rows (keys, w0, w1, t0, t1) of events that overlap their window.
+    A window with no more than a row of null times gets zeros.
 
     Density: distinct grid places of onsets inside, by second. Voices: the sum of sounding lengths over the time from
     the window's start to the last end, as an integral of the number of active events.
     """
     inside = (F.col("t0") >= F.col("w0")) & (F.col("t0") < F.col("w1"))
-    place = F.floor((F.col("t0") - F.col("w0")) / resolution + 1e-9)
-    end = F.least("t1", "w1")
+    place = F.when(inside, F.floor((F.col("t0") - F.col("w0")) / resolution + 1e-9))
+    end = F.when(F.col("t1").isNotNull(), F.least("t1", "w1"))
     sounding = F.greatest(F.lit(0.0), end - F.greatest("t0", "w0"))
-    span = F.max(end) - F.col("w0")
-    return met.groupBy(*keys, "w0", "w1").agg(
-        (F.size(F.collect_set(F.when(inside, place))) / (F.col("w1") - F.col("w0"))).alias("rhythm_density"),
-        F.when(span > 0, F.sum(sounding) / span).otherwise(0.0).alias("voice_number"),
+    # places as bits of 64 in a number: sums of fixed size, where a set would be an object for each window
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    words = met.groupBy(*keys, "w0", "w1", F.call_function("shiftright", place, F.lit(6)).alias("_word")).agg(F.bit_or(bit).alias("_bits"), F.sum(sounding).alias("_sounding"), F.max(end).alias("_end"))
+    span = F.max("_end") - F.col("w0")
+    return words.groupBy(*keys, "w0", "w1").agg(
+        (F.coalesce(F.sum(F.bit_count("_bits")), F.lit(0)) / (F.col("w1") - F.col("w0"))).alias("rhythm_density"),
+        F.when(span > 0, F.sum("_sounding") / span).otherwise(0.0).alias("voice_number"),
     )
 
 
@@ -56,9 +60,8 @@ def bars(notes: DataFrame, boundaries: DataFrame, keys: list[str], per_phrase: i
     spans = segments.groupBy(*keys, F.floor(F.col("bar_idx") / per_phrase).cast("int").alias("idx")).agg(F.min("t").alias("w0"), F.max("_next").alias("w1"))
     from tessera.operators.overlap import overlapping
 
-    met = overlapping(spans, notes.select(*keys, "t0", "t1"), keys, ("w0", "w1"), ("t0", "t1"))
-    got = measured(met, [*keys, "idx"], resolution).select(*keys, "idx", "rhythm_density", "voice_number")
-    return spans.join(got, [*keys, "idx"], "left").na.fill(0.0, ["rhythm_density", "voice_number"])
+    met = overlapping(spans, notes.select(*keys, "t0", "t1"), keys, ("w0", "w1"), ("t0", "t1"), alone=True)
+    return measured(met, [*keys, "idx"], resolution).na.fill(0.0, ["rhythm_density", "voice_number"])
 
 
 def bar_boundaries(meta: DataFrame, downbeats: DataFrame, beats: DataFrame, keys: list[str]) -> DataFrame:

@@ -206,6 +206,31 @@ def test_bars_send_a_note_once(spark):
     assert sorted((r.p, r.idx, r.w0, r.w1, round(r.rhythm_density, 6)) for r in got.collect()) == [(p, k, 6.0 * k, min(6.0 * k + 6, 15.0), 2.0 * (p < 3)) for p in range(4) for k in range(3)]
 
 
+def test_bars_count_places_without_sets(spark):
+    """Places are bits in sums of fixed size and phrases take part in one join, with crowded pieces, silent phrases and places by the hundred."""
+    few = [(0, 0.37 * k, 0.37 * k + 1.5 * (k % 9)) for k in range(41)] + [(0, 0.37, 0.5), (0, -2.0, 0.25), (0, 5.999, 6.0), (1, 0.005, 0.01), (1, 0.0125, 90.0)]
+    many = [(2, 3.0 * (k % 40) + 0.01 * k, 3.0 * (k % 40) + 0.01 * k + 1) for k in range(800)]  # 21 phrases of 800 notes: crowded
+    lines = [(p, k, 1.5 * k) for p in (0, 1, 3) for k in range(11)] + [(2, k, 6.0 * k) for k in range(82)]
+    notes, bars = spark.createDataFrame([*few, *many], "p long, t0 double, t1 double"), spark.createDataFrame(lines, "p long, bar_idx int, t double")
+    for chosen in ([0, 1, 3], [0, 1, 2, 3]):
+        got = phrases.bars(notes.where(F.col("p").isin(chosen)), bars.where(F.col("p").isin(chosen)), ["p"])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "collect_set" not in plan and "ObjectHashAggregate" not in plan
+        assert plan.count("SortMergeJoin") == 1 or 2 in chosen
+        expected = []
+        for p in chosen:
+            ts = [t for q, _, t in lines if q == p]
+            for idx in range((len(ts) - 2) // 4 + 1):
+                w0, w1 = ts[4 * idx], ts[min(4 * idx + 4, len(ts) - 1)]
+                met = [(a, b) for q, a, b in [*few, *many] if q == p and b > w0 and a < w1]
+                places = {math.floor((a - w0) / 0.01 + 1e-9) for a, _ in met if w0 <= a}
+                sounding = sum(min(b, w1) - max(a, w0) for a, b in met)
+                expected.append((p, idx, w0, w1, len(places) / (w1 - w0), sounding / (max(min(b, w1) for _, b in met) - w0) if met else 0.0))
+        rows = sorted(tuple(r) for r in got.collect())
+        assert [r[:4] for r in rows] == [e[:4] for e in expected]
+        assert all(r[4:] == pytest.approx(e[4:], abs=1e-9) for r, e in zip(rows, expected))
+
+
 @pytest.mark.parametrize("most", [0, 1500, 10**6])
 def test_crowded_keys_meet_in_buckets(spark, most):
     """All keys crowded, one of three, none: the same pairs, and no side is broadcast however small it looks."""
