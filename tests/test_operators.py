@@ -459,6 +459,44 @@ def test_a_sample_of_pairs_is_not_sorted(spark, n):
         assert total * 0.4 < sum(half) / len(half) < total * 0.6 and half != [r._k for r in pairs.shuffled(spark, n, total // 2, 43).collect()]
 
 
+def broadcast_rows(df) -> list[int]:
+    """Rows of each broadcast of a plan that has run."""
+
+    def of(node):
+        kind = node.nodeName()
+        below = [node.executedPlan()] if kind.startswith("AdaptiveSparkPlan") else [node.plan()] if kind.endswith("QueryStage") else [node.children().apply(k) for k in range(node.children().size())]
+        return ([node.metrics().apply("numOutputRows").value()] if kind == "BroadcastExchange" else []) + [x for b in below for x in of(b)]
+
+    df.collect()
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("sent", [50, 49])
+def test_a_sample_of_pairs_is_light_on_the_driver(spark, tmp_path, monkeypatch, sent):
+    """Its plan doesn't write out all rounds of the shuffling in conditions, and rows are never broadcast, picks where they are few."""
+    monkeypatch.setattr(pairs, "SENT", sent)
+    spark.range(2000).select(F.col("id").alias("k"), (F.col("id") * 1.0).alias("v")).write.parquet(str(tmp_path / "rows"))
+    got = pairs.at_random(spark.read.parquet(str(tmp_path / "rows")), "k", ["v"], 50)
+    assert len({(r.first, r.second) for r in got.collect()}) == 50 and all(r.diff_v == r.second - r.first > 0 for r in got.collect())
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert broadcast_rows(got) == [50, 50] * (sent == 50)
+
+
+def test_drawn_pairs_broadcast_no_table(spark, sf_dir):
+    from tessera.plans import bindings
+
+    df = bindings.QUERIES["random_pairs_drawn"](spark, sf_dir)
+    assert df.collect() == [(500, 500, 0)] and max(broadcast_rows(df)) <= 500
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+
+
+def test_pairs_of_large_numbers(spark):
+    """Beyond 2^53, where doubles skip whole numbers."""
+    want = {j * (j - 1) // 2 + i: (i, j) for j in (1, 2, 3, 40, 2**26 + 1, 10**8 + 7, 2**28 + 3, 2**30 + 1, 3 * 10**9) for i in (0, j // 2, j - 1)}
+    i, j = pairs.pair_of(F.col("k"))
+    assert {r.k: (r.i, r.j) for r in spark.createDataFrame([(k,) for k in want], "k long").select("k", i.alias("i"), j.alias("j")).collect()} == want
+
+
 TEXT = """Accompaniment:
   Pitch JSD:
     mean: 0.2
