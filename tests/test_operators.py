@@ -459,18 +459,34 @@ def test_a_sample_of_pairs_is_not_sorted(spark, n):
         assert total * 0.4 < sum(half) / len(half) < total * 0.6 and half != [r._k for r in pairs.shuffled(spark, n, total // 2, 43).collect()]
 
 
-def broadcast_rows(df) -> list[int]:
-    """Rows of each broadcast of a plan that has run."""
+def rows_sent(df, exchange: str = "BroadcastExchange", metric: str = "numOutputRows") -> list[int]:
+    """Rows of each broadcast or other exchange of a plan, which this runs."""
 
     def of(node):
         kind = node.nodeName()
         below = [node.executedPlan()] if kind.startswith("AdaptiveSparkPlan") else [node.plan()] if kind.endswith("QueryStage") else [node.children().apply(k) for k in range(node.children().size())]
-        return ([node.metrics().apply("numOutputRows").value()] if kind == "BroadcastExchange" else []) + [x for b in below for x in of(b)]
+        return ([node.metrics().apply(metric).value()] if kind == exchange else []) + [x for b in below for x in of(b)]
 
     df.collect()
     return of(df._jdf.queryExecution().executedPlan())
 
 
+def test_all_pairs_send_as_much_as_the_table_has(spark):
+    """Blocks grow with the table: a row is sent 31 times at most, where it was sent once for each block of a size."""
+    df = spark.range(90).select(F.col("id").alias("k"), (F.col("id") * 1.0).alias("v"))
+    got = pairs.every(df, "k", ["v"], 90, block=1)
+    assert sum(rows_sent(got, "Exchange", "shuffleRecordsWritten")) == 90 * 31
+    assert sorted((r.first, r.second, r.diff_v) for r in got.collect()) == [(a, b, b - a) for a in range(90) for b in range(a + 1, 90)]
+
+
+def test_rounded_as_round_does(spark):
+    rng = np.random.default_rng(1)
+    odd = [0.0, -0.0, 5e-7, -5e-7, 1.5e-6, 2.5e-6, 1.0000005, 1.0000015, -1.0000025, 1e-7, -1e-7, 0.1 + 0.2, 2.0**43 / 1e6, 9e6, 1e9, 1e22, 1e300, float("inf"), float("-inf"), float("nan"), None]
+    values = odd + [float(x) for m in (1, 100, 1e4, 1e7) for x in rng.normal(0, m, 1000)] + [float(x) / 2e6 for x in rng.integers(-(10**9), 10**9, 1000)]
+    df = spark.createDataFrame([(x,) for x in values], "x double").select("x", F.round("x", 6).alias("a"), S.rounded(F.col("x"), 6).alias("b"))
+    assert [r for r in df.collect() if repr(r.a) != repr(r.b)] == []
+
+
 @pytest.mark.parametrize("sent", [50, 49])
 def test_a_sample_of_pairs_is_light_on_the_driver(spark, tmp_path, monkeypatch, sent):
     """Its plan doesn't write out all rounds of the shuffling in conditions, and rows are never broadcast, picks where they are few."""
@@ -479,14 +495,14 @@ def test_a_sample_of_pairs_is_light_on_the_driver(spark, tmp_path, monkeypatch,
     got = pairs.at_random(spark.read.parquet(str(tmp_path / "rows")), "k", ["v"], 50)
     assert len({(r.first, r.second) for r in got.collect()}) == 50 and all(r.diff_v == r.second - r.first > 0 for r in got.collect())
     assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 20_000
-    assert broadcast_rows(got) == [50, 50] * (sent == 50)
+    assert rows_sent(got) == [50, 50] * (sent == 50)
 
 
 def test_drawn_pairs_broadcast_no_table(spark, sf_dir):
     from tessera.plans import bindings
 
     df = bindings.QUERIES["random_pairs_drawn"](spark, sf_dir)
-    assert df.collect() == [(500, 500, 0)] and max(broadcast_rows(df)) <= 500
+    assert df.collect() == [(500, 500, 0)] and max(rows_sent(df)) <= 500
     assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 50_000
 
 
